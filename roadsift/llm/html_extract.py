@@ -81,6 +81,15 @@ LABELLED = """
 1 0.00 3 1.00 0 0.00 1 0 1
 300 0.02 1 1.00 0 0.00 1 0 1
 20 0.10 6 1.00 3 1.00 1 0 1
+2 0.00 1 0.00 1 1.00 1 0 1
+40 0.00 90 0.00 2 1.00 1 0 1
+4 0.00 2 1.00 1 1.00 1 0 1
+9 0.00 3 1.00 1 1.00 1 1 1
+1 0.00 2 1.00 3 1.00 1 0 1
+300 0.00 2 1.00 1 1.00 1 0 1
+3 0.00 0 0.00 0 0.00 0 0 1
+200 0.00 0 0.00 0 0.00 0 0 1
+1 0.00 0 0.00 0 0.00 1 0 1
 5 0.00 90 0.00 1 1.00 1 0 1
 25 0.00 30 0.00 25 0.00 1 0 1
 120 0.00 0 0.00 95 0.00 0 0 1
