@@ -71,6 +71,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """Marks the side of a join whose size grows with the corpus: both sides are exchanged, at every size, and it is never broadcast."""
+    return df.hint("merge")
+
+
 def utf8(text: str | Column) -> Column:
     """Whole text as UTF-8 bytes, null as empty."""
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")).cast("binary")

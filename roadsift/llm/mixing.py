@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import others, quoted, store
+from .common import grows, others, quoted, store
 
 RESULT = ("size", "source_size", "target", "taken")
 PLACES = ("shard", "passes", "from_word", "to_word", "wrapped")
@@ -111,7 +111,7 @@ def mix(
     placed = rows.join(known, rows["__source"].eqNullSafe(known["name"])).drop("name", "__source", "quota").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "__order"), F.col("n_shards")).cast("int")).drop("n_shards")
     quotas = _quotas(placed, known, block, most_epochs)
     cell = Window.partitionBy("src", "shard").orderBy("__order", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = placed.withColumn("__end", F.sum("size").over(cell)).join(quotas, ["src", "shard"])
+    met = placed.withColumn("__end", F.sum("size").over(cell)).join(grows(quotas), ["src", "shard"])
     zero = F.lit(0).cast("long")
     begin = F.col("__end") - F.col("size")
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("cell") / block))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_words, ids_field, others, quoted, slices, store, utf8, window_hashes
+from .common import grows, hash_words, ids_field, others, quoted, slices, store, utf8, window_hashes
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RESULT = (*BASE, "base_failed", "n_frequent_words", "kept")
@@ -123,9 +123,9 @@ def judge(
     limit = F.greatest(F.lit(float(line_docs)), F.col("docs") * F.lit(line_share))
     frequent = store(often.join(totals, often["__host"].eqNullSafe(totals["__host"])).filter(F.col("n") > limit).select(often["__host"].alias("host"), F.col("line").alias("frequent")), "frequent-lines")
     spread = table.select("__row", "__host", F.explode(F.arrays_zip(F.col("__lines").alias("line"), F.col("__words").alias("words"))).alias("at")).select("__row", "__host", F.col("at.line").alias("line"), F.col("at.words").alias("words"))
-    hits = spread.join(frequent, spread["__host"].eqNullSafe(frequent["host"]) & (spread["line"] == frequent["frequent"]))
+    hits = spread.join(grows(frequent), spread["__host"].eqNullSafe(frequent["host"]) & (spread["line"] == frequent["frequent"]))
     lost = store(hits.groupBy("__row").agg(F.sum("words").alias("n_frequent_words"), *([F.collect_set("line").alias("__cut")] if clean else [])), "lost-lines")
-    judged = table.join(lost, "__row", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
+    judged = table.join(grows(lost), "__row", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     judged = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_frequent_words") <= F.col("n_words") * F.lit(depleted)))
     out = [F.col("__id").alias(doc_id), *[F.col(n).alias(c) for c, n in names.items()]]

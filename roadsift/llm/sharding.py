@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import others, quoted, store
+from .common import grows, others, quoted, store
 
 RESULT = ("n_bytes", "shard_depth", "shard_prefix", "shard_bytes", "shard_rows", "fits")
 BITS = 60
@@ -49,7 +49,7 @@ def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: in
     depth = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + probe)
     while True:
         found = store(_directory(rows, known, depth, limit), "directory")
-        met = rows.withColumn("__at", F.shiftrightunsigned("__hash", BITS - depth)).join(found, "__at")
+        met = rows.withColumn("__at", F.shiftrightunsigned("__hash", BITS - depth)).join(grows(found), "__at")
         done.append(met.filter(~F.col("deeper")).drop("__at", "deeper"))
         if found.filter("deeper").isEmpty():
             break
@@ -70,8 +70,8 @@ def _directory(rows: DataFrame, known: int, depth: int, limit: int) -> DataFrame
     leaves = store(rows.groupBy(F.expr(at).alias("__at")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("r"), (F.min("__hash") == F.max("__hash")).alias("equal")), "leaves")
     levels = leaves.select("__at", "b", "r", F.explode(F.sequence(F.lit(known + (known > 0)), F.lit(depth))).alias("d")).withColumn("p", F.expr(f"shiftrightunsigned(__at, {depth} - d)"))
     fitting = levels.groupBy("d", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("r").alias("shard_rows")).filter(F.col("shard_bytes") <= limit)
-    chosen = levels.select("__at", "d", "p").join(fitting, ["d", "p"]).groupBy("__at").agg(F.min(F.struct("d", "p", "shard_bytes", "shard_rows")).alias("s"))
+    chosen = levels.select("__at", "d", "p").join(grows(fitting), ["d", "p"]).groupBy("__at").agg(F.min(F.struct("d", "p", "shard_bytes", "shard_rows")).alias("s"))
     whole = F.struct(F.lit(depth).alias("d"), F.col("__at").alias("p"), F.col("b").alias("shard_bytes"), F.col("r").alias("shard_rows"))
     stuck = F.col("equal") | F.lit(depth >= BITS)
-    out = leaves.join(chosen, "__at", "left").withColumn("s", F.coalesce("s", F.when(stuck, whole)))
+    out = leaves.join(grows(chosen), "__at", "left").withColumn("s", F.coalesce("s", F.when(stuck, whole)))
     return out.select("__at", F.col("s").isNull().alias("deeper"), F.col("s.d").alias("shard_depth"), F.col("s.p").alias("shard_prefix"), F.col("s.shard_bytes").alias("shard_bytes"), F.col("s.shard_rows").alias("shard_rows"))
