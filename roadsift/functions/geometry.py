@@ -3,55 +3,66 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def unit_quaternion(q: Column) -> list[Column]:
-    n = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
-    return [q[i] / n for i in range(4)]
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: keeps nested expressions linear in size."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unit_quaternion(q: Column) -> Column:
+    return let(q, lambda q: let(F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3]), lambda n: F.transform(q, lambda x: x / n)))
 
 
 def rotation_matrix(q: Column) -> Column:
     """Row-major 3 x 3 rotation of a quaternion, which is normalised first."""
-    w, x, y, z = unit_quaternion(q)
-    return F.array(
-        1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
-        2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
-        2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
-    )
+
+    def matrix(u: Column) -> Column:
+        w, x, y, z = (u[i] for i in range(4))
+        return F.array(
+            1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
+            2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+            2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y),
+        )
+
+    return let(unit_quaternion(q), matrix)
 
 
 def yaw(q: Column) -> Column:
-    w, x, y, z = (q[i] for i in range(4))
-    return F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))
+    return let(q, lambda q: F.atan2(2 * (q[0] * q[3] + q[1] * q[2]), 1 - 2 * (q[2] * q[2] + q[3] * q[3])))
 
 
 def quaternion_product(a: Column, b: Column) -> Column:
-    aw, ax, ay, az = (a[i] for i in range(4))
-    bw, bx, by, bz = (b[i] for i in range(4))
-    return F.array(
-        aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by,
-        aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw,
-    )
+    def product(a: Column, b: Column) -> Column:
+        aw, ax, ay, az = (a[i] for i in range(4))
+        bw, bx, by, bz = (b[i] for i in range(4))
+        return F.array(
+            aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by,
+            aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw,
+        )
+
+    return let(a, lambda a: let(b, lambda b: product(a, b)))
 
 
 def conjugate(q: Column) -> Column:
-    return F.array(q[0], -q[1], -q[2], -q[3])
+    return let(q, lambda q: F.array(q[0], -q[1], -q[2], -q[3]))
 
 
 def rotate(m: Column, p: Column) -> Column:
-    return F.array(*[m[3 * r] * p[0] + m[3 * r + 1] * p[1] + m[3 * r + 2] * p[2] for r in range(3)])
+    return let(m, lambda m: let(p, lambda p: F.array(*[m[3 * r] * p[0] + m[3 * r + 1] * p[1] + m[3 * r + 2] * p[2] for r in range(3)])))
 
 
 def rotate_back(m: Column, p: Column) -> Column:
     """Transposed rotation."""
-    return F.array(*[m[r] * p[0] + m[3 + r] * p[1] + m[6 + r] * p[2] for r in range(3)])
+    return let(m, lambda m: let(p, lambda p: F.array(*[m[r] * p[0] + m[3 + r] * p[1] + m[6 + r] * p[2] for r in range(3)])))
 
 
 def shift(p: Column, t: Column, sign: int = 1) -> Column:
-    return F.array(*[p[i] + sign * t[i] for i in range(3)])
+    return F.zip_with(p, t, lambda x, y: x + sign * y)
 
 
 def to_parent(p: Column, q: Column, t: Column) -> Column:
@@ -73,15 +84,13 @@ def box_corners(center: Column, size_wlh: Column, q: Column) -> Column:
     """Eight corners as an array of (x, y, z): front face first, upper left corner first, clockwise."""
     # Signs of the corners along length, width and height.
     signs = [(1, 1, 1), (1, -1, 1), (1, -1, -1), (1, 1, -1), (-1, 1, 1), (-1, -1, 1), (-1, -1, -1), (-1, 1, -1)]
-    w, l, h = (size_wlh[i] for i in range(3))
-    m = rotation_matrix(q)
-    return F.array(*[shift(rotate(m, F.array(l * (sx / 2), w * (sy / 2), h * (sz / 2))), center) for sx, sy, sz in signs])
+    half = F.array(*[F.array(F.lit(sx / 2), F.lit(sy / 2), F.lit(sz / 2)) for sx, sy, sz in signs])
+    return let(rotation_matrix(q), lambda m: let(size_wlh, lambda s: F.transform(half, lambda k: shift(rotate(m, F.array(s[1] * k[0], s[0] * k[1], s[2] * k[2])), center))))
 
 
 def pixel(p: Column, intrinsic: Column) -> Column:
     """(u, v, depth) of a camera-frame point; u and v are null at depth 0."""
-    u, v = (intrinsic[3 * r] * p[0] + intrinsic[3 * r + 1] * p[1] + intrinsic[3 * r + 2] * p[2] for r in range(2))
-    return F.array(F.try_divide(u, p[2]), F.try_divide(v, p[2]), p[2])
+    return let(p, lambda p: let(intrinsic, lambda k: F.array(*[F.try_divide(k[3 * r] * p[0] + k[3 * r + 1] * p[1] + k[3 * r + 2] * p[2], p[2]) for r in range(2)], p[2])))
 
 
 def iou(a: list[Column], b: list[Column]) -> Column:
@@ -115,5 +124,5 @@ def in_rectangle(x: Column, y: Column, low_x: float, high_x: float, low_y: float
 
 
 def in_rotated_box(p: Column, center: Column, size_wlh: Column, q: Column, slack: float = 1e-6) -> Column:
-    local = rotate_back(rotation_matrix(q), shift(p, center, -1))
-    return (F.abs(local[0]) <= size_wlh[1] / 2 + slack) & (F.abs(local[1]) <= size_wlh[0] / 2 + slack) & (F.abs(local[2]) <= size_wlh[2] / 2 + slack)
+    inside = lambda v: (F.abs(v[0]) <= size_wlh[1] / 2 + slack) & (F.abs(v[1]) <= size_wlh[0] / 2 + slack) & (F.abs(v[2]) <= size_wlh[2] / 2 + slack)
+    return let(rotate_back(rotation_matrix(q), shift(p, center, -1)), inside)
