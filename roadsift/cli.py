@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .plans import catalogue
+from .session import ship
 
 
 def session(name: str = "roadsift") -> SparkSession:
@@ -33,7 +34,9 @@ def main(args: list[str] | None = None) -> int:
     if a.query not in found:
         print(f"unknown query {a.query}", file=sys.stderr)
         return 2
-    df = found[a.query](session(), a.data)
+    spark = session()
+    ship(spark)
+    df = found[a.query](spark, a.data)
     if a.command == "explain":
         df.explain("formatted")
     else:
