@@ -109,3 +109,63 @@ def relevant_objects(boxes: DataFrame, vru: Sequence[str], vehicles: Sequence[st
     from .aggregates import first_by
 
     return first_by(kept, ["sample_token", "ann_token"], [F.col("__area").desc(), F.col("cam").asc()]).drop("__area", "__full")
+
+
+VRU_CLASSES = {"vehicle.bicycle": "bicycle", "vehicle.motorcycle": "motorcycle"}
+
+
+def load_boxes(annotations: DataFrame, egos: DataFrame, times: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
+    """Road-user boxes in the ego frame: distance, x, y, speed along the instance's track, sorted attribute names.
+
+    annotations: with category (``annotated``); egos: (sample_token, ego_q, ego_t); times: (sample_token, timestamp)."""
+    from ..functions.geometry import yaw
+    from .joins import adjacent_speed
+
+    group = F.when(F.col("category").startswith("human.pedestrian."), F.lit("pedestrian")).otherwise(F.create_map(*[F.lit(x) for kv in VRU_CLASSES.items() for x in kv])[F.col("category")])
+    met = annotations.withColumn("vru_group", group).filter("vru_group is not null").join(times, "sample_token").withColumns({"gx": F.col("translation")[0], "gy": F.col("translation")[1]})
+    met = met.withColumn("speed_mps", adjacent_speed(met, "instance_token", "timestamp", "gx", "gy")).join(egos, "sample_token")
+    dx, dy, a = F.col("gx") - F.col("ego_t")[0], F.col("gy") - F.col("ego_t")[1], yaw(F.col("ego_q"))
+    met = met.withColumns({"dist_m": F.sqrt(dx * dx + dy * dy), "x": F.cos(a) * dx + F.sin(a) * dy, "y": F.cos(a) * dy - F.sin(a) * dx})
+    if attributes is None:
+        return met.withColumn("attributes", F.array().cast("array<string>"))
+    names = met.select(F.col("token").alias("ann"), F.explode("attribute_tokens").alias("attribute_token")).join(attributes.select(F.col("token").alias("attribute_token"), "name"), "attribute_token").groupBy("ann").agg(F.array_sort(F.collect_list("name")).alias("attributes"))
+    return met.join(names.withColumnRenamed("ann", "token"), "token", "left").withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
+
+
+def rhcio_labels(boxes: DataFrame, frames: DataFrame, v_split: str = "V", alpha: float = 0.10, min_pts: int = 1, v_min: float = 0.5, x_max: float = 20.0, y_abs: float = 4.0, far: float = 30.0, few: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Frame and instance tables of the surprisal definition, fitted on V.
+
+    boxes: ``load_boxes``; frames: sample_token, scene_token, split, scene_desc. Classes by
+    distinct instance, cells and behaviours as shares; thresholds are 'higher' quantiles over V
+    frames, labels strictly above; what V has never seen only raises ``unknown``."""
+    night, rain = has_keyword(F.col("scene_desc"), ["night"]), has_keyword(F.col("scene_desc"), ["rain"])
+    f = frames.withColumns({"c_night": night, "c_rain": rain, "context": F.format_string("night=%d,rain=%d", night.cast("int"), rain.cast("int"))})
+    seen = boxes.filter(F.col("num_lidar_pts") >= min_pts).join(f.select("sample_token", "split", "context"), "sample_token")
+    v, v_frames = seen.filter(F.col("split") == v_split), f.filter(F.col("split") == v_split)
+    total = v.select("category", "instance_token").distinct().agg(F.count(F.lit(1)).alias("__n"))
+    classes = v.groupBy("category").agg(F.count_distinct("instance_token").alias("n")).crossJoin(F.broadcast(total)).select("category", (F.col("n") / F.col("__n")).alias("class_p"))
+    celled = with_cells(seen, class_edges(v, "category", ["dist_m", "num_lidar_pts"]), "category", "dist_m", "num_lidar_pts")
+    cells = frame_frequency(celled.filter(F.col("split") == v_split), "sample_token", "cell", frames=v_frames).select("cell", F.col("freq").alias("cell_p"))
+    event = lambda d: d.withColumn("event", F.concat_ws("|", "context", "category", "attribute"))
+    acts = event(seen.select("sample_token", "instance_token", "context", "split", "category", F.explode("attributes").alias("attribute")))
+    shown = acts.filter(F.col("split") == v_split).groupBy("context", "event").agg(F.count_distinct("instance_token").alias("n"))
+    behaviours = shown.join(v.groupBy("context").agg(F.count_distinct("instance_token").alias("nc")), "context").select("event", (F.col("n") / F.col("nc")).alias("event_p"))
+    acted = acts.join(behaviours, "event", "left").groupBy("sample_token", "instance_token").agg(F.max(F.when(F.col("event_p").isNotNull(), surprisal(F.col("event_p")))).alias("u3"), F.bool_or(F.col("event_p").isNull()).alias("odd"))
+    known = lambda p: F.when(F.col(p).isNotNull(), surprisal(F.col(p)))
+    each = celled.join(classes, "category", "left").join(cells, "cell", "left").groupBy("sample_token", "instance_token").agg(
+        F.max(known("class_p")).alias("u1"), F.max(known("cell_p")).alias("u2"), F.bool_or(F.col("class_p").isNull() | F.col("cell_p").isNull()).alias("new"), F.count(F.lit(1)).alias("n"),
+        F.bool_or(conflict(F.col("speed_mps"), F.col("x"), F.col("y"), v_min, x_max, y_abs)).alias("moves"), F.bool_or(hard(F.col("dist_m"), F.col("num_lidar_pts"), far, few)).alias("hard"), F.first("category").alias("category"), F.first("vru_group").alias("vru_group"),
+    ).join(acted, ["sample_token", "instance_token"], "left")
+    per = each.groupBy("sample_token").agg(*[F.max(u).alias(u) for u in ("u1", "u2", "u3")], F.bool_or(F.col("new") | F.coalesce("odd", F.lit(False))).alias("unknown"), F.bool_or("moves").alias("i_conflict"), F.bool_or("hard").alias("h_hard"), F.sum("n").alias("n_vru_visible"))
+    base = f.join(per, "sample_token", "left").na.fill(0, ["u1", "u2", "u3", "n_vru_visible"]).na.fill(False, ["unknown", "i_conflict", "h_hard"])
+    ref = base.filter(F.col("split") == v_split).withColumn("g", F.lit(0))
+    cuts = quantile_higher_ranked(ref, ["g"], "u1", 1 - alpha, "t1").join(quantile_higher_ranked(ref, ["g"], "u2", 1 - alpha, "t2"), "g").join(quantile_higher_ranked(ref, ["g"], "u3", 1 - alpha, "t3"), "g").drop("g")
+    marked = each.crossJoin(F.broadcast(cuts)).withColumns({f"r{k}": F.coalesce(F.col(f"u{k}") > F.col(f"t{k}"), F.lit(False)) for k in (1, 2, 3)})
+    targets = marked.filter("r2").groupBy("sample_token").agg(F.array_join(F.array_sort(F.collect_set("instance_token")), "|").alias("target_instances"))
+    frame = base.crossJoin(F.broadcast(cuts)).join(targets, "sample_token", "left").select(
+        "sample_token", "scene_token", "split", (F.col("u1") > F.col("t1")).alias("r1_class"), (F.col("u2") > F.col("t2")).alias("r2_combo"), (F.col("u3") > F.col("t3")).alias("r3_behavior"), "i_conflict", "h_hard", "c_night", "c_rain", "unknown",
+        (F.col("u2") > F.col("t2")).alias("is_target"), F.coalesce("target_instances", F.lit("")).alias("target_instances"), F.col("n_vru_visible").cast("int").alias("n_vru_visible"),
+    )
+    axes = F.array_compact(F.array(F.when(F.bool_or("moves"), F.lit("i_conflict")), *[F.when(F.bool_or(f"r{k}"), F.lit(n)) for k, n in ((1, "r1_class"), (2, "r2_combo"), (3, "r3_behavior"))]))
+    instance = marked.groupBy("instance_token").agg(F.max("category").alias("category"), F.max("vru_group").alias("vru_group"), F.array_join(axes, "|").alias("axes"), F.count_distinct("sample_token").cast("int").alias("n_frames_visible"), F.array_join(F.array_sort(F.collect_set("sample_token")), "|").alias("frames"))
+    return frame, instance
