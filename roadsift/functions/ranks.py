@@ -53,13 +53,14 @@ def robust_minmax(x: Column, low: Column, high: Column, mask: Column | None = No
 SINGLE_WINDOW_ROWS = 2_000_000
 
 
-def with_pct_rank(df: DataFrame, value: str, out: str, mask: str | None = None, constant_is_zero: bool = True, single_rows: int = SINGLE_WINDOW_ROWS, ranges: int = 256) -> DataFrame:
+def with_pct_rank(df: DataFrame, value: str, out: str, mask: str | None = None, constant_is_zero: bool = True, single_rows: int = SINGLE_WINDOW_ROWS, ranges: int = 256, rows: int | None = None) -> DataFrame:
     """``pct_rank`` over the whole table, also where one task cannot sort it.
 
     Large tables: distinct values are counted (map-side combined), dealt into value ranges
     at approximate quantiles (``ranges`` numbers on the driver), ranked inside their range
-    and shifted by the totals of the ranges before (at most ``ranges`` rows, broadcast)."""
-    if df.count() <= single_rows:
+    and shifted by the totals of the ranges before (at most ``ranges`` rows, broadcast).
+    ``rows`` is an upper bound of the table's size where the caller has one."""
+    if (df.count() if rows is None else rows) <= single_rows:
         return df.withColumn(out, pct_rank(F.col(value), F.col(mask) if mask else None, constant_is_zero=constant_is_zero))
     x = masked(F.col(value).cast("double"), F.col(mask) if mask else None)
     x = F.when(~F.isnan(x), x)

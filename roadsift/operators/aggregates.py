@@ -15,6 +15,38 @@ def quantile_linear(x: str | Column, q: float) -> Column:
     return F.percentile(x, F.lit(q))
 
 
+#: Rows up to which exact percentiles come from one aggregate, which holds a count for every distinct value.
+SINGLE_PERCENTILE_ROWS = 5_000_000
+
+
+def exact_percentiles(df: DataFrame, column: str, qs: Sequence[float], single_rows: int = SINGLE_PERCENTILE_ROWS, margin: float = 0.001) -> list[float | None]:
+    """Exact linear percentiles of a whole column, of any size.
+
+    Large columns: approximate quantiles a little below and above bracket each percentile,
+    one pass counts what lies below the bracket and a second takes the exact order
+    statistics of the bracket alone (about 2 * margin of the rows)."""
+    x = F.col(column).cast("double")
+    rows = df.select(x.alias("x")).filter(x.isNotNull() & ~F.isnan(x))
+    n = rows.count()
+    if not n:
+        return [None for _ in qs]
+    if n <= single_rows:
+        return list(rows.agg(F.percentile("x", F.array(*[F.lit(float(q)) for q in qs]))).first()[0])
+    around = [max(0.0, q - margin) for q in qs] + [min(1.0, q + margin) for q in qs]
+    ends = rows.agg(F.percentile_approx("x", F.array(*[F.lit(a) for a in around]), F.lit(int(10 / margin))), F.min("x"), F.max("x")).first()
+    low = [ends[1] if a == 0 else v for a, v in zip(around[: len(qs)], ends[0], strict=False)]
+    high = [ends[2] if a == 1 else v for a, v in zip(around[len(qs) :], ends[0][len(qs) :], strict=True)]
+    counts = rows.agg(*[F.count_if(F.col("x") < v) for v in low], *[F.count_if(F.col("x").between(a, b)) for a, b in zip(low, high, strict=True)]).first()
+    out: list[float | None] = []
+    for k, q in enumerate(qs):
+        place, below, inside = (n - 1) * q, counts[k], counts[len(qs) + k]
+        if not below <= place <= below + inside - 1:
+            return list(rows.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in qs]))).first()[0])
+        share = (place - below) / (inside - 1) if inside > 1 else 0.0
+        out.append(rows.filter(F.col("x").between(low[k], high[k])).agg(F.percentile("x", F.lit(share))).first()[0])
+    return out
+
+
 def quantile_higher(x: Column, q: float) -> Column:
     """The element at ceil((n - 1) q) of the sorted values; an aggregate for groups of bounded size."""
     values = F.sort_array(F.collect_list(x))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import bround6, pct_rank, weighted
+from ..functions.ranks import bround6, pct_rank, weighted, with_pct_rank
 from ..functions.scalars import arg_max_reason, bin_right, cell_key, relative_change, shape_score, surprisal, tags_from
 from ..schemas import CAMERAS
-from .aggregates import detections_per_image, frame_frequency, quantile_higher_ranked
+from .aggregates import detections_per_image, exact_percentiles, frame_frequency, quantile_higher_ranked
 from .joins import previous_value
 
 # Weights of the object score and of the frame score, and group values of road users.
@@ -62,8 +62,10 @@ def frame_scores(df: DataFrame, weights: tuple[float, float, float], cameras: Se
 
 def lidar_scores(df: DataFrame, weights: tuple[float, float, float], keep: str = "keep") -> DataFrame:
     """Ranks of rarity, novelty and uncertainty on kept frames and their weighted sum, six decimals."""
-    ranks = {f"r_{c}": pct_rank(F.col(c), F.col(keep)) if c in df.columns else F.lit(0.0) for c in ("rar", "nov", "unc")}
-    scored = df.withColumns(ranks)
+    ranks = [f"r_{c}" for c in ("rar", "nov", "unc")]
+    rows, scored = df.count(), df
+    for c in ("rar", "nov", "unc"):
+        scored = with_pct_rank(scored, c, f"r_{c}", keep, rows=rows) if c in df.columns else scored.withColumn(f"r_{c}", F.lit(0.0))
     return scored.withColumn("s", bround6(F.when(F.col(keep), weighted([(w, F.col(c)) for w, c in zip(weights, ranks, strict=True)])).otherwise(F.lit(0.0))))
 
 
@@ -151,11 +153,12 @@ def score_objects(objects: DataFrame, ref: Reference, frame_unc: DataFrame | Non
         "score_vru": vru, "score_unc": F.coalesce(F.col("__unc"), F.lit(0.0)), "__u": F.when(is_vru, F.least(u, F.lit(1e6))),
     })
     unseen = is_vru & F.col("cell_p").isNull()
-    met = met.withColumn("score_slice", F.when(unseen, F.lit(1.0)).otherwise(pct_rank(F.col("__u"), is_vru)))
+    met = with_pct_rank(met.withColumn("__vru", is_vru), "__u", "__slice", "__vru", rows=objects.count())
+    met = met.withColumn("score_slice", F.when(unseen, F.lit(1.0)).otherwise(F.col("__slice")))
     parts = [(name, F.col(f"score_{name}")) for name in OBJECT_WEIGHTS]
     total = F.least(F.lit(1.0), F.greatest(F.lit(0.0), weighted([(w, F.col(f"score_{n}")) for n, w in OBJECT_WEIGHTS.items()])))
     drop = [c for s in sides for c in (f"{s}_median", f"{s}_std")]
-    return met.withColumns({"s_obj": total, "reasons": arg_max_reason(parts)}).drop("__unc", "__u", *drop)
+    return met.withColumns({"s_obj": total, "reasons": arg_max_reason(parts)}).drop("__unc", "__u", "__vru", "__slice", *drop)
 
 
 def fuse_semantic(objects: DataFrame, semantic: DataFrame, weight: float = 0.3) -> DataFrame:
@@ -193,13 +196,13 @@ def frame_tags(objects: DataFrame, frames: DataFrame, ref: Reference, kind: str
     tags = tags_from([("R1", on["R1"]), ("R2", on["R2"]), ("R3", on["moves"] & hard_context), ("H", on["H"]), ("C", hard_context), ("I", on["I"])])
     evidence = F.to_json(F.struct(F.when(on["R1"], F.col("e1.object_id")).alias("R1"), F.when(on["R2"], F.col("e2.object_id")).alias("R2")))
     out = base.withColumns({"raw": raw, "pred_tags": F.array_join(tags, "|"), "evidence": evidence})
-    return out.withColumn("s_frame", pct_rank(F.col("raw"), F.col("gate") == "valid")).select("sample_token", "gate", F.coalesce("s_objects", F.lit(0.0)).alias("s_objects"), F.coalesce("crowd", F.lit(0)).alias("crowd"), "s_frame", "pred_tags", "evidence")
+    out = with_pct_rank(out.withColumn("__valid", F.col("gate") == "valid"), "raw", "s_frame", "__valid", rows=frames.count())
+    return out.select("sample_token", "gate", F.coalesce("s_objects", F.lit(0.0)).alias("s_objects"), F.coalesce("crowd", F.lit(0)).alias("crowd"), "s_frame", "pred_tags", "evidence")
 
 
 def overview(frames: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Pool overview of scored frames (S_hybrid, r_nov, r_unc, r_qry, q_ok, det_n_conf_best; any_ok, dark, blurry of its images)."""
-    w = Window.partitionBy()
-    high = F.percentile(F.when(F.col("q_ok"), F.col("S_hybrid")), F.lit(0.9)).over(w)
+    high = F.lit(exact_percentiles(frames.filter("q_ok"), "S_hybrid", [0.9])[0])
     unlabelable = ~F.col("q_ok") & ~F.col("any_ok")
     flagged = frames.withColumns({
         "too_safe": F.col("q_ok") & (F.col("r_nov") <= 0.3) & (F.col("r_qry") <= 0.3),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import bround6, robust_minmax
 from . import kernels
+from .aggregates import exact_percentiles
 
 
 def budget_rows(df: DataFrame, fraction: float, floor: bool = True) -> Column:
@@ -81,13 +82,13 @@ def random_permutation(df: DataFrame, token: str, k: int, seed: int) -> list[str
 
 def minmax_score(df: DataFrame, parts: Sequence[tuple[str, float]], keep: str, out: str = "s", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Weighted sum of positions between the 1st and 99th percentile of kept rows, clipped to [0, 1], six decimals."""
-    used = [(c, w) for c, w in parts if w > 0]
-    cuts = df.filter(keep).agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c, _ in used])
     total = F.lit(0.0)
-    for c, w in used:
-        total = total + F.lit(w) * F.coalesce(robust_minmax(F.col(c), F.col(f"__{c}")[0], F.col(f"__{c}")[1], F.col(keep)), F.lit(0.0))
-    scored = df.crossJoin(F.broadcast(cuts)).withColumn(out, bround6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))))
-    return scored.drop(*[f"__{c}" for c, _ in used])
+    for c, w in parts:
+        if w > 0:
+            cuts = exact_percentiles(df.filter(keep), c, [low, high])
+            if None not in cuts:
+                total = total + F.lit(w) * F.coalesce(robust_minmax(F.col(c), F.lit(cuts[0]), F.lit(cuts[1]), F.col(keep)), F.lit(0.0))
+    return df.withColumn(out, bround6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))))
 
 
 def _pool(df: DataFrame, columns: Sequence[str], order: str) -> pd.DataFrame:

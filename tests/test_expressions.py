@@ -33,6 +33,17 @@ def test_global_rank_by_ranges_equals_one_window(spark):
     assert values(a, "r") == pytest.approx(values(b, "r"))
 
 
+def test_exact_percentiles_by_brackets(spark):
+    from roadsift.operators.aggregates import exact_percentiles
+
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(0, 1, 3000), np.round(rng.normal(0, 1, 3000)), np.ones(50)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+        qs = [0.0, 0.01, 0.5, 0.9, 1.0]
+        assert exact_percentiles(df, "x", qs, single_rows=10, margin=0.02) == pytest.approx(list(np.percentile(x, [100 * q for q in qs])))
+    assert exact_percentiles(df.limit(0), "x", [0.5]) == [None]
+
+
 def test_scalars(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("v")).first()["v"]
