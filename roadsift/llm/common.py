@@ -12,6 +12,7 @@ Row conventions used by every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,7 @@ U64 = np.uint64
 GOLDEN, MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 _scratch: dict[str, str] = {}
+_recorders: list[list[Stored]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -61,12 +63,25 @@ class Stored:
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.option("compression", "zstd").parquet(self.path)
+        for tables in _recorders:
+            tables.append(self)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[Stored]]:
+    """Lists the tables that are stored inside the block, so that they can be dropped when what was made of them is written."""
+    tables: list[Stored] = []
+    _recorders.append(tables)
+    try:
+        yield tables
+    finally:
+        _recorders.remove(tables)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 

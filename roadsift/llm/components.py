@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, store
+from .common import Stored, grows, store
 
 
 def _forest(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = rest.df.select("a", "b").union(rest.df.select("b", "a"))
         label = store(both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(flip)).alias("low")).select(F.col("a").alias("node"), F.least(F.col("low"), F.col("a").bitwiseXOR(flip)).bitwiseXOR(flip).alias("label")), "labels")
         maps.append(label)
-        onto = rest.df.join(label.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(label.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        onto = rest.df.join(grows(label.select(F.col("node").alias("a"), F.col("label").alias("x"))), "a").join(grows(label.select(F.col("node").alias("b"), F.col("label").alias("y"))), "b")
         smaller = Stored(onto.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         rest.drop()
         rest, turn = smaller, turn + 1
@@ -69,5 +69,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
     found = maps[0]
     for label in maps[1:]:
         onward = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        found = found.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+        found = found.join(grows(onward), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return nodes.join(grows(found), "node", "left").select("node", F.coalesce("label", "node").alias("component"))

@@ -12,12 +12,15 @@ similarity is at least 0.75; groups are connected components of links.
    different sets shared a digest, the second digest would show it and everything
    would run again with another seed.)
 3. Candidates.  A bucket (band key) with several classes never emits all pairs: its
-   members are compared with its leader.  Then leaders leave the bucket, and buckets
-   whose members lie in different components get further rounds with 4, 16, 64, ...
-   leaders each until every bucket is empty or lies in one component.  So each pair of
-   a bucket is either compared or already known to be in one group: no link between
-   groups is lost, and a group of thousands of similar texts costs thousands of
-   comparisons, not millions.
+   members are compared with its leader.  Buckets whose other members lie in different
+   components then compare odd sketches (256 bytes: the parity of the set's elements per
+   hash cell), block against block inside a task.  The cells in which two sketches differ
+   are at most the elements in which the sets differ, so a pair that differs in more than
+   a seventh of its summed sizes is surely no link, and nearly all such pairs go here
+   without their texts being read.  Of the others every class offers its 1, then 8, 64,
+   ... most similar partners of other components until it has none left, so a group whose
+   members are all similar costs about one verified pair a member and bucket, not all
+   pairs, and no link between groups is lost.
 4. Verification compares full shingle sets made from the whole texts.
 5. Union-find merges links (``components.py``).
 
@@ -42,12 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, U64, hash_words, ids_field, mix64, others, quoted, slices, store, utf8, window_hashes
+from .common import GOLDEN, U64, grows, hash_words, ids_field, mix64, others, quoted, slices, store, utf8, window_hashes
 from .components import connected_components
 
 RESULT = ("n_shingles", "component_id", "kept")
 WORDS, SIMILARITY = 5, (75, 100)
 SLOTS, ROWS = 128, 4
+#: Classes in a block of sketches, and bits of an odd sketch.
+BLOCK, CELLS = 512, 2048
 UNSET = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -181,19 +186,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         seed += 1
     links = _links(plain, rows, classes, seed)
     groups = store(connected_components(links), "components")
-    named = groups.join(classes.select(F.col("key").alias("node"), "first"), "node")
+    named = groups.join(grows(classes.select(F.col("key").alias("node"), "first")), "node")
     ids = store(named.groupBy("component").agg(F.min("first").alias("id")), "component-ids")
-    labels = store(groups.join(ids, "component").select(F.col("node").alias("key"), "id"), "component-labels")
+    labels = store(groups.join(grows(ids), "component").select(F.col("node").alias("key"), "id"), "component-labels")
     # only classes that are linked or have several rows need their table; all others stand for themselves
     names = store(
-        classes.join(labels, "key", "left").filter("n > 1 or id is not null").select("key", F.coalesce("id", "first").alias("id")),
+        classes.join(grows(labels), "key", "left").filter("n > 1 or id is not null").select("key", F.coalesce("id", "first").alias("id")),
         "group-names",
     )
-    found = rows.select("doc_id", "n_shingles", "key").join(names, "key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
+    found = rows.select("doc_id", "n_shingles", "key").join(grows(names), "key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
     found = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     if carry:
         back = docs.select(quoted(doc_id).alias("doc_id"), *[quoted(c) for c in others(docs.select(*[quoted(c) for c in carry]), (*RESULT, "doc_id"))])
-        found = found.join(back, "doc_id")
+        found = found.join(grows(back), "doc_id")
     return found.withColumnRenamed("doc_id", doc_id)
 
 
@@ -201,55 +206,102 @@ def _links(plain: DataFrame, rows: DataFrame, classes: DataFrame, seed: int) ->
     """Verified links (a, b) between classes: enough of them to connect every group."""
     bands = rows.filter("key is not null").select(F.explode("bands").alias("bucket"), "key")
     crowded = store(bands.groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("high")).filter("lead <> high").select("bucket", "lead"), "buckets")
-    members = store(bands.join(crowded, "bucket").filter("key <> lead").distinct(), "members")
+    members = store(bands.join(grows(crowded), "bucket").filter("key <> lead").distinct(), "members")
     pairs = members.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
-    involved = store(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key").select("key", F.col("first").alias("doc_id")), "involved")
+    involved = store(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(grows(classes), "key").select("key", F.col("first").alias("doc_id")), "involved")
     texts = store(_texts(plain, involved, seed), "texts")
     if texts.count() > involved.count():  # some rows repeat both doc_id and text
-        texts = store(texts.groupBy("key").agg(F.first("body").alias("body")), "texts")
+        texts = store(texts.groupBy("key").agg(F.first("body").alias("body"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "texts")
     links = store(_verified(pairs, texts), "links")
-    tried = store(pairs, "tried")
-    members, fan = members.select("bucket", "key"), 4
+    tried, partners = store(pairs, "tried"), 1
     while True:
         groups = connected_components(links)
-        placed = store(members.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component")), "placed")
-        split = store(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket"), "split")
+        placed = store(members.join(grows(groups.select(F.col("node").alias("key"), "component")), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component")), "placed")
+        split = store(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "split")
         if split.isEmpty():
             return links
-        active = store(placed.join(split, "bucket"), "active")
-        part = F.pmod(F.xxhash64("key", F.lit(fan)), F.lit(fan))
-        leaders = store(active.groupBy("bucket", part.alias("part")).agg(F.min(F.struct("key", "component")).alias("lead")).select("bucket", F.col("lead.key").alias("lead"), F.col("lead.component").alias("lead_component")), "leaders")
-        met = active.join(leaders, "bucket").filter("component <> lead_component")
-        fresh = met.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-        fresh = store(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
+        active = placed.join(grows(split), "bucket").join(grows(texts.select("key", F.col("n").alias("size"), "sketch")), "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        dealt = active.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("own", "o"), "y": F.greatest("own", "o")})
+        dealt = dealt.select("bucket", "x", "y", "own", "key", "component", "size", "sketch").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+        near = store(dealt.mapInArrow(partial(_compare, partners), "a long, b long, more boolean"), "near")
+        fresh = store(near.select("a", "b").distinct().join(grows(tried), ["a", "b"], "left_anti"), "fresh")
         links = store(links.union(_verified(fresh, texts)), "links")
-        tried = store(tried.union(fresh), "tried")
-        members = active.join(leaders.select("bucket", F.col("lead").alias("key")), ["bucket", "key"], "left_anti").select("bucket", "key")
-        fan *= 4
+        if near.filter("more").isEmpty():
+            return links
+        tried, partners = store(tried.union(fresh), "tried"), partners * 8
+
+
+def _compare(partners: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within each pair of blocks of a bucket: for every class its ``partners`` most similar classes of other components that may be linked with it, and whether there are more."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def pairs() -> pa.RecordBatch:
+        t = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        left, right = np.flatnonzero(t["own"] == t["x"]), np.flatnonzero(t["own"] == t["y"])
+        sketches, size, component, key = t["sketch"][right], t["size"], t["component"], t["key"]
+        links: dict[tuple[int, int], bool] = {}
+        for i in left:
+            apart = np.bitwise_count(sketches ^ t["sketch"][i]).sum(axis=1, dtype=np.int64)
+            both = size[right] + size[i]
+            found = np.flatnonzero((7 * apart <= both) & (component[right] != component[i]))
+            rest = len(found) > partners
+            if rest:
+                found = found[np.argsort(apart[found] / both[found], kind="stable")[:partners]]
+            for j in right[found]:
+                pair = (int(key[i]), int(key[j])) if key[i] < key[j] else (int(key[j]), int(key[i]))
+                links[pair] = links.get(pair, False) or rest
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(links.values()), pa.bool_())], names=["a", "b", "more"])
+
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "x", "y", "own", "key", "component", "size")}
+        t["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, CELLS // 64)
+        ends = np.flatnonzero((np.diff(t["bucket"]) != 0) | (np.diff(t["x"]) != 0) | (np.diff(t["y"]) != 0)) + 1
+        for lo, hi in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+            who = (t["bucket"][lo], t["x"][lo], t["y"][lo])
+            if held and who != current:
+                yield pairs()
+                held.clear()
+            current = who
+            held.append({c: v[lo:hi] for c, v in t.items()})
+    if held:
+        yield pairs()
 
 
 def _texts(plain: DataFrame, involved: DataFrame, seed: int) -> DataFrame:
     """key and whole text of one row of each involved class; rows that merely share the doc_id are dropped by their digest."""
-    met = plain.select("doc_id", utf8("text").alias("body")).alias("d").join(involved.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")))
-    return met.select("i.key", "d.body").mapInArrow(partial(_of_class, seed), "key long, body binary")
+    met = plain.select("doc_id", utf8("text").alias("body")).alias("d").join(grows(involved.alias("i")), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")))
+    return met.select("i.key", "d.body").mapInArrow(partial(_of_class, seed), "key long, body binary, n long, sketch binary")
 
 
 def _of_class(seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "body", 2000, 16 << 20):
-        own = [k for k, (key, body) in enumerate(zip(batch.column("key").to_pylist(), batch.column("body").to_pylist(), strict=True)) if _digest(body, seed) == key]
+    for batch in slices(batches, "body", 1000, 8 << 20):
+        sets = [shingles(body) for body in batch.column("body").to_pylist()]
+        own = [k for k, (key, s) in enumerate(zip(batch.column("key").to_pylist(), sets, strict=True)) if _digest(s, seed) == key]
         if own:
-            yield batch.take(pa.array(own))
+            rows = batch.take(pa.array(own))
+            sketch = pa.array([odd_sketch(sets[k]) for k in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("body"), pa.array([len(sets[k]) for k in own], pa.int64()), sketch], names=["key", "body", "n", "sketch"])
+
+
+def odd_sketch(elements: np.ndarray) -> bytes:
+    """One bit a cell: whether an odd number of elements fall into it."""
+    cells = (mix64(elements ^ GOLDEN) & U64(CELLS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=CELLS) & 1).tobytes()
 
 
-def _digest(body: bytes, seed: int) -> int:
-    high = xxhash.xxh3_128_intdigest(shingles(body).tobytes(), seed) >> 64
+def _digest(found: np.ndarray, seed: int) -> int:
+    high = xxhash.xxh3_128_intdigest(found.tobytes(), seed) >> 64
     return high - (1 << 64) if high >= 1 << 63 else high
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("key").alias("a"), F.col("body").alias("ta"))
     right = texts.select(F.col("key").alias("b"), F.col("body").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct()
+    return pairs.join(grows(left), "a").join(grows(right), "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -263,4 +315,4 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     # of rows that share a doc_id and lie in one group the first stays
     found = near_duplicates(numbered.select("__row", quoted(id_at).alias("doc_id"), quoted(text_at).alias("text")).withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))))
     kept = found.filter("kept").select(F.col("doc_id.row").alias("__row"))
-    return numbered.join(kept, "__row").select(*[quoted(f"__c{k}").alias(c) for k, c in enumerate(columns)])
+    return numbered.join(grows(kept), "__row").select(*[quoted(f"__c{k}").alias(c) for k, c in enumerate(columns)])
