@@ -23,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, others, quoted, store, utf8
+from .common import Stored, grows, others, quoted, store, utf8
 
 RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 #: Width in bytes of the radix digit of each round; the last one repeats.
-DIGITS = (32, 256, 2048, 16384, 131072, 1 << 20)
+DIGITS = (512, 4096, 32768, 262144, 1 << 21)
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None, digits: tuple[int, ...] = DIGITS) -> DataFrame:
@@ -55,7 +55,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         digit = [F.col("__group"), F.substring("__rest", 1, width).alias("__digit"), (F.length("__rest") > width).alias("__more")]
         cells = Stored(_cells(rows.select("__id", *digit)), f"radix-cells-{depth}")
         keyed = rows.select(*fixed, *digit, F.when(F.length("__rest") > width, F.expr(f"substring(__rest, {width + 1}, length(__rest))")).alias("__tail"))
-        met = keyed.alias("k").join(cells.df.alias("c"), (F.col("k.__group") == F.col("c.__group")) & (F.col("k.__digit") == F.col("c.__digit")) & (F.col("k.__more") == F.col("c.__more")), "left")
+        met = keyed.alias("k").join(grows(cells.df.alias("c")), (F.col("k.__group") == F.col("c.__group")) & (F.col("k.__digit") == F.col("c.__digit")) & (F.col("k.__more") == F.col("c.__more")), "left")
         goes_on = F.col("c.n").isNotNull() & F.col("k.__more")
         state = store(
             met.select(
@@ -81,7 +81,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     wins = alone | F.col("__id").eqNullSafe(F.col("__keep"))
     if ties:
         first = store(done.filter("__tied").filter(F.col("__id").eqNullSafe(F.col("__keep"))).groupBy("__round", "__group").agg(F.min("__row").alias("__first")), "radix-ties")
-        done = done.join(first, ["__round", "__group"], "left")
+        done = done.join(grows(first), ["__round", "__group"], "left")
         wins = wins & (F.col("__first").isNull() | (F.col("__first") == F.col("__row")))
     return done.select(
         F.col("__id").alias(doc_id),
@@ -107,7 +107,7 @@ def _cells(keys: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each class of equal texts, its columns unchanged."""
     columns = docs.columns
-    clash = {c: f"__in_{c}" for c in columns if c in RESULT}
+    clash = {c: f"__in_{c}" for c in columns if c.lower() in RESULT}
     safe = docs.select(*[quoted(c).alias(clash.get(c, c)) for c in columns])
     marked = exact_duplicates(safe, text, doc_id)
     return marked.filter("kept").select(*[quoted(clash.get(c, c)).alias(c) for c in columns])
