@@ -159,7 +159,7 @@ def _divide(what: str, block: int):  # type: ignore[no-untyped-def]
 def take(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", chars: str | None = "n_chars", **options) -> DataFrame:  # type: ignore[no-untyped-def]
     """The mix itself: ``docs`` with each row as often as it is taken; a part taken is a row with that part of the text."""
     columns = docs.columns
-    clash = {c: f"__in_{c}" for c in columns if c in (*RESULT, *PLACES)}
+    clash = {c: f"__in_{c}" for c in columns if c.lower() in (*RESULT, *PLACES)}
     safe = docs.select(*[quoted(c).alias(clash.get(c, c)) for c in columns])
     taken = mix(safe, text, doc_id, source, carry=[clash.get(c, c) for c in columns if c != doc_id], **options)
     whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("passes").cast("int"))

@@ -3,6 +3,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import SparkSession
 
+from roadsift.session import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -11,4 +13,5 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session

@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from roadsift.llm import exact_dedup, html_extract, langid, licenses, line_dedup, mixing, near_dup, packing, quality, sharding
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size string, __row string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Kept string, Size string, __row string"
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud".split()
 
 
