@@ -78,6 +78,12 @@ def shared_targets(sizes: Sequence[int], weights: Sequence[float], most_epochs:
         full |= over
 
 
+def _draw(seed: int, *keys: Column) -> Column:
+    """A number below 2^60 from the seed and the keys, the same in any SQL engine."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def _order(name: str | None) -> tuple[bool, str]:
     return name is None, name or ""
 
@@ -96,7 +102,7 @@ def mix(
     carry = [c for c in (carry or []) if c in others(docs, (*RESULT, *PLACES, doc_id))]
     names = {c: f"__c{i}" for i, c in enumerate(carry)}
     size = F.coalesce(F.regexp_count(quoted(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(quoted(doc_id).alias("__id"), quoted(source).cast("string").alias("__source"), size.alias("size"), F.xxhash64(F.lit(seed), quoted(doc_id), quoted(source)).alias("__order"), *[quoted(c).alias(n) for c, n in names.items()])
+    rows = docs.select(quoted(doc_id).alias("__id"), quoted(source).cast("string").alias("__source"), size.alias("size"), _draw(seed, quoted(doc_id), quoted(source)).alias("__order"), *[quoted(c).alias(n) for c, n in names.items()])
     rows = store(rows.withColumn("__row", F.monotonically_increasing_id()), "sizes")
     facts = sorted(rows.groupBy("__source").agg(F.sum("size"), F.count(F.lit(1))).collect(), key=lambda r: _order(r[0]))
     cycle = list(weights)
@@ -108,7 +114,7 @@ def mix(
     schema = "name string, src int, source_size long, target double, quota long, n_shards int"
     known = spark.createDataFrame([(r[0], k, s, float(t), q, max(1, -(-r[2] // shard_docs))) for k, (r, s, t, q) in enumerate(zip(facts, sizes, targets, words, strict=True))], schema)
     known = F.broadcast(known) if len(facts) <= BROADCAST_SOURCES else known
-    placed = rows.join(known, rows["__source"].eqNullSafe(known["name"])).drop("name", "__source", "quota").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "__order"), F.col("n_shards")).cast("int")).drop("n_shards")
+    placed = rows.join(known, rows["__source"].eqNullSafe(known["name"])).drop("name", "__source", "quota").withColumn("shard", (_draw(seed + 1, F.col("__order")) % F.col("n_shards")).cast("int")).drop("n_shards")
     quotas = _quotas(placed, known, block, most_epochs)
     cell = Window.partitionBy("src", "shard").orderBy("__order", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = placed.withColumn("__end", F.sum("size").over(cell)).join(grows(quotas), ["src", "shard"])
@@ -118,7 +124,7 @@ def mix(
     met = met.withColumns({
         "passes": F.when(F.col("cell") > 0, F.expr("words div cell")).otherwise(zero),
         "__rest": F.when(F.col("cell") > 0, F.expr("words % cell")).otherwise(zero),
-        "__run": F.pmod(F.xxhash64(F.lit(seed + 2), "src", "shard"), blocks) * block,
+        "__run": _draw(seed + 2, F.col("src"), F.col("shard")) % blocks * block,
     })
 
     def inside(a: Column, b: Column) -> Column:

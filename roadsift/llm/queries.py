@@ -138,6 +138,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM facts LEFT JOIN lost ON facts.r = lost.r
 """
 
+def _draw_sql(seed: int, *keys: str) -> str:
+    return "('0x' || substr(md5('" + str(seed) + "'" + "".join(f" || '|' || coalesce(({k})::VARCHAR, '')" for k in keys) + "), 1, 15))::BIGINT"
+
+
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, {_draw_sql(17, "doc_id", "source")} AS ord FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS w, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM d GROUP BY source),
+g AS (SELECT *, [1, 2, 3][src % 3 + 1] AS wt, sum(w) OVER ()::BIGINT AS t FROM s),
+-- targets: sources are full in the order of cap / weight until the level of the others is below the next ratio
+q AS (
+  SELECT *, coalesce(sum(3 * w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS caps,
+         sum(wt) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS rest
+  FROM g WINDOW o AS (ORDER BY 3 * w / wt, src)),
+lv AS (SELECT (t - caps)::DOUBLE AS left_, rest, 3 * w / wt AS ratio FROM q WHERE 3 * w / wt >= (t - caps) / rest ORDER BY ratio LIMIT 1),
+tg AS (
+  SELECT g.*, CASE WHEN 3 * w / wt < left_ / rest THEN (3 * w)::DOUBLE ELSE left_ * wt / rest END AS target FROM g, lv),
+-- seats of 16 words by the highest quotients
+k AS (SELECT src, w, t, target, unnest(range(0, (target / 16)::BIGINT + 3)) AS k FROM tg),
+r AS (SELECT src, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, src) AS r, t FROM k),
+st AS (SELECT src, count(*) AS seats FROM r WHERE r <= t // 16 GROUP BY src),
+qt AS (
+  SELECT tg.*, greatest(1, (n + 999) // 1000) AS shards,
+         CASE WHEN least(coalesce(seats, 0), 3 * w // 16) > 0 THEN least(seats, 3 * w // 16) * 16 ELSE least(round_even(target, 0)::BIGINT, 3 * w) END AS quota
+  FROM tg LEFT JOIN st ON st.src = tg.src),
+p AS (
+  SELECT d.*, qt.src, w, target, quota, {_draw_sql(18, "ord")} % shards AS shard FROM d JOIN qt ON qt.source IS NOT DISTINCT FROM d.source),
+c AS (SELECT src, shard, sum(size)::BIGINT AS cell, max(quota) AS quota, CASE WHEN max(quota) >= 16 AND max(quota) % 16 = 0 THEN 16 ELSE 1 END AS unit FROM p GROUP BY 1, 2),
+ck AS (SELECT *, unnest(range(0, cell * 3 // unit + 3)) AS k FROM c),
+cr AS (SELECT src, shard, quota // unit AS seats, row_number() OVER (PARTITION BY src ORDER BY cell / (2 * k + 1) DESC, shard) AS r FROM ck),
+cs AS (SELECT src, shard, count(*) AS seats FROM cr WHERE r <= seats GROUP BY 1, 2),
+cw AS (
+  SELECT c.src, c.shard, cell, least(coalesce(seats, 0) * unit, 3 * cell)::BIGINT AS words,
+         {_draw_sql(19, "c.src", "c.shard")} % greatest(1, ceil(cell / 16)::BIGINT) * 16 AS run
+  FROM c LEFT JOIN cs ON cs.src = c.src AND cs.shard = c.shard),
+e AS (
+  SELECT p.*, cell, words, run, (sum(size) OVER (PARTITION BY p.src, p.shard ORDER BY ord, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
+  FROM p JOIN cw ON cw.src = p.src AND cw.shard = p.shard),
+x AS (SELECT *, stop - size AS start, CASE WHEN cell > 0 THEN words // cell ELSE 0 END AS passes, CASE WHEN cell > 0 THEN words % cell ELSE 0 END AS over FROM e)
+SELECT doc_id, size, w AS source_size, target,
+       (passes * size + greatest(0, least(run + over, cell, stop) - greatest(run, start)) + greatest(0, least(run + over - cell, stop) - start))::BIGINT AS taken
+FROM x
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -159,4 +204,4 @@ FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n.n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_sharding": OP5_SQL, "op6_quality_rules": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_sharding": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
