@@ -15,7 +15,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,9 +143,26 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+#: Look-up tables of this worker process: how to empty each, and which one is in use.
+_tables: dict[str, Callable[[], None]] = {"words": _words.clear}
+_in_use = [""]
+
+
+def claim(table: str) -> None:
+    """A worker that goes over to another operator frees the look-up tables of the one before."""
+    if _in_use[0] != table:
+        for name, empty in _tables.items():
+            if name != table:
+                empty()
+        _in_use[0] = table
+
+
+def register(table: str, empty: Callable[[], None]) -> None:
+    _tables[table] = empty
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
+    claim("words")
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

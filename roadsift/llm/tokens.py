@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from .common import claim, register
+
 VOCABULARY = "word_bpe_49k.json"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@\[-`{-~]*)")
 
@@ -69,10 +71,12 @@ class _Memo(dict):
 
 
 _loaded: dict[str, TextIds] = {}
+register("tokens", _loaded.clear)
 
 
 def text_ids(path: str) -> TextIds:
     """One table per Python worker, kept between its tasks."""
+    claim("tokens")
     if path not in _loaded:
         _loaded[path] = TextIds(path)
     return _loaded[path]
