@@ -62,3 +62,16 @@ def examples(ours: DataFrame, rival: DataFrame, struggle: DataFrame, most: int =
     own = ours.join(rival.select("sample_token"), "sample_token", "left_anti")
     index = struggle.filter("struggle").groupBy("sample_token").agg(F.count_distinct("instance_token").alias("n_struggle"))
     return own.join(index, "sample_token", "left").na.fill(0, ["n_struggle"]).orderBy(F.col("n_struggle").desc(), "sample_token").limit(most)
+
+
+def export_index(frames: DataFrame, media: DataFrame, files: DataFrame, budget: int) -> DataFrame:
+    """Rows of an export: the first ``budget`` ranks with their images, the missing ones, and their metadata as JSON.
+
+    media: (sample_token, cam, img_path); files: (filename) that exist."""
+    chosen = frames.filter(F.col("rank") <= budget)
+    there = files.select(F.col("filename").alias("img_path"), F.lit(True).alias("there")).distinct()
+    per = media.join(chosen.select("sample_token"), "sample_token", "left_semi").join(there, "img_path", "left").groupBy("sample_token").agg(
+        F.array_sort(F.collect_list(F.when(F.col("there"), F.col("img_path")))).alias("images"), F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("img_path")))).alias("missing")
+    )
+    meta = F.to_json(F.struct(*[c for c in frames.columns]))
+    return chosen.join(per, "sample_token", "left").select("sample_token", "rank", "images", F.array_join("missing", "|").alias("missing"), meta.alias("meta")).orderBy("rank")
