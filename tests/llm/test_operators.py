@@ -147,7 +147,7 @@ def line_docs():
     return [*docs, (30, None), (None, docs[0][1]), (31, docs[1][1] + "\n" + docs[1][1])]
 
 
-def test_line_dedup_equals_brute_force(spark, monkeypatch):
+def test_line_dedup_equals_brute_force(spark):
     docs = line_docs()
     occurrences = []
     for row, (doc, text) in enumerate(docs):
@@ -174,10 +174,34 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
         lines = (text or "").split("\n")
         want.append((doc, "\n".join(x for p, x in enumerate(lines) if (doc is None, doc or 0, p, row) not in gone)))
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
-    for small in (line_dedup.SMALL, 1):  # also by blocks alone
-        monkeypatch.setattr(line_dedup, "SMALL", small)
-        got = line_dedup.dedup_lines(df).collect()
-        assert Counter((r["doc_id"], r["text_clean"]) for r in got) == Counter(want)
+    got = line_dedup.dedup_lines(df).collect()
+    assert Counter((r["doc_id"], r["text_clean"]) for r in got) == Counter(want)
+
+
+def test_sim_hash_buckets_against_brute_force():
+    """Small and large buckets, one block or two, in batches that cut through buckets: all pairs come out with their ids whole."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for bucket, n in enumerate((2, 5, 9, 40, 3, 17)):
+        base = rng.integers(-(2**63), 2**63, 2)
+        for _ in range(n):
+            high, low = (int(base[0]) ^ (1 << int(rng.integers(0, 60)))), int(base[1]) ^ (int(rng.integers(0, 4)) << 3)
+            rows.append([bucket * 10**12, int(rng.integers(-(2**63), 2**63)), high, low])
+    want = {(min(a[1], b[1]), max(a[1], b[1])) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and ((a[2] ^ b[2]) % 2**64).bit_count() + ((a[3] ^ b[3]) % 2**64).bit_count() <= 3}
+    for blocks in (1, 2):
+        dealt = [(b, min(o, k % blocks), max(o, k % blocks), k % blocks, n, n, h, l) for k, (b, n, h, l) in enumerate(rows) for o in range(blocks)]
+        dealt.sort(key=lambda r: r[:3])
+        columns = [pa.array(c, pa.int64()) for c in zip(*dealt, strict=True)]
+        table = pa.RecordBatch.from_arrays(columns, names=["bucket", "x", "y", "own", "node", "g", "high", "low"])
+        got, more = set(), False
+        for out in line_dedup._compare(1000, [table.slice(k, 13) for k in range(0, table.num_rows, 13)]):
+            got |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+            more |= any(out.column("more").to_pylist())
+        assert got == want and not more
+        some = [r for out in line_dedup._compare(1, [table]) for r in zip(*(out.column(c).to_pylist() for c in ("a", "b", "more")), strict=True)]
+        assert {(a, b) for a, b, _ in some} <= want and any(m for _, _, m in some)
 
 
 # ---- packing --------------------------------------------------------------------------------
