@@ -86,7 +86,7 @@ def average_precision(events: DataFrame, n_truth: int | None, score: str, hit: s
     tp = F.sum(F.col(hit).cast("long")).over(upto)
     curve = events.select(F.row_number().over(w).alias("i"), (tp / F.lit(n_truth)).alias("recall"), (tp / F.row_number().over(w)).alias("precision"))
     # the envelope from the right; then each distinct recall's best precision stands for its levels
-    env = curve.withColumn("envelope", F.max("precision").over(Window.partitionBy().orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    env = curve.withColumn("envelope", F.max("precision").over(Window.partitionBy().orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     steps = env.groupBy("recall").agg(F.max("envelope").alias("p")).withColumn("before", F.coalesce(F.lag("recall").over(Window.partitionBy().orderBy("recall")), F.lit(-1.0)))
     top = float(levels - 1)
     covered = F.floor(F.col("recall") * top + 1e-9) - F.when(F.col("before") < 0, F.lit(-1)).otherwise(F.floor(F.col("before") * top + 1e-9))

@@ -94,7 +94,8 @@ def interpolate_pose(times: DataFrame, poses: DataFrame, by: Sequence[str], time
     both = times.withColumn("__want", F.lit(True)).unionByName(p, allowMissingColumns=True)
     base = Window.partitionBy(*by).orderBy(time, F.col("__p").isNull())
     before = F.last("__p", ignorenulls=True).over(base.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("__p", ignorenulls=True).over(base.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.col(time).desc(), F.col("__p").isNull())  # backwards: a running frame, not a quadratic one
+    after = F.last("__p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = both.withColumns({"__a": before, "__z": after}).filter("__want").withColumns({"__a": F.coalesce("__a", "__z"), "__z": F.coalesce("__z", "__a")})
     share = F.coalesce(F.try_divide(F.col(time) - F.col("__a.t"), F.col("__z.t") - F.col("__a.t")), F.lit(0.0))
     out = {c: F.col(f"__a.{c}") + share * (F.col(f"__z.{c}") - F.col(f"__a.{c}")) for c in columns}
