@@ -178,6 +178,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert Counter((r["doc_id"], r["text_clean"]) for r in got) == Counter(want)
 
 
+def test_sim_hashes_count_words_and_pairs():
+    """A word set apart from its neighbours still speaks for the line: words in another order share their votes."""
+    rng = np.random.default_rng(5)
+    words = [v.encode() for v in VOCAB]
+    lines = [[words[i] for i in rng.permutation(80)] for _ in range(40)]
+    sims = line_dedup.sim_hashes(lines)
+    apart = [int(np.bitwise_count(sims[i] ^ sims[i + 1]).sum()) for i in range(39)]
+    assert np.mean(apart) < 52  # 64 if pairs alone counted
+
+
 def test_sim_hash_buckets_against_brute_force():
     """Small and large buckets, one block or two, in batches that cut through buckets: all pairs come out with their ids whole."""
     import pyarrow as pa
