@@ -178,6 +178,23 @@ def test_line_dedup_equals_brute_force(spark):
     assert Counter((r["doc_id"], r["text_clean"]) for r in got) == Counter(want)
 
 
+def test_wide_line_links_against_edit_similarity_alone(spark):
+    """Lines of 12 to 60 words with a few words changed: of the pairs at edit similarity 0.9 nearly all are merged."""
+    rng = random.Random(9)
+    pairs, docs = 0, []
+    for k in range(200):
+        line = [rng.choice(VOCAB) for _ in range(rng.randrange(12, 60))]
+        own = list(line)
+        for _ in range(max(1, len(own) // 20)):
+            own[rng.randrange(len(own))] = rng.choice(VOCAB)
+        a, b = " ".join(line), " ".join(own)
+        pairs += a != b and levenshtein(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9
+        docs.append((k, a + "\n" + b if a != b else a))
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), wide=True).collect()
+    found = sum(r["n_dropped"] for r in got)
+    assert pairs > 150 and 0.97 * pairs <= found <= pairs
+
+
 def test_sim_hashes_count_words_and_pairs():
     """A word set apart from its neighbours still speaks for the line: words in another order share their votes."""
     rng = np.random.default_rng(5)
