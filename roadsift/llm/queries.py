@@ -39,7 +39,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(_read(spark, sf_dir, "documents"), wide=True)
+    out = dedup_lines(_read(spark, sf_dir, "documents"), min_words=1, wide=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text_clean").cast("long").alias("n_chars_clean"), F.sha2("text_clean", 256).alias("clean_sha256"))
 
 

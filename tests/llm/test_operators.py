@@ -195,6 +195,14 @@ def test_wide_line_links_against_edit_similarity_alone(spark):
     assert pairs > 150 and 0.97 * pairs <= found <= pairs
 
 
+def test_short_and_spaceless_lines_are_merged(spark, tmp_path):
+    cjk = "".join(chr(0x4E00 + (k * k * 7 + k * 31) % 900) for k in range(60))
+    texts = ["les.\n\n--\n" + cjk, "Les\n--\n" + cjk[:30] + "\u4e8c" + cjk[31:] + "\nannual report of the board", "annual reports of the board\nother"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (4, 0), 1: (4, 2), 2: (2, 1)}
+
+
 def test_sim_hashes_count_words_and_pairs():
     """A word set apart from its neighbours still speaks for the line: words in another order share their votes."""
     rng = np.random.default_rng(5)
