@@ -4,8 +4,8 @@ A text is reduced to its words (ASCII letters in lower case, digits, all non-ASC
 characters; everything else separates).  One Aho-Corasick automaton over the word
 stream finds all notice phrases and the places of identifier tags.  The expression after
 a tag is read from the original text, parsed by the shunting-yard method with the
-precedence WITH, AND, OR, and evaluated to the licences it names and to the choices it
-leaves (a disjunction of sets).  Labels are those of the base phrases, of further notice
+precedence WITH, AND, OR; the licences it names are its operands.  ``evaluate`` spells out
+the choices it leaves (a disjunction of sets) and refuses only those of too many ways.  Labels are those of the base phrases, of further notice
 phrases and of the identifiers in valid expressions.
 
 Score: 1 for a valid expression, 0.9 for a full notice phrase, 0.6 for a bare licence
@@ -146,6 +146,25 @@ def evaluate(postfix: list[str], most: int = 256) -> Choice:
     return Choice(stack[0])
 
 
+def named(postfix: list[str]) -> list[str]:
+    """The licences an expression names, from its operands; takes no expansion, so expressions of any size have them."""
+    stack: list[frozenset[str] | str] = []  # a single operand is a string, as WITH binds no other
+    for token in postfix:
+        if token not in PRECEDENCE:
+            stack.append(token)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "WITH":
+            if not (isinstance(left, str) and isinstance(right, str)):
+                raise ExpressionError("WITH")
+            stack.append(f"{left} WITH {right}")
+        else:
+            both = [frozenset([x]) if isinstance(x, str) else x for x in (left, right)]
+            stack.append(next(iter(both[0])) if both[0] == both[1] and len(both[0]) == 1 else both[0] | both[1])
+    last = stack[0]
+    return sorted([last] if isinstance(last, str) else last)
+
+
 def label_of(identifier: str) -> str | None:
     name = identifier.split(" WITH ")[0].lower()
     parts = name.split("-")
@@ -195,7 +214,7 @@ def scan(body: bytes, phrases: ahocorasick.Automaton) -> tuple[int, list[int], s
     if tagged:
         for m in _TAG_AT.finditer(body.decode("utf-8", "replace")):
             try:
-                names = evaluate(to_postfix(m[1])).names()
+                names = named(to_postfix(m[1]))
             except ExpressionError:
                 continue
             own = {label for n in names if (label := label_of(n))}

@@ -419,6 +419,18 @@ def test_expressions(text, names):
     assert licenses.evaluate(licenses.to_postfix(text)).names() == names
 
 
+def test_expression_of_many_choices_has_labels():
+    text = " AND ".join(f"(MIT OR GPL-{k}.0)" for k in range(1, 10))
+    with pytest.raises(licenses.ExpressionError):
+        licenses.evaluate(licenses.to_postfix(text))
+    got = licenses.scan(f"SPDX-License-Identifier: {text}".encode(), licenses.automaton())
+    assert got[3] == {"mit", "gpl"} and got[4] == 1.0 and got[5] == [" | ".join([*(f"GPL-{k}.0" for k in range(1, 10)), "MIT"])]
+    for small in ("MIT", "A OR B AND C", "(A OR A) WITH C", "(MIT AND B) OR G WITH C"):
+        assert licenses.named(licenses.to_postfix(small)) == licenses.evaluate(licenses.to_postfix(small)).names()
+    with pytest.raises(licenses.ExpressionError):
+        licenses.named(licenses.to_postfix("(A OR B) WITH C"))
+
+
 def test_expression_precedence_and_errors():
     choice = licenses.evaluate(licenses.to_postfix("A OR B AND C"))
     assert choice.ways == frozenset([frozenset("A"), frozenset("BC")])
