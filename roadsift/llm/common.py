@@ -33,11 +33,13 @@ _recorders: list[list[Stored]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder of this application below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """Folder of this application below ``spark.checkpoint.dir``; a temporary folder only where that is unset and all runs on one machine."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="roadsift-")
         _scratch[app] = f"{base.rstrip('/')}/roadsift-{app}"
         atexit.register(_forget, spark, _scratch[app])
@@ -129,22 +131,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash; forgets everything when it has grown to ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
 #: Look-up tables of this worker process: how to empty each, and which one is in use.
-_tables: dict[str, Callable[[], None]] = {"words": _words.clear}
+_tables: dict[str, Callable[[], None]] = {}
 _in_use = [""]
 
 
@@ -161,9 +149,47 @@ def register(table: str, empty: Callable[[], None]) -> None:
     _tables[table] = empty
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base modulo 2^64 and of its inverse."""
+    if len(_powers[0]) < n:
+        room = 1 << (n - 1).bit_length()
+        for k, base in enumerate((int(MIX_A), pow(int(MIX_A), -1, 1 << 64))):
+            steps = np.full(room, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs [start, end) of ``values`` (64-bit numbers): a polynomial whose prefix sums are taken once, then mixed."""
+    up, down = _powers_to(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts])
+
+
+def hash_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs [start, end) of ``data``."""
+    return run_hashes(_BYTES[data], starts, ends)
+
+
+def hash_words(words: list[bytes], part: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of words, about ``part`` bytes at a time."""
     claim("words")
-    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    data = np.frombuffer(b"".join(words), np.uint8)
+    out, at = np.empty(len(words), np.uint64), 0
+    while at < len(words):
+        base = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + part, "right")))
+        local = ends[at:stop] - base
+        out[at:stop] = hash_bytes(data[base : base + int(local[-1])], np.concatenate([[0], local[:-1]]), local)
+        at = stop
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -147,52 +147,128 @@ def line_docs():
     return [*docs, (30, None), (None, docs[0][1]), (31, docs[1][1] + "\n" + docs[1][1])]
 
 
-def test_line_dedup_equals_brute_force(spark):
-    docs = line_docs()
+def similar_lines(nodes, least=0.9):
+    """Pairs of distinct normalised lines by edit similarity alone."""
+    out = []
+    for a, b in itertools.combinations(sorted(nodes, key=len), 2):
+        if len(a) >= least * len(b) - 1e-9 and line_dedup.edit_similarity(a.decode(), b.decode(), least):
+            out.append((a, b))
+    return out
+
+
+def merged_lines(docs, links, min_words=1):
+    """Brute force: texts without all occurrences but the first of each group of linked lines."""
     occurrences = []
     for row, (doc, text) in enumerate(docs):
         for pos, line in enumerate((text or "").encode().split(b"\n")):
             n = line_dedup.normalised(line)
-            if n.count(b" ") + 1 >= 4:
+            if n and n.count(b" ") + 1 >= min_words:
                 occurrences.append(((doc is None, doc or 0, pos, row), n))
-    nodes = sorted({n for _, n in occurrences})
-    sims = line_dedup.sim_hashes([n.split() for n in nodes])
-    label = {n: n for n in nodes}
-    for i, j in itertools.combinations(range(len(nodes)), 2):
-        bits = int(np.bitwise_count(sims[i] ^ sims[j]).sum())
-        a, b = nodes[i].decode(), nodes[j].decode()
-        if bits <= 3 and levenshtein(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9:
-            x, y = label[nodes[i]], label[nodes[j]]
-            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
-    assert len(set(label.values())) < len(nodes)  # fuzzy links do exist here
+    label = {n: n for _, n in occurrences}
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
     first = {}
     for place, n in sorted(occurrences):
         first.setdefault(label[n], place)
     gone = {place for place, n in occurrences if first[label[n]] != place}
-    want = []
-    for row, (doc, text) in enumerate(docs):
-        lines = (text or "").split("\n")
-        want.append((doc, "\n".join(x for p, x in enumerate(lines) if (doc is None, doc or 0, p, row) not in gone)))
-    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
-    got = line_dedup.dedup_lines(df).collect()
-    assert Counter((r["doc_id"], r["text_clean"]) for r in got) == Counter(want)
+    return [(doc, "\n".join(x for p, x in enumerate((text or "").split("\n")) if (doc is None, doc or 0, p, row) not in gone)) for row, (doc, text) in enumerate(docs)]
 
 
-def test_wide_line_links_against_edit_similarity_alone(spark):
-    """Lines of 12 to 60 words with a few words changed: of the pairs at edit similarity 0.9 nearly all are merged."""
+@pytest.mark.parametrize("min_words", [1, 4])
+def test_line_dedup_equals_brute_force(spark, min_words):
+    docs = line_docs()
+    nodes = {n for _, t in docs for line in (t or "").encode().split(b"\n") if (n := line_dedup.normalised(line)) and n.count(b" ") + 1 >= min_words}
+    links = similar_lines(nodes)
+    assert links  # fuzzy links do exist here
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = line_dedup.dedup_lines(df, min_words=min_words).collect()
+    assert Counter((r["doc_id"], r["text_clean"]) for r in got) == Counter(merged_lines(docs, links, min_words))
+
+
+def linked_share(nodes, links):
+    """Share of the similar pairs that have a common key and pass the bit limits, so that they are verified."""
+    nodes = sorted(nodes)
+    at = {n: k for k, n in enumerate(nodes)}
+    keys = np.vstack([line_dedup.Lines([n]).keys(np.asarray([0])) for n in nodes])
+    cells = keys.view(np.uint32)
+    found = 0
+    for a, b in links:
+        i, j = at[a], at[b]
+        bits = int(np.bitwise_count(keys[i, :2] ^ keys[j, :2]).sum())
+        limit = line_dedup.BITS[0 if min(len(a.decode()), len(b.decode())) < line_dedup.SHORT else 1]
+        found += bool((cells[i] == cells[j]).any()) and bits <= limit
+    return found / len(links)
+
+
+def test_line_recall_on_documents():
+    """Against edit similarity alone, over all pairs of distinct lines of the documents of sf0.01."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    nodes = {n for t in texts for line in (t or "").encode().split(b"\n") if (n := line_dedup.normalised(line))}
+    decoded = sorted((n.decode(), n) for n in nodes)
+    by_size = sorted(decoded, key=lambda x: len(x[0]))
+    ones, twos = np.zeros((len(by_size), 64), np.int16), np.zeros((len(by_size), 512), np.int16)
+    for k, (x, _) in enumerate(by_size):
+        c = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+        ones[k], twos[k] = np.bincount(c & 63, minlength=64), np.bincount((c[1:] * 31 + c[:-1] * 7) & 511, minlength=512)
+    sizes = np.asarray([len(x) for x, _ in by_size])
+    links = []
+    for k in range(len(by_size)):
+        stop = np.searchsorted(sizes, sizes[k] / 0.9 + 1e-9, "right")
+        # an edit changes two counts of characters and four of pairs of them
+        near = np.flatnonzero(np.abs(ones[k + 1 : stop] - ones[k]).sum(axis=1) <= 0.2 * sizes[k + 1 : stop] + 1e-9) + k + 1
+        near = near[np.abs(twos[near] - twos[k]).sum(axis=1) <= 0.4 * sizes[near] + 1e-9]
+        for j in near:
+            if line_dedup.edit_similarity(by_size[k][0], by_size[j][0], 0.9):
+                links.append((by_size[k][1], by_size[j][1]))
+    assert len(links) > 200
+    assert linked_share(nodes, links) >= 0.95
+
+
+@pytest.mark.parametrize(("words", "least"), [((4, 8), 0.85), ((8, 16), 0.9), ((16, 40), 0.97), ((40, 120), 0.97)])
+def test_line_recall_on_changed_words(words, least):
+    """One word, and one letter, changed in lines of several lengths."""
     rng = random.Random(9)
-    pairs, docs = 0, []
-    for k in range(200):
-        line = [rng.choice(VOCAB) for _ in range(rng.randrange(12, 60))]
-        own = list(line)
-        for _ in range(max(1, len(own) // 20)):
-            own[rng.randrange(len(own))] = rng.choice(VOCAB)
-        a, b = " ".join(line), " ".join(own)
-        pairs += a != b and levenshtein(a, b) <= 0.1 * max(len(a), len(b)) + 1e-9
-        docs.append((k, a + "\n" + b if a != b else a))
-    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), wide=True).collect()
-    found = sum(r["n_dropped"] for r in got)
-    assert pairs > 150 and 0.97 * pairs <= found <= pairs
+    links = []
+    while len(links) < 400:
+        line = [rng.choice(VOCAB) + rng.choice(VOCAB)[:3] for _ in range(rng.randrange(*words))]
+        own, k = list(line), rng.randrange(len(line))
+        own[k] = rng.choice(VOCAB) if len(links) % 2 else own[k][:2] + "q" + own[k][3:]
+        a, b = " ".join(line).encode(), " ".join(own).encode()
+        if a != b and line_dedup.edit_similarity(a.decode(), b.decode(), 0.9):
+            links.append((a, b))
+    assert linked_share({n for pair in links for n in pair}, links) >= least
+
+
+def test_hot_line_buckets_are_split(spark, monkeypatch):
+    """A bucket of many different lines is dealt by their other keys, and a crowd of similar ones is merged all the same."""
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    rng = random.Random(3)
+    base = [rng.choice(VOCAB) for _ in range(60)]
+    docs = []
+    for k in range(120):
+        own = list(base)
+        own[rng.randrange(60)] = f"{rng.choice(VOCAB)}{rng.choice(VOCAB)}"
+        docs.append((k, " ".join(own)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(r["n_dropped"] for r in got) == 119
+
+
+def test_lines_of_pieces(monkeypatch):
+    """Cutting long texts at line feeds changes neither lines nor positions, and the arrays say what plain splitting says."""
+    monkeypatch.setattr(line_dedup, "PIECE", 7)
+    bodies = [b"abc\ndefghijkl\nm\n\nn", b"", b"x" * 30, "Q é\n2 b".encode()]
+    out = []
+    for where, before, texts in line_dedup._pieces(bodies):
+        lines = line_dedup.Lines(texts)
+        at = 0
+        for k, first, piece in zip(where, before, texts, strict=True):
+            for j, line in enumerate(piece.split(b"\n")):
+                n = line_dedup.normalised(line)
+                assert lines.n_words[at] == len(n.split()) and lines.size[at] == len(n.decode())
+                out.append((k, first + j, line))
+                at += 1
+    assert out == [(k, j, line) for k, b in enumerate(bodies) for j, line in enumerate(b.split(b"\n"))]
 
 
 def test_short_and_spaceless_lines_are_merged(spark, tmp_path):
@@ -203,11 +279,11 @@ def test_short_and_spaceless_lines_are_merged(spark, tmp_path):
     assert got == {0: (4, 0), 1: (4, 2), 2: (2, 1)}
 
 
-def test_sim_hashes_count_words_and_pairs():
+def test_sim_hashes_count_words():
     """A word set apart from its neighbours still speaks for the line: words in another order share their votes."""
     rng = np.random.default_rng(5)
     words = [v.encode() for v in VOCAB]
-    lines = [[words[i] for i in rng.permutation(80)] for _ in range(40)]
+    lines = [b" ".join(words[i] for i in rng.permutation(80)) for _ in range(40)]
     sims = line_dedup.sim_hashes(lines)
     apart = [int(np.bitwise_count(sims[i] ^ sims[i + 1]).sum()) for i in range(39)]
     assert np.mean(apart) < 52  # 64 if pairs alone counted
@@ -226,17 +302,17 @@ def test_sim_hash_buckets_against_brute_force():
             rows.append([bucket * 10**12, int(rng.integers(-(2**63), 2**63)), high, low])
     want = {(min(a[1], b[1]), max(a[1], b[1])) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and ((a[2] ^ b[2]) % 2**64).bit_count() + ((a[3] ^ b[3]) % 2**64).bit_count() <= 3}
     for blocks in (1, 2):
-        dealt = [(b, min(o, k % blocks), max(o, k % blocks), k % blocks, n, n, h, l) for k, (b, n, h, l) in enumerate(rows) for o in range(blocks)]
+        dealt = [(b, min(o, k % blocks), max(o, k % blocks), k % blocks, n, n, 50, h, l) for k, (b, n, h, l) in enumerate(rows) for o in range(blocks)]
         dealt.sort(key=lambda r: r[:3])
         columns = [pa.array(c, pa.int64()) for c in zip(*dealt, strict=True)]
-        table = pa.RecordBatch.from_arrays(columns, names=["bucket", "x", "y", "own", "node", "g", "high", "low"])
+        table = pa.RecordBatch.from_arrays(columns, names=["bucket", "x", "y", "own", "node", "g", "size", "high", "low"])
         got, more = set(), False
-        for out in line_dedup._compare(1000, [table.slice(k, 13) for k in range(0, table.num_rows, 13)]):
+        for out in line_dedup._compare(1000, [table.slice(k, 13) for k in range(0, table.num_rows, 13)], (3, 3)):
             got |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
-            more |= any(out.column("more").to_pylist())
+            more |= any(m is not None for m in out.column("more").to_pylist())
         assert got == want and not more
-        some = [r for out in line_dedup._compare(1, [table]) for r in zip(*(out.column(c).to_pylist() for c in ("a", "b", "more")), strict=True)]
-        assert {(a, b) for a, b, _ in some} <= want and any(m for _, _, m in some)
+        some = [r for out in line_dedup._compare(1, [table], (3, 3)) for r in zip(*(out.column(c).to_pylist() for c in ("a", "b", "more")), strict=True)]
+        assert {(a, b) for a, b, _ in some} <= want and any(m is not None for _, _, m in some)
 
 
 # ---- packing --------------------------------------------------------------------------------
