@@ -137,6 +137,14 @@ def test_html_edges(spark):
     assert html_extract.extract_pages(pages.limit(0)).collect() == []
 
 
+def test_html_long_repeated_and_clashing_pages(spark):
+    article = "<article><p>" + "word after word of a very long page " * 40_000 + "</p></article>"
+    pages = spark.createDataFrame([(k, "u", article, "mine", 5, "x") for k in (1, 2, 2)], "page_id long, url string, html string, text string, N_chars long, `a b` string")
+    rows = html_extract.extract_pages(pages, carry=pages.columns).collect()
+    assert [r["page_id"] for r in rows] == [1, 2, 2] and {r["n_chars"] for r in rows} == {len("word after word of a very long page ") * 40_000 - 1}
+    assert all(r["text"].startswith("word after") and r["a b"] == "x" and r["html"] == article for r in rows)
+
+
 def test_pipeline_on_edges(spark, tmp_path):
     d = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4]) for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(f"{tmp_path}/documents.parquet")

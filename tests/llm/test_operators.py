@@ -6,6 +6,7 @@ import html
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -462,6 +463,39 @@ def test_html_against_an_independent_reading(spark):
         assert got[p["page_id"]]["text"] == want and got[p["page_id"]]["n_chars"] == len(want)
 
 
+BODY = "This is the clear article body with quite a few words in it, so that nobody takes it for a menu or a footer line at all."
+MORE = "A second paragraph of the same article follows here and it says some more about the matter at hand for the reader."
+TWO, NAV, FOOT = f"<p>{BODY}</p><p>{MORE}</p>", "<nav><a href=/x>Home</a> <a href=/y>News</a></nav>", "<footer>Copyright 2020 by us</footer>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<body class='has-sidebar'>{NAV}<div>{TWO}</div>{FOOT}</body>", f"<body class='page with-footer'>{NAV}<article>{TWO}</article>{FOOT}</body>",
+        f"<body>{NAV}<article class='post category-legal'>{TWO}</article>{FOOT}</body>", f"<body><form id=aspnetForm>{NAV}<div>{TWO}</div>{FOOT}</form></body>",
+        f"<body><form>{NAV}<article>{TWO}</article>{FOOT}</form></body>", f"<body>{NAV}<article><p data-x=don't>{BODY}</p><p>{MORE}</p><p class='z'></p></article>{FOOT}</body>",
+        f'<body>{NAV}<article><p title="abc>{BODY}</p><p>{MORE}</p></article>{FOOT}</body>', f'<body>{NAV}<article><p title="abc>{BODY}</p><p>{MORE}</p><a href="u"></a></article>{FOOT}</body>',
+        f"<body>{NAV}<article>{TWO}</article><section id=comments><article class=comment><p>I think this is a great text about this and that.</p></article><div class=reply><p>{BODY} too</p></div></section>{FOOT}</body>",
+        f"<body><div id='sidebar-layout'>{NAV}<div>{TWO}</div></div>{FOOT}</body>", f"<body><div id=x>{TWO}</div><div id=comments>{TWO}{TWO}</div>{FOOT}</body>",
+        f"<body>{NAV}<main><header><h1>{BODY}</h1></header><div class=\"text\" data-html='<p class=\"ad\">'><p>{MORE}</p></div><form class=newsletter><label>Your mail address, please</label></form></main></body>",
+    ],
+)
+def test_main_text_of_awkward_pages(body):
+    assert html_extract.extract_text(f"<html><head><title>T</title></head>{body}</html>", html_extract.trained_tree()) == f"{BODY} {MORE}"
+
+
+def test_text_signs_and_pictures():
+    page = "<article><p>text a<b and c>d is a comparison in it, 1 < 2 as well</p><div class='share-image'><p>The caption of the picture stays here.</p></div><div class='share'>Share this</div></article>"
+    assert html_extract.extract_text(page, html_extract.trained_tree()) == "text a<b and c>d is a comparison in it, 1 < 2 as well The caption of the picture stays here."
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p x="a>', "<", "</", "<!--", "<p>", "<div>", "</p>", "<span class=ad>", "<a x='", '<p ="', "<b c ", "<div><p></div>"])
+def test_pages_are_scanned_in_linear_time(piece):
+    begin = time.perf_counter()
+    html_extract.text_blocks(piece * 100_000 + '"')
+    assert time.perf_counter() - begin < 10
+
+
 def test_tree_learns_its_table():
     x, y = html_extract.labelled_table()
     assert ((html_extract.trained_tree().predict(x) >= 0.5) == y).all()
