@@ -176,7 +176,7 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
 class Tree:
     """Binary CART tree by Gini impurity; ``value`` is the share of main text in a leaf."""
 
-    def __init__(self, depth: int = 6, least: int = 1):
+    def __init__(self, depth: int = 9, least: int = 1):
         self.depth, self.least = depth, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Tree:

@@ -15,7 +15,9 @@ Scale: one Arrow pass without shuffle over whole texts in slices of bounded byte
 is linear in the text.
 
 Edge cases: null text is empty (no words, no labels, score 0, null places); malformed
-expressions give no label; repeated rows are scanned once each.
+expressions give no label, but an operator that ends a line is passed over; repeated rows
+are scanned once each; result columns win over carried columns of the same name; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,6 +74,7 @@ _OTHER = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 9
 _FOLD = bytes.maketrans(_OTHER + bytes(range(65, 91)), b" " * len(_OTHER) + bytes(range(97, 123)))
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.:+-]*)")
 _TAG_AT = re.compile(r"spdx[^0-9a-z]+license[^0-9a-z]+identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
+_DANGLING = re.compile(r"(?:\s+(?:and|or|with)\b)+\W*$", re.I)
 PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 
@@ -214,7 +217,7 @@ def scan(body: bytes, phrases: ahocorasick.Automaton) -> tuple[int, list[int], s
     if tagged:
         for m in _TAG_AT.finditer(body.decode("utf-8", "replace")):
             try:
-                names = named(to_postfix(m[1]))
+                names = named(to_postfix(_DANGLING.sub("", m[1])))  # what an operator at the line's end joined is not there
             except ExpressionError:
                 continue
             own = {label for n in names if (label := label_of(n))}

@@ -3,20 +3,23 @@
 Targets: every source has a weight and shares the total size by it; no source may get
 more than ``most_epochs`` times its own size, and what it cannot take is shared again
 among the others.  Blocks of ``block`` words are then seats: sources get them by the
-highest quotients target / (2 k + 1), and the seats of a source are divided among its
-shards by the same rule with the shards' sizes, which gives every (source, shard) an
-integer quota.  Inside a shard the source's documents stand in a seeded order; the
+highest quotients target / (2 k + 1), and the seats of a source are divided among all its
+shards by the same rule with the shards' sizes, no shard getting more seats than
+``most_epochs`` of its words fill, which gives every (source, shard) an integer quota.  Inside a shard the source's documents stand in a seeded order; the
 quota takes whole passes over them, and the remaining blocks are a run that starts at a
 seeded block and wraps around.
 
 Scale: words are counted in the scan.  A source is cut into hash classes of about
 ``shard_docs`` documents, its shards, so the only ordered windows are over one shard of
-one source, whatever a source's share.  The driver sees one row per source; seats of
-shards are worked out over groups of at most GROUP shards.
+one source, whatever a source's share.  The driver sees one row per source.  Shards get
+their seats by one divisor per source, narrowed for all sources at once by sums over the
+shards (``ROUNDS`` jobs), so any number of shards is one apportionment; only the quotients
+between the last two divisors, a few in ten thousand, are ranked one by one.
 
 Edge cases: null text has size 0 and is never taken; sources stand in code point order
-with null last; repeated rows are documents of their own; a corpus without words takes
-nothing; an empty table gives an empty result.
+with null last; repeated rows are documents of their own, and null ids are dealt by row
+number; result columns win over carried columns of the same name; a corpus without words
+takes nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from .common import grows, others, quoted, store
 
 RESULT = ("size", "source_size", "target", "taken")
 PLACES = ("shard", "passes", "from_word", "to_word", "wrapped")
-#: Shards in a group, and sources up to which their table (about 50 bytes a source) is broadcast.
-GROUP, BROADCAST_SOURCES = 1000, 50_000
+#: Sources up to which their table (about 50 bytes a source) is broadcast.
+BROADCAST_SOURCES = 50_000
+#: Divisors looked at in one pass over the shards, and passes.
+DIVISORS, ROUNDS = 16, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,8 +60,8 @@ def sainte_lague(weights: Sequence[float], seats: int) -> np.ndarray:
         else:
             high = mid
     out = np.floor(w / high + 0.5).astype(np.int64)
-    while out.sum() < seats:
-        out[np.argmax(w / (2 * out + 1))] += 1
+    while (left := int(seats - out.sum())) > 0:
+        out[np.argsort(-w / (2 * out + 1), kind="stable")[: min(left, int((w > 0).sum()))]] += 1
     return out
 
 
@@ -102,8 +107,9 @@ def mix(
     carry = [c for c in (carry or []) if c in others(docs, (*RESULT, *PLACES, doc_id))]
     names = {c: f"__c{i}" for i, c in enumerate(carry)}
     size = F.coalesce(F.regexp_count(quoted(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(quoted(doc_id).alias("__id"), quoted(source).cast("string").alias("__source"), size.alias("size"), _draw(seed, quoted(doc_id), quoted(source)).alias("__order"), *[quoted(c).alias(n) for c, n in names.items()])
-    rows = store(rows.withColumn("__row", F.monotonically_increasing_id()), "sizes")
+    rows = docs.select(quoted(doc_id).alias("__id"), quoted(source).cast("string").alias("__source"), size.alias("size"), F.monotonically_increasing_id().alias("__row"), *[quoted(c).alias(n) for c, n in names.items()])
+    own = F.when(F.col("__id").isNull(), F.concat(F.lit("row "), F.col("__row").cast("string"))).otherwise(F.col("__id").cast("string"))
+    rows = store(rows.withColumn("__order", _draw(seed, own, F.col("__source"), F.col("size"))), "sizes")
     facts = sorted(rows.groupBy("__source").agg(F.sum("size"), F.count(F.lit(1))).collect(), key=lambda r: _order(r[0]))
     cycle = list(weights)
     sizes = [int(r[1] or 0) for r in facts]
@@ -140,26 +146,32 @@ def mix(
 
 
 def _quotas(placed: DataFrame, known: DataFrame, block: int, most_epochs: int) -> DataFrame:
-    """Words for each (source, shard): seats of a source go to its groups of shards, then to the shards of a group.
-
-    A group has GROUP shards, so no call of the apportionment sees more rows than that
-    or than a source has groups."""
-    cells = store(placed.groupBy("src", "shard").agg(F.sum("size").alias("cell")).withColumn("part", F.floor(F.col("shard") / GROUP).cast("int")), "cells")
-    parts = cells.groupBy("src", "part").agg(F.sum("cell").alias("cell")).join(known.select("src", "quota"), "src")
-    shared = store(parts.groupBy("src").applyInPandas(_divide("part", block), "src int, part int, words long"), "part-quotas")
-    fine = cells.join(shared.withColumnRenamed("words", "quota"), ["src", "part"]).groupBy("src", "part").applyInPandas(_divide("shard", block), "src int, shard int, words long")
-    fine = fine.join(cells, ["src", "shard"]).select("src", "shard", "cell", F.least("words", F.col("cell") * most_epochs).alias("words"))
-    return store(fine, "quotas")
-
-
-def _divide(what: str, block: int):  # type: ignore[no-untyped-def]
-    def divide(cells):  # type: ignore[no-untyped-def]
-        cells = cells.sort_values(what)
-        quota = int(cells["quota"].iloc[0])
-        unit = block if quota >= block and quota % block == 0 else 1
-        return cells.assign(words=sainte_lague(cells["cell"].to_numpy(), quota // unit) * unit)[["src", what, "words"]]
-
-    return divide
+    """Words for each (source, shard): the seats with the highest quotients size / (2 k + 1) of all shards of the source, as many as each may have.
+
+    Shards have min(most, round(size / d)) seats for a divisor d.  The divisor is bracketed
+    for every source; below the upper end of the bracket the best quotients fill up."""
+    cells = placed.groupBy("src", "shard").agg(F.sum("size").alias("cell")).join(known.select("src", "quota"), "src")
+    cells = cells.withColumn("unit", F.when((F.col("quota") >= block) & (F.col("quota") % block == 0), block).otherwise(1).cast("long"))
+    cells = store(cells.withColumns({"seats": F.expr("quota div unit"), "most": F.floor(F.col("cell") * most_epochs / F.col("unit")).cast("long")}), "cells")
+    ends = store(cells.groupBy("src").agg(F.lit(1e-6).alias("low"), (F.max("cell") * 2.0 + 1).alias("high")), "divisors")
+
+    def seats_at(d: Column) -> Column:
+        return F.least(F.col("most"), F.floor(F.col("cell") / d + 0.5).cast("long"))
+
+    for _ in range(ROUNDS):
+        at = [F.col("low") * F.pow(F.col("high") / F.col("low"), F.lit(k / DIVISORS)) for k in range(DIVISORS + 1)]
+        sums = cells.join(ends, "src").groupBy("src").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.max("seats").alias("seats"), *[F.sum(seats_at(d)).alias(f"s{k}") for k, d in enumerate(at)])
+        # the smallest divisor that gives no more than all seats, and the one below it
+        step = F.coalesce(*[F.when(F.col(f"s{k}") <= F.col("seats"), k) for k in range(DIVISORS + 1)]).cast("int")
+        grid = F.array(*at)
+        ends = store(sums.select("src", F.element_at(grid, F.greatest(step, F.lit(1))).alias("low"), F.element_at(grid, step + 1).alias("high")), "divisors")
+    shared = cells.join(ends, "src").withColumns({"sure": seats_at(F.col("high")), "wide": seats_at(F.col("low"))})
+    shared = store(shared.drop("low", "high"), "sure-seats")
+    left = shared.groupBy("src").agg((F.max("seats") - F.sum("sure")).alias("left"))
+    offers = shared.filter("wide > sure").select("src", "shard", "cell", F.explode(F.expr("sequence(sure, wide - 1)")).alias("k"))
+    ranked = offers.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy((F.col("cell") / (2 * F.col("k") + 1)).desc(), "shard"))).join(left, "src").filter("n <= left")
+    more = ranked.groupBy("src", "shard").agg(F.count(F.lit(1)).alias("more"))
+    return store(shared.join(grows(more), ["src", "shard"], "left").select("src", "shard", "cell", ((F.col("sure") + F.coalesce("more", F.lit(0))) * F.col("unit")).cast("long").alias("words")), "quotas")
 
 
 def take(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", chars: str | None = "n_chars", **options) -> DataFrame:  # type: ignore[no-untyped-def]

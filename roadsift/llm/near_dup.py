@@ -30,7 +30,8 @@ the shared folder.
 
 Edge cases: null text is empty; a null doc_id never becomes a component's id unless all
 are null; rows that share a doc_id are told apart by their sets; repeated rows share
-their component and their ``kept``; an empty table gives an empty result.
+their component and their ``kept``; result columns win over carried columns of the same
+name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -174,8 +175,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` with ``n_shingles``, ``component_id`` (smallest doc_id of the group) and ``kept``.
 
-    ``carry`` names input columns to return besides ``doc_id`` (default none: they are
-    joined back by doc_id, which must then be unique)."""
+    ``carry`` names input columns to return besides ``doc_id`` (default none); rows meet
+    them by a row number, so null and repeated ids lose and gain none."""
+    if carry:
+        return _carried(docs, text, doc_id, others(docs.select(*[quoted(c) for c in carry]), (*RESULT, doc_id)))
     plain = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     seed = 0
     while True:
@@ -196,12 +199,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
     found = rows.select("doc_id", "n_shingles", "key").join(grows(names), "key", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
     found = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if carry:
-        back = docs.select(quoted(doc_id).alias("doc_id"), *[quoted(c) for c in others(docs.select(*[quoted(c) for c in carry]), (*RESULT, "doc_id"))])
-        found = found.join(grows(back), "doc_id")
     return found.withColumnRenamed("doc_id", doc_id)
 
 
+def _numbered(docs: DataFrame, text: str, doc_id: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with a number as a table, and their groups by ids (null last, id, row), so that rows that share an id are told apart."""
+    rows = docs.select(quoted(doc_id).alias("__id"), quoted(text).alias("__text"), *[quoted(c).alias(f"__c{k}") for k, c in enumerate(carry)]).withColumn("__row", F.monotonically_increasing_id())
+    rows = store(rows, "numbered")
+    ids = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    return rows, near_duplicates(rows.select(ids.alias("doc_id"), F.col("__text").alias("text")))
+
+
+def _carried(docs: DataFrame, text: str, doc_id: str, carry: list[str]) -> DataFrame:
+    rows, found = _numbered(docs, text, doc_id, carry)
+    told = found.select(F.col("doc_id.row").alias("__row"), "n_shingles", F.col("component_id.id").alias("component_id"))
+    met = rows.join(grows(told), "__row").withColumn("kept", F.col("__id").eqNullSafe(F.col("component_id")))
+    return met.select(F.col("__id").alias(doc_id), *RESULT, *[F.col(f"__c{k}").alias(c) for k, c in enumerate(carry)])
+
+
 def _links(plain: DataFrame, rows: DataFrame, classes: DataFrame, seed: int) -> DataFrame:
     """Verified links (a, b) between classes: enough of them to connect every group."""
     bands = rows.filter("key is not null").select(F.explode("bands").alias("bucket"), "key")
@@ -309,10 +324,6 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Rows meet their verdict by a row number of a table in the shared folder, so repeated
     doc_ids are told apart."""
-    columns = docs.columns
-    numbered = store(docs.select(*[quoted(c).alias(f"__c{k}") for k, c in enumerate(columns)]).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    id_at, text_at = f"__c{columns.index(doc_id)}", f"__c{columns.index(text)}"
-    # of rows that share a doc_id and lie in one group the first stays
-    found = near_duplicates(numbered.select("__row", quoted(id_at).alias("doc_id"), quoted(text_at).alias("text")).withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))))
+    rows, found = _numbered(docs, text, doc_id, docs.columns)  # of rows that share a doc_id and lie in one group the first stays
     kept = found.filter("kept").select(F.col("doc_id.row").alias("__row"))
-    return numbered.join(grows(kept), "__row").select(*[quoted(f"__c{k}").alias(c) for k, c in enumerate(columns)])
+    return rows.join(grows(kept), "__row").select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -3,18 +3,19 @@
 Base rules look at one document (word counts, signs, repeated lines and windows).  The
 corpus rule looks across documents: lines are normalised (ASCII lower case, runs of
 white space as one space, trimmed) and hashed; for every host the documents that hold a
-line are counted, equal texts once.  A line held by more than ``line_docs`` documents
-and more than ``line_share`` of the host's documents is boilerplate: it is removed, and
-a document that loses more than ``depleted`` of its words is rejected.
+line are counted, equal texts once.  A line held by more than ``line_docs`` documents, and
+by more than ``line_share`` of the host's documents or more than ``line_most`` documents
+whatever the host's size, is boilerplate: it is removed, and a document that loses more
+than ``depleted`` of its words is rejected.
 
 Scale: one Arrow pass makes the counts and line hashes, kept as a table in the shared
-folder.  Frequencies are two hash aggregations with map-side combine; the surviving
-frequent lines (at most 1 / line_share a host, whatever the corpus size, times the
-mean number of lines of a document) meet the documents in an equi-join whose two
-sides are exchanged, which adaptive execution splits where a line is hot.
+folder.  Frequencies are two hash aggregations with map-side combine; the frequent lines,
+few or many, meet the documents in an equi-join whose two sides are exchanged, which
+adaptive execution splits where a line is hot.
 
 Edge cases: null text has no words and fails the base rules; a null host is a host of
-its own; repeated rows are judged once each; an empty table gives an empty result.
+its own; repeated rows are judged once each; result columns win over carried columns of
+the same name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def document_facts(body: bytes) -> tuple[list[int], list[int], list[int]]:
 
 
 def judge(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", line_docs: int = 20, line_share: float = 0.10, depleted: float = 0.5,
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", line_docs: int = 20, line_share: float = 0.05, line_most: int = 10_000, depleted: float = 0.5,
     min_words: int = 20, max_repeat: int = 30, carry: list[str] | None = None, clean: bool = False,
 ) -> DataFrame:
     """All rows with the counts, ``base_failed``, ``n_frequent_words`` and ``kept``.
@@ -120,7 +121,7 @@ def judge(
     lines = table.select("__host", "__text", F.explode("__lines").alias("line"))
     totals = table.select("__host", "__text").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("docs"))
     often = lines.distinct().groupBy("__host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > line_docs)
-    limit = F.greatest(F.lit(float(line_docs)), F.col("docs") * F.lit(line_share))
+    limit = F.least(F.lit(float(line_most)), F.greatest(F.lit(float(line_docs)), F.col("docs") * F.lit(line_share)))
     frequent = store(often.join(totals, often["__host"].eqNullSafe(totals["__host"])).filter(F.col("n") > limit).select(often["__host"].alias("host"), F.col("line").alias("frequent")), "frequent-lines")
     spread = table.select("__row", "__host", F.explode(F.arrays_zip(F.col("__lines").alias("line"), F.col("__words").alias("words"))).alias("at")).select("__row", "__host", F.col("at.line").alias("line"), F.col("at.words").alias("words"))
     hits = spread.join(grows(frequent), spread["__host"].eqNullSafe(frequent["host"]) & (spread["line"] == frequent["frequent"]))

@@ -90,13 +90,12 @@ WITH RECURSIVE d AS (
 h AS (
   SELECT doc_id, n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || n_bytes::VARCHAR), 1, 15))::BIGINT AS hash FROM d),
 b AS (
-  SELECT k.k AS depth, hash >> (60 - k.k) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*)::BIGINT AS rows_
-  FROM h, (SELECT unnest(range(0, 41)) AS k) k GROUP BY 1, 2),
+  SELECT k.k AS depth, hash >> (60 - k.k) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*)::BIGINT AS rows_, min(hash) = max(hash) AS equal
+  FROM h, (SELECT unnest(range(0, 61)) AS k) k GROUP BY 1, 2),
 s AS (
-  SELECT h.doc_id, h.n_bytes, b.depth, b.prefix, b.bytes, b.rows_,
-         row_number() OVER (PARTITION BY h.doc_id, h.hash ORDER BY b.depth) AS n
-  FROM h JOIN b ON b.prefix = h.hash >> (60 - b.depth) AND b.bytes <= {SHARD_BYTES})
-SELECT doc_id, n_bytes, depth::INTEGER AS shard_depth, prefix AS shard_prefix, bytes AS shard_bytes, rows_ AS shard_rows, true AS fits
+  SELECT h.doc_id, h.n_bytes, b.depth, b.prefix, b.bytes, b.rows_, rank() OVER (PARTITION BY h.doc_id, h.hash ORDER BY b.depth) AS n
+  FROM h JOIN b ON b.prefix = h.hash >> (60 - b.depth) AND (b.bytes <= {SHARD_BYTES} OR b.equal))
+SELECT doc_id, n_bytes, depth::INTEGER AS shard_depth, prefix AS shard_prefix, bytes AS shard_bytes, rows_ AS shard_rows, bytes <= {SHARD_BYTES} AS fits
 FROM s WHERE n = 1
 """
 
@@ -127,7 +126,7 @@ often AS (
   SELECT d.source, worded.norm, count(DISTINCT d.text) AS n FROM worded JOIN d ON worded.r = d.r GROUP BY 1, 2),
 frequent AS (
   SELECT often.source, norm FROM often JOIN hosts ON often.source IS NOT DISTINCT FROM hosts.source
-  WHERE n > 20 AND n > docs * 0.10::DOUBLE),
+  WHERE n > 20 AND (n > docs * 0.05::DOUBLE OR n > 10000)),
 lost AS (
   SELECT worded.r, sum(worded.n)::BIGINT AS words FROM worded JOIN d ON worded.r = d.r
   JOIN frequent ON frequent.source IS NOT DISTINCT FROM d.source AND frequent.norm = worded.norm GROUP BY worded.r)
@@ -144,7 +143,7 @@ def _draw_sql(seed: int, *keys: str) -> str:
 
 OP8_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, {_draw_sql(17, "doc_id", "source")} AS ord FROM documents),
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, {_draw_sql(17, "doc_id", "source", f"len({_WORDS})")} AS ord FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS w, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM d GROUP BY source),
 g AS (SELECT *, [1, 2, 3][src % 3 + 1] AS wt, sum(w) OVER ()::BIGINT AS t FROM s),
@@ -167,11 +166,11 @@ qt AS (
 p AS (
   SELECT d.*, qt.src, w, target, quota, {_draw_sql(18, "ord")} % shards AS shard FROM d JOIN qt ON qt.source IS NOT DISTINCT FROM d.source),
 c AS (SELECT src, shard, sum(size)::BIGINT AS cell, max(quota) AS quota, CASE WHEN max(quota) >= 16 AND max(quota) % 16 = 0 THEN 16 ELSE 1 END AS unit FROM p GROUP BY 1, 2),
-ck AS (SELECT *, unnest(range(0, cell * 3 // unit + 3)) AS k FROM c),
+ck AS (SELECT *, unnest(range(0, cell * 3 // unit)) AS k FROM c),
 cr AS (SELECT src, shard, quota // unit AS seats, row_number() OVER (PARTITION BY src ORDER BY cell / (2 * k + 1) DESC, shard) AS r FROM ck),
 cs AS (SELECT src, shard, count(*) AS seats FROM cr WHERE r <= seats GROUP BY 1, 2),
 cw AS (
-  SELECT c.src, c.shard, cell, least(coalesce(seats, 0) * unit, 3 * cell)::BIGINT AS words,
+  SELECT c.src, c.shard, cell, (coalesce(seats, 0) * unit)::BIGINT AS words,
          {_draw_sql(19, "c.src", "c.shard")} % greatest(1, ceil(cell / 16)::BIGINT) * 16 AS run
   FROM c LEFT JOIN cs ON cs.src = c.src AND cs.shard = c.shard),
 e AS (

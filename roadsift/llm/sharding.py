@@ -5,16 +5,18 @@ are over the limit is split on the next bit of the hash, all others stay, until
 bucket fits.  A shard is a bucket: its depth and its prefix of the hash.
 
 The directory is worked out from sums of bytes per hash prefix: one aggregation with
-map-side combine at a probing depth a few bits below the expected one, then roll-ups of
-that small table give all shallower depths.  Buckets that are still too large at the
+map-side combine at a probing depth a few bits below the expected one, then that small
+table is rolled up level by level, two rows to one, as long as any bucket fits, and its
+shards are handed down again to the probed prefixes the same way.  Buckets that are still too large at the
 probing depth (few large rows in one place) are probed again some bits deeper, those
 rows alone.  Rows meet the directory in an equi-join on the probed prefix, which a hash
 spreads evenly.
 
-Edge cases: null text has 0 bytes; a row larger than the limit, or rows whose hashes are
-equal in all bits, cannot be split: such a shard is marked ``fits = false``; the hash is
-of the id and the text's length, so repeated rows share a shard; an empty table gives an
-empty result.
+Edge cases: null text has 0 bytes; rows whose hashes are equal in all bits, as a row
+larger than the limit is by itself, cannot be split: such a shard ends at the first depth
+that holds nothing else and is marked ``fits = false``; the hash is of the id and the
+text's length, so repeated rows share a shard; result columns win over carried columns of
+the same name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ def shard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: in
     known, done = 0, []
     depth = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + probe)
     while True:
-        found = store(_directory(rows, known, depth, limit), "directory")
+        found = _directory(rows, known, depth, limit)
         met = rows.withColumn("__at", F.shiftrightunsigned("__hash", BITS - depth)).join(grows(found), "__at")
         done.append(met.filter(~F.col("deeper")).drop("__at", "deeper"))
         if found.filter("deeper").isEmpty():
@@ -67,11 +69,23 @@ def _directory(rows: DataFrame, known: int, depth: int, limit: int) -> DataFrame
     Buckets at ``known`` bits are known to be too large (0: the whole table is looked at).
     """
     at = f"shiftrightunsigned(__hash, {BITS - depth})"
-    leaves = store(rows.groupBy(F.expr(at).alias("__at")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("r"), (F.min("__hash") == F.max("__hash")).alias("equal")), "leaves")
-    levels = leaves.select("__at", "b", "r", F.explode(F.sequence(F.lit(known + (known > 0)), F.lit(depth))).alias("d")).withColumn("p", F.expr(f"shiftrightunsigned(__at, {depth} - d)"))
-    fitting = levels.groupBy("d", "p").agg(F.sum("b").alias("shard_bytes"), F.sum("r").alias("shard_rows")).filter(F.col("shard_bytes") <= limit)
-    chosen = levels.select("__at", "d", "p").join(grows(fitting), ["d", "p"]).groupBy("__at").agg(F.min(F.struct("d", "p", "shard_bytes", "shard_rows")).alias("s"))
-    whole = F.struct(F.lit(depth).alias("d"), F.col("__at").alias("p"), F.col("b").alias("shard_bytes"), F.col("r").alias("shard_rows"))
-    stuck = F.col("equal") | F.lit(depth >= BITS)
-    out = leaves.join(grows(chosen), "__at", "left").withColumn("s", F.coalesce("s", F.when(stuck, whole)))
-    return out.select("__at", F.col("s").isNull().alias("deeper"), F.col("s.d").alias("shard_depth"), F.col("s.p").alias("shard_prefix"), F.col("s.shard_bytes").alias("shard_bytes"), F.col("s.shard_rows").alias("shard_rows"))
+    sums = (F.sum("b").alias("b"), F.sum("r").alias("r"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    leaves = store(rows.select(F.expr(at).alias("p"), F.col("n_bytes").alias("b"), F.lit(1).cast("long").alias("r"), F.col("__hash").alias("lo"), F.col("__hash").alias("hi")).groupBy("p").agg(*sums), "leaves")
+    fits = (F.col("b") <= limit) | (F.col("lo") == F.col("hi"))
+    levels = [leaves]
+    while depth - len(levels) >= known + (known > 0):
+        above = store(levels[-1].withColumn("p", F.shiftright("p", 1)).groupBy("p").agg(*sums), "level")
+        if above.filter(fits).isEmpty():
+            break
+        levels.append(above)
+    found = None
+    for k in range(len(levels) - 1, -1, -1):
+        own = F.when(fits, F.struct(F.lit(depth - k).alias("d"), F.col("p"), F.col("b"), F.col("r")))
+        level = levels[k]
+        if found is None:
+            found = level.select("p", own.alias("s"))
+        else:
+            over = found.select(F.col("p").alias("up"), F.col("s").alias("given"))
+            found = level.join(grows(over), F.shiftright(level["p"], 1) == F.col("up")).select("p", F.coalesce("given", own).alias("s"))
+        found = store(found, "directory-level")
+    return found.select(F.col("p").alias("__at"), F.col("s").isNull().alias("deeper"), F.col("s.d").alias("shard_depth"), F.col("s.p").alias("shard_prefix"), F.col("s.b").alias("shard_bytes"), F.col("s.r").alias("shard_rows"))

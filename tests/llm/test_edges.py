@@ -47,6 +47,7 @@ RUNS = {
     "mix": lambda d: mixing.mix(d, carry=d.columns),
     "take": lambda d: mixing.take(d),
     "near": lambda d: near_dup.near_duplicates(d),
+    "near_carry": lambda d: near_dup.near_duplicates(d, carry=d.columns),
     "near_drop": lambda d: near_dup.drop_near_duplicates(d),
     "license": lambda d: licenses.scan_licenses(d, carry=d.columns),
     "lang": lambda d: langid.predict(d, langid.fit(d, d["doc_id"] > 0, sample=10, windows=20, epochs=1), carry=d.columns),
@@ -99,6 +100,15 @@ def test_near_drop(docs):
     assert len(rows) == 4 + len({r[1] for r in ROWS if r[1] and r[1].split()})
 
 
+def test_near_carry_loses_no_row(docs):
+    rows = near_dup.near_duplicates(docs, carry=["text", "Kept", "source"]).collect()
+    assert [f for f in rows[0].asDict()] == ["doc_id", "n_shingles", "component_id", "kept", "text", "source"]
+    assert sorted((r["text"] or "", r["doc_id"] or -1) for r in rows) == sorted((r[1] or "", r[0] or -1) for r in ROWS)
+    plain = near_dup.near_duplicates(docs).collect()
+    key = lambda r: (r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"])
+    assert sorted(map(key, rows)) == sorted(map(key, plain))
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 

@@ -338,6 +338,49 @@ def test_dot_product_packing_keeps_limits(items, segments, loss_limit, min_cut):
         assert at == tokens[k]
 
 
+def plain_pack(tokens, loss, limits, min_cut):
+    """Dot-product packing with nothing but lists, each choice over all waiting pieces."""
+    waiting = [[t, l, k, 0] for k, (t, l) in enumerate(zip(tokens, loss))]
+    out = []
+    while waiting:
+        waiting.sort(key=lambda p: (p[0], -p[1], p[2]))
+        room, seg, bears, sequence = limits[0], limits[1], limits[2], []
+        while seg and room and waiting:
+            fitting = [p for p in waiting if p[0] <= room and p[1] <= bears]
+            if fitting:
+                p = max(fitting, key=lambda p: p[0] * room / limits[0] ** 2 + p[1] * bears / limits[2] ** 2)
+                waiting.remove(p)
+                sequence.append((p[2], p[3], p[0]))
+                room, bears, seg = room - p[0], bears - p[1], seg - 1
+                continue
+            p = max(waiting, key=lambda p: p[0])
+            head = min(room, p[0] - p[1] + bears, p[0] - 1)
+            if head < max(1, min_cut):
+                break
+            cost = max(0, head - (p[0] - p[1]))
+            sequence.append((p[2], p[3], head))
+            room, bears, seg = room - head, bears - cost, seg - 1
+            p[0], p[1], p[3] = p[0] - head, p[1] - cost, p[3] + head
+        if not sequence:
+            return None
+        out.append(sequence)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9), st.integers(1, 40), st.sampled_from([(64, 3, 64), (64, 8, 40), (64, 128, 24), (64, 2, 30)]))
+def test_dot_product_packing_chooses_as_a_plain_packer(seed, n, limits):
+    """The same number of sequences as the plain packer, and each sequence's filling by its choices, whichever limit binds."""
+    rng = np.random.default_rng(seed)
+    tokens = rng.permutation(np.arange(1, 65))[:n]  # all different: no ties between pieces
+    loss = np.minimum(tokens, rng.integers(0, limits[2] + 1, n))
+    want = plain_pack(tokens.tolist(), loss.tolist(), limits, 65)  # nothing is cut, so every choice is one of whole pieces
+    if want is not None:
+        got = packing.dot_product_pack(tokens, loss, limits, 65)
+        value = lambda seqs: [[(t, l) for t, l in ((int(tokens[k]), int(loss[k])) for k, _, _ in q)] for q in seqs]
+        assert value(got) == value(want)
+
+
 def test_packing_has_little_padding(spark):
     out = queries.op2_packing(spark, DATA).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     used = sum(r["n"] for r in out)
@@ -408,6 +451,21 @@ def test_many_shards_still_meet_the_targets(spark, rows):
     assert all(abs(r["t"] - r["target"]) <= 16 * 8 for r in sums)
 
 
+def test_one_apportionment_over_very_many_shards(spark):
+    """3000 shards of a source get the highest quotients of all of them, none more than three times its words, as a plain ranking says."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, "w " * rng.choice((1, 7, 40, 40, 41, 300)), "a" if k < 3000 else "b") for k in range(6000)], "doc_id long, text string, source string")
+    cells, taken = Counter(), Counter()
+    for r in mixing.mix(df, shard_docs=1).collect():
+        cells[r["source_size"], r["shard"]] += r["size"]
+        taken[r["source_size"], r["shard"]] += r["taken"]
+    for source in {s for s, _ in cells}:
+        own = {k: n for (s, k), n in cells.items() if s == source}
+        got = {k: taken[source, k] // 16 for k in own}
+        ranked = sorted((-n / (2 * k + 1), shard) for shard, n in own.items() for k in range(3 * n // 16))[: sum(got.values())]
+        assert got == {k: c for k, c in ({k: 0 for k in own} | Counter(k for _, k in ranked)).items()} and len(own) > 1000
+
+
 # ---- sharding -------------------------------------------------------------------------------
 def test_sharding_splits_only_what_is_too_large(spark):
     df = spark.createDataFrame([(i, "x" * ((i * 37) % 400)) for i in range(400)], "doc_id long, text string")
@@ -426,6 +484,22 @@ def test_sharding_splits_only_what_is_too_large(spark):
                 assert sum(n for d, n in size.items() if hashed[d] >> (61 - depth) == prefix >> 1) > 900
 
 
+def test_rows_that_no_bit_parts(spark):
+    """A row over the limit, and repeated rows over it, end at the first depth that holds nothing else."""
+    data = [(k, "x" * 50) for k in range(64)] + [(100, "y" * 2000)] + [(101, "z" * 400)] * 4
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for probe in (0, 6):
+        out = sharding.shard(df, limit=900, probe=probe).collect()
+        own = [r for r in out if not r["fits"]]
+        assert Counter(r["doc_id"] for r in own) == {100: 1, 101: 4} and len(out) == len(data)
+        depths = {r["doc_id"]: (r["shard_depth"], r["shard_prefix"], r["shard_bytes"]) for r in own}
+        hashed = {r["doc_id"]: r["h"] for r in df.select("doc_id", sharding.row_hash(F.col("doc_id"), F.length("text")).alias("h")).collect()}
+        for doc, (depth, prefix, size) in depths.items():
+            others = [h for d, h in hashed.items() if d != doc]
+            assert hashed[doc] >> (60 - depth) == prefix and not any(h >> (60 - depth) == prefix for h in others)
+            assert any(h >> (61 - depth) == prefix >> 1 for h in others) and size == (2000 if doc == 100 else 1600)
+
+
 # ---- quality --------------------------------------------------------------------------------
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60))
@@ -453,6 +527,16 @@ def test_frequent_lines_and_depletion(spark):
     assert 200 not in kept and kept[5]["text"] == body(5, 60) and kept[5]["n_chars"] == len(body(5, 60)) and notice in kept[201]["text"]
 
 
+def test_lines_of_a_share_of_a_large_host(spark):
+    notice = "this notice stands below some pages of the host"
+    data = [(k, " ".join(f"{VOCAB[(k + i) % 80]}{k * i}" for i in range(30)) + ("\n" + notice if k % 16 == 0 else "\n" + notice + " too" if k % 25 == 1 else ""), "h") for k in range(800)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    hit = {r["doc_id"] for r in quality.judge(df).filter("n_frequent_words > 0").collect()}
+    assert hit == set(range(0, 800, 16))  # 6 % of the texts, while 4 % stay below the share
+    hit = {r["doc_id"] for r in quality.judge(df, line_most=25).filter("n_frequent_words > 0").collect()}
+    assert hit == set(range(0, 800, 16)) | {k for k in range(800) if k % 25 == 1 and k % 16}
+
+
 # ---- html, languages, licences ----------------------------------------------------------------
 def test_html_against_an_independent_reading(spark):
     got = {r["page_id"]: r for r in queries.op3_html_extraction(spark, DATA).collect()}
@@ -511,6 +595,32 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_network_against_a_plain_forward_pass(rows):
+    """Convolution, pooling, softmax and the mean over windows, one byte and one filter at a time."""
+    net = langid.ByteCnn.fresh(["aa", "bb", "cc"], np.random.default_rng(3))
+    for b in net.biases:
+        b += np.random.default_rng(4).standard_normal(len(b)).astype(np.float32) * 0.1
+    bodies = [b"Hello there, this is a short one", (rows[0]["text"] or "x").encode()[:700], None, b"12 34"]
+    names, scores = langid.predict_texts(net, net.tables(), bodies, group=2)
+    for body, name, score in zip(bodies, names, scores, strict=True):
+        if not body or not re.search(rb"[A-Za-z]", body):
+            assert (name, score) == ("und", 0.0)
+            continue
+        low, total = body.lower(), np.zeros(3)
+        pieces = [low[i : i + 256] for i in range(0, len(low) - 255, 256)] if len(low) > 256 else [low.ljust(256)]
+        if len(low) > 256 and len(low) % 256:
+            pieces.append(low[-256:])
+        for piece in pieces:
+            pooled = []
+            for w, bank, bias in zip(langid.WIDTHS, net.banks, net.biases, strict=True):
+                responses = [np.concatenate([net.embed[c] for c in piece[i : i + w]]) @ bank + bias for i in range(256 - w + 1)]
+                pooled.append(np.maximum(np.max(responses, axis=0), 0))
+            z = np.concatenate(pooled) @ net.out + net.out_bias
+            total += z - np.log(np.exp(z).sum())
+        p = np.exp(total / len(pieces) - (total / len(pieces)).max())
+        assert name == net.langs[int(np.argmax(p))] and score == pytest.approx(float(p.max() / p.sum()), rel=1e-4)
+
+
 def test_windows_cover_the_text():
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 700, 1024):
@@ -541,6 +651,13 @@ def test_expression_of_many_choices_has_labels():
         licenses.named(licenses.to_postfix("(A OR B) WITH C"))
 
 
+def test_dangling_operator_is_passed_over():
+    a = licenses.automaton()
+    assert licenses.scan(b"SPDX-License-Identifier: MIT and\nmore", a)[3:5] == ({"mit"}, 1.0)
+    assert licenses.scan(b"SPDX-License-Identifier: MIT OR GPL-2.0 or with */", a)[3] == {"mit", "gpl"}
+    assert licenses.scan(b"SPDX-License-Identifier: and", a)[3] == set()
+
+
 def test_expression_precedence_and_errors():
     choice = licenses.evaluate(licenses.to_postfix("A OR B AND C"))
     assert choice.ways == frozenset([frozenset("A"), frozenset("BC")])
