@@ -35,7 +35,6 @@ class CloudConfig:
     area_bins: tuple[float, ...] = (0.5, 2, 5, 12, 30, 100)
     small_far: tuple[int, float] = (20, 30.0)
     sensor_radius: float = 3.0
-    most_clustered: int = 100_000
 
 
 # Size rules (name, longest side, longest shorter side, least and most height) in order.
@@ -68,9 +67,11 @@ def preprocess(points: DataFrame, frame: str, index: str, cfg: CloudConfig = Clo
     return voxel_first(points.filter(not_close(cfg.close)).filter(cropped(cfg.crop)), frame, index, cfg.voxel)
 
 
-def sensor_block(points: DataFrame, frame: str, radius: float = 3.0) -> DataFrame:
-    """Share of near points, mean and deviation of intensity over 255."""
-    near = F.col("x") ** 2 + F.col("y") ** 2 <= radius**2
+def sensor_block(points: DataFrame, frame: str, radius: float = 3.0, above_ground: str | None = None) -> DataFrame:
+    """Share of near points (above ground, where a column says which are), mean and deviation of intensity over 255."""
+    near = F.col("x") ** 2 + F.col("y") ** 2 < radius**2
+    if above_ground:
+        near = near & F.col(above_ground)
     return points.groupBy(frame).agg(F.array(F.count_if(near) / F.count(F.lit(1)), F.avg("intensity") / 255, F.stddev_pop("intensity") / 255).alias("sensor"))
 
 
@@ -88,27 +89,35 @@ def frame_blocks(xyz: np.ndarray, intensity: np.ndarray, cfg: CloudConfig) -> di
     inside = (np.abs(xyz[:, 0]) <= cfg.crop) & (np.abs(xyz[:, 1]) <= cfg.crop)
     ix, iy = (np.clip(np.floor((xyz[inside, k] + cfg.crop) / cfg.cell).astype(int), 0, n - 1) for k in (0, 1))
     out["bev"] = np.log1p(np.bincount(iy * n + ix, minlength=n * n))
-    kept = xyz[inside]
-    _, first = np.unique(np.floor(kept / cfg.voxel).astype(np.int64), axis=0, return_index=True)
-    kept = kept[np.sort(first)]
+    kept = _voxels(xyz[inside], cfg.voxel)
     plane = kernels.ground_plane(kept, **cfg.ransac)
-    above = kept if plane is None else kept[np.abs(kept @ plane[:3] + plane[3]) > cfg.ransac["threshold"]]
-    if len(above) > cfg.most_clustered:
-        above = above[np.random.default_rng(0).permutation(len(above))[: cfg.most_clustered]]
-    label = kernels.dbscan(above, cfg.eps, cfg.least_cluster)
+    above = np.ones(len(kept), bool) if plane is None else _height(kept, plane) > cfg.ransac["threshold"]
+    # without a plane nothing is told from the ground: no clusters
+    label = kernels.dbscan(kept[above], cfg.eps, cfg.least_cluster) if plane is not None else np.full(len(kept), -1)
     sizes, areas, small_far = [], [], 0
     for k in range(label.max() + 1 if len(label) else 0):
-        p = above[label == k]
+        p = kept[above][label == k]
         span = p.max(0) - p.min(0)
         sizes.append(len(p))
         areas.append(span[0] * span[1])
-        small_far += len(p) <= cfg.small_far[0] and np.hypot(*p[:, :2].mean(0)) >= cfg.small_far[1]
-    out["clusters"] = np.log1p(np.concatenate([_binned(np.asarray(sizes, float), cfg.size_bins), _binned(np.asarray(areas, float), cfg.area_bins), [small_far, len(sizes)]]))
-    near = np.hypot(above[:, 0], above[:, 1]) <= cfg.sensor_radius if len(above) else np.zeros(0, bool)
-    out["sensor"] = np.asarray([near.mean() if len(near) else 0.0, intensity.mean() / 255 if len(intensity) else 0.0, intensity.std() / 255 if len(intensity) else 0.0])
+        small_far += len(p) <= cfg.small_far[0] and np.hypot(*p[:, :2].mean(0)) > cfg.small_far[1]
+    counts = [[len(sizes)], _binned(np.asarray(sizes, float), cfg.size_bins), _binned(np.asarray(areas, float), cfg.area_bins), [small_far]]
+    out["clusters"] = np.log1p(np.concatenate(counts))
+    near = above & (np.hypot(kept[:, 0], kept[:, 1]) < cfg.sensor_radius)
+    out["sensor"] = np.asarray([near.sum() / max(len(kept), 1), intensity.mean() / 255 if len(intensity) else 0.0, intensity.std() / 255 if len(intensity) else 0.0])
     return out
 
 
+def _voxels(xyz: np.ndarray, size: float) -> np.ndarray:
+    """The first point of every voxel, in point order."""
+    _, first = np.unique(np.floor(xyz / size).astype(np.int64), axis=0, return_index=True)
+    return xyz[np.sort(first)]
+
+
+def _height(xyz: np.ndarray, plane: np.ndarray) -> np.ndarray:
+    return xyz @ plane[:3] + plane[3]
+
+
 def descriptors(points: DataFrame, frame: str = "sample_token", cfg: CloudConfig = CloudConfig()) -> DataFrame:
     """frame, n_points, keep, reason and five arrays; frames with too few points keep zero blocks."""
 
@@ -138,14 +147,22 @@ def tight_box(p: np.ndarray) -> tuple[float, float, float, float, float, float,
 
 
 def cluster_candidates(points: DataFrame, frame: str = "sample_token", cfg: CloudConfig = CloudConfig()) -> DataFrame:
-    """Boxes of clusters above ground with their points, distance and a class by size."""
+    """Boxes of clusters of voxels above ground, with the raw points above ground inside them, distance and a class by size."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         xyz = g[["x", "y", "z"]].to_numpy(float)
-        plane = kernels.ground_plane(xyz, **cfg.ransac)
-        above = xyz if plane is None else xyz[np.abs(xyz @ plane[:3] + plane[3]) > cfg.ransac["threshold"]]
-        label = kernels.dbscan(above, cfg.eps, cfg.least_cluster)
-        boxes = [(*tight_box(above[label == k]), int((label == k).sum())) for k in range(label.max() + 1 if len(label) else 0)]
+        body = (np.abs(xyz[:, 0]) < cfg.close) & (np.abs(xyz[:, 1]) < cfg.close)
+        xyz = xyz[~body & (np.abs(xyz[:, 0]) <= cfg.crop) & (np.abs(xyz[:, 1]) <= cfg.crop)]
+        voxels = _voxels(xyz, cfg.voxel)
+        plane = kernels.ground_plane(voxels, **cfg.ransac)
+        if plane is not None:
+            xyz, voxels = (p[_height(p, plane) > cfg.ransac["threshold"]] for p in (xyz, voxels))
+        label = kernels.dbscan(voxels, cfg.eps, cfg.least_cluster)
+        boxes = []
+        for k in range(label.max() + 1 if len(label) else 0):
+            own = voxels[label == k]
+            box = tight_box(own)
+            boxes.append((*box, max(int(_inside(xyz, box).sum()), len(own))))
         out = pd.DataFrame(boxes, columns=["cx", "cy", "cz", "l", "w", "h", "yaw", "pts"])
         out["dist_m"] = np.hypot(out["cx"].to_numpy(float), out["cy"].to_numpy(float))
         out = out.sort_values(["dist_m", "cx", "cy"], kind="stable").reset_index(drop=True)
@@ -158,6 +175,13 @@ def cluster_candidates(points: DataFrame, frame: str = "sample_token", cfg: Clou
     return base.withColumns({"cls_pred": size_class(F.col("l"), F.col("w"), F.col("h"), SIZE_RULES), "source": F.lit("cluster")})
 
 
+def _inside(xyz: np.ndarray, box: tuple[float, ...], slack: float = 1e-9) -> np.ndarray:
+    cx, cy, cz, l, w, h, yaw = box
+    dx, dy = xyz[:, 0] - cx, xyz[:, 1] - cy
+    u, v = dx * np.cos(yaw) + dy * np.sin(yaw), dy * np.cos(yaw) - dx * np.sin(yaw)
+    return (np.abs(u) <= l / 2 + slack) & (np.abs(v) <= w / 2 + slack) & (np.abs(xyz[:, 2] - cz) <= h / 2 + slack)
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, frame: str, box: str, slack: float = 1e-6) -> DataFrame:
     """Number of points in every rotated box of the frame."""
     met = boxes.join(points.select(frame, F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("z").alias("__z")), frame, "left")

@@ -57,11 +57,12 @@ def rarity_knn_l2(spark, d):
 
 def novelty_to_seed(spark, d):
     p = pool(spark, d)
-    return _named(sim.novelty_to_seed(p, p.filter("vec_id % 25 = 3"), "vec_id", "embedding"))
+    return _named(sim.novelty_to_seed(p, p.filter("label = 3"), "vec_id", "embedding"))
 
 
 def novelty_single_scene_gap(spark, d):
-    return _named(sim.novelty_knn(pool(spark, d).filter("label = 3"), "vec_id", "embedding", "label", "idx", 5, 4))
+    """All rows as one scene: neighbours are frames at least four away."""
+    return _named(sim.novelty_knn(pool(spark, d).withColumn("one", F.lit(1)), "vec_id", "embedding", "one", "idx", 5, 4))
 
 
 def query_best_match(spark, d):
@@ -164,7 +165,7 @@ def _cover_sql(budget: int) -> str:
 def rare_two_phase(spark, d):
     """Two-phase selection; checked by tests, since both phases rank every eligible frame."""
     p = pool(spark, d)
-    out, _ = sel.rare_select(p, "vec_id", "s", "embedding", "label", "idx", "ok", p.filter("vec_id % 5 = 0").select("vec_id"), 25)
+    out, _ = sel.rare_select(p, "vec_id", "s", "embedding", "label", "idx", "ok", p.filter("label = 0").select("vec_id"), 25)
     return out
 
 
@@ -182,8 +183,8 @@ QUERIES = {
     "novelty_knn_cosine": (novelty_knn_cosine, _knn_sql(_COS, 10, _CROSS)),
     "novelty_knn_blocks": (novelty_blocks, _knn_sql(_COS, 10, _CROSS)),
     "rarity_knn_l2": (rarity_knn_l2, _knn_sql(_L2, 10, _CROSS + " AND b.ok")),
-    "novelty_to_seed": (novelty_to_seed, _knn_sql(_L2, 1, "b.vec_id % 25 = 3")),
-    "novelty_single_scene_gap": (novelty_single_scene_gap, _knn_sql(_COS, 5, "a.label = 3 AND b.label = 3 AND abs(a.idx - b.idx) >= 4").replace("FROM p LEFT JOIN", "FROM (SELECT * FROM p WHERE label = 3) p LEFT JOIN")),
+    "novelty_to_seed": (novelty_to_seed, _knn_sql(_L2, 1, "b.label = 3")),
+    "novelty_single_scene_gap": (novelty_single_scene_gap, _knn_sql(_COS, 5, "abs(a.idx - b.idx) >= 4")),
     "query_best_match": (query_best_match, f"WITH {POOL_SQL}, q AS (SELECT a.vec_id, b.vec_id AS q, list_dot_product(a.z, b.z) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.z, b.z) DESC, b.vec_id) AS n FROM p a, p b WHERE b.vec_id IN (1, 2, 3)) SELECT vec_id, round_even(s, 6) AS qry_max, 'q' || q AS qry_best FROM q WHERE n = 1"),
     "frame_embedding_mean": (frame_embedding_mean, f"WITH {POOL_SQL}, x AS (SELECT label, vec_id % 3 = 0 AS c, unnest(z) AS x, generate_subscripts(z, 1) AS i FROM p), m AS (SELECT label, i, coalesce(avg(x) FILTER (c), avg(x)) AS m FROM x GROUP BY 1, 2), n AS (SELECT label, greatest(sqrt(sum(m * m)), 1e-12) AS n FROM m GROUP BY 1) SELECT label, " + ", ".join(f"round_even(max(m / n) FILTER (i = {k + 1}), 6) AS e{k}" for k in range(4)) + " FROM m JOIN n USING (label) GROUP BY 1"),
     "similar_pairs": (similar_pairs, f"WITH {POOL_SQL}, {_SIMILAR} SELECT a, b, round_even(cos, 6) AS cos FROM e"),

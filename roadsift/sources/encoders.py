@@ -123,24 +123,53 @@ def image_quality(gray: np.ndarray) -> tuple[float, float]:
     return float(g.mean()), float(lap.var())
 
 
-def image_features(value: np.ndarray) -> dict[str, float]:
-    """Quality features of a decoded brightness image (0 to 255); black images have veil and sharpness 0."""
-    v = value.astype(np.float64)
-    hist = np.bincount(value.ravel().astype(np.int64), minlength=256)
-    cum = np.cumsum(hist) / max(hist.sum(), 1)
-    p5, p95 = (int(np.searchsorted(cum, q)) for q in (0.05, 0.95))
-    bright = v >= 250
-    rows, cols = (np.array_split(np.arange(n), 4) for n in v.shape)
-    tiles = [v[np.ix_(r, c)].mean() for r in rows for c in cols if len(r) and len(c)]
-    _, raw = image_quality(v)
-    k = np.pad(v, 1, mode="edge")
-    smooth = sum(k[i : i + v.shape[0], j : j + v.shape[1]] for i in range(3) for j in range(3)) / 9
-    _, calm = image_quality(smooth)
-    noise = np.sqrt(np.pi / 2) * np.abs(k[:-2, :-2] - 2 * k[:-2, 1:-1] + k[:-2, 2:] - 2 * k[1:-1, :-2] + 4 * k[1:-1, 1:-1] - 2 * k[1:-1, 2:] + k[2:, :-2] - 2 * k[2:, 1:-1] + k[2:, 2:]).mean() / 6
-    blobs = blob_sizes(_dilate(bright))
+#: Size at which features are taken (columns, rows), brightness from which a pixel is saturated, and the least blob.
+FEATURE_SIZE, SATURATED, LEAST_BLOB = (448, 252), 250, 20
+# 5-tap Gaussian of sigma 1, Laplacian, and the noise mask.
+_GAUSS = np.exp(-np.arange(-2.0, 3.0) ** 2 / 2) / np.exp(-np.arange(-2.0, 3.0) ** 2 / 2).sum()
+_LAPLACE = np.asarray([[0, 1, 0], [1, -4, 1], [0, 1, 0]], float)
+_NOISE = np.asarray([[1, -2, 1], [-2, 4, -2], [1, -2, 1]], float)
+
+
+def _shares(n: int, m: int) -> np.ndarray:
+    """m x n weights that average n cells to m by area."""
+    low, high = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
+    cell = np.arange(n)[None]
+    return np.clip(np.minimum(high, cell + 1) - np.maximum(low, cell), 0, None) * m / n
+
+
+def _filtered(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Correlation with the image mirrored at its edge rows and columns."""
+    a, b = mask.shape[0] // 2, mask.shape[1] // 2
+    wide = np.pad(image, ((a, a), (b, b)), mode="reflect")
+    return sum(w * wide[i : i + image.shape[0], j : j + image.shape[1]] for (i, j), w in np.ndenumerate(mask) if w)
+
+
+def image_features(image: np.ndarray) -> dict[str, float]:
+    """The 13 quality features of a decoded image (rows x columns, or x 3 colours R, G, B; 0 to 255), taken at FEATURE_SIZE.
+
+    Brightness is the largest colour, grey the usual weighted mean.  A black image has
+    veil and sharpness 0; sharpness is the Laplacian's variance after a blur, over the
+    squared noise."""
+    image = np.asarray(image, np.float64)
+    colours = image if image.ndim == 3 else np.repeat(image[:, :, None], 3, axis=2)
+    columns, rows = FEATURE_SIZE
+    if colours.shape[:2] != (rows, columns):
+        down, across = _shares(colours.shape[0], rows), _shares(colours.shape[1], columns)
+        colours = np.rint(np.stack([down @ colours[:, :, k] @ across.T for k in range(3)], axis=2))
+    grey, v = np.rint(colours @ [0.299, 0.587, 0.114]), colours.max(axis=2)
+    reached = np.cumsum(np.bincount(v.astype(np.int64).ravel(), minlength=256))
+    p5, p95 = (int(np.searchsorted(reached, q * v.size)) for q in (0.05, 0.95))
+    bright = v >= SATURATED
+    blobs = blob_sizes(_dilate(bright)) if bright.any() else []
+    tiles = grey.reshape(4, rows // 4, 4, columns // 4).mean(axis=(1, 3))
+    noise = float(np.sqrt(np.pi / 2) * np.abs(_filtered(grey, _NOISE)[1:-1, 1:-1]).sum() / (6 * (columns - 2) * (rows - 2)))
+    blurred = np.rint(_filtered(_filtered(grey, _GAUSS[:, None]), _GAUSS[None]))
+    sharp = float(_filtered(blurred, _LAPLACE).var())
     return {
-        "v_mean": v.mean(), "v_p5": p5, "v_p95": p95, "sat_frac": bright.mean(), "blob_max_frac": max(blobs, default=0) / v.size, "blob_count": len(blobs), "tile_range": max(tiles) - min(tiles) if tiles else 0.0,
-        "veil": p5 / p95 if p95 else 0.0, "noise_sigma": noise, "lap_var_raw": raw, "lap_var_dn": calm, "sharp_ratio": calm / raw if raw else 0.0,
+        "luma_mean": float(grey.mean()), "v_mean": float(v.mean()), "v_p5": float(p5), "v_p95": float(p95), "sat_frac": float(bright.mean()), "blob_max_frac": max(blobs, default=0) / v.size,
+        "blob_count": sum(n >= LEAST_BLOB for n in blobs), "tile_range": float(tiles.max() - tiles.min()), "veil": p5 / max(p95, 1) if p95 else 0.0, "noise_sigma": noise,
+        "lap_var_raw": float(_filtered(grey, _LAPLACE).var()), "lap_var_dn": sharp, "sharp_ratio": sharp / max(noise**2, 1e-6) if p95 else 0.0,
     }
 
 

@@ -60,10 +60,19 @@ def write_table(df: DataFrame, path: str, name: str, **meta: object) -> dict[str
 def _publish(spark: SparkSession, tmp: str, path: str, manifest: dict[str, object]) -> dict[str, object]:
     src, fs = _fs(spark, tmp)
     dst, _ = _fs(spark, path)
-    if fs.exists(dst):
-        fs.delete(dst, True)
-    if not fs.rename(src, dst):
-        raise OSError(f"cannot rename {tmp} to {path}")
+    old, _ = _fs(spark, f"{path}.old-{uuid.uuid4().hex[:8]}")
+    replaced = fs.exists(dst)
+    if replaced and not fs.rename(dst, old):
+        raise OSError(f"cannot move {path} away")
+    try:
+        if not fs.rename(src, dst):
+            raise OSError(f"cannot rename {tmp} to {path}")
+    except Exception:
+        if replaced:
+            fs.rename(old, dst)
+        raise
+    if replaced:  # the former table goes only when the new one stands
+        fs.delete(old, True)
     write_json(spark, manifest, f"{path}.manifest.json")
     return manifest
 

@@ -46,7 +46,7 @@ def leases(events: DataFrame, lease_ms: int = 60_000, most_attempts: int = 3) ->
         status, attempts = state.get if state.exists else ("queued", 0)
         if state.hasTimedOut:
             status = "failed" if attempts >= most_attempts else "queued"
-            state.remove()
+            state.update((status, attempts))  # the next claim counts on
             yield pd.DataFrame({"user_id": [key[0]], "state": [status], "attempts": [attempts]})
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")

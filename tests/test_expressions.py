@@ -112,3 +112,17 @@ def test_contracts(spark):
     for bad in (good.union(good), good.withColumn("ent", F.lit(float("nan"))), good.drop("nov")):
         with pytest.raises(ContractError):
             validate(bad, "t1_signals")
+
+
+def test_parameter_domains_and_schema():
+    for bad in ({"lam": 1.5}, {"lam": -0.1}, {"k": 2}, {"k": 51}, {"tier": 1}, {"preset": "none"}, {"diversity": "none"}, {"alpha": -1.0, "beta": 2.0}, {"alpha": 0.0, "beta": 0.0}):
+        with pytest.raises(params.ParameterError):
+            params.resolve_lidar(**bad)
+    p, warnings = params.resolve_lidar(tiers=(0, 1), preset="rare_first", lam=0.0, k=3, quota_off=True)
+    assert (p.tier, p.weights, p.lam, p.k, p.per_scene, warnings) == (1, (0.8, 0.1, 0.1), 0.0, 3, None, [])
+    p, warnings = params.resolve_lidar(preset="hard_for_model")
+    assert p.weights == (1.0, 0.0, 0.0) and not warnings
+    schema = params.params_schema((0, 1))
+    fields = {f["key"]: f for f in schema["fields"]}
+    assert list(fields) == ["tier", "k", "lam", "maxPerScene", "quotaOff", "alpha", "beta", "gamma"]
+    assert (fields["k"]["min"], fields["k"]["max"], fields["tier"]["default"], schema["tierAvailable"]) == (3, 50, 1, [0, 1])

@@ -179,3 +179,59 @@ def test_rare_selection(spark):
     assert "t07" not in {r["t"] for r in got} and not {"t01", "t02"} & {r["t"] for r in got if r["selected"]}
     assert max(pd.Series([r["t"] for r in got if r["selected"]]).map({r[0]: r[3] for r in rows}).value_counts()) <= 2
     assert sel.rare_select(df.filter("false"), "t", "s", "z", "scene", "f", "ok", df.limit(0), 3)[1] == ["ELIGIBLE_ZERO"]
+
+
+def plain_mmr(score, z, scene, index, ok, budget, most, lam, per_scene, min_gap):
+    """Every free row scored anew in every step."""
+    out = []
+    while len(out) < most:
+        cap = per_scene * -(-(len(out) + 1) // budget)
+        best = None
+        for i in range(len(score)):
+            own = [r for r, _, _ in out if scene[r] == scene[i]]
+            if not ok[i] or i in [r for r, _, _ in out] or len(own) >= cap or any(abs(index[i] - index[r]) < min_gap for r in own):
+                continue
+            near = max((min(1.0, max(0.0, float(z[r] @ z[i]))) for r, _, _ in out), default=0.0)
+            utility = lam * score[i] - (1 - lam) * near
+            if best is None or utility > best[2] + 1e-12:
+                best = (i, near, utility)
+        if best is None:
+            return out
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize(("per_scene", "min_gap", "lam"), [(2, 3, 0.7), (1, 1, 0.3), (float("inf"), 2, 0.9), (1, 4, 0.5)])
+def test_mmr_against_a_plain_loop(per_scene, min_gap, lam):
+    rng = np.random.default_rng(int(min_gap))
+    z = rng.standard_normal((90, 6))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    z[40] = z[3]
+    scene, index, score, ok = np.repeat(np.arange(9), 10), np.tile(np.arange(10), 9), np.round(rng.random(90), 1), rng.random(90) > 0.2
+    got = k.mmr(score, z, scene, index, ok, 8, 30, lam, per_scene, min_gap)
+    want = plain_mmr(score, z, scene, index, ok, 8, 30, lam, per_scene, min_gap)
+    assert [r for r, _, _ in got] == [r for r, _, _ in want]
+    assert np.allclose([x[1:] for x in got], [x[1:] for x in want])
+
+
+def test_ground_is_below_what_counts():
+    """Slopes up to 0.8, all near points as inliers, returns below the plane are ground, and no plane means no clusters."""
+    rng = np.random.default_rng(0)
+    xy = rng.uniform(-20, 20, (4000, 2))
+    slope = np.column_stack([xy, -1.7 + 0.6 * xy[:, 0]])
+    plane = k.ground_plane(slope)
+    assert plane[2] == pytest.approx(1 / np.hypot(1, 0.6), abs=1e-3) and plane[0] == pytest.approx(-0.6 / np.hypot(1, 0.6), abs=1e-3)
+    assert k.ground_plane(np.column_stack([xy, 2.0 * xy[:, 0]])) is None
+    cfg = pcl.CloudConfig()
+    flat = np.column_stack([xy, np.full(4000, -1.7)])
+    below = np.column_stack([rng.uniform(5, 6, (60, 2)), rng.uniform(-4, -3, 60)])
+    car = np.column_stack([rng.uniform(9, 11, 200), rng.uniform(3, 5, 200), rng.uniform(-1, 0, 200)])
+    blocks = pcl.frame_blocks(np.concatenate([flat, below, car]), np.zeros(4260), cfg)
+    assert np.expm1(blocks["clusters"][0]) == pytest.approx(1) and len(blocks["clusters"]) == 14  # the car alone
+    near = np.column_stack([rng.uniform(1, 2, 50), rng.uniform(1, 2, 50), rng.uniform(0, 1, 50)])
+    blocks = pcl.frame_blocks(np.concatenate([flat, near]), np.full(4050, 51.0), cfg)
+    voxels = len(np.unique(np.floor(np.concatenate([flat, near]) / 0.2).astype(int), axis=0))
+    own = len(np.unique(np.floor(near / 0.2).astype(int), axis=0))
+    assert blocks["sensor"][0] == pytest.approx(own / voxels) and blocks["sensor"][1] == pytest.approx(0.2)
+    wall = np.column_stack([np.linspace(1.5, 8, 3000), rng.uniform(0, 0.01, 3000), rng.uniform(-3, 5, 3000)])
+    assert not pcl.frame_blocks(wall, np.zeros(3000), cfg)["clusters"].any()

@@ -170,3 +170,39 @@ def test_encoders(spark):
     black, flat = np.zeros((8, 8), np.uint8), np.full((8, 8), 255, np.uint8)
     assert encoders.image_features(black)["veil"] == 0 and encoders.image_features(black)["sharp_ratio"] == 0
     assert encoders.image_features(flat)["blob_count"] == 1 and encoders.image_features(flat)["sat_frac"] == 1
+
+
+def test_image_features_by_hand():
+    """13 features at 448 x 252: a white square on grey, areas, tiles and a step edge worked out by hand."""
+    image = np.full((252, 448), 100, np.uint8)
+    image[10:20, 10:20] = 255
+    image[100, 100] = 255  # dilated to 9 pixels: too small for a blob
+    f = encoders.image_features(image)
+    assert len(f) == 13 and f["blob_count"] == 1 and f["blob_max_frac"] == 144 / image.size and f["sat_frac"] == 101 / image.size
+    assert f["v_p5"] == f["v_p95"] == 100 and f["veil"] == 1.0 and f["luma_mean"] == pytest.approx((100 * (image.size - 101) + 255 * 101) / image.size)
+    assert f["tile_range"] == pytest.approx(155 * 100 / (63 * 112))
+    step = np.zeros((252, 448), np.uint8)
+    step[:, 224:] = 80
+    f = encoders.image_features(step)
+    lap = np.zeros(448)
+    lap[223], lap[224] = 80, -80
+    assert f["lap_var_raw"] == pytest.approx(lap.var()) and f["noise_sigma"] == pytest.approx(0.0) and f["sharp_ratio"] == pytest.approx(f["lap_var_dn"] / 1e-6)
+    assert f["veil"] == 0.0 and f["tile_range"] == 80
+    rgb = np.zeros((504, 896, 3), np.uint8)
+    rgb[:, :, 0] = 200
+    f = encoders.image_features(rgb)
+    assert f["v_mean"] == 200 and f["luma_mean"] == 60 and f["lap_var_raw"] == 0
+
+
+def test_a_failed_publication_leaves_the_former_table(spark, tmp_path, monkeypatch):
+    from roadsift.sources import tables
+
+    path = f"{tmp_path}/t"
+    spark.range(3).write.parquet(f"{path}.tmp-1")
+    tables._publish(spark, f"{path}.tmp-1", path, {})
+    with pytest.raises(Exception):  # noqa: B017
+        tables._publish(spark, f"{path}.tmp-missing", path, {})
+    assert spark.read.parquet(path).count() == 3
+    spark.range(5).write.parquet(f"{path}.tmp-2")
+    tables._publish(spark, f"{path}.tmp-2", path, {})
+    assert spark.read.parquet(path).count() == 5 and not list(tmp_path.glob("t.old-*"))
