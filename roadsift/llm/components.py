@@ -42,16 +42,26 @@ def _forest(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterato
         yield stars()
 
 
+#: Edges in a task of union-find, and the least number of tasks.
+EDGES, TASKS = 250_000, 4
+
+
+def _stars(edges: DataFrame) -> Stored:
+    """The same connectivity with fewer edges: each task's edges as stars, in tasks of about EDGES edges, so that few rounds are left."""
+    tasks = max(TASKS, -(-edges.count() // EDGES))
+    return Stored(edges.select("a", "b").coalesce(tasks).mapInArrow(_forest, "a long, b long"), "edges")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (a node of it) for every node of ``edges(a long, b long)``; self-loops are allowed.
 
-    Each round joins every node to the smallest of its neighbours and itself, in an
+    Each round gathers edges to stars inside tasks (union-find), joins every node to the smallest of its neighbours and itself, in an
     order that differs from round to round, and contracts.  The number of rounds is
     logarithmic in the number of nodes for ids that are hashes.  All tables of a round
     are in the shared folder; labels are found by map-side combined minima, so a node
     with very many edges is no hot spot.
     """
-    rest = Stored(edges.select("a", "b").mapInArrow(_forest, "a long, b long"), "edges")
+    rest = _stars(edges)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     maps: list[DataFrame] = []
     turn = 0
@@ -63,7 +73,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         onto = rest.df.join(grows(label.select(F.col("node").alias("a"), F.col("label").alias("x"))), "a").join(grows(label.select(F.col("node").alias("b"), F.col("label").alias("y"))), "b")
         smaller = Stored(onto.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         rest.drop()
-        rest, turn = smaller, turn + 1
+        if smaller.df.isEmpty():
+            break
+        rest, turn = _stars(smaller.df), turn + 1
+        smaller.drop()
     if not maps:
         return nodes.select("node", F.col("node").alias("component"))
     found = maps[0]
