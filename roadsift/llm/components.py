@@ -42,30 +42,35 @@ def _forest(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterato
         yield stars()
 
 
-#: Edges in a task of union-find, and the least number of tasks.
-EDGES, TASKS = 250_000, 4
+#: Edges in a task of union-find, the least number of tasks, and the number of edges up to which one task ends the work.
+EDGES, TASKS, TAIL = 250_000, 4, 20_000
 
 
-def _stars(edges: DataFrame) -> Stored:
-    """The same connectivity with fewer edges: each task's edges as stars, in tasks of about EDGES edges, so that few rounds are left."""
-    tasks = max(TASKS, -(-edges.count() // EDGES))
-    return Stored(edges.select("a", "b").coalesce(tasks).mapInArrow(_forest, "a long, b long"), "edges")
+def _stars(edges: DataFrame) -> tuple[Stored, bool]:
+    """The same connectivity with fewer edges: each task's edges as stars, in tasks of about EDGES edges, so that few rounds are left; and
+    whether these are the components themselves, because at most TAIL edges were left and one task took them all."""
+    n = edges.count()
+    tasks = 1 if n <= TAIL else max(TASKS, -(-n // EDGES))
+    return Stored(edges.select("a", "b").coalesce(tasks).mapInArrow(_forest, "a long, b long"), "edges"), tasks == 1
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (a node of it) for every node of ``edges(a long, b long)``; self-loops are allowed.
 
     Each round gathers edges to stars inside tasks (union-find), joins every node to the smallest of its neighbours and itself, in an
-    order that differs from round to round, and contracts.  The number of rounds is
-    logarithmic in the number of nodes for ids that are hashes.  All tables of a round
+    order that differs from round to round, and contracts, until few edges are left.  The
+    number of rounds is logarithmic in the number of nodes for ids that are hashes.  All tables of a round
     are in the shared folder; labels are found by map-side combined minima, so a node
     with very many edges is no hot spot.
     """
-    rest = _stars(edges)
+    rest, ended = _stars(edges)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     maps: list[DataFrame] = []
     turn = 0
     while not rest.df.isEmpty():
+        if ended:
+            maps.append(rest.df.select(F.col("b").alias("node"), F.col("a").alias("label")))
+            break
         flip = F.lit((0x5DEECE66D2B79F15 * (2 * turn + 1)) % (1 << 63) if turn else 0)
         both = rest.df.select("a", "b").union(rest.df.select("b", "a"))
         label = store(both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(flip)).alias("low")).select(F.col("a").alias("node"), F.least(F.col("low"), F.col("a").bitwiseXOR(flip)).bitwiseXOR(flip).alias("label")), "labels")
@@ -75,7 +80,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rest.drop()
         if smaller.df.isEmpty():
             break
-        rest, turn = _stars(smaller.df), turn + 1
+        (rest, ended), turn = _stars(smaller.df), turn + 1
         smaller.drop()
     if not maps:
         return nodes.select("node", F.col("node").alias("component"))
