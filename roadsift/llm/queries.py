@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import overlap
 from .exact_dedup import exact_duplicates
+from .hard_negatives import mine
 from .html_extract import extract_pages
 from .langid import fit, predict
 from .licenses import scan_licenses
@@ -17,6 +19,7 @@ from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import judge
 from .sharding import shard
+from .tiered_search import search
 
 #: Bytes of a shard of op5.
 SHARD_BYTES = 1 << 20
@@ -73,8 +76,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(_read(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, flip=F.col("vec_id") % 7 == 0)
+
+
+def op13_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_exact_dedup, op2_packing, op3_html_extraction, op4_line_dedup, op5_sharding, op6_quality_rules, op7_language_id, op8_source_mixing, op9_minhash_near_dedup, op10_license_scan)
+    found = (op1_exact_dedup, op2_packing, op3_html_extraction, op4_line_dedup, op5_sharding, op6_quality_rules, op7_language_id, op8_source_mixing, op9_minhash_near_dedup, op10_license_scan, op11_decontamination, op12_hard_negatives, op13_tiered_search)
     return {f.__name__: f for f in found}
 
 
@@ -202,5 +218,56 @@ FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n.n
 """
 
 
+_LOWER_WORDS, _WORD_TERMS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms_sql(pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql(_LOWER_WORDS)} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_terms_sql(_LOWER_WORDS)} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda k: array_to_string(w[k:k + least(len(w), 10) - 1], ' '))) AS g
+  FROM i WHERE len(w) > 0),
+dw AS (
+  SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g
+  FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n),
+m AS (SELECT r, p, dw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+h AS (SELECT r, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+t AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r
+"""
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM a JOIN v b ON a.r <> b.r),
+p AS (SELECT a, anchor_id, b, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other, b) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY score DESC, other, s.b)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql(_WORD_TERMS)} AS w FROM documents),
+g AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT r, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS r, item_id, {_terms_sql(_WORD_TERMS)} AS w FROM benchmark)),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+p AS (
+  SELECT f.r, doc_id, f.t, floor(1000 * ln((2 * g.n + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf)::BIGINT // (1000 * tf + 20 * (50 + (50 * f.n * g.n)::BIGINT // l))) AS part
+  FROM f JOIN df USING (t), g),
+s AS (SELECT i.r AS i, item_id, p.r, doc_id, sum(part)::BIGINT AS score FROM i JOIN p USING (t) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_sharding": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_sharding": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL, "op11_decontamination": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_tiered_search": OP13_SQL}
