@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import curves
+
 
 def _over(a: Column, b: Column) -> Column:
     """a / max(b, 1)."""
@@ -78,28 +79,15 @@ def matched_detections(dets: DataFrame, objects: DataFrame, key: Sequence[str],
 
 
 def average_precision(events: DataFrame, n_truth: int | None, score: str, hit: str, order: str, levels: int = 101) -> DataFrame:
-    """Interpolated AP of (score, hit) events; null without truth."""
-    if not n_truth:
-        return events.sparkSession.createDataFrame([(None,)], "ap double")
-    w = Window.partitionBy().orderBy(F.col(score).desc(), F.col(order).asc())
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tp = F.sum(F.col(hit).cast("long")).over(upto)
-    curve = events.select(F.row_number().over(w).alias("i"), (tp / F.lit(n_truth)).alias("recall"), (tp / F.row_number().over(w)).alias("precision"))
-    # the envelope from the right; then each distinct recall's best precision stands for its levels
-    env = curve.withColumn("envelope", F.max("precision").over(Window.partitionBy().orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    steps = env.groupBy("recall").agg(F.max("envelope").alias("p")).withColumn("before", F.coalesce(F.lag("recall").over(Window.partitionBy().orderBy("recall")), F.lit(-1.0)))
-    top = float(levels - 1)
-    covered = F.floor(F.col("recall") * top + 1e-9) - F.when(F.col("before") < 0, F.lit(-1)).otherwise(F.floor(F.col("before") * top + 1e-9))
-    return steps.agg((F.coalesce(F.sum(F.col("p") * covered), F.lit(0.0)) / F.lit(float(levels))).alias("ap"))
+    """Interpolated AP of (score, hit) events; null without truth.  Cumulative sums go by value ranges (``curves.py``)."""
+    value = curves.average_precision(events, n_truth, score, hit, order, levels) if n_truth else None
+    return events.sparkSession.createDataFrame([(value,)], "ap double")
 
 
 def auroc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """Rank-sum AUROC with average ranks; 0.5 when a class is missing."""
-    own = Window.partitionBy(score)
-    rank = F.rank().over(Window.partitionBy().orderBy(score)) + (F.count(F.lit(1)).over(own) - 1) / 2
-    sums = df.select(rank.alias("r"), F.col(positive).alias("p")).agg(F.sum(F.when(F.col("p"), F.col("r"))).alias("s"), F.count_if("p").alias("np"), F.count_if(~F.col("p")).alias("nn"))
-    value = F.try_divide(F.col("s") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn"))
-    return sums.select(F.when((F.col("np") == 0) | (F.col("nn") == 0), F.lit(0.5)).otherwise(value).alias("auroc"))
+    ranks, p, n = curves.rank_sum(df, score, positive)
+    return df.sparkSession.createDataFrame([((ranks - p * (p + 1) / 2) / (p * n) if p and n else 0.5,)], "auroc double")
 
 
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -200,24 +188,9 @@ def judge_validity(objects: DataFrame, score: str, struggle: str, easy: Column,
     return out.select("easy_recall", "ratio", "auroc", ((F.col("easy_recall") >= recall_floor) & (F.col("ratio") >= ratio) & (F.col("auroc") > 0.5)).alias("valid"))
 
 
-def bootstrap_ap(events: DataFrame, scenes: DataFrame, draws: DataFrame, scene: str, score: str, hit: str) -> DataFrame:
-    """AP of every bootstrap replicate: events (scene, score, hit) with weights from the draws; ``scenes`` holds n_truth. One replicate is one group."""
-    met = draws.join(events.select(scene, score, hit), scene, "left").join(scenes.select(scene, "n_truth"), scene)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        truth = int((g.drop_duplicates(scene)["weight"] * g.drop_duplicates(scene)["n_truth"]).sum())
-        g = g.dropna(subset=[score]).sort_values([score, scene], ascending=[False, True], kind="stable")
-        w, h = g["weight"].to_numpy(), g[hit].to_numpy(bool)
-        tp, n = np.cumsum(w * h), np.cumsum(w)
-        if not truth:
-            return pd.DataFrame({"b": [int(g["b"].iloc[0])] if len(g) else [], "ap": [None] if len(g) else []})
-        recall, precision = tp / truth, tp / np.maximum(n, 1)
-        envelope = np.maximum.accumulate(precision[::-1])[::-1] if len(g) else precision
-        at = np.searchsorted(recall, np.linspace(0, 1, 101) - 1e-12)
-        ap = float(np.where(at < len(envelope), np.append(envelope, 0.0)[np.minimum(at, len(envelope))], 0.0).mean())
-        return pd.DataFrame({"b": [int(g["b"].iloc[0])] if len(g) else [-1], "ap": [ap]})
-
-    return met.groupBy("b").applyInPandas(one, "b long, ap double")
+def bootstrap_ap(events: DataFrame, scenes: DataFrame, draws: DataFrame, scene: str, score: str, hit: str, order: str | None = None) -> DataFrame:
+    """b, ap of every bootstrap replicate: events (scene, score, hit) with weights from the draws; ``scenes`` holds n_truth; null without truth."""
+    return curves.weighted_average_precision(events, scenes, draws, scene, score, hit, order)
 
 
 def report_verdict(low: Column, high: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ContractError, duplicate_keys
+from ..scratch import written
 
 
 def require_unique(df: DataFrame, key: Sequence[str], what: str = "table") -> DataFrame:
@@ -125,18 +126,27 @@ def adjacent_speed(df: DataFrame, instance: str = "instance_token", time: str =
     return F.when(dt > 0, F.sqrt(dx * dx + dy * dy) / dt)
 
 
-def chain_walk(spark, nodes: DataFrame, starts: DataFrame, token: str, following: str, start: str, most: int = 10_000) -> DataFrame:  # type: ignore[no-untyped-def]
-    """Follows ``following`` from every start: (start columns, token, position from 0), by a recursive query."""
-    nodes.select(F.col(token).alias("token"), F.col(following).alias("following")).createOrReplaceTempView("__chain_nodes")
-    starts.select(F.col(start).alias("first")).distinct().createOrReplaceTempView("__chain_starts")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(first, token, position) MAX RECURSION LEVEL {most} AS (
-              SELECT first, first, 0 FROM __chain_starts
-              UNION ALL
-              SELECT w.first, n.following, w.position + 1 FROM walk w JOIN __chain_nodes n ON w.token = n.token
-              WHERE n.following IS NOT NULL AND n.following <> '')
-            SELECT first, token, position FROM walk"""
-    )
+def chain_walk(spark, nodes: DataFrame, starts: DataFrame, token: str, following: str, start: str) -> DataFrame:  # type: ignore[no-untyped-def]
+    """Follows ``following`` from every start: (first, token, position from 0); a null or empty ``following`` ends a chain.
+
+    Pointer doubling: a jump table leads 2^k nodes ahead, and a round takes all walks of up
+    to 2^k nodes twice as far, so a chain of n nodes takes log2(n) joins of the jump table
+    with itself and with the walks.  A chain longer than the table has nodes is a cycle."""
+    ahead = F.col(following).cast("string")
+    jump = written(nodes.select(F.col(token).alias("token"), F.when(ahead != "", F.col(following)).alias("to")).filter("to is not null"), "jumps")
+    walk = starts.select(F.col(start).alias("first")).distinct().select("first", F.col("first").alias("token"), F.lit(0).cast("long").alias("position"))
+    n, step = jump.count(), 1
+    while n:
+        far = written(walk.join(jump.hint("merge"), "token").select("first", F.col("to").alias("token"), (F.col("position") + step).alias("position")), "walks")
+        if far.isEmpty():
+            break
+        if step > n:
+            raise ValueError("the chain has a cycle")
+        walk = walk.unionByName(far)
+        onward = jump.select(F.col("token").alias("to"), F.col("to").alias("next")).hint("merge")
+        jump = written(jump.join(onward, "to").select("token", F.col("next").alias("to")), "jumps")
+        step *= 2
+    return walk.select("first", "token", F.col("position").cast("int").alias("position"))
 
 
 def by_time_position(df: DataFrame, scene: Sequence[str], order: Sequence[str], out: str = "frame_idx") -> DataFrame:

@@ -1,23 +1,28 @@
 """Subset selection: top-k, quotas, MMR, core-sets, coverage, random baselines.
 
-Orders and quotas are DataFrame plans.  Greedy selectors are sequential by nature; they
-run on the driver over the pool of eligible frames (one row a frame, checked against
-``kernels.POOL_ROWS``) and give their result back as a DataFrame.
+Orders and quotas are DataFrame plans.  Greedy selectors (``greedy.py``) keep the pool on
+the executors; the driver chooses among a bounded frontier a round and gives the result
+back as a DataFrame.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import bround6, robust_minmax
-from . import kernels
-from .aggregates import exact_percentiles
+from ..functions.vectors import FLOOR
+from ..scratch import written
+from . import greedy
+from .aggregates import exact_percentiles, spaced_count
+
+#: Chosen rows that the driver holds before they are written away.
+FLUSH = 100_000
 
 
 def budget_rows(df: DataFrame, fraction: float, floor: bool = True) -> Column:
@@ -91,53 +96,63 @@ def minmax_score(df: DataFrame, parts: Sequence[tuple[str, float]], keep: str, o
     return df.withColumn(out, bround6(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))))
 
 
-def _pool(df: DataFrame, columns: Sequence[str], order: str) -> pd.DataFrame:
-    if df.count() > kernels.POOL_ROWS:
-        raise ValueError(f"the pool has more than {kernels.POOL_ROWS} rows; select per partition of scenes first")
-    return df.select(*columns).toPandas().sort_values(order, kind="stable").reset_index(drop=True)
-
-
-def _vectors(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 1))
-
-
-def _result(df: DataFrame, token: str, rows: list[tuple], extra: str = "") -> DataFrame:
-    kind = df.schema[token].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"{token} {kind}, rank int{extra}")
+def _result(df: DataFrame, token: str, rounds: Iterable[list[tuple]], extra: str = "") -> tuple[DataFrame, int]:
+    """(token, rank and what else a choice carries) of all rounds, and how many rows that are."""
+    spark, schema = df.sparkSession, f"{token} {df.schema[token].dataType.simpleString()}, rank int{extra}"
+    parts: list[DataFrame] = []
+    rows: list[tuple] = []
+    n = 0
+    for chosen in rounds:
+        for first, *more in chosen:
+            n += 1
+            rows.append((first, n, *more))
+        if len(rows) >= FLUSH:
+            parts.append(written(spark.createDataFrame(rows, schema), "chosen"))
+            rows = []
+    out = spark.createDataFrame(rows, schema)
+    for part in parts:
+        out = out.unionByName(part)
+    return out, n
 
 
 def mmr_select(
     df: DataFrame, token: str, score: str, vector: str, scene: str, index: str, budget: int, ok: str | None = None, most: int | None = None, lam: float = 0.7, per_scene: int | None = 4, min_gap: int = 1, relax: bool = False,
+    frontier: int = greedy.FRONTIER,
 ) -> tuple[DataFrame, list[str]]:
     """(token, rank, max_sim, mmr_util) and warnings.
 
     With ``relax`` the quota first rises to the least that can fill the budget, then by one
     while picks fall short, then the gap halves; each step is a warning."""
-    pool = _pool(df, [token, score, vector, scene, index, *([ok] if ok else [])], token)
-    s = np.round(pool[score].to_numpy(np.float64), 6)
-    z, scenes, idx = _vectors(pool[vector]), pool[scene].to_numpy(), pool[index].to_numpy(np.int64)
-    good = pool[ok].to_numpy(bool) if ok else np.ones(len(pool), bool)
+    good = df.filter(F.coalesce(F.col(ok), F.lit(False))) if ok else df
+    pool = written(
+        good.select(F.col(token).alias("token"), F.col(scene).alias("scene"), F.col(index).cast("long").alias("idx"), (F.rint(F.col(score).cast("double") * 1e6) / 1e6).alias("s"), F.col(vector).cast("array<double>").alias("v")), "pool"
+    )
     most = most or budget
     warnings: list[str] = []
     m: float = math.inf if per_scene is None else per_scene
+    eligible = pool.count()
+
+    def run() -> tuple[DataFrame, int]:
+        return _result(df, token, greedy.mmr(pool, budget, most, lam, m, min_gap, frontier) if eligible else (), ", max_sim double, mmr_util double")
 
-    def run() -> list[tuple[int, float, float]]:
-        return kernels.mmr(s, z, scenes, idx, good, budget, most, lam, m, min_gap)
+    def fitting() -> Counter:
+        """How many scenes have room for how many spaced frames."""
+        return Counter({r["n"]: r["scenes"] for r in spaced_count(pool, "scene", "idx", min_gap).groupBy("n").agg(F.count(F.lit(1)).alias("scenes")).collect()})
 
-    if relax and per_scene is not None and good.any():
-        fits = {c: kernels.spaced(idx[good & (scenes == c)], min_gap) for c in np.unique(scenes[good])}
-        while sum(fits.values()) < min(budget, int(good.sum())) and min_gap > 1:
+    if relax and per_scene is not None and eligible:
+        fits = fitting()
+        while sum(f * c for f, c in fits.items()) < min(budget, eligible) and min_gap > 1:
             min_gap //= 2
             warnings.append(f"min_gap lowered to {min_gap}")
-            fits = {c: kernels.spaced(idx[good & (scenes == c)], min_gap) for c in fits}
+            fits = fitting()
         start = m
-        while sum(min(m, f) for f in fits.values()) < min(budget, sum(fits.values())):
+        while sum(min(m, f) * c for f, c in fits.items()) < min(budget, sum(f * c for f, c in fits.items())):
             m += 1
         if m > start:
             warnings.append(f"per-scene quota raised to {m:.0f}")
-    picks = run() if len(pool) and budget else []
-    while relax and per_scene is not None and len(picks) < min(budget, int(good.sum())):
-        if m < max(fits.values()):
+    picks, n = run()
+    while relax and per_scene is not None and n < min(budget, eligible):
+        if m < max(fits):
             m += 1
             warnings.append(f"per-scene quota raised to {m:.0f}")
         elif min_gap > 1:
@@ -145,39 +160,33 @@ def mmr_select(
             warnings.append(f"min_gap lowered to {min_gap}")
         else:
             break
-        picks = run()
-    tokens = pool[token].tolist()
-    return _result(df, token, [(tokens[i], r, a, u) for r, (i, a, u) in enumerate(picks, 1)], ", max_sim double, mmr_util double"), warnings
+        picks, n = run()
+    return picks, warnings
 
 
-def coreset_l2(df: DataFrame, token: str, vector: str, start_score: str, budget: int) -> DataFrame:
+def coreset_l2(df: DataFrame, token: str, vector: str, start_score: str, budget: int, frontier: int = greedy.FRONTIER) -> DataFrame:
     """k-center greedy from the highest score."""
-    pool = _pool(df, [token, vector, start_score], token)
-    if not len(pool):
-        return _result(df, token, [])
-    chosen = kernels.k_center(_vectors(pool[vector]), int(np.argmax(pool[start_score].to_numpy(np.float64))), budget)
-    return _result(df, token, [(pool[token].tolist()[i], r) for r, i in enumerate(chosen, 1)])
+    pool = written(df.select(F.col(token).alias("token"), F.col(vector).cast("array<double>").alias("v"), F.col(start_score).cast("double").alias("s")), "pool")
+    return _result(df, token, greedy.k_center(pool, F.col("s").desc(), budget, "l2", frontier))[0]
 
 
-def coreset_cosine(df: DataFrame, token: str, vector: str, budget: int) -> DataFrame:
+def coreset_cosine(df: DataFrame, token: str, vector: str, budget: int, frontier: int = greedy.FRONTIER) -> DataFrame:
     """k-center greedy on cosine distance, from the row farthest from the normalised mean."""
-    pool = _pool(df, [token, vector], token)
-    if not len(pool):
-        return _result(df, token, [])
-    z = _vectors(pool[vector])
-    z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    mean = z.mean(0)
-    mean = mean / max(float(np.linalg.norm(mean)), 1e-12)
-    chosen = kernels.k_center(z, int(np.argmax(1 - z @ mean)), budget, "cosine")
-    return _result(df, token, [(pool[token].tolist()[i], r) for r, i in enumerate(chosen, 1)])
-
-
-def max_cover(df: DataFrame, token: str, instance: str, budget: int, frames: DataFrame | None = None) -> DataFrame:
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    raw = df.select(F.col(token).alias("token"), F.col(vector).cast("array<double>").alias("v"))
+    pool = written(raw.select("token", F.transform("v", lambda x: x / F.greatest(length, F.lit(1e-12))).alias("v")), "pool")
+    means = pool.select(F.posexplode("v").alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m")).orderBy("p").collect()  # a row a dimension
+    mean = np.asarray([r["m"] for r in means])
+    mean = mean / max(float(np.linalg.norm(mean)), FLOOR) if len(mean) else mean
+    towards = F.aggregate(F.zip_with("v", F.lit(mean.tolist()), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return _result(df, token, greedy.k_center(pool, towards.asc(), budget, "cosine", frontier))[0]
+
+
+def max_cover(df: DataFrame, token: str, instance: str, budget: int, frames: DataFrame | None = None, frontier: int = greedy.FRONTIER) -> DataFrame:
     """Greedy cover of instances by frames: (token, rank, gain)."""
-    rows = (frames if frames is not None else df).select(token).distinct().join(df.groupBy(token).agg(F.collect_set(instance).alias("__c")), token, "left")
-    pool = _pool(rows, [token, "__c"], token)
-    covers = [set(c) if c is not None else set() for c in pool["__c"]]
-    return _result(df, token, [(pool[token].tolist()[i], r, g) for r, (i, g) in enumerate(kernels.max_cover(pool[token].tolist(), covers, budget), 1)], ", gain int")
+    covers = df.select(F.col(token).alias("token"), F.col(instance).alias("inst"))
+    rows = (frames if frames is not None else df).select(F.col(token).alias("token"))
+    return _result(df, token, greedy.max_cover(covers, rows, budget, frontier), ", gain int")[0]
 
 
 def label_oracle(df: DataFrame, rare: str, n_cells: str, token: str, budget: int, seed: int = 0) -> DataFrame:
@@ -195,7 +204,7 @@ def track_penalty(objects: DataFrame, frame: str, track: str, score: str) -> Dat
 
 
 def rare_select(
-    df: DataFrame, token: str, score: str, vector: str, scene: str, index: str, eligible: str, penalised: DataFrame, budget: int, lam: float = 0.7, per_scene: int | str | None = "even",
+    df: DataFrame, token: str, score: str, vector: str, scene: str, index: str, eligible: str, penalised: DataFrame, budget: int, lam: float = 0.7, per_scene: int | str | None = "even", frontier: int = greedy.FRONTIER,
 ) -> tuple[DataFrame, list[str]]:
     """Two phases of MMR over the eligible frames: unpenalised with a quota, then the rest with halved scores and none.
 
@@ -204,19 +213,21 @@ def rare_select(
     pool = df.filter(eligible)
     n = pool.count()
     if not n:
-        return _result(df, token, [], ", selected boolean, explore boolean"), ["ELIGIBLE_ZERO"]
+        kind = df.schema[token].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], f"{token} {kind}, rank int, selected boolean, explore boolean"), ["ELIGIBLE_ZERO"]
     warnings = ["ELIGIBLE_LT_B"] if n < budget else []
     budget = min(budget, n)
     if per_scene == "even":
         per_scene = -(-budget // pool.select(scene).distinct().count())
-    marked = pool.join(penalised.select(token).withColumn("__p", F.lit(True)), token, "left").withColumn("__p", F.coalesce("__p", F.lit(False)))
-    first, _ = mmr_select(marked.filter("not __p"), token, score, vector, scene, index, budget, None, n, lam, per_scene, 1)
-    a = [r[0] for r in first.orderBy("rank").select(token).collect()]
+    marked = written(pool.join(penalised.select(token).distinct().withColumn("__p", F.lit(True)), token, "left").withColumn("__p", F.coalesce("__p", F.lit(False))), "eligible")
+    first, _ = mmr_select(marked.filter("not __p"), token, score, vector, scene, index, budget, None, n, lam, per_scene, 1, frontier=frontier)
+    ahead = first.count()
     rest = marked.join(first, token, "left_anti").withColumn("__s", F.when(F.col("__p"), F.col(score) * 0.5).otherwise(F.col(score)))
-    second, _ = mmr_select(rest, token, "__s", vector, scene, index, max(1, n - len(a)), None, n, lam, None, 1)
-    order = a + [r[0] for r in second.orderBy("rank").select(token).collect()]
-    pure = {r[0] for r in top_k(pool, score, token, budget).select(token).collect()}
-    return _result(df, token, [(t, r, r <= budget, r <= budget and t not in pure) for r, t in enumerate(order, 1)], ", selected boolean, explore boolean"), warnings
+    second, _ = mmr_select(rest, token, "__s", vector, scene, index, max(1, n - ahead), None, n, lam, None, 1, frontier=frontier)
+    order = first.select(token, "rank").unionByName(second.select(token, (F.col("rank") + ahead).alias("rank")))
+    pure = top_k(pool, score, token, budget).select(token).withColumn("__pure", F.lit(True))
+    chosen = F.col("rank") <= budget
+    return order.join(pure, token, "left").select(token, "rank", chosen.alias("selected"), (chosen & F.col("__pure").isNull()).alias("explore")), warnings
 
 
 def prefix(ranking: DataFrame, pool: DataFrame, token: str, budget: int, rank: str = "rank") -> DataFrame:

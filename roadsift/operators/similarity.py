@@ -1,10 +1,11 @@
 """Vector operators: exact cross-scene neighbours in blocks, similarity joins, duplicate groups, embeddings.
 
-Exact nearest neighbours compare every query with every candidate.  Up to
-``BROADCAST_BYTES`` of candidate vectors (a checked size) the matrix is broadcast and each
-Arrow batch is one matrix product.  Beyond it queries and candidates are dealt into
-blocks of bounded rows; a pair of blocks is one task that returns the k best of each
-query, and the k best over all blocks are merged by an aggregation.
+Up to ``BROADCAST_BYTES`` of candidate vectors (a checked size) the matrix is broadcast
+and each Arrow batch is one matrix product.  Beyond it a pivot index (``pivots.py``) cuts
+queries and candidates into blocks of near rows.  A few near blocks give every query a
+bound on its k-th distance; then only block pairs that triangle bounds cannot rule out are
+compared.  Similarity joins skip block pairs by the same bounds, and equal vectors are one
+row there, so a crowd of copies makes no pairs among itself.
 """
 
 from __future__ import annotations
@@ -13,14 +14,20 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import FLOOR
+from ..scratch import written
+from .pivots import BLOCK_ROWS, Block, PivotIndex, Summaries
 
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 8192
+#: Near blocks that give a query block its first bounds.
+SEEDS = 3
+#: Edges up to which one task ends the search for connected groups.
+TAIL = 20_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -44,12 +51,13 @@ def _smallest(values: np.ndarray, k: int) -> list[list[float]]:
 
 def knn_distances(
     queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", scene: str | None = None, index: str | None = None, min_gap: int = 0,
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, report: dict[str, int] | None = None,
 ) -> DataFrame:
     """``key`` and ``near``: the k smallest distances of each query, ascending.
 
     With ``scene`` candidates of the query's scene are left out; with ``index`` instead,
-    candidates of the scene nearer than ``min_gap`` frames are."""
+    candidates of the scene nearer than ``min_gap`` frames are.  ``report`` receives the
+    number of block pairs and of those compared where the pivot index is used."""
     spark = queries.sparkSession
     extra = [c for c in (scene, index) if c]
     q = queries.select(F.col(key), F.col(vector).cast("array<double>").alias("__v"), *[F.col(c).cast("string" if c == scene else "long").alias(f"__{i}") for i, c in enumerate(extra)])
@@ -81,20 +89,83 @@ def knn_distances(
                 yield pd.DataFrame({key: b[key], "near": near(b, cm, cx) if len(cm) else [[]] * len(b)})
 
         return q.mapInPandas(one, schema)
-    blocks = -(-n // block_rows)
-    q_blocks = max(1, -(-queries.count() // block_rows))
-    hashed = lambda cols, m: F.pmod(F.xxhash64(*cols), F.lit(m)).cast("int")
-    dealt_q = q.withColumn("__q", hashed([key], q_blocks)).withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt_c = c.withColumn("__c", hashed(["__v"], blocks)).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def pair(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs):
-            return pd.DataFrame({key: [], "near": []})
-        cx = [cs[f"__{i}"].to_numpy(object if x == scene else np.int64) for i, x in enumerate(extra)]
-        return pd.DataFrame({key: qs[key], "near": near(qs, _matrix(cs["__v"]), cx) if len(cs) else [[]] * len(qs)})
+    return _knn_by_pivots(q, c, key, schema, k, metric, bool(scene), bool(index), min_gap, block_rows, report)
+
+
+def _knn_by_pivots(q: DataFrame, c: DataFrame, key: str, schema: T.StructType, k: int, metric: str, by_scene: bool, by_index: bool, min_gap: int, block_rows: int, report: dict[str, int] | None) -> DataFrame:
+    """The k smallest distances by a pivot index: seeds, a bound a query, then the block pairs within it."""
+    extra = [f"__{i}" for i in range(by_scene + by_index)]
+    there = PivotIndex.build(c, "__v", extra, block_rows=block_rows)
+    here = PivotIndex.build(q, "__v", [key, *extra], there.pivots, block_rows)
+    if not there.count:
+        return q.select(key, F.array().cast("array<double>").alias("near"))
+
+    def nearest(a: Summaries, b: Summaries, gap: np.ndarray) -> np.ndarray:
+        middle = np.zeros_like(gap)
+        for p in range(a.low.shape[1]):
+            middle = np.maximum(middle, np.abs((a.low[:, p] + a.high[:, p])[:, None] - (b.low[:, p] + b.high[:, p])[None]) / 2)
+        out = np.zeros(gap.shape, bool)
+        out[np.arange(len(gap))[:, None], np.argsort(middle, axis=1, kind="stable")[:, :SEEDS]] = True
+        return out
 
-    parts = dealt_q.groupBy("__q", "__c").cogroup(dealt_c.groupBy("__q", "__c")).applyInPandas(pair, schema)
-    return parts.groupBy(key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    def within(a: Summaries, b: Summaries, gap: np.ndarray) -> np.ndarray:
+        """a.norm holds the largest k-th distance so far of the block's queries."""
+        if metric == "cosine":  # |q| is no longer at hand: a block's own norm stands beside the bound
+            return 1.0 - (own_norm + b.norm[None] - gap * gap) / 2 <= a.norm[:, None] + 1e-9
+        return gap <= a.norm[:, None]
+
+    own_norm = float(here.blocks.agg(F.coalesce(F.max("norm"), F.lit(0.0))).first()[0])
+
+    def compare(one: Block, other: Block) -> pa.Table:
+        keys, others = one.keys, other.keys
+        bound = np.frombuffer(one.more.as_buffer(), np.float64) if one.more is not None and one.more.is_valid else np.full(len(one.vectors), np.inf)
+        rows, near = [], []
+        for at in range(0, len(one.vectors), 1024):
+            d = _distances(metric, one.vectors[at : at + 1024], other.vectors)
+            if by_scene:
+                same = keys.column("__0").to_numpy(zero_copy_only=False)[at : at + 1024, None] == others.column("__0").to_numpy(zero_copy_only=False)[None]
+                if by_index:
+                    same &= np.abs(keys.column("__1").to_numpy()[at : at + 1024, None] - others.column("__1").to_numpy()[None]) < min_gap
+                d[same] = np.inf
+            d[d > bound[at : at + 1024, None]] = np.inf
+            near += _smallest(d, k)
+            rows += range(at, at + len(d))
+        full = [i for i, x in enumerate(near) if x]
+        return pa.table({"a": pa.array([one.number] * len(full), pa.int64()), "pos": pa.array([rows[i] for i in full], pa.int32()), "near": pa.array([near[i] for i in full], pa.list_(pa.float64()))})
+
+    kind = "a long, pos int, near array<double>"
+
+    def best(found: DataFrame) -> DataFrame:
+        flat = found.select("a", "pos", F.explode("near").alias("d"))
+        first = flat.withColumn("n", F.row_number().over(Window.partitionBy("a", "pos").orderBy("d"))).filter(F.col("n") <= k)
+        return first.groupBy("a", "pos").agg(F.array_sort(F.collect_list("d")).alias("near"))
+
+    seeds = written(here.pairs(there, nearest), "seed-pairs")
+    first = written(best(here.met(there, seeds, compare, kind)), "seed-neighbours")
+    places = here.blocks.select(F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.col("rows").cast("int") - 1)).alias("pos"))
+    bounds = places.join(first, ["a", "pos"], "left").select("a", "pos", F.when(F.size("near") >= k, F.element_at("near", k)).otherwise(F.lit(float("inf"))).alias("bound"))
+    of_block = written(bounds.groupBy("a").agg(F.max("bound").alias("radius"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "bound"))), lambda x: x["bound"]).alias("bounds")), "bounds")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array([np.asarray(x, np.float64).tobytes() for x in batch.column("bounds").to_pylist()], pa.binary())], names=["block", "more"])
+
+    rest = written(here.pairs(there, within, of_block.select(F.col("a").alias("block"), "radius")).join(seeds, ["a", "b"], "left_anti"), "rest-pairs")
+    if report is not None:
+        report |= {"pairs": here.blocks.count() * there.blocks.count(), "compared": seeds.count() + rest.count()}
+    second = here.met(there, rest, compare, kind, of_block.select("a", "bounds").mapInArrow(pack, "block long, more binary"))
+    near = best(first.unionByName(second))
+    key_type = schema[key].dataType
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, packed in zip(batch.column("block").to_pylist(), batch.column("keys"), strict=True):
+                with pa.ipc.open_stream(packed.as_buffer()) as source:
+                    t = source.read_all().combine_chunks()
+                yield from pa.table({"a": pa.array([number] * t.num_rows, pa.int64()), "pos": pa.array(np.arange(t.num_rows, dtype=np.int32)), key: t.column(key)}).to_batches()
+
+    named = here.blocks.select("block", "keys").mapInArrow(keys, T.StructType([T.StructField("a", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField(key, key_type)]))
+    return named.join(near, ["a", "pos"], "left").select(key, F.coalesce("near", F.array().cast("array<double>")).alias("near"))
 
 
 def _mean_or_zero(near: DataFrame, key: str, out: str) -> DataFrame:
@@ -131,60 +202,117 @@ def query_scores(df: DataFrame, key: str, vector: str, queries: Sequence[tuple[s
     return scored.select(key, F.array_max("__s").alias("qry_max"), F.element_at(ids, F.array_position("__s", F.array_max("__s")).cast("int")).alias("qry_best"))
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, theta: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All pairs a < b with cosine above ``theta`` (strict), compared in blocks of bounded rows."""
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")})
-    kind = df.schema[key].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cos", T.DoubleType())])
+def vector_classes(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """class (smallest key), members, v (the vector) of each distinct vector; rows without a vector have none."""
+    rows = df.select(F.col(key).alias("__k"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
+    return rows.groupBy("v").agg(F.min("__k").alias("class"), F.count(F.lit(1)).alias("members"))
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        left, right = g[g["b"] == g["x"].iloc[0]], g[g["b"] == g["y"].iloc[0]]
-        same = g["x"].iloc[0] == g["y"].iloc[0]
-        out = []
-        cm, ck = _matrix(right["v"]), right["k"].to_numpy()
-        lk = left["k"].to_numpy()
-        for a in range(0, len(left), 1024):
-            s = _matrix(left["v"].iloc[a : a + 1024]) @ cm.T if len(cm) else np.empty((0, 0))
+
+def _class_pairs(classes: DataFrame, theta: float, block_rows: int, report: dict[str, int] | None) -> DataFrame:
+    """a < b, cos: the classes whose vectors' inner product is above ``theta``."""
+    index = PivotIndex.build(classes, "v", ["class"], block_rows=block_rows)
+    kind = classes.schema["class"].dataType
+
+    def may(a: Summaries, b: Summaries, gap: np.ndarray) -> np.ndarray:
+        most = (a.norm[:, None] + b.norm[None] - gap * gap) / 2
+        return (most > theta - 1e-9 * (1 + np.abs(most))) & (a.block[:, None] <= b.block[None])
+
+    def compare(one: Block, other: Block) -> pa.Table:
+        same, lk, rk = one.number == other.number, one.keys.column("class"), other.keys.column("class")
+        left, right, cos = [], [], []
+        for at in range(0, len(one.vectors), 1024):
+            s = one.vectors[at : at + 1024] @ other.vectors.T
             i, j = np.nonzero(s > theta)
-            p, q = lk[a + i], ck[j]
-            keep = p < q if same else p != q
-            p, q, c = p[keep], q[keep], s[i, j][keep]
-            out.append(pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "cos": c}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "cos": []})
-
-    return dealt.groupBy("x", "y").applyInPandas(pairs, schema)
-
-
-def connected_groups(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
-    """``key`` and ``group``: smallest key that can be reached, by min-label propagation with pointer jumping; tables are checkpointed."""
-    spark = nodes.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = nodes.select(F.col(key).alias("k"), F.col(key).alias("g"))
-    for _ in range(most_rounds):
-        low = both.join(label.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.min("g").alias("m"))
-        new = label.join(low, label["k"] == low["a"], "left").select("k", "g", F.least("g", "m").alias("h"))
-        jump = new.select(F.col("k").alias("h"), F.col("h").alias("j"))
-        new = keep(new.join(jump, "h", "left").select("k", F.least("h", "j").alias("h"), "g"))
-        done = new.filter("g <> h").isEmpty()
-        label = new.select("k", F.col("h").alias("g"))
-        if done:
-            return label.select(F.col("k").alias(key), F.col("g").alias("group"))
-    raise RuntimeError("groups did not settle; raise most_rounds")
-
-
-def duplicate_groups(df: DataFrame, key: str, vector: str, theta: float = 0.95) -> DataFrame:
-    return connected_groups(df, similar_pairs(df, key, vector, theta), key)
-
-
-def pair_redundancy(df: DataFrame, key: str, vector: str, theta: float = 0.95) -> DataFrame:
-    """Share of pairs of a selection above theta; 0 for fewer than two rows."""
+            keep = at + i < j if same else np.ones(len(i), bool)
+            left.append(at + i[keep])
+            right.append(j[keep])
+            cos.append(s[i[keep], j[keep]])
+        p, q = lk.take(pa.array(np.concatenate(left))), rk.take(pa.array(np.concatenate(right)))
+        return pa.table({"a": p, "b": q, "cos": pa.array(np.concatenate(cos))})
+
+    pairs = written(index.pairs(index, may), "class-pairs")
+    if report is not None:
+        blocks = index.blocks.count()
+        report |= {"pairs": blocks * (blocks + 1) // 2, "compared": pairs.count()}
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cos", T.DoubleType())])
+    return index.met(index, pairs, compare, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cos")
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, theta: float, block_rows: int = BLOCK_ROWS, report: dict[str, int] | None = None) -> DataFrame:
+    """a < b, cos: pairs with cosine above ``theta`` (strict) between distinct vectors, each named by its smallest key (``vector_classes`` has the members)."""
+    return _class_pairs(vector_classes(df, key, vector), theta, block_rows, report)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node and root of all edges of a task by union-find."""
+    up: dict = {}
+
+    def root(x):  # type: ignore[no-untyped-def]
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(above, above)
+            x = above
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            up[root(b)] = root(a)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([root(x) for x in list(up)], kind)], names=["node", "to"])
+
+
+def connected_groups(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``group``: the smallest key that can be reached.
+
+    Every round each node joins the neighbour (or itself) that comes first in an order by a
+    hash that changes from round to round, and the graph is contracted, so the number of
+    rounds grows with the logarithm of the number of nodes, chains in key order included.
+    A node with very many edges only meets minima that are combined before the exchange.
+    One task ends the work once at most ``TAIL`` edges are left."""
+    rest = written(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    steps: list[DataFrame] = []
+    kind = edges.schema["a"].dataType
+    while n := rest.count():
+        if n <= TAIL:
+            steps.append(written(rest.coalesce(1).mapInArrow(_joined, T.StructType([T.StructField("node", kind), T.StructField("to", kind)])), "steps"))
+            break
+        order = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), c), F.col(c).alias("k"))  # noqa: B023, E731
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = written(both.groupBy("a").agg(F.least(F.min(order("b")), F.min(order("a")))["k"].alias("to")).select(F.col("a").alias("node"), "to"), "steps")
+        steps.append(step)
+        left = step.select(F.col("node").alias("a"), F.col("to").alias("x")).hint("merge")
+        right = step.select(F.col("node").alias("b"), F.col("to").alias("y")).hint("merge")
+        rest = written(rest.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    found = nodes.select(F.col(key).alias("k"), F.col(key).alias("root"))
+    for step in steps:
+        onward = step.select(F.col("node").alias("root"), F.col("to").alias("next")).hint("merge")
+        found = found.join(onward, "root", "left").select("k", F.coalesce("next", "root").alias("root"))
+    if steps:
+        found = written(found, "roots")
+    smallest = found.groupBy("root").agg(F.min("k").alias("group"))
+    return found.join(smallest.hint("merge"), "root").select(F.col("k").alias(key), "group")
+
+
+def duplicate_groups(df: DataFrame, key: str, vector: str, theta: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``key`` and ``group``: smallest key reached over cosines above ``theta``; equal vectors follow their class if its own product is above ``theta``."""
+    classes = written(vector_classes(df, key, vector), "classes")
+    groups = connected_groups(classes, _class_pairs(classes, theta, block_rows, None), "class")
+    own = classes.select("v", "class", (F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > theta).alias("close")).join(groups.hint("merge"), "class")
+    rows = df.select(F.col(key).alias("__k"), F.col(vector).cast("array<double>").alias("v"))
+    member = rows.join(own.hint("merge"), "v", "left")
+    return member.select(F.col("__k").alias(key), F.when(F.coalesce("close", F.lit(False)), F.col("group")).otherwise(F.col("__k")).alias("group"))
+
+
+def pair_redundancy(df: DataFrame, key: str, vector: str, theta: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Share of pairs of a selection above theta; 0 for fewer than two rows.  Pairs of equal vectors are counted from the sizes of their classes."""
     n = df.count()
-    close = similar_pairs(df, key, vector, theta).count()
-    pairs = n * (n - 1) // 2
+    classes = written(vector_classes(df, key, vector), "classes")
+    sizes = classes.select("class", "members").hint("merge")
+    between = _class_pairs(classes, theta, block_rows, None).join(sizes.withColumnsRenamed({"class": "a", "members": "m"}), "a").join(sizes.withColumnsRenamed({"class": "b", "members": "o"}), "b").agg(F.sum(F.col("m") * F.col("o"))).first()[0] or 0
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    inside = classes.filter(square > theta).agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).first()[0] or 0
+    close, pairs = int(between + inside), n * (n - 1) // 2
     return df.sparkSession.createDataFrame([(n, close, close / pairs if pairs else 0.0)], "n long, close long, redundancy double")
 
 

@@ -330,6 +330,52 @@ SELECT round_even(avg(x), 6) AS mean, round_even(quantile_cont(x, 0.025), 6) AS
 """
 
 
+def _ap_events(spark, d):
+    """Bicycles as ranked detections in forty scenes."""
+    e = boxes(spark, d).filter("cls_pred = 'bicycle'")
+    return e.select((F.col("sample_token") % 40).alias("k"), (F.col("sample_token") * 100 + F.substring("object_id", 2, 3).cast("int")).alias("o"), F.col("l_extendedprice").alias("score"), (F.col("dist_m") * 1000 - F.col("cy")).alias("other"), (F.col("dist_m") > 25).alias("hit"))
+
+
+def _ap_draws(spark, e, score):
+    truth = e.groupBy("k").agg((F.count_if("hit") + 5).alias("n_truth"))
+    return ev.bootstrap_ap(e, truth, ev.hash_draws(spark, truth, "k", 200, 9), "k", score, "hit", "o")
+
+
+def bootstrap_ap(spark, d):
+    """AP of 200 resamplings of scenes; the events are sorted once for all of them."""
+    return _ap_draws(spark, _ap_events(spark, d), "score").select("b", bround6(F.col("ap")).alias("ap"))
+
+
+def paired_ap_ci(spark, d):
+    """Interval of the difference in AP of two detectors over the same draws."""
+    e = _ap_events(spark, d)
+    both = [_ap_draws(spark, e, c).select("b", F.lit(c).alias("m"), F.col("ap").alias("value")) for c in ("other", "score")]
+    return ev.paired_ci(both[0].unionByName(both[1]), "m", "other", "score").select(*[bround6(F.col(c)).alias(c) for c in ("mean", "low", "high")])
+
+
+def _boot_ap_sql(score: str) -> str:
+    return f"""
+c_{score} AS (SELECT w.b, sum(w * hit::INT) OVER p AS tp, sum(w) OVER p AS n FROM w JOIN e USING (k) WINDOW p AS (PARTITION BY b ORDER BY {score} DESC, k, o ROWS UNBOUNDED PRECEDING)),
+m_{score} AS (SELECT b, floor(tp / truth * 100 + 1e-9)::INTEGER AS l, max(tp / n) AS p FROM c_{score} JOIN s USING (b) GROUP BY 1, 2),
+x_{score} AS (SELECT s.b, lv.l, max(p) AS p FROM s CROSS JOIN lv LEFT JOIN m_{score} m ON m.b = s.b AND m.l >= lv.l GROUP BY 1, 2),
+ap_{score} AS (SELECT b, sum(coalesce(p, 0)) / 101 AS ap FROM x_{score} GROUP BY b)"""
+
+
+_BOOT_AP = f"""
+WITH {BOXES_SQL},
+e AS (SELECT sample_token % 40 AS k, sample_token * 100 + substr(object_id, 2)::INTEGER AS o, l_extendedprice AS score, dist_m * 1000 - cy AS other, dist_m > 25 AS hit FROM b WHERE cls_pred = 'bicycle'),
+t AS (SELECT k, count(*) FILTER (hit) + 5 AS n FROM e GROUP BY k),
+i AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM t),
+g AS (SELECT b, j, ('0x' || substr(md5('9|' || b || '|' || j), 1, 12))::BIGINT % (SELECT max(n) FROM i) AS i FROM (SELECT unnest(range(0, 200)) AS b), (SELECT unnest(range(0, (SELECT max(n) FROM i))) AS j)),
+w AS (SELECT b, k, count(*) AS w FROM g JOIN i USING (i) GROUP BY 1, 2),
+s AS (SELECT b, sum(w * n) AS truth FROM w JOIN t USING (k) GROUP BY b),
+lv AS (SELECT unnest(range(0, 101)) AS l)
+"""
+BOOT_AP_SQL = f"{_BOOT_AP}, {_boot_ap_sql('score')} SELECT b, round_even(ap, 6) AS ap FROM ap_score"
+PAIRED_AP_SQL = f"""{_BOOT_AP}, {_boot_ap_sql('score')}, {_boot_ap_sql('other')}, dd AS (SELECT o.ap - s.ap AS x FROM ap_other o JOIN ap_score s USING (b))
+SELECT round_even(avg(x), 6) AS mean, round_even(quantile_cont(x, 0.025), 6) AS low, round_even(quantile_cont(x, 0.975), 6) AS high FROM dd"""
+
+
 def base_rates(spark, d):
     f = order_frames(spark, d).select("scene_token", (F.col("scene_desc") == "1-URGENT").alias("r1"), (F.col("o_totalprice") > 400000).alias("r2"), (F.col("o_orderstatus") == "P").alias("h"))
     return agg.base_rates(f, ["r1", "r2", "h"], "scene_token").select("axis", "hits", bround6(F.col("rate")).alias("rate"), "scenes")
@@ -417,6 +463,8 @@ QUERIES = {
     "holm": (holm, "WITH p AS (SELECT n_nationkey, ((n_nationkey * 7) % 25 + 1) / 400 AS p FROM nation), h AS (SELECT *, row_number() OVER (ORDER BY p, n_nationkey) AS r, count(*) OVER () AS m FROM p) SELECT n_nationkey, round_even(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY p, n_nationkey ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM h"),
     "tau_calibration": (tau_calibration, _B + ", g AS (SELECT round_even(0.05::DOUBLE + k * 0.01::DOUBLE, 6) AS tau FROM (SELECT unnest(range(0, 91)) AS k)), s AS (SELECT tau, avg((dist_m / 50 >= tau)::INT) AS a FROM b, g WHERE cls_pred = 'pedestrian' GROUP BY 1) SELECT round_even(coalesce(max(tau) FILTER (a >= 0.6), 0.05), 6) AS tau, max(tau) FILTER (a >= 0.6) IS NOT NULL AS found FROM s"),
     "bootstrap_ratio_ci": (bootstrap_ratio_ci, BOOT_SQL),
+    "bootstrap_ap": (bootstrap_ap, BOOT_AP_SQL),
+    "paired_ap_ci": (paired_ap_ci, PAIRED_AP_SQL),
     "base_rates": (base_rates, f"WITH {ORDERS_SQL}, x AS (SELECT scene_token, unnest(['r1', 'r2', 'h']) AS axis, unnest([scene_desc = '1-URGENT', o_totalprice > 400000, o_orderstatus = 'P']) AS hit FROM fr) SELECT axis, count(*) FILTER (hit) AS hits, round_even(avg(hit::INT), 6) AS rate, count(DISTINCT scene_token) FILTER (hit) AS scenes FROM x GROUP BY 1"),
     "tag_lift": (tag_lift, f"WITH {BOXES_SQL}, {ORDERS_SQL}, t AS (SELECT DISTINCT sample_token, cls_pred FROM b), g AS (SELECT t.*, o_totalprice > 300000 AS s FROM t JOIN fr USING (sample_token)), n AS (SELECT count(DISTINCT sample_token) AS n, count(DISTINCT sample_token) FILTER (s) AS ns FROM g) SELECT cls_pred AS tag, count(*) AS pool, count(*) FILTER (s) AS sel, round_even(count(*) / max(n), 6) AS base, round_even(count(*) FILTER (s) / max(ns), 6) AS share, round_even((count(*) FILTER (s) / max(ns)) / (count(*) / max(n)), 6) AS lift FROM g, n GROUP BY 1"),
     "threshold_grid": (threshold_grid, _B + " SELECT l_linestatus, tau, count(DISTINCT sample_token) FILTER (dist_m / 50 < tau) AS n_rare, count(DISTINCT sample_token) AS n_frames, round_even(count(DISTINCT sample_token) FILTER (dist_m / 50 < tau) / count(DISTINCT sample_token), 6) AS share FROM b, (SELECT unnest([0.1::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE]) AS tau) GROUP BY 1, 2"),

@@ -51,6 +51,11 @@ def novelty_blocks(spark, d):
     return _named(sim.novelty_knn(pool(spark, d), "vec_id", "embedding", "label", "idx", 10, broadcast_bytes=0, block_rows=256))
 
 
+def rarity_knn_pivots(spark, d):
+    """The same distances by the pivot index: only block pairs that triangle bounds cannot rule out are compared."""
+    return _named(sim.rarity_knn(pool(spark, d), "vec_id", "embedding", "label", "ok", 10, broadcast_bytes=0, block_rows=256))
+
+
 def rarity_knn_l2(spark, d):
     return _named(sim.rarity_knn(pool(spark, d), "vec_id", "embedding", "label", "ok", 10))
 
@@ -183,6 +188,7 @@ QUERIES = {
     "novelty_knn_cosine": (novelty_knn_cosine, _knn_sql(_COS, 10, _CROSS)),
     "novelty_knn_blocks": (novelty_blocks, _knn_sql(_COS, 10, _CROSS)),
     "rarity_knn_l2": (rarity_knn_l2, _knn_sql(_L2, 10, _CROSS + " AND b.ok")),
+    "rarity_knn_pivots": (rarity_knn_pivots, _knn_sql(_L2, 10, _CROSS + " AND b.ok")),
     "novelty_to_seed": (novelty_to_seed, _knn_sql(_L2, 1, "b.label = 3")),
     "novelty_single_scene_gap": (novelty_single_scene_gap, _knn_sql(_COS, 5, "abs(a.idx - b.idx) >= 4")),
     "query_best_match": (query_best_match, f"WITH {POOL_SQL}, q AS (SELECT a.vec_id, b.vec_id AS q, list_dot_product(a.z, b.z) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.z, b.z) DESC, b.vec_id) AS n FROM p a, p b WHERE b.vec_id IN (1, 2, 3)) SELECT vec_id, round_even(s, 6) AS qry_max, 'q' || q AS qry_best FROM q WHERE n = 1"),

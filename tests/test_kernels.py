@@ -53,21 +53,6 @@ def test_dbscan(n, seed):
     assert k.dbscan(x, 0.9, 4).tolist() == naive_dbscan(x, 0.9, 4).tolist()
 
 
-def test_mmr_invariants():
-    rng = np.random.default_rng(1)
-    z = rng.standard_normal((200, 8))
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    scene, index, score, ok = np.repeat(np.arange(20), 10), np.tile(np.arange(10), 20), rng.random(200), rng.random(200) > 0.2
-    small = k.mmr(score, z, scene, index, ok, 10, 10, 0.7, 2, 3)
-    large = k.mmr(score, z, scene, index, ok, 10, 20, 0.7, 2, 3)
-    assert [p[0] for p in large[:10]] == [p[0] for p in small]  # nested
-    picks = [p[0] for p in small]
-    assert len(set(picks)) == 10 and ok[picks].all()
-    for s in range(20):
-        own = sorted(index[i] for i in picks if scene[i] == s)
-        assert len(own) <= 2 and all(b - a >= 3 for a, b in zip(own, own[1:], strict=False))
-
-
 def test_ground_plane_and_boxes():
     rng = np.random.default_rng(0)
     ground = np.column_stack([rng.uniform(-20, 20, (2000, 2)), rng.normal(-1.8, 0.03, 2000)])
@@ -181,39 +166,6 @@ def test_rare_selection(spark):
     assert sel.rare_select(df.filter("false"), "t", "s", "z", "scene", "f", "ok", df.limit(0), 3)[1] == ["ELIGIBLE_ZERO"]
 
 
-def plain_mmr(score, z, scene, index, ok, budget, most, lam, per_scene, min_gap):
-    """Every free row scored anew in every step."""
-    out = []
-    while len(out) < most:
-        cap = per_scene * -(-(len(out) + 1) // budget)
-        best = None
-        for i in range(len(score)):
-            own = [r for r, _, _ in out if scene[r] == scene[i]]
-            if not ok[i] or i in [r for r, _, _ in out] or len(own) >= cap or any(abs(index[i] - index[r]) < min_gap for r in own):
-                continue
-            near = max((min(1.0, max(0.0, float(z[r] @ z[i]))) for r, _, _ in out), default=0.0)
-            utility = lam * score[i] - (1 - lam) * near
-            if best is None or utility > best[2] + 1e-12:
-                best = (i, near, utility)
-        if best is None:
-            return out
-        out.append(best)
-    return out
-
-
-@pytest.mark.parametrize(("per_scene", "min_gap", "lam"), [(2, 3, 0.7), (1, 1, 0.3), (float("inf"), 2, 0.9), (1, 4, 0.5)])
-def test_mmr_against_a_plain_loop(per_scene, min_gap, lam):
-    rng = np.random.default_rng(int(min_gap))
-    z = rng.standard_normal((90, 6))
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    z[40] = z[3]
-    scene, index, score, ok = np.repeat(np.arange(9), 10), np.tile(np.arange(10), 9), np.round(rng.random(90), 1), rng.random(90) > 0.2
-    got = k.mmr(score, z, scene, index, ok, 8, 30, lam, per_scene, min_gap)
-    want = plain_mmr(score, z, scene, index, ok, 8, 30, lam, per_scene, min_gap)
-    assert [r for r, _, _ in got] == [r for r, _, _ in want]
-    assert np.allclose([x[1:] for x in got], [x[1:] for x in want])
-
-
 def test_ground_is_below_what_counts():
     """Slopes up to 0.8, all near points as inliers, returns below the plane are ground, and no plane means no clusters."""
     rng = np.random.default_rng(0)
