@@ -60,7 +60,8 @@ def test_replay_in_order_whatever_the_partitions(spark):
 def test_stream_goes_on_after_a_restart_and_reaps_by_timer(spark, tmp_path):
     """Three files as batches, a stop after the second: the states are those of the replay, and the state of finished items is gone."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = operations(1, 240)
+    rows = operations(1, 237)
+    rows += [(k % 3, k, rows[-1][2] + 1, "claim", k, 1) for k in range(237, 240)]  # held when the operations end
     (tmp_path / "in").mkdir()
 
     late = [(9, 1000 + k, 400 * HOUR + k, "submit", k, 0) for k in range(2)]  # time goes on in another queue
