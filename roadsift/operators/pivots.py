@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from ..scratch import written
 
-#: Pivots, rows that they are chosen from, and most rows and bytes of a block.
-PIVOTS, SAMPLE, BLOCK_ROWS, BLOCK_BYTES = 16, 2_048, 8_192, 8 << 20
+#: Pivots, rows that they are chosen from, most rows and bytes of a block, and least number of blocks.
+PIVOTS, SAMPLE, BLOCK_ROWS, BLOCK_BYTES, LEAST_BLOCKS = 16, 2_048, 8_192, 8 << 20, 8
 #: Block summaries that a planning step sends to the executors.
 SLICE = 16_384
 #: Slack of every bound as a share of the largest norm; far above the rounding of double distances.
@@ -76,8 +76,10 @@ class PivotIndex:
         self.blocks, self.pivots, self.width, self.slack, self.count = blocks, pivots, width, slack, count
 
     @classmethod
-    def build(cls, rows: DataFrame, vector: str, carried: list[str], pivots: np.ndarray | None = None, block_rows: int = BLOCK_ROWS) -> PivotIndex:
-        """Index of all rows with a vector; ``carried`` columns travel with them.  Two indexes that meet must share their pivots."""
+    def build(cls, rows: DataFrame, vector: str, carried: list[str], pivots: np.ndarray | None = None, block_rows: int | None = None) -> PivotIndex:
+        """Index of all rows with a vector; ``carried`` columns travel with them.  Two indexes that meet must share their pivots.
+
+        Without ``block_rows`` a table makes ``LEAST_BLOCKS`` blocks, or more of ``BLOCK_ROWS`` rows."""
         spark = rows.sparkSession
         base = rows.select(*carried, F.col(vector).cast("array<double>").alias("__v")).filter(F.col("__v").isNotNull())
         norm = F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x)
@@ -88,6 +90,7 @@ class PivotIndex:
             pivots = farthest_points(drawn.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(drawn) else np.empty((0, width)), PIVOTS)
         if not n:
             width = pivots.shape[1]
+        block_rows = block_rows or min(BLOCK_ROWS, -(-n // LEAST_BLOCKS))
         block_rows = max(1, min(block_rows, BLOCK_BYTES // max(1, 8 * width)))
         held = spark.sparkContext.broadcast(pivots)
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import FLOOR
 from ..scratch import written
-from .pivots import BLOCK_ROWS, Block, PivotIndex, Summaries
+from .pivots import Block, PivotIndex, Summaries
 
 BROADCAST_BYTES = 64 << 20
 #: Near blocks that give a query block its first bounds.
@@ -51,7 +51,7 @@ def _smallest(values: np.ndarray, k: int) -> list[list[float]]:
 
 def knn_distances(
     queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", scene: str | None = None, index: str | None = None, min_gap: int = 0,
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS, report: dict[str, int] | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int | None = None, report: dict[str, int] | None = None,
 ) -> DataFrame:
     """``key`` and ``near``: the k smallest distances of each query, ascending.
 
@@ -92,7 +92,7 @@ def knn_distances(
     return _knn_by_pivots(q, c, key, schema, k, metric, bool(scene), bool(index), min_gap, block_rows, report)
 
 
-def _knn_by_pivots(q: DataFrame, c: DataFrame, key: str, schema: T.StructType, k: int, metric: str, by_scene: bool, by_index: bool, min_gap: int, block_rows: int, report: dict[str, int] | None) -> DataFrame:
+def _knn_by_pivots(q: DataFrame, c: DataFrame, key: str, schema: T.StructType, k: int, metric: str, by_scene: bool, by_index: bool, min_gap: int, block_rows: int | None, report: dict[str, int] | None) -> DataFrame:
     """The k smallest distances by a pivot index: seeds, a bound a query, then the block pairs within it."""
     extra = [f"__{i}" for i in range(by_scene + by_index)]
     there = PivotIndex.build(c, "__v", extra, block_rows=block_rows)
@@ -208,7 +208,7 @@ def vector_classes(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("v").agg(F.min("__k").alias("class"), F.count(F.lit(1)).alias("members"))
 
 
-def _class_pairs(classes: DataFrame, theta: float, block_rows: int, report: dict[str, int] | None) -> DataFrame:
+def _class_pairs(classes: DataFrame, theta: float, block_rows: int | None, report: dict[str, int] | None) -> DataFrame:
     """a < b, cos: the classes whose vectors' inner product is above ``theta``."""
     index = PivotIndex.build(classes, "v", ["class"], block_rows=block_rows)
     kind = classes.schema["class"].dataType
@@ -238,7 +238,7 @@ def _class_pairs(classes: DataFrame, theta: float, block_rows: int, report: dict
     return index.met(index, pairs, compare, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cos")
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, theta: float, block_rows: int = BLOCK_ROWS, report: dict[str, int] | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, vector: str, theta: float, block_rows: int | None = None, report: dict[str, int] | None = None) -> DataFrame:
     """a < b, cos: pairs with cosine above ``theta`` (strict) between distinct vectors, each named by its smallest key (``vector_classes`` has the members)."""
     return _class_pairs(vector_classes(df, key, vector), theta, block_rows, report)
 
@@ -294,7 +294,7 @@ def connected_groups(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return found.join(smallest.hint("merge"), "root").select(F.col("k").alias(key), "group")
 
 
-def duplicate_groups(df: DataFrame, key: str, vector: str, theta: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def duplicate_groups(df: DataFrame, key: str, vector: str, theta: float = 0.95, block_rows: int | None = None) -> DataFrame:
     """``key`` and ``group``: smallest key reached over cosines above ``theta``; equal vectors follow their class if its own product is above ``theta``."""
     classes = written(vector_classes(df, key, vector), "classes")
     groups = connected_groups(classes, _class_pairs(classes, theta, block_rows, None), "class")
@@ -304,7 +304,7 @@ def duplicate_groups(df: DataFrame, key: str, vector: str, theta: float = 0.95,
     return member.select(F.col("__k").alias(key), F.when(F.coalesce("close", F.lit(False)), F.col("group")).otherwise(F.col("__k")).alias("group"))
 
 
-def pair_redundancy(df: DataFrame, key: str, vector: str, theta: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_redundancy(df: DataFrame, key: str, vector: str, theta: float = 0.95, block_rows: int | None = None) -> DataFrame:
     """Share of pairs of a selection above theta; 0 for fewer than two rows.  Pairs of equal vectors are counted from the sizes of their classes."""
     n = df.count()
     classes = written(vector_classes(df, key, vector), "classes")

@@ -48,12 +48,12 @@ def novelty_knn_cosine(spark, d):
 
 def novelty_blocks(spark, d):
     """The same in blocks, as for tables beyond the broadcast limit."""
-    return _named(sim.novelty_knn(pool(spark, d), "vec_id", "embedding", "label", "idx", 10, broadcast_bytes=0, block_rows=256))
+    return _named(sim.novelty_knn(pool(spark, d), "vec_id", "embedding", "label", "idx", 10, broadcast_bytes=0))
 
 
 def rarity_knn_pivots(spark, d):
     """The same distances by the pivot index: only block pairs that triangle bounds cannot rule out are compared."""
-    return _named(sim.rarity_knn(pool(spark, d), "vec_id", "embedding", "label", "ok", 10, broadcast_bytes=0, block_rows=256))
+    return _named(sim.rarity_knn(pool(spark, d), "vec_id", "embedding", "label", "ok", 10, broadcast_bytes=0))
 
 
 def rarity_knn_l2(spark, d):
@@ -82,7 +82,7 @@ def frame_embedding_mean(spark, d):
 
 
 def similar_pairs(spark, d):
-    return sim.similar_pairs(vectors(spark, d), "vec_id", "embedding", THETA, block_rows=300).select("a", "b", bround6(F.col("cos")).alias("cos"))
+    return sim.similar_pairs(vectors(spark, d), "vec_id", "embedding", THETA).select("a", "b", bround6(F.col("cos")).alias("cos"))
 
 
 def duplicate_groups(spark, d):

@@ -61,18 +61,7 @@ def _publish(spark: SparkSession, tmp: str, path: str, manifest: dict[str, objec
     src, fs = _fs(spark, tmp)
     dst, _ = _fs(spark, path)
     old, _ = _fs(spark, f"{path}.old-{uuid.uuid4().hex[:8]}")
-    replaced = fs.exists(dst)
-    if replaced and not fs.rename(dst, old):
-        raise OSError(f"cannot move {path} away")
-    try:
-        if not fs.rename(src, dst):
-            raise OSError(f"cannot rename {tmp} to {path}")
-    except Exception:
-        if replaced:
-            fs.rename(old, dst)
-        raise
-    if replaced:  # the former table goes only when the new one stands
-        fs.delete(old, True)
+    _replace(fs, src, dst, old)
     write_json(spark, manifest, f"{path}.manifest.json")
     return manifest
 
@@ -84,9 +73,23 @@ def write_json(spark: SparkSession, obj: object, path: str) -> None:
     out = fs.create(tmp, True)
     out.write(bytearray(json.dumps(finite(obj), sort_keys=True, indent=1, default=str).encode()))
     out.close()
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
+    _replace(fs, tmp, dst, _fs(spark, f"{path}.old-{uuid.uuid4().hex[:8]}")[0])
+
+
+def _replace(fs, src, dst, old) -> None:  # type: ignore[no-untyped-def]
+    """Puts ``src`` in the place of ``dst``: what was there is moved away first, comes back if the move fails, and goes only when the new one stands."""
+    replaced = fs.exists(dst)
+    if replaced and not fs.rename(dst, old):
+        raise OSError(f"cannot move {dst} away")
+    try:
+        if not fs.rename(src, dst):
+            raise OSError(f"cannot rename {src} to {dst}")
+    except Exception:
+        if replaced:
+            fs.rename(old, dst)
+        raise
+    if replaced:
+        fs.delete(old, True)
 
 
 def finite(obj: object) -> object:
