@@ -49,31 +49,35 @@ def robust_minmax(x: Column, low: Column, high: Column, mask: Column | None = No
     return place if mask is None else F.when(mask, place).otherwise(F.lit(0.0))
 
 
-#: Rows up to which a global ranking is one sorted window; above it ranks are put together from value ranges.
+#: Distinct values up to which a global ranking is one sorted window over them; above it ranks are put together from value ranges.
 SINGLE_WINDOW_ROWS = 2_000_000
 
 
 def with_pct_rank(df: DataFrame, value: str, out: str, mask: str | None = None, constant_is_zero: bool = True, single_rows: int = SINGLE_WINDOW_ROWS, ranges: int = 256, rows: int | None = None) -> DataFrame:
-    """``pct_rank`` over the whole table, also where one task cannot sort it.
-
-    Large tables: distinct values are counted (map-side combined), dealt into value ranges
-    at approximate quantiles (``ranges`` numbers on the driver), ranked inside their range
-    and shifted by the totals of the ranges before (at most ``ranges`` rows, broadcast).
-    ``rows`` is an upper bound of the table's size where the caller has one."""
-    if (df.count() if rows is None else rows) <= single_rows:
-        return df.withColumn(out, pct_rank(F.col(value), F.col(mask) if mask else None, constant_is_zero=constant_is_zero))
+    """``pct_rank`` over the whole table; only distinct values and their counts are ever sorted, never the rows.
+
+    Values are counted (map-side combined), ranked and joined back.  More than
+    ``single_rows`` of them are dealt into value ranges at approximate quantiles (``ranges``
+    numbers on the driver), ranked inside their range and shifted by the totals of the
+    ranges before (at most ``ranges`` rows, broadcast).  ``rows`` is an upper bound of the
+    table's size where the caller has one, and saves the count of distinct values."""
     x = masked(F.col(value).cast("double"), F.col(mask) if mask else None)
     x = F.when(~F.isnan(x), x)
     counts = df.select(x.alias("__x")).filter("__x is not null").groupBy("__x").agg(F.count(F.lit(1)).alias("__c"))
-    edges = sorted(set(counts.agg(F.percentile_approx("__x", F.array(*[F.lit((k + 1) / ranges) for k in range(ranges - 1)]), F.lit(10_000))).first()[0] or []))
-    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("__x"))) if edges else F.lit(0)
-    dealt = counts.withColumn("__p", part)
-    totals = dealt.groupBy("__p").agg(F.sum("__c").alias("__t"))
-    upto = Window.partitionBy().orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("__p", F.coalesce(F.sum("__t").over(upto), F.lit(0)).alias("__before"), F.sum("__t").over(Window.partitionBy()).alias("__n"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__k"))
-    inner = Window.partitionBy("__p").orderBy("__x")
-    ranks = dealt.join(F.broadcast(before), "__p").withColumn("__upto", F.sum("__c").over(inner))
-    rank = F.col("__before") + F.col("__upto") - (F.col("__c") - 1) / 2
     constant = F.col("__c") == F.col("__n")
+    if (counts.count() if rows is None or rows > single_rows else rows) <= single_rows:
+        upto = Window.partitionBy().orderBy("__x")
+        ranks = counts.withColumns({"__upto": F.sum("__c").over(upto), "__n": F.sum("__c").over(Window.partitionBy())})
+        rank = F.col("__upto") - (F.col("__c") - 1) / 2
+    else:
+        edges = sorted(set(counts.agg(F.percentile_approx("__x", F.array(*[F.lit((k + 1) / ranges) for k in range(ranges - 1)]), F.lit(10_000))).first()[0] or []))
+        part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("__x"))) if edges else F.lit(0)
+        dealt = counts.withColumn("__p", part)
+        totals = dealt.groupBy("__p").agg(F.sum("__c").alias("__t"))
+        upto = Window.partitionBy().orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select("__p", F.coalesce(F.sum("__t").over(upto), F.lit(0)).alias("__before"), F.sum("__t").over(Window.partitionBy()).alias("__n"))
+        inner = Window.partitionBy("__p").orderBy("__x")
+        ranks = dealt.join(F.broadcast(before), "__p").withColumn("__upto", F.sum("__c").over(inner))
+        rank = F.col("__before") + F.col("__upto") - (F.col("__c") - 1) / 2
     scored = ranks.select("__x", F.when(constant & F.lit(constant_is_zero), F.lit(0.0)).otherwise(rank / F.col("__n")).alias(out))
-    return df.withColumn("__x", x).join(scored.hint("merge"), "__x", "left").drop("__x").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    return df.withColumn("__x", x).join(scored, "__x", "left").drop("__x").withColumn(out, F.coalesce(out, F.lit(0.0)))

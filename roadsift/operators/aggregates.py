@@ -61,6 +61,16 @@ def quantile_higher_ranked(df: DataFrame, by: Sequence[str], value: str, q: floa
     return place.filter(F.col("__upto") >= F.ceil((F.col("__n") - 1) * F.lit(q)) + 1).groupBy(*by).agg(F.min(value).alias(out))
 
 
+def quantiles_higher(df: DataFrame, by: Sequence[str], values: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """``by``, name, q0, q1, ...: the same for several values and several quantiles, from one count of distinct values and one window."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("x")) for v in values])).alias("p")
+    counts = df.select(*by, pairs).select(*by, "p.name", "p.x").filter("x is not null").groupBy(*by, "name", "x").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*by, "name")
+    place = counts.withColumns({"upto": F.sum("c").over(w.orderBy("x")), "n": F.sum("c").over(w)})
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil((F.col("n") - 1) * F.lit(q)) + 1, F.col("x")))
+    return place.groupBy(*by, "name").agg(*[at(q).alias(f"q{k}") for k, q in enumerate(qs)])
+
+
 def discrete_percentile(df: DataFrame, by: Sequence[str], value: str, q: float, out: str = "percentile") -> DataFrame:
     """Smallest value whose cumulative share reaches q."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))

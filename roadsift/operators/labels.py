@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_right, cell_key, has_keyword, starts_with_any, surprisal
-from .aggregates import frame_frequency, gated_or, quantile_higher_ranked
+from ..scratch import written
+from .aggregates import frame_frequency, gated_or, quantiles_higher
 from .scoring import class_edges, with_cells
 
 # Definitions of rare frames.
@@ -50,10 +51,10 @@ def lidar_cells(boxes: DataFrame, kind: str = "cls", distance: str = "dist_m", p
 
 def cell_rarity(frames: DataFrame, boxes: DataFrame, tau: float = TAU, by: str = "split") -> DataFrame:
     """Rare cells of each frame (strictly rarer than tau in the split), flags of groups A, B, B' and C, and is_rare."""
-    met = lidar_cells(boxes).join(frames.select("sample_token", by), "sample_token")
+    met = written(lidar_cells(boxes).select("sample_token", "cls", "num_lidar_pts", "dist_m", "visibility", "cell").join(frames.select("sample_token", by), "sample_token"), "boxes")  # read three times below
     freq = frame_frequency(met, "sample_token", "cell", [by], frames)
     rare = met.join(freq.filter(F.col("freq") < tau).select(by, "cell"), [by, "cell"], "left_semi").groupBy("sample_token").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
-    per = boxes.groupBy("sample_token").agg(
+    per = met.groupBy("sample_token").agg(
         F.bool_or(F.col("cls").isin(*LIDAR_FEW)).alias("B_few"), F.bool_or(F.col("cls").isin(*LIDAR_MEDIUM)).alias("Bp_medium"), F.count(F.lit(1)).alias("n_boxes"),
         F.bool_or(((F.col("num_lidar_pts") <= 5) & (F.col("dist_m") > 40.0)) | (F.col("visibility") == "1")).alias("C_sensor"),
     )
@@ -68,6 +69,12 @@ def behaviour_events(boxes: DataFrame, attributes: str = "attributes", context:
     return boxes.select("instance_token", "sample_token", context, kind, F.explode(attributes).alias("attribute")).withColumn("event", F.concat_ws("|", F.col(context), F.col(kind), F.col("attribute")))
 
 
+def _thresholds(df: DataFrame, values: Sequence[str], alpha: float) -> dict[str, Column]:
+    """The 'higher' quantile of each value over the table, as literals: one aggregate, a row a value; null for an empty table."""
+    found = {r["name"]: r["q0"] for r in quantiles_higher(df, [], values, [1 - alpha]).collect()}
+    return {v: F.lit(found.get(v)).cast("double") for v in values}
+
+
 def surprisal_labels(boxes: DataFrame, frames: DataFrame, v_split: str = "V", alpha: float = 0.10, kind: str = "vru_group") -> DataFrame:
     """Frame labels r1_class and r2_combo from surprisals fitted on V: classes by distinct instance, cells by frame share, thresholds by the 'higher' quantile over V frames; unseen classes and cells only raise ``unknown``."""
     seen = boxes.filter("num_lidar_pts >= 1").join(frames.select("sample_token", "split"), "sample_token")
@@ -81,9 +88,9 @@ def surprisal_labels(boxes: DataFrame, frames: DataFrame, v_split: str = "V", al
     known = lambda p: F.when(F.col(p).isNotNull(), surprisal(F.col(p)))
     worst = scored.groupBy("sample_token").agg(F.max(known("class_p")).alias("u1"), F.max(known("cell_p")).alias("u2"), F.bool_or(F.col("class_p").isNull() | F.col("cell_p").isNull()).alias("unknown"), F.count(F.lit(1)).alias("n_vru_visible"))
     base = frames.join(worst, "sample_token", "left").na.fill(0, ["u1", "u2", "n_vru_visible"]).na.fill(False, ["unknown"])
-    ref = base.filter(F.col("split") == v_split).withColumn("g", F.lit(0))
-    cuts = quantile_higher_ranked(ref, ["g"], "u1", 1 - alpha, "t1").join(quantile_higher_ranked(ref, ["g"], "u2", 1 - alpha, "t2"), "g").drop("g")
-    return base.crossJoin(F.broadcast(cuts)).select("sample_token", "split", (F.col("u1") > F.col("t1")).alias("r1_class"), (F.col("u2") > F.col("t2")).alias("r2_combo"), "unknown", "n_vru_visible", (F.col("u2") > F.col("t2")).alias("is_target"))
+    ref = base.filter(F.col("split") == v_split)
+    cut = _thresholds(ref, ["u1", "u2"], alpha)
+    return base.select("sample_token", "split", (F.col("u1") > cut["u1"]).alias("r1_class"), (F.col("u2") > cut["u2"]).alias("r2_combo"), "unknown", "n_vru_visible", (F.col("u2") > cut["u2"]).alias("is_target"))
 
 
 def conflict(speed: Column, x: Column, y: Column, v_min: float = 0.5, x_max: float = 20.0, y_abs: float = 4.0) -> Column:
@@ -158,13 +165,13 @@ def rhcio_labels(boxes: DataFrame, frames: DataFrame, v_split: str = "V", alpha:
     ).join(acted, ["sample_token", "instance_token"], "left")
     per = each.groupBy("sample_token").agg(*[F.max(u).alias(u) for u in ("u1", "u2", "u3")], F.bool_or(F.col("new") | F.coalesce("odd", F.lit(False))).alias("unknown"), F.bool_or("moves").alias("i_conflict"), F.bool_or("hard").alias("h_hard"), F.sum("n").alias("n_vru_visible"))
     base = f.join(per, "sample_token", "left").na.fill(0, ["u1", "u2", "u3", "n_vru_visible"]).na.fill(False, ["unknown", "i_conflict", "h_hard"])
-    ref = base.filter(F.col("split") == v_split).withColumn("g", F.lit(0))
-    cuts = quantile_higher_ranked(ref, ["g"], "u1", 1 - alpha, "t1").join(quantile_higher_ranked(ref, ["g"], "u2", 1 - alpha, "t2"), "g").join(quantile_higher_ranked(ref, ["g"], "u3", 1 - alpha, "t3"), "g").drop("g")
-    marked = each.crossJoin(F.broadcast(cuts)).withColumns({f"r{k}": F.coalesce(F.col(f"u{k}") > F.col(f"t{k}"), F.lit(False)) for k in (1, 2, 3)})
+    ref = base.filter(F.col("split") == v_split)
+    cut = _thresholds(ref, ["u1", "u2", "u3"], alpha)
+    marked = each.withColumns({f"r{k}": F.coalesce(F.col(f"u{k}") > cut[f"u{k}"], F.lit(False)) for k in (1, 2, 3)})
     targets = marked.filter("r2").groupBy("sample_token").agg(F.array_join(F.array_sort(F.collect_set("instance_token")), "|").alias("target_instances"))
-    frame = base.crossJoin(F.broadcast(cuts)).join(targets, "sample_token", "left").select(
-        "sample_token", "scene_token", "split", (F.col("u1") > F.col("t1")).alias("r1_class"), (F.col("u2") > F.col("t2")).alias("r2_combo"), (F.col("u3") > F.col("t3")).alias("r3_behavior"), "i_conflict", "h_hard", "c_night", "c_rain", "unknown",
-        (F.col("u2") > F.col("t2")).alias("is_target"), F.coalesce("target_instances", F.lit("")).alias("target_instances"), F.col("n_vru_visible").cast("int").alias("n_vru_visible"),
+    frame = base.join(targets, "sample_token", "left").select(
+        "sample_token", "scene_token", "split", (F.col("u1") > cut["u1"]).alias("r1_class"), (F.col("u2") > cut["u2"]).alias("r2_combo"), (F.col("u3") > cut["u3"]).alias("r3_behavior"), "i_conflict", "h_hard", "c_night", "c_rain", "unknown",
+        (F.col("u2") > cut["u2"]).alias("is_target"), F.coalesce("target_instances", F.lit("")).alias("target_instances"), F.col("n_vru_visible").cast("int").alias("n_vru_visible"),
     )
     axes = F.array_compact(F.array(F.when(F.bool_or("moves"), F.lit("i_conflict")), *[F.when(F.bool_or(f"r{k}"), F.lit(n)) for k, n in ((1, "r1_class"), (2, "r2_combo"), (3, "r3_behavior"))]))
     instance = marked.groupBy("instance_token").agg(F.max("category").alias("category"), F.max("vru_group").alias("vru_group"), F.array_join(axes, "|").alias("axes"), F.count_distinct("sample_token").cast("int").alias("n_frames_visible"), F.array_join(F.array_sort(F.collect_set("sample_token")), "|").alias("frames"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.ranks import bround6, pct_rank, weighted, with_pct_rank
 from ..functions.scalars import arg_max_reason, bin_right, cell_key, relative_change, shape_score, surprisal, tags_from
 from ..schemas import CAMERAS
-from .aggregates import detections_per_image, exact_percentiles, frame_frequency, quantile_higher_ranked
+from ..scratch import written
+from .aggregates import detections_per_image, exact_percentiles, quantiles_higher
 from .joins import previous_value
 
 # Weights of the object score and of the frame score, and group values of road users.
@@ -104,19 +105,13 @@ class Reference:
     cells: DataFrame
     sizes: DataFrame
     thresholds: DataFrame
+    objects: DataFrame  # those it was fitted on, with their cells
 
 
 def class_edges(objects: DataFrame, kind: str, values: Sequence[str]) -> DataFrame:
     """Distinct quartiles ('higher') of each value by class, as arrays."""
-    out: DataFrame | None = None
-    for v in values:
-        parts: DataFrame | None = None
-        for q in (0.25, 0.5, 0.75):
-            one = quantile_higher_ranked(objects, [kind], v, q, "e")
-            parts = one if parts is None else parts.unionByName(one)
-        arrays = parts.groupBy(kind).agg(F.array_sort(F.collect_set("e")).alias(f"{v}_edges"))  # type: ignore[union-attr]
-        out = arrays if out is None else out.join(arrays, kind, "full")
-    return out  # type: ignore[return-value]
+    edges = F.array_sort(F.array_distinct(F.array("q0", "q1", "q2")))
+    return quantiles_higher(objects, [kind], values, (0.25, 0.5, 0.75)).groupBy(kind).agg(*[F.max(F.when(F.col("name") == v, edges)).alias(f"{v}_edges") for v in values])
 
 
 def with_cells(objects: DataFrame, edges: DataFrame, kind: str, distance: str = "dist_m", points: str = "pts") -> DataFrame:
@@ -126,24 +121,30 @@ def with_cells(objects: DataFrame, edges: DataFrame, kind: str, distance: str =
 
 
 def fit_reference(objects: DataFrame, frames: DataFrame, kind: str = "cls_pred", distance: str = "dist_m", points: str = "pts", alpha: float = 0.10, sides: Sequence[str] = ("l", "w", "h")) -> Reference:
-    """Prediction-side reference: priors by object, cells by frame share (empty frames count), thresholds padded with zeros."""
-    total = objects.agg(F.count(F.lit(1)).alias("__n"))
-    classes = objects.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select(kind, (F.col("n") / F.col("__n")).alias("class_p"))
-    edges = class_edges(objects, kind, [distance, points])
-    celled = with_cells(objects, edges, kind, distance, points)
-    cells = frame_frequency(celled, "sample_token", "cell", frames=frames).select("cell", F.col("freq").alias("cell_p"))
-    sizes = objects.groupBy(kind).agg(*[a for s in sides for a in (F.median(s).alias(f"{s}_median"), F.greatest(F.stddev_pop(s), F.lit(0.05)).alias(f"{s}_std"))])
-    scored = celled.join(classes, kind).join(cells, "cell")
-    worst = scored.groupBy("sample_token").agg(F.max(surprisal(F.col("class_p"))).alias("u1"), F.max(surprisal(F.col("cell_p"))).alias("u2"))
-    padded = frames.select("sample_token").distinct().join(worst, "sample_token", "left").select("sample_token", F.coalesce("u1", F.lit(0.0)).alias("u1"), F.coalesce("u2", F.lit(0.0)).alias("u2"), F.lit(0).alias("g"))
-    thresholds = quantile_higher_ranked(padded, ["g"], "u1", 1 - alpha, "t1").join(quantile_higher_ranked(padded, ["g"], "u2", 1 - alpha, "t2"), "g").drop("g")
-    return Reference(classes, edges, cells, sizes, thresholds)
+    """Prediction-side reference: priors by object, cells by frame share (empty frames count), thresholds padded with zeros.
+
+    The objects are stored once, with their cells; every statistic reads that table, and the
+    small tables of the reference are stored too, so nothing is worked out twice."""
+    base = written(objects, "objects")
+    edges = written(class_edges(base, kind, [distance, points]), "edges")
+    celled = written(with_cells(base, edges, kind, distance, points), "celled")
+    tokens = written(frames.select("sample_token").distinct(), "frames")
+    n_objects, n_frames = celled.count(), tokens.count()
+    spread = [a for s in sides for a in (F.median(s).alias(f"{s}_median"), F.greatest(F.stddev_pop(s), F.lit(0.05)).alias(f"{s}_std"))]
+    of_class = written(celled.groupBy(kind).agg(F.count(F.lit(1)).alias("__n"), *spread), "classes")  # a row a class
+    classes = of_class.select(kind, (F.col("__n") / F.lit(max(1, n_objects))).alias("class_p"))
+    cells = written(celled.select("sample_token", "cell").distinct().groupBy("cell").agg((F.count(F.lit(1)) / F.lit(max(1, n_frames))).alias("cell_p")), "cells")
+    worst = celled.join(classes, kind).join(cells, "cell").groupBy("sample_token").agg(F.max(surprisal(F.col("class_p"))).alias("u1"), F.max(surprisal(F.col("cell_p"))).alias("u2"))
+    padded = tokens.join(worst, "sample_token", "left").select(F.coalesce("u1", F.lit(0.0)).alias("u1"), F.coalesce("u2", F.lit(0.0)).alias("u2"))
+    cuts = {r["name"]: r["q0"] for r in quantiles_higher(padded, [], ["u1", "u2"], [1 - alpha]).collect()}
+    thresholds = objects.sparkSession.createDataFrame([(cuts.get("u1"), cuts.get("u2"))], "t1 double, t2 double")
+    return Reference(classes, edges, cells, of_class.drop("__n"), thresholds, celled)
 
 
 def score_objects(objects: DataFrame, ref: Reference, frame_unc: DataFrame | None = None, kind: str = "cls_pred", sides: Sequence[str] = ("l", "w", "h")) -> DataFrame:
     """shape, slice, vru and unc scores, s_obj and its reason. Objects of class other, or unseen, have shape 0; unseen cells have slice 1."""
     vru = F.coalesce(F.create_map(*[F.lit(x) for kv in VRU_VALUE.items() for x in kv])[F.col(kind)], F.lit(0.0))
-    met = with_cells(objects, ref.edges, kind).join(ref.cells, "cell", "left").join(ref.sizes, kind, "left")
+    met = (objects if "cell" in objects.columns else with_cells(objects, ref.edges, kind)).join(ref.cells, "cell", "left").join(ref.sizes, kind, "left")
     met = met.join(frame_unc.select("sample_token", F.col("unc").alias("__unc")), "sample_token", "left") if frame_unc is not None else met.withColumn("__unc", F.lit(0.0))
     z = [(F.col(s) - F.col(f"{s}_median")) / F.col(f"{s}_std") for s in sides]
     u = surprisal(F.col("cell_p"))
@@ -153,7 +154,8 @@ def score_objects(objects: DataFrame, ref: Reference, frame_unc: DataFrame | Non
         "score_vru": vru, "score_unc": F.coalesce(F.col("__unc"), F.lit(0.0)), "__u": F.when(is_vru, F.least(u, F.lit(1e6))),
     })
     unseen = is_vru & F.col("cell_p").isNull()
-    met = with_pct_rank(met.withColumn("__vru", is_vru), "__u", "__slice", "__vru", rows=objects.count())
+    met = written(met.withColumn("__vru", is_vru), "object-signals")
+    met = with_pct_rank(met, "__u", "__slice", "__vru", rows=met.count())
     met = met.withColumn("score_slice", F.when(unseen, F.lit(1.0)).otherwise(F.col("__slice")))
     parts = [(name, F.col(f"score_{name}")) for name in OBJECT_WEIGHTS]
     total = F.least(F.lit(1.0), F.greatest(F.lit(0.0), weighted([(w, F.col(f"score_{n}")) for n, w in OBJECT_WEIGHTS.items()])))
@@ -177,12 +179,13 @@ def frame_tags(objects: DataFrame, frames: DataFrame, ref: Reference, kind: str
     ``frames`` has gate, weather_pred and sun_elev_deg; objects of outlier frames do not count."""
     vru = F.col(kind).isin(*VRU_VALUE)
     met = with_cells(objects, ref.edges, kind) if "cell" not in objects.columns else objects
-    met = met.drop("class_p", "cell_p").join(ref.classes, kind, "left").join(ref.cells, "cell", "left").crossJoin(F.broadcast(ref.thresholds))
+    met = met.drop("class_p", "cell_p").join(ref.classes, kind, "left").join(ref.cells, "cell", "left")
+    t1, t2 = (F.lit(x) for x in ref.thresholds.first())
     u1, u2 = surprisal(F.col("class_p")), surprisal(F.col("cell_p"))
     mover = vru & (F.col("speed_mps") >= v_min)
     per = met.groupBy("sample_token").agg(
         F.max("s_obj").alias("s_objects"), F.count_if(vru).alias("crowd"),
-        F.bool_or(vru & (u1 > F.col("t1"))).alias("R1"), F.bool_or(vru & (u2 > F.col("t2"))).alias("R2"), F.bool_or(mover).alias("moves"),
+        F.bool_or(vru & (u1 > t1)).alias("R1"), F.bool_or(vru & (u2 > t2)).alias("R2"), F.bool_or(mover).alias("moves"),
         F.bool_or((F.col("dist_m") > far) | (F.col("pts") < few)).alias("H"),
         F.bool_or(mover & (F.col("cx") > 0) & (F.col("cx") <= x_max) & (F.abs(F.col("cy")) <= y_abs)).alias("I"),
         F.max(F.when(vru, F.struct(u1.alias("u"), F.col("object_id")))).alias("e1"), F.max(F.when(vru, F.struct(u2.alias("u"), F.col("object_id")))).alias("e2"),
@@ -196,7 +199,8 @@ def frame_tags(objects: DataFrame, frames: DataFrame, ref: Reference, kind: str
     tags = tags_from([("R1", on["R1"]), ("R2", on["R2"]), ("R3", on["moves"] & hard_context), ("H", on["H"]), ("C", hard_context), ("I", on["I"])])
     evidence = F.to_json(F.struct(F.when(on["R1"], F.col("e1.object_id")).alias("R1"), F.when(on["R2"], F.col("e2.object_id")).alias("R2")))
     out = base.withColumns({"raw": raw, "pred_tags": F.array_join(tags, "|"), "evidence": evidence})
-    out = with_pct_rank(out.withColumn("__valid", F.col("gate") == "valid"), "raw", "s_frame", "__valid", rows=frames.count())
+    out = written(out.withColumn("__valid", F.col("gate") == "valid"), "frame-signals")
+    out = with_pct_rank(out, "raw", "s_frame", "__valid", rows=out.count())
     return out.select("sample_token", "gate", F.coalesce("s_objects", F.lit(0.0)).alias("s_objects"), F.coalesce("crowd", F.lit(0)).alias("crowd"), "s_frame", "pred_tags", "evidence")
 
 

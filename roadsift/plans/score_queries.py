@@ -91,7 +91,7 @@ cp AS (SELECT cell, count(DISTINCT sample_token) / (SELECT count(*) FROM fr) AS
 def object_scores(spark, d):
     b = boxes(spark, d)
     ref = sc.fit_reference(b, order_frames(spark, d))
-    out = sc.score_objects(b, ref)
+    out = sc.score_objects(ref.objects, ref)
     return out.select("sample_token", "object_id", bround6(F.col("score_shape")).alias("score_shape"), bround6(F.col("score_slice")).alias("score_slice"), "score_vru", bround6(F.col("s_obj")).alias("s_obj"))
 
 
@@ -112,7 +112,7 @@ def frame_rhcio_tags(spark, d):
     b = boxes(spark, d)
     f = order_frames(spark, d).select("sample_token", F.when(F.col("o_orderstatus") == "P", F.lit("outlier")).otherwise(F.lit("valid")).alias("gate"), F.when(F.col("scene_desc") == "1-URGENT", F.lit("rain")).otherwise(F.lit("")).alias("weather_pred"), F.lit(None).cast("double").alias("sun_elev_deg"))
     ref = sc.fit_reference(b, order_frames(spark, d))
-    out = sc.frame_tags(b.withColumn("s_obj", F.col("l_extendedprice") / 100000), f, ref)
+    out = sc.frame_tags(ref.objects.withColumn("s_obj", F.col("l_extendedprice") / 100000), f, ref)
     return out.select("sample_token", "gate", F.col("crowd").cast("long").alias("crowd"), bround6(F.col("s_frame")).alias("s_frame"), "pred_tags")
 
 
