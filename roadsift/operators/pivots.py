@@ -15,6 +15,7 @@ bounded size; what is compared in full is the surviving block pairs, one row eac
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -182,8 +183,13 @@ class PivotIndex:
             out = found if out is None else out.unionByName(found)
         return out if out is not None else spark.createDataFrame([], "a long, b long")
 
-    def met(self, other: PivotIndex, pairs: DataFrame, work: Callable[[Block, Block], pa.Table | None], schema: str | T.StructType, more: DataFrame | None = None) -> DataFrame:
-        """``work(own block, other block)`` for each block pair, one at a time; ``more`` (block, more) adds a packed column to own blocks."""
+    def met(self, other: PivotIndex, pairs: DataFrame, work: Callable[[Block, Iterator[Block]], Iterator[pa.Table]], schema: str | T.StructType, more: DataFrame | None = None) -> DataFrame:
+        """``work(own block, its partners)`` for the block pairs; ``more`` (block, more) adds a packed column to own blocks.
+
+        The last join is sorted by the own block, so its partners come one after the other
+        and ``work`` can carry what it has found from one to the next.  Where a task holds
+        only some of them, ``work`` is called once for these; so what it returns for a block
+        must be mergeable."""
         left = self.blocks.select(F.col("block").alias("a"), F.col("keys").alias("ka"), F.col("vectors").alias("va"))
         if more is not None:
             left = left.join(more.withColumnRenamed("block", "a"), "a")
@@ -193,15 +199,15 @@ class PivotIndex:
         width = self.width
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    of = {c: batch.column(c)[k] for c in ("a", "b", "ka", "va", "kb", "vb", "more")}
-                    found = work(Block(of["a"].as_py(), of["ka"], of["va"], width, of["more"]), Block(of["b"].as_py(), of["kb"], of["vb"], width, None))
-                    if found is not None and found.num_rows:
+            rows = ({c: batch.column(c)[k] for c in ("a", "b", "ka", "va", "kb", "vb", "more")} for batch in batches for k in range(batch.num_rows))
+            for number, own in itertools.groupby(rows, lambda r: r["a"].as_py()):
+                first = next(own)
+                partners = (Block(r["b"].as_py(), r["kb"], r["vb"], width, None) for r in itertools.chain([first], own))
+                for found in work(Block(number, first["ka"], first["va"], width, first["more"]), partners):
+                    if found.num_rows:
                         yield from found.to_batches()
 
-        spread = pairs.repartition("a", "b")  # pairs are the work: dealt evenly, whatever a block's number of partners
-        return spread.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(compare, schema)
+        return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").mapInArrow(compare, schema)
 
 
 class Block:

@@ -116,22 +116,25 @@ def _knn_by_pivots(q: DataFrame, c: DataFrame, key: str, schema: T.StructType, k
 
     own_norm = float(here.blocks.agg(F.coalesce(F.max("norm"), F.lit(0.0))).first()[0])
 
-    def compare(one: Block, other: Block) -> pa.Table:
-        keys, others = one.keys, other.keys
-        bound = np.frombuffer(one.more.as_buffer(), np.float64) if one.more is not None and one.more.is_valid else np.full(len(one.vectors), np.inf)
-        rows, near = [], []
-        for at in range(0, len(one.vectors), 1024):
-            d = _distances(metric, one.vectors[at : at + 1024], other.vectors)
-            if by_scene:
-                same = keys.column("__0").to_numpy(zero_copy_only=False)[at : at + 1024, None] == others.column("__0").to_numpy(zero_copy_only=False)[None]
-                if by_index:
-                    same &= np.abs(keys.column("__1").to_numpy()[at : at + 1024, None] - others.column("__1").to_numpy()[None]) < min_gap
-                d[same] = np.inf
-            d[d > bound[at : at + 1024, None]] = np.inf
-            near += _smallest(d, k)
-            rows += range(at, at + len(d))
-        full = [i for i, x in enumerate(near) if x]
-        return pa.table({"a": pa.array([one.number] * len(full), pa.int64()), "pos": pa.array([rows[i] for i in full], pa.int32()), "near": pa.array([near[i] for i in full], pa.list_(pa.float64()))})
+    def compare(one: Block, partners: Iterator[Block]) -> Iterator[pa.Table]:
+        """The k smallest distances of each row of a block over all its partners here."""
+        keys, n = one.keys, len(one.vectors)
+        bound = np.frombuffer(one.more.as_buffer(), np.float64) if one.more is not None and one.more.is_valid else np.full(n, np.inf)
+        best = np.full((n, k), np.inf)
+        for other in partners:
+            others = other.keys
+            for at in range(0, n, 1024):
+                d = _distances(metric, one.vectors[at : at + 1024], other.vectors)
+                if by_scene:
+                    same = keys.column("__0").to_numpy(zero_copy_only=False)[at : at + 1024, None] == others.column("__0").to_numpy(zero_copy_only=False)[None]
+                    if by_index:
+                        same &= np.abs(keys.column("__1").to_numpy()[at : at + 1024, None] - others.column("__1").to_numpy()[None]) < min_gap
+                    d[same] = np.inf
+                d[d > bound[at : at + 1024, None]] = np.inf
+                best[at : at + len(d)] = np.sort(np.concatenate([best[at : at + len(d)], np.partition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else d], axis=1), axis=1)[:, :k]
+        full = np.flatnonzero(np.isfinite(best[:, 0]))
+        near = [row[np.isfinite(row)].tolist() for row in best[full]]
+        yield pa.table({"a": pa.array(np.full(len(full), one.number)), "pos": pa.array(full.astype(np.int32)), "near": pa.array(near, pa.list_(pa.float64()))})
 
     kind = "a long, pos int, near array<double>"
 
@@ -217,18 +220,16 @@ def _class_pairs(classes: DataFrame, theta: float, block_rows: int | None, repor
         most = (a.norm[:, None] + b.norm[None] - gap * gap) / 2
         return (most > theta - 1e-9 * (1 + np.abs(most))) & (a.block[:, None] <= b.block[None])
 
-    def compare(one: Block, other: Block) -> pa.Table:
-        same, lk, rk = one.number == other.number, one.keys.column("class"), other.keys.column("class")
-        left, right, cos = [], [], []
-        for at in range(0, len(one.vectors), 1024):
-            s = one.vectors[at : at + 1024] @ other.vectors.T
-            i, j = np.nonzero(s > theta)
-            keep = at + i < j if same else np.ones(len(i), bool)
-            left.append(at + i[keep])
-            right.append(j[keep])
-            cos.append(s[i[keep], j[keep]])
-        p, q = lk.take(pa.array(np.concatenate(left))), rk.take(pa.array(np.concatenate(right)))
-        return pa.table({"a": p, "b": q, "cos": pa.array(np.concatenate(cos))})
+    def compare(one: Block, partners: Iterator[Block]) -> Iterator[pa.Table]:
+        own = one.keys.column("class")
+        for other in partners:
+            there = other.keys.column("class")
+            for at in range(0, len(one.vectors), 1024):
+                s = one.vectors[at : at + 1024] @ other.vectors.T
+                i, j = np.nonzero(s > theta)
+                keep = at + i < j if one.number == other.number else np.ones(len(i), bool)
+                i, j = i[keep], j[keep]
+                yield pa.table({"a": own.take(pa.array(at + i)), "b": there.take(pa.array(j)), "cos": pa.array(s[i, j])})
 
     pairs = written(index.pairs(index, may), "class-pairs")
     if report is not None:
