@@ -2,49 +2,77 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import kernels
 
 
-def _bev(g: pd.DataFrame) -> np.ndarray:
-    cx, cy, l, w = (g[c].to_numpy(float) for c in ("cx", "cy", "l", "w"))
-    return np.column_stack([cx - l / 2, cy - w / 2, cx + l / 2, cy + w / 2])
+def _met(a: DataFrame, b: DataFrame, key: Sequence[str], a_columns: Sequence[Column], b_columns: Sequence[Column]) -> DataFrame:
+    """One row a key with the sorted boxes of both sides, ``__a`` and ``__b`` (empty where a side has none)."""
+    x, y = (df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name)) for df, columns, name in ((a, a_columns, "__a"), (b, b_columns, "__b")))
+    both = x.join(y, list(key), "full")
+    return both.withColumns({n: F.coalesce(n, F.array().cast(both.schema[n].dataType)) for n in ("__a", "__b")})
+
+
+def _per_frame(met: DataFrame, key: Sequence[str], work: Callable[[list[dict], list[dict]], list[tuple]], columns: str) -> DataFrame:
+    """Rows of ``work`` for the boxes of every key; boxes travel as arrays of a frame, so a batch holds many frames."""
+    kinds = ", ".join(f"`{c}` {met.schema[c].dataType.simpleString()}" for c in key)
+    made = T.StructType.fromDDL(columns)
+    whole = T.StructType.fromDDL(f"{kinds}, {columns}")
+    arrow = to_arrow_schema(whole)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [work(a, b) for a, b in zip(part.column("__a").to_pylist(), part.column("__b").to_pylist(), strict=True)]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(rows) for rows in found]))
+            flat = [row for rows in found for row in rows]
+            own = [part.column(c).take(owner).cast(arrow.field(c).type) for c in key]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array([row[k] for row in flat], arrow.field(f.name).type) for k, f in enumerate(made)]], names=whole.names)
+
+    return met.select(*key, "__a", "__b").mapInArrow(batches, whole)
+
+
+def _bev(boxes: list[dict]) -> np.ndarray:
+    at = np.asarray([(o["cx"], o["cy"], o["l"], o["w"]) for o in boxes], float).reshape(-1, 4)
+    return np.column_stack([at[:, 0] - at[:, 2] / 2, at[:, 1] - at[:, 3] / 2, at[:, 0] + at[:, 2] / 2, at[:, 1] + at[:, 3] / 2])
+
+
+def _sides(boxes: list[dict]) -> np.ndarray:
+    return np.asarray([(o["x1"], o["y1"], o["x2"], o["y2"]) for o in boxes], float).reshape(-1, 4)
 
 
 def merge_candidates(clusters: DataFrame, detected: DataFrame, frame: str = "sample_token", least: float = 0.3, detector_ran: bool = True) -> DataFrame:
     """Clusters and detector boxes of a frame, paired greedily by BEV IoU.
 
     A pair keeps the detector's geometry and the larger point count; a cluster without a
-    partner is ``missed_by_model`` where the detector ran; ids are numbered by distance."""
-    columns = ["cx", "cy", "cz", "l", "w", "h", "yaw", "pts", "cls_pred"]
-    kind = clusters.schema[frame].dataType.simpleString()
-
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        pairs = kernels.greedy_pairs(kernels.box_iou(_bev(a), _bev(b)), least) if len(a) and len(b) else []
-        rows = []
-        for i, j in pairs:
-            box = b.iloc[j][columns].to_dict()
-            rows.append(box | {"pts": max(int(a["pts"].iloc[i]), int(box["pts"])), "source": "merged", "missed_by_model": False})
+    partner is ``missed_by_model`` where the detector ran; ids are numbered by distance.
+    Equal overlaps are paired in the order of the boxes' values."""
+    box = ("cx", "cy", "cz", "l", "w", "h", "yaw")
+    columns = [*[F.col(c).cast("double").alias(c) for c in box], F.col("pts").cast("int").alias("pts"), "cls_pred"]
+
+    def one(a: list[dict], b: list[dict]) -> list[tuple]:
+        pairs = kernels.greedy_pairs(kernels.box_iou(_bev(a), _bev(b)), least) if a and b else []
+        rows = [(b[j], max(a[i]["pts"], b[j]["pts"]), "merged", False) for i, j in pairs]
         used_a, used_b = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows += [a.iloc[i][columns].to_dict() | {"source": "cluster", "missed_by_model": detector_ran} for i in range(len(a)) if i not in used_a]
-        rows += [b.iloc[j][columns].to_dict() | {"source": "detector", "missed_by_model": False} for j in range(len(b)) if j not in used_b]
-        out = pd.DataFrame(rows, columns=[*columns, "source", "missed_by_model"])
-        out["dist_m"] = np.hypot(out["cx"].to_numpy(float), out["cy"].to_numpy(float))
-        out = out.sort_values(["dist_m", "cx", "cy"], kind="stable").reset_index(drop=True)
-        out["object_id"] = [f"o{k}" for k in range(len(out))]
-        out[frame] = (a if len(a) else b)[frame].iloc[0]
-        return out[[frame, "object_id", *columns, "source", "missed_by_model", "dist_m"]]
+        rows += [(o, o["pts"], "cluster", detector_ran) for i, o in enumerate(a) if i not in used_a]
+        rows += [(o, o["pts"], "detector", False) for j, o in enumerate(b) if j not in used_b]
+        rows.sort(key=lambda r: (math.hypot(r[0]["cx"], r[0]["cy"]), r[0]["cx"], r[0]["cy"]))
+        return [(f"o{k:03d}", *[o[c] for c in box], pts, o["cls_pred"], source, missed, math.hypot(o["cx"], o["cy"])) for k, (o, pts, source, missed) in enumerate(rows)]
 
-    need = [frame, *columns]
-    schema = f"{frame} {kind}, object_id string, cx double, cy double, cz double, l double, w double, h double, yaw double, pts int, cls_pred string, source string, missed_by_model boolean, dist_m double"
-    return clusters.select(*need).groupBy(frame).cogroup(detected.select(*need).groupBy(frame)).applyInPandas(one, schema)
+    made = "object_id string, cx double, cy double, cz double, l double, w double, h double, yaw double, pts int, cls_pred string, source string, missed_by_model boolean, dist_m double"
+    return _per_frame(_met(clusters, detected, [frame], columns, columns), [frame], one, made)
 
 
-def track(objects: DataFrame, scene: str = "scene_token", frame: str = "sample_token", time: str = "timestamp", d_max: float = 2.0, v_max: float = 15.0) -> DataFrame:
+def track(objects: DataFrame, scene: str = "scene_token", frame: str = "sample_token", time: str = "timestamp", d_max: float = 1.5, v_max: float = 3.0) -> DataFrame:
     """Track ids and speeds by minimum-cost assignment between consecutive frames of a scene.
 
     A link is accepted up to d_max + v_max * dt; a frame without objects ends all tracks;
@@ -84,43 +112,40 @@ def track(objects: DataFrame, scene: str = "scene_token", frame: str = "sample_t
 
 def flip_matches(first: DataFrame, flipped: DataFrame, frame: str = "sample_token", delta: float = 1.0) -> DataFrame:
     """n1, n2, matched and inconsistency of two detector passes: by falling score, same class, nearest unused centre within delta."""
-    kind = first.schema[frame].dataType.simpleString()
+    at = [F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"), F.col("label")]
 
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def one(a: list[dict], b: list[dict]) -> list[tuple]:
         free, matched = np.ones(len(b), bool), 0
-        bx, by, bl = (b[c].to_numpy() for c in ("cx", "cy", "label"))
-        for r in a.sort_values("score", ascending=False, kind="stable").itertuples():
-            d = np.where(free & (bl == r.label), np.hypot(bx - r.cx, by - r.cy), np.inf) if len(b) else np.empty(0)
-            if len(d) and d.min() < delta:
+        bx, by, bl = (np.asarray([o[c] for o in b]) for c in ("cx", "cy", "label"))
+        for o in a if b else []:
+            d = np.where(free & (bl == o["label"]), np.hypot(bx - o["cx"], by - o["cy"]), np.inf)
+            if d.min() < delta:
                 free[int(d.argmin())] = False
                 matched += 1
-        n1, n2 = len(a), len(b)
-        return pd.DataFrame({frame: [(a if n1 else b)[frame].iloc[0]], "n1": [n1], "n2": [n2], "matched": [matched], "inc": [1 - matched / max(n1, n2, 1)]})
+        return [(len(a), len(b), matched, 1 - matched / max(len(a), len(b), 1))]
 
-    need = [frame, "cx", "cy", "label", "score"]
-    return first.select(*need).groupBy(frame).cogroup(flipped.select(*need).groupBy(frame)).applyInPandas(one, f"{frame} {kind}, n1 int, n2 int, matched int, inc double")
+    return _per_frame(_met(first, flipped, [frame], [(-F.col("score")).alias("place"), *at], at), [frame], one, "n1 int, n2 int, matched int, inc double")
 
 
 def detection_events(objects: DataFrame, dets: DataFrame, key: tuple[str, ...] = ("sample_token", "cam", "group"), least: float = 0.5) -> DataFrame:
     """(score, hit) events: each detection by falling score takes its best unused positive object; detections on ignored objects are dropped.
 
     ``objects`` has x1..y2 and ``ignore``; ``dets`` x1..y2 and ``score``."""
-    sides = ["x1", "y1", "x2", "y2"]
-
-    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(b):
-            b = b.sort_values(["score", *sides], ascending=[False, True, True, True, True], kind="stable")
-            iou = kernels.box_iou(b[sides].to_numpy(float), a[sides].to_numpy(float)) if len(a) else np.empty((len(b), 0))
-            ignore, free = a["ignore"].to_numpy(bool), np.ones(len(a), bool)
-            for k, score in enumerate(b["score"]):
-                real = np.where(free & ~ignore, iou[k], -1.0)
-                if len(real) and real.max() >= least:
-                    free[int(real.argmax())] = False
-                    out.append((score, True))
-                elif not (len(real) and np.where(ignore, iou[k], -1.0).max() >= least):
-                    out.append((score, False))
-        return pd.DataFrame([(*[b[c].iloc[0] for c in key], k, s, h) for k, (s, h) in enumerate(out)], columns=[*key, "ord", "score", "hit"])
-
-    kinds = ", ".join(f"{c} {dets.schema[c].dataType.simpleString()}" for c in key)
-    return objects.select(*key, *sides, "ignore").groupBy(*key).cogroup(dets.select(*key, *sides, "score").groupBy(*key)).applyInPandas(one, f"{kinds}, ord int, score double, hit boolean")
+    sides = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    score = F.col("score").cast("double")
+
+    def one(a: list[dict], b: list[dict]) -> list[tuple]:
+        out: list[tuple] = []
+        iou = kernels.box_iou(_sides(b), _sides(a))
+        ignore, free = np.asarray([o["ignore"] for o in a], bool), np.ones(len(a), bool)
+        for k, o in enumerate(b):
+            real = np.where(free & ~ignore, iou[k], -1.0)
+            if len(real) and real.max() >= least:
+                free[int(real.argmax())] = False
+                out.append((len(out), o["score"], True))
+            elif not (len(real) and np.where(ignore, iou[k], -1.0).max() >= least):
+                out.append((len(out), o["score"], False))
+        return out
+
+    met = _met(objects, dets, key, [*sides, F.col("ignore")], [(-score).alias("place"), *sides, score.alias("score")])
+    return _per_frame(met, key, one, "ord int, score double, hit boolean")

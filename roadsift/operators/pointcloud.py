@@ -133,12 +133,17 @@ def descriptors(points: DataFrame, frame: str = "sample_token", cfg: CloudConfig
     return points.select(frame, "x", "y", "z", "intensity").groupBy(frame).applyInPandas(one, f"{frame} {kind}, n_points int, keep boolean, reason string, " + ", ".join(f"{b} array<double>" for b in BLOCKS))
 
 
+def main_axis(p: np.ndarray) -> float:
+    """Yaw of the main axis of a cluster, modulo pi; 0 below five points."""
+    if len(p) < 5:
+        return 0.0
+    c = np.cov(p[:, 0], p[:, 1], bias=True)
+    return 0.5 * float(np.arctan2(2 * c[0, 1], c[0, 0] - c[1, 1]))
+
+
 def tight_box(p: np.ndarray) -> tuple[float, float, float, float, float, float, float]:
-    """Centre, length, width, height and yaw of the box along the main axis of a cluster; the axis needs five points."""
-    yaw = 0.0
-    if len(p) >= 5:
-        c = np.cov(p[:, 0], p[:, 1], bias=True)
-        yaw = 0.5 * float(np.arctan2(2 * c[0, 1], c[0, 0] - c[1, 1]))
+    """Centre, length, width, height and yaw of the box along the main axis of a cluster."""
+    yaw = main_axis(p)
     s, c_ = np.sin(yaw), np.cos(yaw)
     u, v = p[:, 0] * c_ + p[:, 1] * s, -p[:, 0] * s + p[:, 1] * c_
     mu, mv = (u.max() + u.min()) / 2, (v.max() + v.min()) / 2
@@ -146,32 +151,51 @@ def tight_box(p: np.ndarray) -> tuple[float, float, float, float, float, float,
     return mu * c_ - mv * s, mu * s + mv * c_, (low + high) / 2, u.max() - u.min(), v.max() - v.min(), high - low, yaw
 
 
-def cluster_candidates(points: DataFrame, frame: str = "sample_token", cfg: CloudConfig = CloudConfig()) -> DataFrame:
-    """Boxes of clusters of voxels above ground, with the raw points above ground inside them, distance and a class by size."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        xyz = g[["x", "y", "z"]].to_numpy(float)
-        body = (np.abs(xyz[:, 0]) < cfg.close) & (np.abs(xyz[:, 1]) < cfg.close)
-        xyz = xyz[~body & (np.abs(xyz[:, 0]) <= cfg.crop) & (np.abs(xyz[:, 1]) <= cfg.crop)]
-        voxels = _voxels(xyz, cfg.voxel)
-        plane = kernels.ground_plane(voxels, **cfg.ransac)
-        if plane is not None:
-            xyz, voxels = (p[_height(p, plane) > cfg.ransac["threshold"]] for p in (xyz, voxels))
-        label = kernels.dbscan(voxels, cfg.eps, cfg.least_cluster)
-        boxes = []
-        for k in range(label.max() + 1 if len(label) else 0):
-            own = voxels[label == k]
+def _boxes(xyz: np.ndarray, pose: tuple[np.ndarray, np.ndarray] | None, cfg: CloudConfig) -> list[tuple[float, ...]]:
+    """Box and points of every cluster of one sweep; ``pose`` is the sensor's rotation and place on the vehicle."""
+    body = (np.abs(xyz[:, 0]) < cfg.close) & (np.abs(xyz[:, 1]) < cfg.close)
+    xyz = xyz[~body & (np.abs(xyz[:, 0]) <= cfg.crop) & (np.abs(xyz[:, 1]) <= cfg.crop)]
+    voxels = _voxels(xyz, cfg.voxel)
+    plane = kernels.ground_plane(voxels, **cfg.ransac)
+    if plane is not None:
+        xyz, voxels = (p[_height(p, plane) > cfg.ransac["threshold"]] for p in (xyz, voxels))
+    label = kernels.dbscan(voxels, cfg.eps, cfg.least_cluster)
+    if pose is not None:
+        xyz, voxels = (p @ pose[0].T + pose[1] for p in (xyz, voxels))
+    boxes = []
+    for k in range(label.max() + 1 if len(label) else 0):
+        own = voxels[label == k]
+        if pose is not None:
             box = tight_box(own)
-            boxes.append((*box, max(int(_inside(xyz, box).sum()), len(own))))
-        out = pd.DataFrame(boxes, columns=["cx", "cy", "cz", "l", "w", "h", "yaw", "pts"])
+            within = box
+        else:
+            low, high = own.min(0), own.max(0)
+            box = (*((low + high) / 2), *(high - low), main_axis(own))
+            within = (*box[:6], 0.0)
+        boxes.append((*box, max(int(_inside(xyz, within).sum()), len(own))))
+    return boxes
+
+
+def cluster_candidates(points: DataFrame, frame: str = "sample_token", cfg: CloudConfig = CloudConfig(), calibration: DataFrame | None = None) -> DataFrame:
+    """Boxes of clusters of voxels above ground, with the raw points above ground inside them, distance and a class by size.
+
+    Clusters are found in the sensor's frame.  ``calibration`` (frame, R row-major, t) moves
+    their points into the vehicle's frame before yaw, sides and points are measured; a frame
+    without a row there keeps boxes along the sensor's axes.  Ids number a frame's clusters."""
+
+    def one(g: pd.DataFrame, pose: pd.DataFrame | None = None) -> pd.DataFrame:
+        known = pose is not None and len(pose) > 0
+        at = (np.asarray(pose["R"].iloc[0], float).reshape(3, 3), np.asarray(pose["t"].iloc[0], float)) if known else None
+        out = pd.DataFrame(_boxes(g[["x", "y", "z"]].to_numpy(float), at, cfg) if len(g) else [], columns=["cx", "cy", "cz", "l", "w", "h", "yaw", "pts"])
         out["dist_m"] = np.hypot(out["cx"].to_numpy(float), out["cy"].to_numpy(float))
-        out = out.sort_values(["dist_m", "cx", "cy"], kind="stable").reset_index(drop=True)
-        out.insert(0, "object_id", [f"o{k}" for k in range(len(out))])
-        out.insert(0, frame, g[frame].iloc[0])
-        return out
+        out.insert(0, "object_id", [f"c{k:03d}" for k in range(len(out))])
+        out.insert(0, frame, [*g[frame].iloc[:1]] * len(out))
+        return out.astype({frame: object, "object_id": object})
 
     kind = points.schema[frame].dataType.simpleString()
-    base = points.select(frame, "x", "y", "z").groupBy(frame).applyInPandas(one, f"{frame} {kind}, object_id string, cx double, cy double, cz double, l double, w double, h double, yaw double, pts int, dist_m double")
+    schema = f"{frame} {kind}, object_id string, cx double, cy double, cz double, l double, w double, h double, yaw double, pts int, dist_m double"
+    sweeps = points.select(frame, "x", "y", "z").groupBy(frame)
+    base = sweeps.applyInPandas(lambda g: one(g), schema) if calibration is None else sweeps.cogroup(calibration.select(frame, "R", "t").groupBy(frame)).applyInPandas(lambda g, pose: one(g, pose), schema)
     return base.withColumns({"cls_pred": size_class(F.col("l"), F.col("w"), F.col("h"), SIZE_RULES), "source": F.lit("cluster")})
 
 

@@ -96,7 +96,7 @@ def test_merge_track_flip(spark):
     b = spark.createDataFrame([("f", 10.2, 0.0, 0.0, 2.0, 2.0, 2.0, 0.0, 12, "pedestrian"), ("f", 5.0, 5.0, 0.0, 1.0, 1.0, 1.0, 0.0, 9, "bicycle")], cols)
     rows = {r["source"]: r for r in m.merge_candidates(a, b).collect()}
     assert rows["merged"]["pts"] == 30 and rows["merged"]["cls_pred"] == "pedestrian" and rows["merged"]["cx"] == 10.2
-    assert rows["cluster"]["missed_by_model"] and rows["detector"]["object_id"] == "o0"
+    assert rows["cluster"]["missed_by_model"] and rows["detector"]["object_id"] == "o000"
     seq = [("s", "f0", 0, "o0", 0.0, 0.0), ("s", "f0", 0, "o1", 50.0, 0.0), ("s", "f1", 500_000, "o0", 1.0, 0.0), ("s", "f1", 500_000, "o1", 90.0, 0.0), ("s", "f2", 1_000_000, None, None, None), ("s", "f3", 1_500_000, "o0", 1.0, 0.0)]
     t = {(r["sample_token"], r["object_id"]): r for r in m.track(spark.createDataFrame(seq, "scene_token string, sample_token string, timestamp long, object_id string, gx double, gy double")).collect()}
     assert t["f0", "o0"]["track_id"] == t["f1", "o0"]["track_id"] and t["f0", "o0"]["speed_mps"] == t["f1", "o0"]["speed_mps"] == 2.0
