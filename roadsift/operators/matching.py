@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +23,8 @@ def _met(a: DataFrame, b: DataFrame, key: Sequence[str], a_columns: Sequence[Col
     return both.withColumns({n: F.coalesce(n, F.array().cast(both.schema[n].dataType)) for n in ("__a", "__b")})
 
 
-def _per_frame(met: DataFrame, key: Sequence[str], work: Callable[[list[dict], list[dict]], list[tuple]], columns: str) -> DataFrame:
-    """Rows of ``work`` for the boxes of every key; boxes travel as arrays of a frame, so a batch holds many frames."""
+def _per_frame(met: DataFrame, key: Sequence[str], work: Callable[..., list[tuple]], columns: str, sides: Sequence[str] = ("__a", "__b")) -> DataFrame:
+    """Rows of ``work`` for the boxes of every key; boxes travel as arrays of a key, so a batch holds many keys."""
     kinds = ", ".join(f"`{c}` {met.schema[c].dataType.simpleString()}" for c in key)
     made = T.StructType.fromDDL(columns)
     whole = T.StructType.fromDDL(f"{kinds}, {columns}")
@@ -32,13 +32,13 @@ def _per_frame(met: DataFrame, key: Sequence[str], work: Callable[[list[dict], l
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [work(a, b) for a, b in zip(part.column("__a").to_pylist(), part.column("__b").to_pylist(), strict=True)]
+            found = [work(*boxes) for boxes in zip(*[part.column(s).to_pylist() for s in sides], strict=True)]
             owner = pa.array(np.repeat(np.arange(len(found)), [len(rows) for rows in found]))
             flat = [row for rows in found for row in rows]
             own = [part.column(c).take(owner).cast(arrow.field(c).type) for c in key]
             yield pa.RecordBatch.from_arrays([*own, *[pa.array([row[k] for row in flat], arrow.field(f.name).type) for k, f in enumerate(made)]], names=whole.names)
 
-    return met.select(*key, "__a", "__b").mapInArrow(batches, whole)
+    return met.select(*key, *sides).mapInArrow(batches, whole)
 
 
 def _bev(boxes: list[dict]) -> np.ndarray:
@@ -78,36 +78,35 @@ def track(objects: DataFrame, scene: str = "scene_token", frame: str = "sample_t
     A link is accepted up to d_max + v_max * dt; a frame without objects ends all tracks;
     the first box of a track takes the speed of its first link. ``objects`` has one row a
     frame at least (empty frames with a null object_id)."""
-    s_kind, f_kind = (objects.schema[c].dataType.simpleString() for c in (scene, frame))
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        rows, next_id, previous = [], 0, None
-        for (t, token), own in sorted(((k, v) for k, v in g.groupby([time, frame], sort=False)), key=lambda kv: kv[0]):
-            own = own.dropna(subset=["object_id"]).sort_values("object_id", kind="stable")
-            p = own[["gx", "gy"]].to_numpy(float)
-            ids: list[str | None] = [None] * len(own)
-            speeds: list[float | None] = [None] * len(own)
-            if previous is not None and len(previous["p"]) and len(p):
-                dt = (t - previous["t"]) / 1e6
-                cost = np.hypot(*(previous["p"][:, None] - p[None]).transpose(2, 0, 1))
-                for i, j in kernels.assignment(cost):
-                    if cost[i, j] <= d_max + v_max * dt and dt > 0:
-                        speeds[j] = float(cost[i, j] / dt)
-                        ids[j] = previous["ids"][i]
-                        first = previous["rows"][i]
-                        if rows[first][4] is None:
-                            rows[first][4] = speeds[j]
-            at = []
-            for j, oid in enumerate(own["object_id"]):
-                if ids[j] is None:
-                    ids[j], next_id = f"t{next_id}", next_id + 1
-                at.append(len(rows))
-                rows.append([g[scene].iloc[0], token, oid, ids[j], speeds[j]])
-            previous = {"t": t, "p": p, "ids": ids, "rows": at}
-        return pd.DataFrame(rows, columns=[scene, frame, "object_id", "track_id", "speed_mps"]).astype({"speed_mps": float})
-
-    found = objects.select(scene, frame, time, "object_id", "gx", "gy").groupBy(scene).applyInPandas(one, f"{scene} {s_kind}, {frame} {f_kind}, object_id string, track_id string, speed_mps double")
-    return found.withColumns({"track_id": F.concat_ws(":", scene, "track_id"), "speed_mps": F.when(~F.isnan("speed_mps"), F.col("speed_mps"))})
+
+    def one(rows: list[dict]) -> list[tuple]:
+        out: list[list] = []
+        previous: tuple[int, np.ndarray, list[int]] | None = None  # time, places and rows of the frame before
+        tracks = 0
+        for (t, token), frame_rows in itertools.groupby(rows, key=lambda r: (r["t"], r["frame"])):
+            own = [r for r in frame_rows if r["object_id"] is not None]
+            p = np.asarray([(r["gx"], r["gy"]) for r in own], float).reshape(-1, 2)
+            before: dict[int, tuple[int, float]] = {}
+            if previous is not None and len(previous[1]) and len(p) and t > previous[0]:
+                dt = (t - previous[0]) / 1e6
+                cost = np.hypot(*(previous[1][:, None] - p[None]).transpose(2, 0, 1))
+                before = {int(j): (previous[2][int(i)], float(cost[i, j] / dt)) for i, j in kernels.assignment(cost) if cost[i, j] <= d_max + v_max * dt}
+            first = len(out)
+            for j, r in enumerate(own):
+                if j in before:
+                    link, speed = before[j]
+                    out.append([token, r["object_id"], out[link][2], speed])
+                    out[link][3] = speed if out[link][3] is None else out[link][3]
+                else:
+                    out.append([token, r["object_id"], f"t{tracks}", None])
+                    tracks += 1
+            previous = (t, p, list(range(first, len(out))))
+        return [tuple(r) for r in out]
+
+    row = F.struct(F.col(time).cast("long").alias("t"), F.col(frame).alias("frame"), "object_id", F.col("gx").cast("double").alias("gx"), F.col("gy").cast("double").alias("gy"))
+    scenes = objects.groupBy(scene).agg(F.array_sort(F.collect_list(row)).alias("__a"))
+    found = _per_frame(scenes, [scene], one, f"`{frame}` {objects.schema[frame].dataType.simpleString()}, object_id {objects.schema['object_id'].dataType.simpleString()}, track_id string, speed_mps double", ["__a"])
+    return found.withColumn("track_id", F.concat_ws(":", scene, "track_id"))
 
 
 def flip_matches(first: DataFrame, flipped: DataFrame, frame: str = "sample_token", delta: float = 1.0) -> DataFrame:
