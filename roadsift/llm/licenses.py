@@ -4,9 +4,11 @@ A text is reduced to its words (ASCII letters in lower case, digits, all non-ASC
 characters; everything else separates).  One Aho-Corasick automaton over the word
 stream finds all notice phrases and the places of identifier tags.  The expression after
 a tag is read from the original text, parsed by the shunting-yard method with the
-precedence WITH, AND, OR; the licences it names are its operands.  ``evaluate`` spells out
-the choices it leaves (a disjunction of sets) and refuses only those of too many ways.  Labels are those of the base phrases, of further notice
-phrases and of the identifiers in valid expressions.
+precedence WITH, AND, OR, and evaluated to nested terms of alternatives and requirements,
+without expansion and with absorption; ``expressions`` holds them as text and
+``required_labels`` the labels that hold whichever alternative is taken, so AND and OR
+differ.  Labels are those of the base phrases, of further notice phrases and of all
+identifiers in valid expressions.
 
 Score: 1 for a valid expression, 0.9 for a full notice phrase, 0.6 for a bare licence
 name, 0 for no evidence; the best evidence counts.
@@ -23,6 +25,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 
 from .common import ids_field, others, quoted, slices, utf8
 
-RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions")
+RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "required_labels")
 
 # Phrases of the scan contract.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -119,53 +122,74 @@ def to_postfix(text: str) -> list[str]:
     return output + stack[::-1]
 
 
-@dataclass(frozen=True)
-class Choice:
-    """Sets of licences, any one of which meets the expression."""
+@dataclass
+class Terms:
+    """Licences (``leaves``) and nested terms joined by one operator; a single licence has no operator."""
+
+    op: str | None
+    leaves: set[str] = field(default_factory=set)
+    nested: list[Terms] = field(default_factory=list)
+
+    def settled(self) -> Terms:
+        """Without what a licence beside it absorbs: A OR (A AND B) is A, A AND (A OR B) is A."""
+        self.nested = [t for t in self.nested if t.leaves.isdisjoint(self.leaves)]
+        if not self.nested and len(self.leaves) == 1:
+            self.op = None
+        return self
+
+    def joined(self, op: str, other: Terms) -> Terms:
+        """Both terms under ``op``; the larger one takes the smaller one in, so chains of any length stay linear."""
+        ends = sorted((t if t.op == op else Terms(op, *_parts(t.settled())) for t in (self, other)), key=lambda t: len(t.leaves) + len(t.nested))
+        ends[1].leaves |= ends[0].leaves
+        ends[1].nested += ends[0].nested
+        return ends[1]
+
+    def text(self) -> str:
+        """Licences in order, then nested terms in brackets."""
+        out: list[str] = []
+        todo: list[Terms | str] = [self]
+        while todo:
+            t = todo.pop()
+            if isinstance(t, str):
+                out.append(t)
+                continue
+            out.append(f" {t.op} ".join(sorted(t.leaves)))
+            for k, sub in reversed(list(enumerate(sorted(t.nested, key=lambda n: sorted(n.leaves))))):
+                todo += [")", sub, f" {t.op} (" if k or t.leaves else "("]
+        return "".join(out)
+
+    def required(self) -> set[str]:
+        """Licences of the outer two levels that hold whichever choice is taken."""
+        if self.op != "OR":
+            return set(self.leaves)
+        return set() if self.leaves else set.intersection(*[t.leaves for t in self.nested])
 
-    ways: frozenset[frozenset[str]] = field(default_factory=frozenset)
 
-    def names(self) -> list[str]:
-        return sorted({n for w in self.ways for n in w})
+def _parts(t: Terms) -> tuple[set[str], list[Terms]]:
+    return (t.leaves, []) if t.op is None else (set(), [t])
 
 
-def evaluate(postfix: list[str], most: int = 256) -> Choice:
-    stack: list[frozenset[frozenset[str]]] = []
+def evaluate(postfix: list[str]) -> tuple[Terms, list[str]]:
+    """What an expression asks for, and all licences that it names."""
+    stack: list[Terms] = []
+    names: Counter[str] = Counter()
     for token in postfix:
         if token not in PRECEDENCE:
-            stack.append(frozenset([frozenset([token])]))
+            stack.append(Terms(None, {token}))
+            names[token] += 1
             continue
         right, left = stack.pop(), stack.pop()
-        if token == "OR":
-            stack.append(left | right)
-        elif token == "AND":
-            if len(left) * len(right) > most:
-                raise ExpressionError("too many choices")
-            stack.append(frozenset(a | b for a in left for b in right))
-        else:  # WITH binds one licence to one exception
-            if len(left) != 1 or len(right) != 1 or len(next(iter(left))) != 1 or len(next(iter(right))) != 1:
-                raise ExpressionError("WITH")
-            stack.append(frozenset([frozenset([f"{next(iter(next(iter(left))))} WITH {next(iter(next(iter(right))))}"])]))
-    return Choice(stack[0])
-
-
-def named(postfix: list[str]) -> list[str]:
-    """The licences an expression names, from its operands; takes no expansion, so expressions of any size have them."""
-    stack: list[frozenset[str] | str] = []  # a single operand is a string, as WITH binds no other
-    for token in postfix:
-        if token not in PRECEDENCE:
-            stack.append(token)
+        if token != "WITH":
+            stack.append(left.joined(token, right))
             continue
-        right, left = stack.pop(), stack.pop()
-        if token == "WITH":
-            if not (isinstance(left, str) and isinstance(right, str)):
-                raise ExpressionError("WITH")
-            stack.append(f"{left} WITH {right}")
-        else:
-            both = [frozenset([x]) if isinstance(x, str) else x for x in (left, right)]
-            stack.append(next(iter(both[0])) if both[0] == both[1] and len(both[0]) == 1 else both[0] | both[1])
-    last = stack[0]
-    return sorted([last] if isinstance(last, str) else last)
+        if left.settled().op or right.settled().op:  # WITH binds one licence to one exception
+            raise ExpressionError("WITH")
+        pair = [*left.leaves, *right.leaves]
+        names.subtract(pair)
+        both = " WITH ".join(pair)
+        names[both] += 1
+        stack.append(Terms(None, {both}))
+    return stack[0].settled(), sorted(n for n, times in names.items() if times > 0)
 
 
 def label_of(identifier: str) -> str | None:
@@ -185,8 +209,8 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def scan(body: bytes, phrases: ahocorasick.Automaton) -> tuple[int, list[int], set[str], set[str], float, list[str]]:
-    """Number of words, starts of base phrases, base labels, all labels, score, valid expressions."""
+def scan(body: bytes, phrases: ahocorasick.Automaton) -> tuple[int, list[int], set[str], set[str], float, list[str], set[str]]:
+    """Number of words, starts of base phrases, base labels, all labels, score, valid expressions, labels that these require."""
     words = body.translate(_FOLD).split(b" ")
     words = list(filter(None, words))
     stream = f" {b' '.join(words).decode('utf-8', 'replace')} "
@@ -214,18 +238,20 @@ def scan(body: bytes, phrases: ahocorasick.Automaton) -> tuple[int, list[int], s
             labels.add(label)
             score = max(score, proof)
     found: list[str] = []
+    required: set[str] = set()
     if tagged:
         for m in _TAG_AT.finditer(body.decode("utf-8", "replace")):
             try:
-                names = named(to_postfix(_DANGLING.sub("", m[1])))  # what an operator at the line's end joined is not there
+                terms, names = evaluate(to_postfix(_DANGLING.sub("", m[1])))  # what an operator at the line's end joined is not there
             except ExpressionError:
                 continue
             own = {label for n in names if (label := label_of(n))}
             if own:
                 labels |= own
                 score = 1.0
-                found.append(" | ".join(names))
-    return len(words), starts, base, labels | base, score, found
+                found.append(terms.text())
+                required |= {label for n in terms.required() if (label := label_of(n))}
+    return len(words), starts, base, labels | base, score, found, required
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
@@ -235,7 +261,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", c
     types = [ids_field(rows, f"__c{k}") for k in range(len(kept))]
     longs, strings = ("n_words", "n_base", "first_word", "last_word"), ("base_labels", "labels")
     schema = T.StructType(
-        [T.StructField(c, docs.schema[c].dataType) for c in kept] + [T.StructField(c, T.LongType()) for c in longs] + [T.StructField(c, T.StringType()) for c in strings] + [T.StructField("score", T.DoubleType()), T.StructField("expressions", T.ArrayType(T.StringType()))]
+        [T.StructField(c, docs.schema[c].dataType) for c in kept] + [T.StructField(c, T.LongType()) for c in longs] + [T.StructField(c, T.StringType()) for c in strings] + [T.StructField("score", T.DoubleType()), T.StructField("expressions", T.ArrayType(T.StringType())), T.StructField("required_labels", T.StringType())]
     )
 
     def scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +271,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", c
             data = [
                 pa.array([f[0] for f in found], pa.int64()), pa.array([len(f[1]) for f in found], pa.int64()), pa.array([min(f[1], default=None) for f in found], pa.int64()), pa.array([max(f[1], default=None) for f in found], pa.int64()),
                 pa.array([",".join(sorted(f[2])) for f in found], pa.string()), pa.array([",".join(sorted(f[3])) for f in found], pa.string()), pa.array([f[4] for f in found], pa.float64()), pa.array([f[5] for f in found], pa.list_(pa.string())),
+                pa.array([",".join(sorted(f[6])) for f in found], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*[batch.column(k).cast(t) for k, t in enumerate(types)], *data], names=schema.names)
 

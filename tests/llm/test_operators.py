@@ -635,23 +635,46 @@ def test_windows_cover_the_text():
 
 
 @pytest.mark.parametrize(
-    ("text", "names"),
-    [("MIT", ["MIT"]), ("MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("(MIT AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0", ["BSD-3-Clause", "GPL-2.0-only WITH Classpath-exception-2.0", "MIT"]), ("MIT */ code", ["MIT"])],
-)
-def test_expressions(text, names):
-    assert licenses.evaluate(licenses.to_postfix(text)).names() == names
+    ("text", "evaluated", "names", "required"),
+    [
+        ("MIT", "MIT", ["MIT"], {"MIT"}), ("MIT OR Apache-2.0", "Apache-2.0 OR MIT", ["Apache-2.0", "MIT"], set()), ("MIT AND Apache-2.0", "Apache-2.0 AND MIT", ["Apache-2.0", "MIT"], {"Apache-2.0", "MIT"}),
+        ("(MIT AND BSD-3-Clause) OR GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only WITH Classpath-exception-2.0 OR (BSD-3-Clause AND MIT)", ["BSD-3-Clause", "GPL-2.0-only WITH Classpath-exception-2.0", "MIT"], set()), ("MIT */ code", "MIT", ["MIT"], {"MIT"}),
+        ("A OR B AND C", "A OR (B AND C)", ["A", "B", "C"], set()), ("A OR A AND B", "A", ["A", "B"], {"A"}), ("A AND (A OR B)", "A", ["A", "B"], {"A"}), ("(A OR A) WITH C", "A WITH C", ["A", "A WITH C"], {"A WITH C"}),
+        ("(A AND B) OR (B AND C)", "(A AND B) OR (B AND C)", ["A", "B", "C"], {"B"}), ("A AND (B OR C) AND (D OR E)", "A AND (B OR C) AND (D OR E)", ["A", "B", "C", "D", "E"], {"A"}), ("A OR (B OR (C OR D))", "A OR B OR C OR D", ["A", "B", "C", "D"], set()),
+    ],
+)
+def test_expressions(text, evaluated, names, required):
+    terms, named = licenses.evaluate(licenses.to_postfix(text))
+    assert (terms.text(), named, terms.required()) == (evaluated, names, required)
 
 
-def test_expression_of_many_choices_has_labels():
+def test_expressions_of_any_size_are_evaluated():
     text = " AND ".join(f"(MIT OR GPL-{k}.0)" for k in range(1, 10))
-    with pytest.raises(licenses.ExpressionError):
-        licenses.evaluate(licenses.to_postfix(text))
     got = licenses.scan(f"SPDX-License-Identifier: {text}".encode(), licenses.automaton())
-    assert got[3] == {"mit", "gpl"} and got[4] == 1.0 and got[5] == [" | ".join([*(f"GPL-{k}.0" for k in range(1, 10)), "MIT"])]
-    for small in ("MIT", "A OR B AND C", "(A OR A) WITH C", "(MIT AND B) OR G WITH C"):
-        assert licenses.named(licenses.to_postfix(small)) == licenses.evaluate(licenses.to_postfix(small)).names()
-    with pytest.raises(licenses.ExpressionError):
-        licenses.named(licenses.to_postfix("(A OR B) WITH C"))
+    assert got[3] == {"mit", "gpl"} and got[4] == 1.0 and got[5] == [" AND ".join(f"(GPL-{k}.0 OR MIT)" for k in range(1, 10))] and got[6] == set()
+    long = licenses.evaluate(licenses.to_postfix(" OR ".join(f"L{k}" for k in range(50_000))))
+    assert len(long[0].leaves) == len(long[1]) == 50_000
+    deep = "".join(f"A{k} {'OR' if k % 2 else 'AND'} (" for k in range(20_000)) + "Z" + ")" * 20_000
+    assert len(licenses.evaluate(licenses.to_postfix(deep))[1]) == 20_001 and "Z" in licenses.evaluate(licenses.to_postfix(deep))[0].text()
+
+
+def test_and_differs_from_or():
+    a = licenses.automaton()
+    both, either = (licenses.scan(f"SPDX-License-Identifier: MIT {op} Apache-2.0".encode(), a) for op in ("AND", "OR"))
+    assert both[3] == either[3] == {"mit", "apache"} and both[5] != either[5] and both[6] == {"mit", "apache"} and either[6] == set()
+
+
+@given(st.recursive(st.sampled_from("ABCD"), lambda x: st.tuples(x, st.sampled_from(["AND", "OR"]), x), max_leaves=12))
+@settings(max_examples=200, deadline=None)
+def test_evaluated_expressions_mean_the_same(tree):
+    show = lambda t: t if isinstance(t, str) else f"({show(t[0])} {t[1]} {show(t[2])})"
+    holds = lambda t, have: t in have if isinstance(t, str) else (holds(t[0], have) and holds(t[2], have) if t[1] == "AND" else holds(t[0], have) or holds(t[2], have))
+    met = lambda t, have: (all if t.op == "AND" else any)([*[x in have for x in t.leaves], *[met(n, have) for n in t.nested]])
+    terms, _ = licenses.evaluate(licenses.to_postfix(show(tree)))
+    for k in range(16):
+        have = {c for i, c in enumerate("ABCD") if k >> i & 1}
+        assert holds(tree, have) == met(terms, have)
+        assert not holds(tree, have) or terms.required() <= have
 
 
 def test_dangling_operator_is_passed_over():
@@ -662,8 +685,6 @@ def test_dangling_operator_is_passed_over():
 
 
 def test_expression_precedence_and_errors():
-    choice = licenses.evaluate(licenses.to_postfix("A OR B AND C"))
-    assert choice.ways == frozenset([frozenset("A"), frozenset("BC")])
     assert licenses.to_postfix("A OR B AND C WITH D") == ["A", "B", "C", "D", "WITH", "AND", "OR"]
     for bad in ("", "OR A", "A OR", "(A", "A AND ()", "(A OR B) WITH C"):
         with pytest.raises(licenses.ExpressionError):
