@@ -6,9 +6,10 @@ gives one probability per language.  A text's probabilities are the mean of its
 logarithms, normalised again.
 
 Training uses windows of a bounded sample of labelled rows: about ``sample`` rows a
-language, chosen by a hash of the id (so expected size is bounded whatever the corpus
-size), trained with Adam on the driver.  The training rows are given by a condition of
-the caller; a prediction sees the text alone.
+language, chosen by a hash of id and text, of each at most ``longest`` windows (so the
+expected size is bounded whatever the corpus, its ids and its longest text), trained with
+Adam on the driver.  The training rows are given by a condition of the caller; a
+prediction sees the text alone.
 
 Scale: prediction is one Arrow pass without shuffle; whole texts are read, in groups of
 windows of bounded size.  Since an embedded byte times a filter is a table look-up, a
@@ -16,7 +17,8 @@ filter of width w costs w look-ups a position.
 
 Edge cases: null texts, and texts without any letter, are ``und`` with score 0; labels
 that are null are not learned from; if no labelled row exists, every text is ``und``;
-repeated rows are predicted once each.
+repeated rows are predicted once each and learned from once; an empty table gives an
+empty result, columns named as those of the result are not carried through.
 """
 
 from __future__ import annotations
@@ -199,17 +201,30 @@ def predict_texts(net: ByteCnn | None, tables: list[list[np.ndarray]] | None, bo
     return names, scores
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 400, **options) -> ByteCnn | None:  # type: ignore[no-untyped-def]
-    """A network from about ``sample`` rows a language among those that meet ``learn`` and have text and language."""
-    rows = docs.filter(learn & quoted(lang).isNotNull() & quoted(text).isNotNull()).select(quoted(doc_id).alias("id"), quoted(text).alias("text"), quoted(lang).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def _cut(body: Column, most: int) -> Column:
+    """A text as it is, or ``most`` of its windows, evenly spaced, where it is longer."""
+    n = F.floor(F.octet_length(body) / WINDOW)
+    piece = lambda i: F.substring(body, (F.floor(i * n / most) * WINDOW + 1).cast("int"), F.lit(WINDOW))
+    spaced = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(b"").cast("binary"), lambda joined, i: F.concat(joined, piece(i)))
+    return F.when(n > most, spaced).otherwise(body)
+
+
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 400, longest: int = 256, **options) -> ByteCnn | None:  # type: ignore[no-untyped-def]
+    """A network from about ``sample`` rows a language among those that meet ``learn`` and have text and language.
+
+    A row is told by a hash of its id and text, so null or repeated ids leave the sample as
+    large as it is; rows equal in both count once.  A text sends at most ``longest`` windows
+    to the driver."""
+    body = quoted(text).cast("string")
+    rows = docs.filter(learn & quoted(lang).isNotNull() & quoted(text).isNotNull()).select(F.xxhash64(F.lit(11), quoted(doc_id), body).alias("row"), body.cast("binary").alias("body"), quoted(lang).cast("string").alias("lang"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("row", 0.02).alias("n")).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, sample / n))])
-    place = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = rows.filter(place < share[F.col("lang")]).select("lang", F.col("text").cast("binary").alias("body")).collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["body"])))
-    return train([bytes(r["body"]) for r in rows], [r["lang"] for r in rows], **options)
+    share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, sample / max(n, 1)))])
+    place = F.pmod(F.col("row"), F.lit(1 << 20)) / float(1 << 20)
+    found = rows.filter(place < share[F.col("lang")]).groupBy("lang", "row").agg(F.any_value(_cut(F.col("body"), longest)).alias("body")).collect()
+    found.sort(key=lambda r: (r["lang"], bytes(r["body"])))
+    return train([bytes(r["body"]) for r in found], [r["lang"] for r in found], **options)
 
 
 def predict(docs: DataFrame, net: ByteCnn | None, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roadsift.llm import exact_dedup, html_extract, langid, licenses, line_dedup, mixing, near_dup, packing, quality, sharding
@@ -161,3 +162,20 @@ def test_pipeline_on_edges(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     d.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_language_sample_does_not_rest_on_ids(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels, **_: seen.update(texts=texts, labels=labels))
+    base = spark.range(4000).select(F.concat_ws(" ", F.lit("word"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, F.lit("aa")).otherwise(F.lit("bb")).alias("lang"))
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        langid.fit(base.withColumn("doc_id", ids), F.lit(True), sample=50)
+        assert all(25 <= seen["labels"].count(lang) <= 85 for lang in ("aa", "bb"))
+    copies = base.withColumn("text", F.lit("the same text"))
+    langid.fit(copies.withColumn("doc_id", F.lit(None).cast("long")), F.lit(True), sample=50)
+    assert sorted(seen["labels"]) == ["aa", "bb"]
+    long = spark.createDataFrame([(1, "".join(chr(97 + k // 256 % 26) for k in range(256 * 1000)), "aa")], "doc_id long, text string, lang string")
+    langid.fit(long, F.lit(True), longest=10)
+    assert [len(t) for t in seen["texts"]] == [2560] and {t[k * 256 : (k + 1) * 256] for t in seen["texts"] for k in range(10)} == {bytes([97 + k * 100 % 26]) * 256 for k in range(10)}
+    langid.fit(long, F.lit(True), longest=1000)
+    assert [len(t) for t in seen["texts"]] == [256_000]
