@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ContractError
+from ..scratch import written
 from .joins import require_none
 
 ENGINE_SPLIT = {"CAL": "V", "POOL": "T", "EVAL": "P"}
@@ -111,16 +112,20 @@ def plan_parts(groups: Sequence[tuple[str, int]], limit: int) -> list[list[str]]
 
 
 def closure_depth(spark, frames: DataFrame, most: int = 9) -> DataFrame:  # type: ignore[no-untyped-def]
-    """Predecessors of every keyframe up to a depth, by a recursive query: token, ancestor, depth, same_scene."""
-    frames.select("token", "prev", "scene_token").createOrReplaceTempView("__closure")
-    return spark.sql(
-        f"""WITH RECURSIVE up(token, ancestor, depth, scene_token, following) AS (
-              SELECT token, token, 0, scene_token, prev FROM __closure
-              UNION ALL
-              SELECT u.token, c.token, u.depth + 1, u.scene_token, c.prev FROM up u JOIN __closure c ON c.token = u.following
-              WHERE u.depth < {most} AND c.scene_token = u.scene_token)
-            SELECT token, ancestor, depth FROM up"""
-    )
+    """Predecessors of every keyframe up to a depth: token, ancestor, depth.
+
+    A join a step, each stored (a recursive query ends with an error at a million rows)."""
+    known = written(frames.select("token", "prev", "scene_token"), "closure")
+    level = known.select("token", F.col("token").alias("ancestor"), F.lit(0).alias("depth"), "scene_token", F.col("prev").alias("following"))
+    out = level.select("token", "ancestor", "depth")
+    earlier = known.select(F.col("token").alias("following"), F.col("prev").alias("__next"), "scene_token")
+    for depth in range(1, most + 1):
+        up = level.join(earlier, ["following", "scene_token"])
+        level = written(up.select("token", F.col("following").alias("ancestor"), F.lit(depth).alias("depth"), "scene_token", F.col("__next").alias("following")), "closure")
+        if level.isEmpty():
+            break
+        out = out.union(level.select("token", "ancestor", "depth"))
+    return out
 
 
 class Freeze:
