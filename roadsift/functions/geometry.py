@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Signs of a box's corners along length, width and height.
+CORNERS = ((1, 1, 1), (1, -1, 1), (1, -1, -1), (1, 1, -1), (-1, 1, 1), (-1, -1, 1), (-1, -1, -1), (-1, 1, -1))
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once: keeps nested expressions linear in size."""
@@ -82,9 +85,7 @@ def relative_pose(parent_q: Column, parent_t: Column, child_q: Column, child_t:
 
 def box_corners(center: Column, size_wlh: Column, q: Column) -> Column:
     """Eight corners as an array of (x, y, z): front face first, upper left corner first, clockwise."""
-    # Signs of the corners along length, width and height.
-    signs = [(1, 1, 1), (1, -1, 1), (1, -1, -1), (1, 1, -1), (-1, 1, 1), (-1, -1, 1), (-1, -1, -1), (-1, 1, -1)]
-    half = F.array(*[F.array(F.lit(sx / 2), F.lit(sy / 2), F.lit(sz / 2)) for sx, sy, sz in signs])
+    half = F.array(*[F.array(F.lit(sx / 2), F.lit(sy / 2), F.lit(sz / 2)) for sx, sy, sz in CORNERS])
     return let(rotation_matrix(q), lambda m: let(size_wlh, lambda s: F.transform(half, lambda k: shift(rotate(m, F.array(s[1] * k[0], s[0] * k[1], s[2] * k[2])), center))))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from roadsift.operators import projection
 from roadsift.operators import splits as sp
 
 
@@ -18,3 +19,30 @@ def test_closure_stays_in_its_scene_and_ends(spark):
     found = sp.closure_depth(spark, spark.createDataFrame(rows, "token string, prev string, scene_token int"), 2)
     assert sorted(map(tuple, found.collect())) == [("a", "a", 0), ("b", "a", 1), ("b", "b", 0), ("c", "c", 0), ("d", "c", 1), ("d", "d", 0), ("x", "x", 0), ("x", "x", 1), ("x", "x", 2)]
     assert found.schema["depth"].dataType.simpleString() == "int"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def cameras(spark, names=("CAM_FRONT",), n=1):
+    """Cameras that look along +x."""
+    rows = spark.range(n).select(F.col("id").alias("sample_token"), F.explode(F.array(*[F.lit(x) for x in names])).alias("cam"))
+    fixed = {"ego_q": (1, 0, 0, 0), "ego_t": (0, 0, 0), "translation": (0, 0, 0), "rotation": (0.5, -0.5, 0.5, -0.5), "intrinsic": (1000, 0, 800, 0, 1000, 450, 0, 0, 1)}
+    return rows.select("*", *[F.array(*[F.lit(float(x)) for x in v]).alias(k) for k, v in fixed.items()])
+
+
+def test_cameras_of_frames_are_not_broadcast(spark):
+    ids, box = spark.range(3).withColumnRenamed("id", "sample_token"), {"translation": (10, 0, 0), "size": (2, 4, 2), "rotation": (1, 0, 0, 0)}
+    boxes = ids.select("sample_token", F.lit("a").alias("ann_token"), F.lit("car").alias("category"), *[F.array(*[F.lit(float(x)) for x in v]).alias(k) for k, v in box.items()], F.lit("4").alias("visibility"), F.lit(1).alias("num_lidar_pts"))
+    objects = ids.select("sample_token", F.lit("o").alias("object_id"), *[F.lit(float(x)).alias(c) for c, x in {"cx": 10, "cy": 0, "cz": 0, "l": 4, "w": 2, "h": 2, "yaw": 0}.items()])
+    cams = cameras(spark, n=3)
+    for out in (projection.project_boxes(boxes, cams), projection.project_objects(objects, cams), projection.boxes_in_ego(boxes, cams)):
+        assert "Broadcast" not in plan(out) and out.count() == 3
+
+
+def test_a_box_with_a_missing_number_is_not_seen(spark):
+    rows = [(0, "whole", 10.0, 0.0), (0, "null", None, 0.0), (0, "behind", -10.0, 0.0), (0, "aside", 3.0, 40.0)]
+    objects = spark.createDataFrame(rows, "sample_token long, object_id string, cx double, cy double").select("*", *[F.lit(float(x)).alias(c) for c, x in {"cz": 0, "l": 4, "w": 2, "h": 2, "yaw": 0}.items()])
+    seen = projection.project_objects(objects, cameras(spark, ("CAM_BACK", "CAM_FRONT"))).collect()
+    assert [(r["object_id"], r["cam"], r["x1"], r["y1"], r["x2"], r["y2"], r["visible_frac"]) for r in seen] == [("whole", "CAM_FRONT", 675.0, 325.0, 925.0, 575.0, 1.0)]
