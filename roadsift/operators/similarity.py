@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ from .pivots import Block, PivotIndex, Summaries
 BROADCAST_BYTES = 64 << 20
 #: Near blocks that give a query block its first bounds.
 SEEDS = 3
+#: Distances that a task holds at a time (a query's row of them at least).
+CELLS = 1 << 20
 #: Edges up to which one task ends the search for connected groups.
 TAIL = 20_000
 
@@ -34,6 +37,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
+def _tiles(n: int, width: int) -> Iterator[slice]:
+    """Cuts ``n`` rows so that a matrix of a part by ``width`` columns has at most CELLS numbers."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def _codes(values: pa.Array, known: pa.Array) -> np.ndarray:
+    """Places of values among known ones, a missing value as one of its own; -1 where there is none."""
+    return pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
 def _distances(metric: str, q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if metric == "cosine":
         return 1.0 - q @ c.T
@@ -65,15 +79,16 @@ def knn_distances(
     facts = c.agg(F.count(F.lit(1)), F.max(F.size("__v"))).first()
     n, width = facts[0], facts[1] or 0
 
-    def near(qs: pd.DataFrame, cm: np.ndarray, cx: list[np.ndarray]) -> list[list[float]]:
+    def near(qs: pd.DataFrame, cm: np.ndarray, scenes: pa.Array | None, cx: list[np.ndarray]) -> list[list[float]]:
         out: list[list[float]] = []
-        for a in range(0, len(qs), 1024):
-            part = qs.iloc[a : a + 1024]
-            d = _distances(metric, _matrix(part["__v"]), cm)
+        own = _codes(pa.array(qs["__0"], pa.string()), scenes) if scene else None
+        place = qs["__1"].to_numpy(np.int64) if index else None
+        for at in _tiles(len(qs), len(cm)):
+            d = _distances(metric, _matrix(qs["__v"].iloc[at]), cm)
             if scene:
-                same = part["__0"].to_numpy(object)[:, None] == cx[0][None]
+                same = own[at, None] == cx[0][None]
                 if index:
-                    same &= np.abs(part["__1"].to_numpy(np.int64)[:, None] - cx[1][None]) < min_gap
+                    same &= np.abs(place[at, None] - cx[1][None]) < min_gap
                 d[same] = np.inf
             out += _smallest(d, k)
         return out
@@ -81,12 +96,14 @@ def knn_distances(
     schema = T.StructType([T.StructField(key, queries.schema[key].dataType), T.StructField("near", T.ArrayType(T.DoubleType()))])
     if n * width * 8 <= broadcast_bytes:
         rows = c.toPandas()
-        held = spark.sparkContext.broadcast((_matrix(rows["__v"]), [rows[f"__{i}"].to_numpy(object if x == scene else np.int64) for i, x in enumerate(extra)]))
+        names = pa.array(rows["__0"], pa.string()) if scene else None
+        scenes = names.unique() if scene else None
+        held = spark.sparkContext.broadcast((_matrix(rows["__v"]), scenes, [_codes(names, scenes) if x == scene else rows[f"__{i}"].to_numpy(np.int64) for i, x in enumerate(extra)]))
 
         def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            cm, cx = held.value
+            cm, scenes, cx = held.value
             for b in batches:
-                yield pd.DataFrame({key: b[key], "near": near(b, cm, cx) if len(cm) else [[]] * len(b)})
+                yield pd.DataFrame({key: b[key], "near": near(b, cm, scenes, cx) if len(cm) else [[]] * len(b)})
 
         return q.mapInPandas(one, schema)
     return _knn_by_pivots(q, c, key, schema, k, metric, bool(scene), bool(index), min_gap, block_rows, report)
@@ -123,15 +140,20 @@ def _knn_by_pivots(q: DataFrame, c: DataFrame, key: str, schema: T.StructType, k
         best = np.full((n, k), np.inf)
         for other in partners:
             others = other.keys
-            for at in range(0, n, 1024):
-                d = _distances(metric, one.vectors[at : at + 1024], other.vectors)
+            if by_scene:
+                scenes = others.column("__0").combine_chunks().unique()
+                own, there = (_codes(x.column("__0").combine_chunks(), scenes) for x in (keys, others))
+            if by_index:
+                place, places = (x.column("__1").to_numpy() for x in (keys, others))
+            for at in _tiles(n, len(other.vectors)):
+                d = _distances(metric, one.vectors[at], other.vectors)
                 if by_scene:
-                    same = keys.column("__0").to_numpy(zero_copy_only=False)[at : at + 1024, None] == others.column("__0").to_numpy(zero_copy_only=False)[None]
+                    same = own[at, None] == there[None]
                     if by_index:
-                        same &= np.abs(keys.column("__1").to_numpy()[at : at + 1024, None] - others.column("__1").to_numpy()[None]) < min_gap
+                        same &= np.abs(place[at, None] - places[None]) < min_gap
                     d[same] = np.inf
-                d[d > bound[at : at + 1024, None]] = np.inf
-                best[at : at + len(d)] = np.sort(np.concatenate([best[at : at + len(d)], np.partition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else d], axis=1), axis=1)[:, :k]
+                d[d > bound[at, None]] = np.inf
+                best[at] = np.sort(np.concatenate([best[at], np.partition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else d], axis=1), axis=1)[:, :k]
         full = np.flatnonzero(np.isfinite(best[:, 0]))
         near = [row[np.isfinite(row)].tolist() for row in best[full]]
         yield pa.table({"a": pa.array(np.full(len(full), one.number)), "pos": pa.array(full.astype(np.int32)), "near": pa.array(near, pa.list_(pa.float64()))})
@@ -211,32 +233,50 @@ def vector_classes(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.groupBy("v").agg(F.min("__k").alias("class"), F.count(F.lit(1)).alias("members"))
 
 
-def _class_pairs(classes: DataFrame, theta: float, block_rows: int | None, report: dict[str, int] | None) -> DataFrame:
-    """a < b, cos: the classes whose vectors' inner product is above ``theta``."""
-    index = PivotIndex.build(classes, "v", ["class"], block_rows=block_rows)
-    kind = classes.schema["class"].dataType
+def _close(classes: DataFrame, theta: float, carried: list[str], found: Callable[[Block, Block, np.ndarray, np.ndarray, np.ndarray], pa.Table], schema: T.StructType, block_rows: int | None, report: dict[str, int] | None) -> DataFrame:
+    """``found`` of the classes whose vectors' inner product is above ``theta``: two blocks, places in them, products; a tile of the block pair at a time."""
+    index = PivotIndex.build(classes, "v", carried, block_rows=block_rows)
 
     def may(a: Summaries, b: Summaries, gap: np.ndarray) -> np.ndarray:
         most = (a.norm[:, None] + b.norm[None] - gap * gap) / 2
         return (most > theta - 1e-9 * (1 + np.abs(most))) & (a.block[:, None] <= b.block[None])
 
     def compare(one: Block, partners: Iterator[Block]) -> Iterator[pa.Table]:
-        own = one.keys.column("class")
         for other in partners:
-            there = other.keys.column("class")
-            for at in range(0, len(one.vectors), 1024):
-                s = one.vectors[at : at + 1024] @ other.vectors.T
+            for at in _tiles(len(one.vectors), len(other.vectors)):
+                s = one.vectors[at] @ other.vectors.T
                 i, j = np.nonzero(s > theta)
-                keep = at + i < j if one.number == other.number else np.ones(len(i), bool)
+                keep = at.start + i < j if one.number == other.number else np.ones(len(i), bool)
                 i, j = i[keep], j[keep]
-                yield pa.table({"a": own.take(pa.array(at + i)), "b": there.take(pa.array(j)), "cos": pa.array(s[i, j])})
+                yield found(one, other, at.start + i, j, s[i, j])
 
     pairs = written(index.pairs(index, may), "class-pairs")
     if report is not None:
         blocks = index.blocks.count()
         report |= {"pairs": blocks * (blocks + 1) // 2, "compared": pairs.count()}
+    return index.met(index, pairs, compare, schema)
+
+
+def _class_pairs(classes: DataFrame, theta: float, block_rows: int | None, report: dict[str, int] | None) -> DataFrame:
+    """a < b, cos: the classes whose vectors' inner product is above ``theta``."""
+
+    def named(one: Block, other: Block, i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> pa.Table:
+        return pa.table({"a": one.keys.column("class").take(pa.array(i)), "b": other.keys.column("class").take(pa.array(j)), "cos": pa.array(cos)})
+
+    kind = classes.schema["class"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cos", T.DoubleType())])
-    return index.met(index, pairs, compare, schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cos")
+    return _close(classes, theta, ["class"], named, schema, block_rows, report).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cos")
+
+
+def _count_close(classes: DataFrame, theta: float, block_rows: int | None) -> int:
+    """Pairs of members of different classes above ``theta``; counted where they are found, so a tile sends one number and not its pairs."""
+
+    def counted(one: Block, other: Block, i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> pa.Table:
+        m, o = (x.keys.column("members").to_numpy()[at] for x, at in ((one, i), (other, j)))
+        return pa.table({"close": [int(m @ o)]})
+
+    schema = T.StructType([T.StructField("close", T.LongType())])
+    return _close(classes, theta, ["members"], counted, schema, block_rows, None).agg(F.sum("close")).first()[0] or 0
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, theta: float, block_rows: int | None = None, report: dict[str, int] | None = None) -> DataFrame:
@@ -309,8 +349,7 @@ def pair_redundancy(df: DataFrame, key: str, vector: str, theta: float = 0.95, b
     """Share of pairs of a selection above theta; 0 for fewer than two rows.  Pairs of equal vectors are counted from the sizes of their classes."""
     n = df.count()
     classes = written(vector_classes(df, key, vector), "classes")
-    sizes = classes.select("class", "members").hint("merge")
-    between = _class_pairs(classes, theta, block_rows, None).join(sizes.withColumnsRenamed({"class": "a", "members": "m"}), "a").join(sizes.withColumnsRenamed({"class": "b", "members": "o"}), "b").agg(F.sum(F.col("m") * F.col("o"))).first()[0] or 0
+    between = _count_close(classes, theta, block_rows)
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     inside = classes.filter(square > theta).agg(F.sum(F.col("members") * (F.col("members") - 1) / 2)).first()[0] or 0
     close, pairs = int(between + inside), n * (n - 1) // 2

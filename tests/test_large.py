@@ -1,8 +1,10 @@
 """Operators on tables that were too large for an earlier form of them."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from roadsift.operators import projection
+from roadsift.operators import similarity as sim
 from roadsift.operators import splits as sp
 
 
@@ -46,3 +48,24 @@ def test_a_box_with_a_missing_number_is_not_seen(spark):
     objects = spark.createDataFrame(rows, "sample_token long, object_id string, cx double, cy double").select("*", *[F.lit(float(x)).alias(c) for c, x in {"cz": 0, "l": 4, "w": 2, "h": 2, "yaw": 0}.items()])
     seen = projection.project_objects(objects, cameras(spark, ("CAM_BACK", "CAM_FRONT"))).collect()
     assert [(r["object_id"], r["cam"], r["x1"], r["y1"], r["x2"], r["y2"], r["visible_frac"]) for r in seen] == [("whole", "CAM_FRONT", 675.0, 325.0, 925.0, 575.0, 1.0)]
+
+
+def test_tiles_of_distances_are_bounded():
+    for n, width in ((10_000, 131_072), (8_192, 8_192), (5, 3 * sim.CELLS), (7, 0)):
+        parts = [range(n)[at] for at in sim._tiles(n, width)]
+        assert [i for p in parts for i in p] == list(range(n)) and all(len(p) == 1 or len(p) * width <= sim.CELLS for p in parts)
+
+
+def test_neighbours_and_close_pairs_over_several_tiles(spark):
+    v = np.random.default_rng(1).normal(size=(2_200, 3)).round(1)  # more than one tile; some vectors are equal
+    scene = [None if k % 5 == 4 else f"s{k % 5}" for k in range(len(v))]  # a missing scene is one of its own
+    df = spark.createDataFrame([(k, scene[k], k, [float(x) for x in row]) for k, row in enumerate(v)], "id long, scene string, idx int, v array<double>").coalesce(1)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    other = np.where(np.arange(len(v))[:, None] % 5 == np.arange(len(v))[None] % 5, np.inf, d)
+    for broadcast in (0, sim.BROADCAST_BYTES):
+        got = {r["id"]: r["near"] for r in sim.knn_distances(df, df, "id", "v", 3, "l2", "scene", broadcast_bytes=broadcast).collect()}
+        assert np.allclose([got[k] for k in range(len(v))], np.sort(other, axis=1)[:, :3], atol=1e-6)
+    close = int((np.triu(v @ v.T, 1) > 2.005).sum())
+    row = sim.pair_redundancy(df, "id", "v", 2.005).first()
+    assert (row["n"], row["close"]) == (len(v), close)
+    assert sim._count_close(sim.vector_classes(df, "id", "v"), 2.005, 2_200) <= close
