@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def bround6(x: Column) -> Column:
     """Six decimals, half to even: the rounding before every ordered selection."""
@@ -81,3 +83,46 @@ def with_pct_rank(df: DataFrame, value: str, out: str, mask: str | None = None,
         rank = F.col("__before") + F.col("__upto") - (F.col("__c") - 1) / 2
     scored = ranks.select("__x", F.when(constant & F.lit(constant_is_zero), F.lit(0.0)).otherwise(rank / F.col("__n")).alias(out))
     return df.withColumn("__x", x).join(scored, "__x", "left").drop("__x").withColumn(out, F.coalesce(out, F.lit(0.0)))
+
+
+#: Rows of a sorted range that one task ranks.
+RANGE_ROWS = 500_000
+
+
+def _ranges(df: DataFrame, order: Sequence[Column], rows: int) -> DataFrame:
+    """The rows dealt into sorted ranges of about ``rows``, each with its number ``__p``; stored, so that a range stays what it is."""
+    parts = 1 + df.count() // rows
+    return written(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def with_row_number(df: DataFrame, order: Sequence[Column], out: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """The number of each row in the order of the whole table, from 1: numbers within sorted ranges, shifted by the rows of the ranges before."""
+    dealt = _ranges(df, order, rows)
+    totals = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__t"))  # one row a range
+    before = totals.select("__p", F.coalesce(F.sum("__t").over(Window.partitionBy().orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return dealt.withColumn(out, own).join(F.broadcast(before), "__p").withColumn(out, F.col("__before") + F.col(out)).drop("__p", "__before")
+
+
+def with_group_pct_rank(df: DataFrame, value: str, by: Sequence[str], out: str, constant_is_zero: bool = True, rows: int = RANGE_ROWS) -> DataFrame:
+    """``pct_rank`` within groups of any size: distinct values are counted, ranked in sorted ranges and joined back; no task sorts a group."""
+    x = F.col(value).cast("double")
+    x = F.when(~F.isnan(x), x)
+    keys = [f"__g{i}" for i in range(len(by))]
+    counts = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], x.alias("__y")).filter("__y is not null").groupBy(*keys, "__y").agg(F.count(F.lit(1)).alias("__c"))
+    dealt = _ranges(written(counts, "value-counts"), [F.col(k) for k in (*keys, "__y")], rows)
+    group = Window.partitionBy(*keys)
+    totals = dealt.groupBy(*keys, "__p").agg(F.sum("__c").alias("__t"))  # one row a range and group
+    before = totals.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("__p").alias("__q"), F.coalesce(F.sum("__t").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__t").over(group).alias("__n"))
+    same = F.col("__p") == F.col("__q")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__p").orderBy("__y"))
+    rank = F.col("__before") + F.col("__upto") - (F.col("__c") - 1) / 2
+    ranked = dealt.withColumn("__upto", upto).join(before, same).select(*keys, "__y", F.when((F.col("__c") == F.col("__n")) & F.lit(constant_is_zero), F.lit(0.0)).otherwise(rank / F.col("__n")).alias(out))
+    there = F.col("__x") == F.col("__y")
+    for c, k in zip(by, keys, strict=True):
+        there &= F.col(c).eqNullSafe(F.col(k))
+    rows_ = df.withColumn("__x", x)
+    met = rows_.filter("__x is not null").join(ranked, there).drop("__x", "__y", *keys)
+    return met.unionByName(rows_.filter("__x is null").drop("__x").withColumn(out, F.lit(0.0)))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import bround6
+from ..functions.ranks import bround6, with_row_number
 from ..functions.scalars import scene_range
 from ..operators import adapters as ad
 from ..operators import aggregates as agg
@@ -59,7 +58,8 @@ def rival_crowd(spark, d):
 
 
 def page_of_frames(spark, d):
-    f = order_frames(spark, d).select(F.col("sample_token").cast("string").alias("sample_token"), F.row_number().over(Window.partitionBy().orderBy(F.desc("o_totalprice"), "sample_token")).alias("rank"), F.concat_ws("|", "o_orderstatus", F.substring("scene_desc", 1, 3)).alias("pred_tags"), F.lit(True).alias("selected"))
+    ranked = with_row_number(order_frames(spark, d).select("sample_token", "o_totalprice", "o_orderstatus", "scene_desc"), [F.desc("o_totalprice"), F.col("sample_token")], "rank")
+    f = ranked.select(F.col("sample_token").cast("string").alias("sample_token"), "rank", F.concat_ws("|", "o_orderstatus", F.substring("scene_desc", 1, 3)).alias("pred_tags"), F.lit(True).alias("selected"))
     return views.frame_page(f, 20, 30, tag="1-").select("sample_token", F.col("rank").cast("long").alias("rank"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import bround6, pct_rank, with_pct_rank
+from ..functions.ranks import bround6, pct_rank, with_group_pct_rank, with_pct_rank
 from ..functions.scalars import binary_entropy, bin_right, has_keyword, json_field, pipe_join, pipe_split, relative_change, slug
 from ..operators import aggregates as agg
 from ..operators.joins import asof_last, asof_nearest, chain_walk, previous_value
@@ -65,7 +65,7 @@ def pct_rank_masked(spark, d):
 
 def pct_rank_by_split(spark, d):
     f = frames(spark, d).withColumn("split", F.when(F.col("user_id") % 4 == 0, F.lit("V")).otherwise(F.lit("P")))
-    return f.select("event_id", "split", bround6(pct_rank(F.col("value"), None, ["split"], constant_is_zero=False)).alias("r"))
+    return with_group_pct_rank(f, "value", ["split"], "r", constant_is_zero=False).select("event_id", "split", bround6(F.col("r")).alias("r"))
 
 
 def frame_best_image(spark, d):

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from roadsift.functions import ranks
 from roadsift.operators import projection
 from roadsift.operators import similarity as sim
 from roadsift.operators import splits as sp
@@ -69,3 +70,23 @@ def test_neighbours_and_close_pairs_over_several_tiles(spark):
     row = sim.pair_redundancy(df, "id", "v", 2.005).first()
     assert (row["n"], row["close"]) == (len(v), close)
     assert sim._count_close(sim.vector_classes(df, "id", "v"), 2.005, 2_200) <= close
+
+
+def test_row_numbers_over_several_ranges(spark):
+    df = spark.range(1000).select("id", (F.col("id") * 7 % 10).alias("v"))
+    order = [F.desc("v"), F.col("id")]
+    got = [r["id"] for r in ranks.with_row_number(df, order, "n", rows=90).orderBy("n").collect()]
+    assert got == sorted(range(1000), key=lambda i: (-(i * 7 % 10), i))
+    numbers = ranks.with_row_number(df, order, "n", rows=90)
+    assert sorted(r["n"] for r in numbers.collect()) == list(range(1, 1001))
+    assert ranks.with_row_number(df.filter("id < 0"), order, "n").isEmpty()
+
+
+def test_ranks_in_groups_over_several_ranges(spark):
+    value = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 13 == 0, float("nan")).otherwise((F.col("id") * 37 % 211).cast("double"))
+    group = F.when(F.col("id") % 3 == 1, "a").when(F.col("id") % 3 == 2, "b")  # and a missing one
+    df = spark.range(900).select("id", value.alias("v"), group.alias("g")).unionByName(spark.sql("select id + 1000 as id, 5D as v, 'constant' as g from range(4)"))
+    for constant in (False, True):
+        want = {r["id"]: r["r"] for r in df.select("id", ranks.pct_rank(F.col("v"), None, ["g"], constant).alias("r")).collect()}
+        got = ranks.with_group_pct_rank(df, "v", ["g"], "r", constant, rows=50)
+        assert got.columns == ["id", "v", "g", "r"] and {r["id"]: r["r"] for r in got.collect()} == want and got.count() == len(want)
