@@ -17,10 +17,12 @@ are compared: SimHashes up to ``BITS`` bits apart and with lengths that allow th
 on to the edit check, which alone decides.
 
 Work in a bucket.  A bucket's nodes are compared block against block inside tasks; each
-node offers its ``partners`` nearest of other components, and only buckets in which a node
-had more come again, with more partners, until none has, so a crowd of similar lines
-costs a few verified pairs a line and every pair is compared or known to be connected.
-Buckets of more than ``HOT`` nodes are split by each of the nodes' other keys first.
+node offers its ``partners`` nearest, and only buckets in which a pair of different
+components is farther down the ranks come again, with the next ranks, until none is left,
+so a crowd of similar lines costs a few verified pairs a line and every pair is compared or
+known to be connected.  Ranks do not change from round to round and a pair belongs to the
+first key that its nodes share, so none is offered twice.  Buckets of more than ``HOT``
+nodes are split by size first: lines of similar sizes share a part, so no pair is lost.
 
 Scale: keys are made in one vectorised Arrow pass, without an object a word; occurrences
 are tables in the shared folder; nodes meet in map-side combined minima and in joins that
@@ -34,6 +36,7 @@ carried columns of the same name; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -59,6 +62,8 @@ FEW, LONG, RUN = 8, 20, 5
 BLOCK, SMALL, HOT = 512, 8, 8192
 #: Partners a node of a large bucket offers in the first round, and how many times more in each later one.
 PARTNERS, MORE = 1, 8
+#: Pairs whose edit tables are filled together, and characters of a line up to which they are.
+TABLES, WIDE = 1024, 1024
 #: Bytes of text whose lines are read at a time (a longer line is read alone).
 PIECE = 1 << 20
 _FOLD = bytes(b if b >= 0x80 or b == 10 else 48 if chr(b).isdigit() else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
@@ -194,7 +199,100 @@ def edit_similarity(a: str, b: str, least: float) -> bool:
     return _distance(a, b, most) <= most
 
 
-def _shared(a: str, b: str) -> int:
+def similar_lines(left: list[bytes], right: list[bytes], least: float) -> np.ndarray:
+    """``edit_similarity`` of many pairs of lines in UTF-8: the tables of up to ``TABLES`` pairs are filled together, an anti-diagonal at a time."""
+    out = np.zeros(len(left), bool)
+    for plain in (True, False):
+        mine = [k for k, (x, y) in enumerate(zip(left, right, strict=True)) if (x.isascii() and y.isascii()) == plain]
+        if not mine:
+            continue
+        texts = [(x, y) if plain else (x.decode("utf-8", "replace"), y.decode("utf-8", "replace")) for x, y in ((left[k], right[k]) for k in mine)]
+        sizes = np.array([(len(x), len(y)) for x, y in texts])
+        most = ((1 - least) * sizes.max(1) + 1e-9).astype(np.int64)
+        apart = np.abs(sizes[:, 0] - sizes[:, 1])
+        open_ = apart <= most
+        for k in np.flatnonzero(open_).tolist():
+            x, y = texts[k]
+            if len(x) > WIDE or len(y) > WIDE:
+                out[mine[k]], open_[k] = edit_similarity(x.decode() if plain else x, y.decode() if plain else y, least), False
+                continue
+            p, q = x.split(), y.split()
+            if len(p) == len(q) and sum([max(len(a), len(b)) for a, b in zip(p, q, strict=True) if a != b]) <= most[k] and len(x) + len(y) == sum(map(len, p)) + sum(map(len, q)) + 2 * max(len(p) - 1, 0):
+                out[mine[k]], open_[k] = True, False
+                continue
+            head = _shared(x, y)
+            x, y = x[head:], y[head:]
+            tail = _shared(x[::-1], y[::-1])
+            texts[k] = x, y = x[: len(x) - tail], y[: len(y) - tail]
+            sizes[k] = len(x), len(y)
+            if max(len(x), len(y)) <= most[k]:
+                out[mine[k]], open_[k] = True, False
+        order = np.flatnonzero(open_)
+        order = order[np.argsort(-sizes[order].sum(1), kind="stable")]
+        for lo in range(0, len(order), TABLES):
+            at = order[lo : lo + TABLES]
+            pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in (texts[k] for k in at)]
+            out[np.asarray(mine)[at]] = _tables(*zip(*pairs, strict=True), most[at])
+    return out
+
+
+def _tables(a: tuple, b: tuple, most: np.ndarray) -> np.ndarray:
+    """Whether the Levenshtein distances of a[k], b[k] (a[k] not the shorter; all bytes or all text; by falling sum of lengths) are at most ``most[k]``.
+
+    Of a table only the diagonals i - j are kept that a path of at most that cost can touch; the cells of
+    an anti-diagonal i + j = s depend on the two before it alone, so ``v`` has one number a diagonal."""
+    n_a, n_b = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    plain = isinstance(a[0], bytes)
+
+    def columns(texts: tuple, width: int, fill: bytes) -> np.ndarray:
+        """The k-th characters of all texts in row k; a fill that no text has and the other side has not."""
+        units = b"".join(t.ljust(width, fill) if plain else t.encode("utf-32-le", "surrogatepass").ljust(4 * width, fill) for t in texts)
+        return np.ascontiguousarray(np.frombuffer(units, np.uint8 if plain else np.uint32).reshape(len(texts), width).T)
+
+    rows_a, rows_b = max(1, int(n_a.max())), max(1, int(n_b.max()))
+    x, y = columns(a, rows_a, b"\xff"), columns(b, rows_b, b"\xfe")[::-1]
+    room = (most - (n_a - n_b)) // 2
+    low, high = -int(room.max()), int((n_a - n_b + room).max())
+    kind, much = (np.uint8, 250) if most.max() < 250 else (np.uint16, 40_000)
+    v = np.full((high - low + 3, len(a)), much, kind)  # a row of nothing on both sides; no number above ``much`` is kept
+    v[1 - low] = 0
+    last, good, live = n_a + n_b, np.zeros(len(a), bool), len(a)
+    good[last == 0] = True
+    names, end_k = np.arange(len(a)), n_a - n_b
+    for s in range(1, int(last.max(initial=0)) + 1):
+        if s % 64 == 0:  # a path goes through one of two anti-diagonals, and from there to its end's diagonal
+            ahead = v[1:-1, :live].astype(np.int32) + np.abs(np.arange(low, high + 1)[:, None] - end_k[None, :live])
+            hope = np.flatnonzero(ahead.min(0) <= most[:live])
+            if len(hope) < 0.7 * live:
+                x, y, v, last, most, names, end_k = x[:, hope], y[:, hope], v[:, hope], last[hope], most[hope], names[hope], end_k[hope]
+                if not len(hope):
+                    break
+        live = int(np.searchsorted(-last, -s, "right"))
+        # cells (i, j) with i = (s + k) / 2 up to rows_a and j = (s - k) / 2 up to rows_b; those of i = 0 or j = 0 are s
+        first, end = max(low, -s, s - 2 * rows_b), min(high, s, 2 * rows_a - s)
+        first, end = first + ((s + first) & 1), end - ((s + end) & 1)
+        if end < first:
+            continue
+        f, e = first + 2 * (first == -s), end - 2 * (end == s)
+        if f <= e:
+            at = slice(f + 1 - low, e + 2 - low, 2)
+            i, j = (s + f) // 2, (s - f) // 2
+            cells = (e - f) // 2 + 1
+            step = (x[i - 1 : i - 1 + cells, :live] != y[rows_b - j : rows_b - j + cells, :live]).view(np.uint8)
+            step = step + v[at, :live]
+            beside = np.minimum(v[f - low : e + 1 - low : 2, :live], v[f + 2 - low : e + 3 - low : 2, :live])
+            beside += 1
+            np.minimum(step, beside, out=step)
+            np.minimum(step, much, out=v[at, :live])
+        for k in {first, end}:
+            if abs(k) == s:
+                v[k + 1 - low, :live] = min(s, much)
+        done = np.arange(int(np.searchsorted(-last, -s, "left")), live)
+        good[names[done]] = v[end_k[done] + 1 - low, done] <= most[done]
+    return good
+
+
+def _shared(a: str | bytes, b: str | bytes) -> int:
     """Length of the common prefix."""
     low, high = 0, min(len(a), len(b))
     while low < high:
@@ -300,16 +398,16 @@ def _pieces(bodies: list[bytes]) -> Iterator[tuple[list[int], list[int], list[by
 def _groups(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """node, component of all nodes that are linked with another."""
     blocks = F.array(*[F.expr(f"{k} * 4294967296L + (shiftrightunsigned({h}, {s}) & 4294967295L)") for k, (h, s) in enumerate((c, s) for c in KEYS for s in (32, 0))])
-    members = _members(nodes.select("node", "high", "low", "size", F.explode(blocks).alias("bucket")), nodes.select("node", blocks.alias("keys")))
-    links = tried = members.sparkSession.createDataFrame([], "a long, b long")
-    groups, lines, partners, known = None, None, PARTNERS, 0
+    members = _members(nodes.select("node", *KEYS, "size", F.posexplode(blocks).alias("key", "bucket")), similarity)
+    links = members.sparkSession.createDataFrame([], "a long, b long")
+    groups, lines, done, partners, known = None, None, 0, PARTNERS, 0
     while True:
-        placed = members.withColumn("g", F.col("node")) if groups is None else members.join(grows(groups.withColumnRenamed("component", "g")), "node", "left").withColumn("g", F.coalesce("g", "node"))
+        placed = members if groups is None else members.join(grows(groups.withColumnRenamed("component", "g")), "node", "left").withColumn("g", F.coalesce("g", "node"))
         own = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("own", "o"), "y": F.greatest("own", "o")})
-        dealt = dealt.select("bucket", "x", "y", "own", "node", "g", "size", "high", "low").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-        near = store(dealt.mapInArrow(partial(_compare, partners, least=similarity), "a long, b long, more long"), "near")
-        fresh = store(near.select("a", "b").distinct().join(grows(tried), ["a", "b"], "left_anti"), "fresh")
+        dealt = dealt.select("bucket", "x", "y", "own", "node", *(["g"] if groups is not None else []), "size", *KEYS, "key", "home").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+        near = store(dealt.mapInArrow(partial(_compare, partners, least=similarity, done=done), "a long, b long, more long"), "near")
+        fresh = near.filter("a is not null").select("a", "b")
         if not fresh.isEmpty():
             # a node that has any partner offers one in the first round, so its line is read then
             lines = _compared_lines(fresh, rows, nodes) if lines is None else lines
@@ -321,56 +419,77 @@ def _groups(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
         if again.isEmpty():
             return groups
         members = store(members.join(grows(again), "bucket"), "members")
-        tried, partners = store(tried.union(fresh), "tried"), partners * MORE
+        done, partners = partners, partners * MORE
 
 
-def _members(spread: DataFrame, keys: DataFrame) -> DataFrame:
-    """bucket, node, SimHash, size and number of blocks for the buckets of several nodes; hot ones are split by the other keys of their nodes."""
+def _members(spread: DataFrame, similarity: float) -> DataFrame:
+    """The nodes of buckets of several, with the number of blocks and ``home``.
+
+    Hot buckets are split by bands of sizes, as wide as the ratio of sizes that the similarity allows: a node stands in its
+    own band's part, at home, and in that of the next longer band, so nodes that may be linked share a part in which one is at home."""
 
     def crowded(of: DataFrame) -> DataFrame:
         found = of.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
         return store(found.select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
 
     counts = crowded(spread)
-    members = store(spread.join(grows(counts), "bucket"), "members")
+    members = store(spread.join(grows(counts), "bucket").withColumn("home", F.lit(True)), "members")
     if counts.filter(F.col("n") > HOT).isEmpty():
         return members.drop("n")
-    hot = members.filter(F.col("n") > HOT).drop("blocks", "n").join(grows(keys), "node")
-    split = store(hot.withColumn("key", F.explode("keys")).filter("key <> bucket").withColumn("bucket", F.xxhash64("bucket", "key")).drop("keys", "key"), "split-buckets")
+    width = max(-math.log(min(1.0, max(similarity, 1e-9))), 1e-4) * (1 + 1e-6)
+    hot = members.filter(F.col("n") > HOT).drop("blocks", "n", "home").withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / width))
+    parts = hot.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"home": F.col("up") == 0, "bucket": F.xxhash64("bucket", F.col("band") + F.col("up"))})
+    split = store(parts.drop("band", "up"), "split-buckets")
     return store(members.filter(F.col("n") <= HOT).drop("n").unionByName(split.join(grows(crowded(split)), "bucket").drop("n")), "members")
 
 
-def _compare(partners: int, batches: Iterator[pa.RecordBatch], bits: tuple[int, int] = BITS, least: float = 0.9) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of different components within ``bits`` bits (short lines, others) and of sizes that allow the similarity, at most ``partners`` a node in large buckets; ``more`` is the bucket where a node has others besides."""
+def _compare(partners: int, batches: Iterator[pa.RecordBatch], bits: tuple[int, int] = BITS, least: float = 0.9, done: int = 0) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of different components within ``bits`` bits (short lines, others) and of sizes that allow the similarity, in their first common key.
 
-    def emit(a: np.ndarray, b: np.ndarray, more: np.ndarray, bucket: int = 0) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), bucket), mask=~more)], names=["a", "b", "more"])
+    In large buckets these are the pairs of which a node is at the other's rank ``done`` to ``partners`` (from 0, by bits, in
+    its block); ``more`` is the bucket where pairs of later ranks are left, in a row of its own if there is no other."""
 
-    def alike(t: dict[str, np.ndarray], i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-        x, y = t["size"][i], t["size"][j]
-        near = far(t, i, j) <= np.where(np.minimum(x, y) < SHORT, *bits)
-        return near & (np.abs(x - y) <= (1 - least) * np.maximum(x, y) + 1e-9) & (t["g"][i] != t["g"][j])
+    def emit(a: np.ndarray, b: np.ndarray, more: bool = False, bucket: int = 0) -> pa.RecordBatch:
+        if more and not len(a):
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([bucket], pa.int64())], names=["a", "b", "more"])
+        mark = np.arange(len(a)) == 0 if more else np.zeros(len(a), bool)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), bucket), pa.int64(), mask=~mark)], names=["a", "b", "more"])
 
-    def far(t: dict[str, np.ndarray], i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(t["high"][i] ^ t["high"][j]).astype(np.int64) + np.bitwise_count(t["low"][i] ^ t["low"][j])  # unsigned: of a negative number the bits of its absolute value are counted
+    def ranks(far: np.ndarray) -> np.ndarray:
+        order = np.argsort(far, axis=1, kind="stable")
+        out = np.empty(far.shape, np.int32)
+        np.put_along_axis(out, order, np.arange(far.shape[1], dtype=np.int32)[None, :], 1)
+        return out
+
+    def alike(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether i and j (shapes that fit) may be linked and meet here first, whatever their components; and their distance in bits."""
+        x, y = t["size"][i], t["size"][j]
+        far = np.bitwise_count(t["high"][i] ^ t["high"][j]) + np.bitwise_count(t["low"][i] ^ t["low"][j])  # unsigned: of a negative number the bits of its absolute value are counted
+        near = (far <= np.where(np.minimum(x, y) < SHORT, *bits)) & (np.abs(x - y) <= (1 - least) * np.maximum(x, y) + 1e-9) & (t["node"][i] != t["node"][j])
+        if "key" in t:
+            near &= t["home"][i] | t["home"][j]
+            before = t["key"][i]
+            for k in range(int(before.max(initial=0))):
+                name, half = KEYS[k // 2], np.uint64(32 * (1 - k % 2))
+                own, other = (t[name][i] >> half).astype(np.uint32), (t[name][j] >> half).astype(np.uint32)
+                near &= (own != other) | (before <= k)
+        return near, far
 
     def block(t: dict[str, np.ndarray], lo: int, hi: int) -> pa.RecordBatch:
-        at = np.arange(lo, hi)
-        left, right = at[t["own"][lo:hi] == t["x"][lo:hi]], at[t["own"][lo:hi] == t["y"][lo:hi]]
-        a, b, more = [], [], []
-        # both ways between two blocks: every node that has a partner offers one at once, so
-        # the lines of later rounds are known after the first
-        for own, other in ((left, right), (right, left))[: 1 + bool(t["x"][lo] != t["y"][lo])]:
-            for i in own:
-                found = np.flatnonzero(alike(t, i, other))
-                rest = len(found) > partners
-                if rest:
-                    found = found[np.argsort(far(t, i, other[found]), kind="stable")[:partners]]
-                a.append(np.full(len(found), t["node"][i]))
-                b.append(t["node"][other[found]])
-                more.append(np.full(len(found), rest))
-        none = np.empty(0, np.int64)
-        return emit(np.concatenate([none, *a]), np.concatenate([none, *b]), np.concatenate([none.astype(bool), *more]), int(t["bucket"][lo]))
+        at = lo + np.argsort(t["node"][lo:hi], kind="stable")  # ranks of equal distances are the same in all rounds
+        same = t["x"][lo] == t["y"][lo]
+        left, right = at[t["own"][at] == t["x"][at]], at[t["own"][at] == t["y"][at]]
+        if not len(left) or not len(right):
+            return emit(left[:0], right[:0])
+        near, far = alike(t, left[:, None], right[None, :])
+        far[~near] = 255
+        rank = ranks(far)
+        rank = np.minimum(rank, rank.T if same else ranks(far.T).T)
+        open_ = near & (t["g"][left][:, None] != t["g"][right][None, :]) & (rank >= done)
+        if same:
+            open_ = np.triu(open_)
+        i, j = np.nonzero(open_ & (rank < partners))
+        return emit(t["node"][left[i]], t["node"][right[j]], bool((open_ & (rank >= partners)).any()), int(t["bucket"][lo]))
 
     def runs(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n = len(t["bucket"])
@@ -379,11 +498,12 @@ def _compare(partners: int, batches: Iterator[pa.RecordBatch], bits: tuple[int,
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, n))
         size, run = np.repeat(sizes, sizes), np.repeat(np.arange(len(starts)), sizes)
-        for shift in range(1, SMALL):
+        for shift in range(1, SMALL if not done else 0):  # these are whole after the first round
             i = np.flatnonzero((run[:-shift] == run[shift:]) & (size[:-shift] <= SMALL)) if n > shift else np.empty(0, np.int64)
-            i = i[alike(t, i, i + shift)]
+            i = i[alike(t, i, i + shift)[0]]
+            i = i[(t["g"][i] != t["g"][i + shift]) & ((t["own"][i] != t["own"][i + shift]) | (t["x"][i] == t["y"][i]))]
             if len(i):
-                yield emit(t["node"][i], t["node"][i + shift], np.zeros(len(i), bool))
+                yield emit(t["node"][i], t["node"][i + shift])
         for lo, size_ in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
             yield block(t, lo, lo + size_)
 
@@ -392,7 +512,8 @@ def _compare(partners: int, batches: Iterator[pa.RecordBatch], bits: tuple[int,
         if not batch.num_rows:
             continue
         arrays = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "blocks"}
-        held.append(arrays | {c: arrays[c].view(np.uint64) for c in ("high", "low")})
+        arrays.setdefault("g", arrays["node"])  # before there are components
+        held.append(arrays | {c: arrays[c].view(np.uint64) for c in KEYS if c in arrays})
         t = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
         n = len(t["bucket"])
         last = (t["bucket"] == t["bucket"][-1]) & (t["x"] == t["x"][-1]) & (t["y"] == t["y"][-1])
@@ -421,8 +542,8 @@ def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "x", 2000, 8 << 20):
-            same = [edit_similarity(x.decode("utf-8", "replace"), y.decode("utf-8", "replace"), similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+            same = similar_lines(batch.column("x").to_pylist(), batch.column("y").to_pylist(), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(same))
 
     met = pairs.join(grows(lines.select(F.col("node").alias("a"), F.col("line").alias("x"))), "a").join(grows(lines.select(F.col("node").alias("b"), F.col("line").alias("y"))), "b")
     return met.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
