@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitems as objects: one row for each (order, line number), the first by part and supplier."""
+#: Columns that say which of several lineitems is the object, in this order; lineitems that a task sorts, about.
+_FIRST = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
+TASK_ROWS = 1_000_000
+
+
+def objects(spark: SparkSession, sf_dir: str, need: Sequence[str] | None = None) -> DataFrame:
+    """Lineitems as objects: one row for each (order, line number), the first by part and supplier.
+
+    ``need`` names the columns besides the key that are read later: rows that agree in the order up to
+    the last of them are equal then, so no later column is shuffled.  Rows are dealt by order once, which
+    later joins and groups by order keep; with many rows there are more parts, not larger ones."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
+    order = _FIRST if need is None else _FIRST[: 1 + max(map(_FIRST.index, need))]
+    parts = -(-l.count() // TASK_ROWS)
+    if need is not None:
+        l = l.select("l_orderkey", "l_linenumber", *order)  # noqa: E741
+    many = parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    l = l.repartition(*([parts] if many else []), "l_orderkey")  # noqa: E741
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order)
     return l.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 

@@ -59,7 +59,7 @@ SELECT sample_token, keep, round_even(CASE WHEN keep THEN 0.5::DOUBLE * r_rar +
 
 
 def _points(spark, d):
-    return objects(spark, d).select(F.col("l_orderkey").alias("sample_token"), (F.col("l_quantity") - 25).alias("x"), (F.floor(F.col("l_discount") * 100 + 1e-9) - 5).alias("y"), (F.floor(F.col("l_tax") * 100 + 1e-9) / 4).alias("z"))
+    return objects(spark, d, ["l_quantity", "l_discount", "l_tax"]).select(F.col("l_orderkey").alias("sample_token"), (F.col("l_quantity") - 25).alias("x"), (F.floor(F.col("l_discount") * 100 + 1e-9) - 5).alias("y"), (F.floor(F.col("l_tax") * 100 + 1e-9) / 4).alias("z"))
 
 
 _POINTS = f"{OBJECTS_SQL}, pt AS (SELECT l_orderkey AS sample_token, l_quantity - 25 AS x, floor(l_discount * 100 + 1e-9) - 5 AS y, floor(l_tax * 100 + 1e-9) / 4 AS z FROM o)"
@@ -79,7 +79,7 @@ SELECT sample_token, n AS n_points, n >= 4 AS keep, CASE WHEN n < 4 THEN 'few_po
 def box_points(spark, d):
     """Points inside every rotated box of the frame."""
     p = _points(spark, d)
-    o = objects(spark, d).select(
+    o = objects(spark, d, ["l_quantity", "l_discount"]).select(
         F.col("l_orderkey").alias("sample_token"), F.col("l_linenumber").alias("box"), (F.col("l_quantity") - 25).alias("cx"), (F.floor(F.col("l_discount") * 100 + 1e-9) - 5).alias("cy"), F.lit(1.0).alias("cz"),
         F.lit(18.5).alias("l"), F.lit(7.3).alias("w"), F.lit(1.9).alias("h"), (F.col("l_linenumber") * 0.35).alias("yaw"),
     )
