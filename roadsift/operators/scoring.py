@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import bround6, pct_rank, weighted, with_pct_rank
+from ..functions.ranks import bround6, pct_rank, weighted, with_group_pct_rank, with_pct_rank
 from ..functions.scalars import arg_max_reason, bin_right, cell_key, relative_change, shape_score, surprisal, tags_from
 from ..schemas import CAMERAS
 from ..scratch import written
@@ -40,9 +40,10 @@ def image_uncertainty(frames: DataFrame, dets: DataFrame) -> DataFrame:
 def image_scores(df: DataFrame, weights: tuple[float, float, float], cameras: Sequence[str] = CAMERAS, by: str | None = "split") -> DataFrame:
     """Percentile ranks of eligible images by split and their weighted sum ``s``; others have zeros."""
     eligible = F.col("q_ok") & F.col("cam").isin(*cameras)
-    base = df.withColumn("eligible", eligible)
-    ranks = {name: pct_rank(F.col(c), F.col("eligible"), [by] if by else [], constant_is_zero=False) for name, c in (("r_nov", "nov_knn"), ("r_unc", "unc"), ("r_qry", "qry_max"))}
-    scored = base.withColumns(ranks)
+    scored = written(df.withColumn("eligible", eligible), "images")
+    ranks = ("r_nov", "r_unc", "r_qry")
+    for name, c in zip(ranks, ("nov_knn", "unc", "qry_max"), strict=True):  # in sorted ranges: no task sorts a split
+        scored = written(with_group_pct_rank(scored.withColumn("__v", F.when(F.col("eligible"), F.col(c))), "__v", [by] if by else [], name, constant_is_zero=False).drop("__v"), "images")
     total = weighted([(w, F.col(c)) for w, c in zip(weights, ranks, strict=True)])
     return scored.withColumn("s", F.when(F.col("eligible"), total).otherwise(F.lit(0.0)))
 
