@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import binary_entropy, equal_width_bin
+from ..scratch import written
+from .curves import with_running
 
 
 def quantile_linear(x: str | Column, q: float) -> Column:
@@ -71,6 +73,24 @@ def quantiles_higher(df: DataFrame, by: Sequence[str], values: Sequence[str], qs
     return place.groupBy(*by, "name").agg(*[at(q).alias(f"q{k}") for k, q in enumerate(qs)])
 
 
+def quantiles_linear(df: DataFrame, by: str, value: str, qs: Mapping[str, float]) -> DataFrame:
+    """``by`` and the linearly interpolated quantiles by name; null for a group without values.
+
+    Distinct values and their counts are sorted in ranges of bounded size, whatever the sizes of the groups."""
+    x = F.col(value).cast("double")
+    counts = written(df.select(F.col(by).alias("__g"), x.alias("__x")).groupBy("__g", "__x").agg(F.count("__x").alias("__c")), "value-counts")
+    upto = with_running(counts, [F.col("__g").asc(), F.col("__x").asc()], {"__upto": F.col("__c")})
+    ranked = written(upto.select("__g", "__x", "__c", "__upto"), "value-ranks")
+    groups = ranked.groupBy(F.col("__g").alias("__h")).agg(F.min(F.col("__upto") - F.col("__c")).alias("__before"), F.sum("__c").alias("__n"))
+    met = ranked.join(F.broadcast(groups), F.col("__g").eqNullSafe(F.col("__h"))).select("__g", "__x", "__n", (F.col("__upto") - F.col("__before")).alias("__upto")).filter("__x is not null or __n = 0")
+    place = {c: (F.col("__n") - 1) * F.lit(float(q)) for c, q in qs.items()}
+    at = lambda k: F.min(F.when(F.col("__upto") > k, F.col("__x")))
+    ends = met.groupBy("__g").agg(F.max("__n").alias("__n"), *[at(g(p)).alias(f"{c}_{n}") for c, p in place.items() for n, g in (("low", F.floor), ("high", F.ceil))])
+    low, high = (lambda c: F.col(f"{c}_low")), (lambda c: F.col(f"{c}_high"))
+    between = lambda c, p: F.when(low(c) == high(c), low(c)).otherwise((F.ceil(p) - p) * low(c) + (p - F.floor(p)) * high(c))
+    return ends.select(F.col("__g").alias(by), *[between(c, p).alias(c) for c, p in place.items()])
+
+
 def discrete_percentile(df: DataFrame, by: Sequence[str], value: str, q: float, out: str = "percentile") -> DataFrame:
     """Smallest value whose cumulative share reaches q."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
