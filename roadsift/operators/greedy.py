@@ -218,7 +218,7 @@ def k_center(pool: DataFrame, start: Column, budget: int, metric: str = "l2", fr
 
 def max_cover(covers: DataFrame, frames: DataFrame, budget: int, frontier: int = FRONTIER) -> Iterator[list[tuple[Any, int]]]:
     """Rounds of (token, newly covered) of ``frames`` (token), most new instances of ``covers`` (token, inst) first; goes on by token after the gain is 0."""
-    covers, left = written(covers.filter("inst is not null").distinct(), "covers"), frames.select("token").distinct()
+    covers, left = written(covers.filter("inst is not null").distinct(), "covers"), written(frames.select("token").distinct(), "cover-frames")
     spark, done = frames.sparkSession, 0
     kind = T.StructType([T.StructField("token", left.schema["token"].dataType)])
     while done < budget:

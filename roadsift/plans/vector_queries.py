@@ -151,7 +151,7 @@ def coreset_cosine(spark, d):
 
 
 def _cover(spark, d):
-    return objects(spark, d).select("l_suppkey", (F.col("l_partkey") % 500).alias("inst")).distinct()
+    return objects(spark, d, ["l_suppkey", "l_partkey"]).select("l_suppkey", (F.col("l_partkey") % 500).alias("inst")).distinct()
 
 
 def max_cover_oracle(spark, d):
