@@ -77,17 +77,18 @@ def _thresholds(df: DataFrame, values: Sequence[str], alpha: float) -> dict[str,
 
 def surprisal_labels(boxes: DataFrame, frames: DataFrame, v_split: str = "V", alpha: float = 0.10, kind: str = "vru_group") -> DataFrame:
     """Frame labels r1_class and r2_combo from surprisals fitted on V: classes by distinct instance, cells by frame share, thresholds by the 'higher' quantile over V frames; unseen classes and cells only raise ``unknown``."""
-    seen = boxes.filter("num_lidar_pts >= 1").join(frames.select("sample_token", "split"), "sample_token")
+    frames = written(frames, "frames")
+    seen = written(boxes.filter("num_lidar_pts >= 1").join(frames.select("sample_token", "split"), "sample_token"), "seen-boxes")  # read by every statistic
     v, v_frames = seen.filter(F.col("split") == v_split), frames.filter(F.col("split") == v_split)
     total = v.agg(F.count_distinct("instance_token").alias("__n"))
     classes = v.groupBy(kind).agg(F.count_distinct("instance_token").alias("n")).crossJoin(F.broadcast(total)).select(kind, (F.col("n") / F.col("__n")).alias("class_p"))
     edges = class_edges(v, kind, ["dist_m", "num_lidar_pts"])
-    celled = with_cells(seen, edges, kind, "dist_m", "num_lidar_pts")
+    celled = written(with_cells(seen, edges, kind, "dist_m", "num_lidar_pts"), "celled-boxes")
     cells = frame_frequency(celled.filter(F.col("split") == v_split), "sample_token", "cell", frames=v_frames).select("cell", F.col("freq").alias("cell_p"))
     scored = celled.join(classes, kind, "left").join(cells, "cell", "left")
     known = lambda p: F.when(F.col(p).isNotNull(), surprisal(F.col(p)))
     worst = scored.groupBy("sample_token").agg(F.max(known("class_p")).alias("u1"), F.max(known("cell_p")).alias("u2"), F.bool_or(F.col("class_p").isNull() | F.col("cell_p").isNull()).alias("unknown"), F.count(F.lit(1)).alias("n_vru_visible"))
-    base = frames.join(worst, "sample_token", "left").na.fill(0, ["u1", "u2", "n_vru_visible"]).na.fill(False, ["unknown"])
+    base = written(frames.join(worst, "sample_token", "left").na.fill(0, ["u1", "u2", "n_vru_visible"]).na.fill(False, ["unknown"]), "frame-surprisals")
     ref = base.filter(F.col("split") == v_split)
     cut = _thresholds(ref, ["u1", "u2"], alpha)
     return base.select("sample_token", "split", (F.col("u1") > cut["u1"]).alias("r1_class"), (F.col("u2") > cut["u2"]).alias("r2_combo"), "unknown", "n_vru_visible", (F.col("u2") > cut["u2"]).alias("is_target"))
