@@ -15,6 +15,7 @@ from ..operators import scoring as sc
 from ..operators import splits as sp
 from ..operators.joins import adjacent_speed, by_time_position
 from ..operators.selection import budget_rows, label_oracle, track_penalty
+from ..scratch import written
 from .frames import FRAMES_SQL, OBJECTS_SQL, frames, micros, objects, table
 
 # ---- the same objects in both engines -------------------------------------------------
@@ -333,11 +334,11 @@ SELECT round_even(avg(x), 6) AS mean, round_even(quantile_cont(x, 0.025), 6) AS
 def _ap_events(spark, d):
     """Bicycles as ranked detections in forty scenes."""
     e = boxes(spark, d).filter("cls_pred = 'bicycle'")
-    return e.select((F.col("sample_token") % 40).alias("k"), (F.col("sample_token") * 100 + F.substring("object_id", 2, 3).cast("int")).alias("o"), F.col("l_extendedprice").alias("score"), (F.col("dist_m") * 1000 - F.col("cy")).alias("other"), (F.col("dist_m") > 25).alias("hit"))
+    return written(e.select((F.col("sample_token") % 40).alias("k"), (F.col("sample_token") * 100 + F.substring("object_id", 2, 3).cast("int")).alias("o"), F.col("l_extendedprice").alias("score"), (F.col("dist_m") * 1000 - F.col("cy")).alias("other"), (F.col("dist_m") > 25).alias("hit")), "ranked-events")  # read for every statistic
 
 
 def _ap_draws(spark, e, score):
-    truth = e.groupBy("k").agg((F.count_if("hit") + 5).alias("n_truth"))
+    truth = written(e.groupBy("k").agg((F.count_if("hit") + 5).alias("n_truth")), "scene-truth")
     return ev.bootstrap_ap(e, truth, ev.hash_draws(spark, truth, "k", 200, 9), "k", score, "hit", "o")
 
 
