@@ -76,7 +76,8 @@ _COARSE = f"""{OBJECTS_SQL}, g AS (
 def merged_candidates(spark, d):
     """Clusters (odd lines) and detector boxes (even lines) of a frame paired by greatest overlap."""
     g = _coarse(spark, d)
-    out = mt.merge_candidates(g.filter("l_linenumber % 2 = 1"), g.filter("l_linenumber % 2 = 0").withColumn("pts", F.lit(0)), least=0.3)
+    even = F.col("l_linenumber") % 2 == 0
+    out = mt.merge_flagged(g.withColumn("pts", F.when(even, 0).otherwise(F.col("pts"))), even, least=0.3)
     return out.select("sample_token", "cx", "cy", "l", "w", "pts", "cls_pred", "source", "missed_by_model", bround6(F.col("dist_m")).alias("dist_m"))
 
 
@@ -100,7 +101,7 @@ SELECT f AS sample_token, cx, cy, l, w, pts, cls AS cls_pred, source, missed AS
 def flip_consistency(spark, d):
     """Matched detections of two detector passes and their inconsistency."""
     g = _coarse(spark, d).withColumn("label", (F.col("pts") % 2).cast("int"))
-    return mt.flip_matches(g.filter("l_linenumber % 2 = 1"), g.filter("l_linenumber % 2 = 0"), delta=2.5).select("sample_token", "n1", "n2", "matched", bround6(F.col("inc")).alias("inc"))
+    return mt.flip_flagged(g, F.col("l_linenumber") % 2 == 0, delta=2.5).select("sample_token", "n1", "n2", "matched", bround6(F.col("inc")).alias("inc"))
 
 
 FLIP_SQL = f"""
