@@ -120,7 +120,7 @@ SELECT f AS sample_token, n1::INTEGER AS n1, n2::INTEGER AS n2, max(matched)::IN
 def detection_hits(spark, d):
     """Hits of detections (even lines) by falling score against objects (odd lines) of the frame, some of which are ignored."""
     g = _coarse(spark, d).withColumns({"x1": F.col("cx") - 3, "x2": F.col("cx") + 3, "y1": F.col("cy") - F.col("w") / 2, "y2": F.col("cy") + F.col("w") / 2, "ignore": F.col("pts") < 20})
-    out = mt.detection_events(g.filter("l_linenumber % 2 = 1"), g.filter("l_linenumber % 2 = 0"), ("sample_token",), 0.4)
+    out = mt.events_flagged(g, F.col("l_linenumber") % 2 == 0, ("sample_token",), 0.4)
     return out.select("sample_token", "score", "hit")
 
 
