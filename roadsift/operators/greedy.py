@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import Any
@@ -44,10 +45,22 @@ class Frontier:
         self.tokens = self.rows.column("token").to_pylist()
         self.bounds = self.rows.column(bound).to_numpy().copy()
         self.outside: tuple[float, Any] | None = None if self.all_here else (-t.column(bound)[size].as_py(), t.column("token")[size].as_py())
+        self.open, self.outside_later = len(self.tokens), self.outside
+        self._placed()
+
+    def _placed(self) -> None:
         order = sorted(range(len(self.tokens)), key=self.tokens.__getitem__)
         self.place = np.empty(len(order), np.int64)
         self.place[order] = np.arange(len(order))
 
+    def with_closed(self, later: Frontier) -> None:
+        """Adds rows, after the ``open`` ones, that cannot be chosen yet; ``outside_later`` is the first one outside once they can."""
+        self.rows = pa.concat_tables([self.rows, later.rows]).combine_chunks()
+        self.tokens, self.bounds = self.tokens + later.tokens, np.concatenate([self.bounds, later.bounds])
+        self.all_here &= later.all_here
+        self.outside_later = min((x for x in (self.outside, later.outside) if x is not None), default=None)
+        self._placed()
+
     def ahead(self, bound: float, i: int) -> bool:
         """Whether a row with this exact value comes before everything outside."""
         return self.outside is None or (-bound, self.tokens[i]) < self.outside
@@ -87,30 +100,33 @@ def mmr(pool: DataFrame, budget: int, most: int, lam: float, per_scene: float, m
         top = Frontier(state.filter("free"), "bound", size)
         if not top.tokens:
             return
-        some_closed = any(n >= cap_of(done) for n in held.values())
-        new = _mmr_round(top, held, done, most, lam, cap_of, min_gap, some_closed)
+        if any(n >= cap_of(done) for n in held.values()):  # rows of full scenes come back when the cap rises
+            top.with_closed(Frontier(state.filter("not free"), "bound", size))
+        new = _mmr_round(top, held, done, most, lam, cap_of, min_gap)
         yield [(top.tokens[i], sim, value) for i, sim, value in new]
         done += len(new)
-        if done >= most or (top.all_here and not some_closed):
+        if done >= most or top.all_here:
             return
         state = written(_mmr_refreshed(state, top, [i for i, *_ in new], held, cap_of(done), lam, min_gap), "mmr-bounds")
 
 
-def _mmr_round(top: Frontier, held: Counter, done: int, most: int, lam: float, cap_of: Any, min_gap: int, some_closed: bool) -> list[tuple[int, float, float]]:
+def _mmr_round(top: Frontier, held: Counter, done: int, most: int, lam: float, cap_of: Any, min_gap: int) -> list[tuple[int, float, float]]:
     vectors, scenes = top.vectors(), top.rows.column("scene").to_pylist()
-    index, score, sim = top.rows.column("idx").to_numpy(), top.rows.column("s").to_numpy(), top.rows.column("sim").to_numpy().copy()
-    waiting = [(-float(b), int(p), i) for i, (b, p) in enumerate(zip(top.bounds, top.place, strict=True))]
+    index, score, sim = top.rows.column("idx").to_pylist(), top.rows.column("s").to_numpy(), top.rows.column("sim").to_numpy().copy()
+    entries = [(-float(b), int(p), i) for i, (b, p) in enumerate(zip(top.bounds, top.place, strict=True))]
+    waiting = entries[: top.open]
     heapq.heapify(waiting)
     seen = [0] * len(scenes)
-    near: dict[Any, list[int]] = defaultdict(list)  # frame numbers chosen in this round
+    near: dict[Any, list[int]] = defaultdict(list)  # sorted frame numbers chosen in this round
     full: dict[Any, list[tuple[float, int, int]]] = defaultdict(list)
+    for entry in entries[top.open :]:
+        full[scenes[entry[2]]].append(entry)
+    chosen = np.empty((min(len(scenes), most - done), vectors.shape[1]))  # vectors of ``new``
     new: list[tuple[int, float, float]] = []
     cap = cap_of(done)
     while done + len(new) < most:
         if (now := cap_of(done + len(new))) != cap:
-            if some_closed:
-                break  # rows of scenes that were full come back, and some are not here
-            cap = now
+            cap, top.outside = now, top.outside_later
             for entry in (e for entries in full.values() for e in entries):
                 heapq.heappush(waiting, entry)
             full.clear()
@@ -118,38 +134,45 @@ def _mmr_round(top: Frontier, held: Counter, done: int, most: int, lam: float, c
             break
         bound, place, i = heapq.heappop(waiting)
         scene = scenes[i]
-        if any(abs(index[i] - x) < min_gap for x in near[scene]):
+        if _within(near[scene], index[i], min_gap):
             continue
         if held[scene] >= cap:
             full[scene].append((bound, place, i))
             continue
         if seen[i] < len(new):
-            newer = vectors[[j for j, *_ in new[seen[i] :]]] @ vectors[i]
+            newer = chosen[seen[i] : len(new)] @ vectors[i]
             sim[i] = max(sim[i], float(np.clip(newer, 0.0, 1.0).max()))
             seen[i] = len(new)
             heapq.heappush(waiting, (-(lam * float(score[i]) - (1 - lam) * float(sim[i])), place, i))
             continue
         if not top.ahead(-bound, i):
             break
+        chosen[len(new)] = vectors[i]
         new.append((i, float(sim[i]), -bound))
-        near[scene].append(index[i])
+        insort(near[scene], index[i])
         held[scene] += 1
     return new
 
 
+def _within(near: list[int], at: int, gap: int) -> bool:
+    """Whether one of the sorted numbers is closer than the gap."""
+    k = bisect_left(near, at)
+    return (k < len(near) and near[k] - at < gap) or (k > 0 and at - near[k - 1] < gap)
+
+
 def _mmr_refreshed(state: DataFrame, top: Frontier, new: list[int], held: Counter, cap: float, lam: float, min_gap: int) -> DataFrame:
     """Bounds after the round's choices: those that are out go, rows of full scenes are marked."""
     scenes, index = top.rows.column("scene").to_pylist(), top.rows.column("idx").to_pylist()
     close: dict[Any, list[int]] = defaultdict(list)
     for i in new:
         close[scenes[i]].append(index[i])
-    sent = state.sparkSession.sparkContext.broadcast((top.vectors()[new], {top.tokens[i] for i in new}, dict(close), {s for s, n in held.items() if n >= cap}))
+    sent = state.sparkSession.sparkContext.broadcast((top.vectors()[new], {top.tokens[i] for i in new}, {s: sorted(x) for s, x in close.items()}, {s for s, n in held.items() if n >= cap}))
 
     def refresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, gone, near, closed = sent.value
         for batch in batches:
             rows = zip(batch.column("token").to_pylist(), batch.column("scene").to_pylist(), batch.column("idx").to_pylist(), strict=True)
-            stays = pa.array([t not in gone and not any(abs(i - x) < min_gap for x in near.get(s, ())) for t, s, i in rows], pa.bool_())
+            stays = pa.array([t not in gone and not _within(near.get(s, []), i, min_gap) for t, s, i in rows], pa.bool_())
             batch = batch.filter(stays)
             if not batch.num_rows:
                 continue
