@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import bround6, pct_rank, weighted, with_group_pct_rank, with_pct_rank
-from ..functions.scalars import arg_max_reason, bin_right, cell_key, relative_change, shape_score, surprisal, tags_from
+from ..functions.scalars import arg_max_reason, cell_key, relative_change, shape_score, surprisal, tags_from
 from ..schemas import CAMERAS
 from ..scratch import written
 from .aggregates import detections_per_image, exact_percentiles, quantiles_higher
@@ -117,20 +117,21 @@ def class_edges(objects: DataFrame, kind: str, values: Sequence[str]) -> DataFra
 
 def with_cells(objects: DataFrame, edges: DataFrame, kind: str, distance: str = "dist_m", points: str = "pts") -> DataFrame:
     met = objects.join(edges, kind, "left")
-    place = lambda v: F.coalesce(bin_right(F.col(v), F.col(f"{v}_edges")), F.lit(0))
+    at_least = lambda v, k: F.when(F.get(f"{v}_edges", F.lit(k)) <= F.col(v), 1).otherwise(0)
+    place = lambda v: at_least(v, 0) + at_least(v, 1) + at_least(v, 2)  # noqa: E731  # plain comparisons: at most three edges
     return met.withColumn("cell", cell_key(F.col(kind), place(distance), place(points))).drop(f"{distance}_edges", f"{points}_edges")
 
 
 def fit_reference(objects: DataFrame, frames: DataFrame, kind: str = "cls_pred", distance: str = "dist_m", points: str = "pts", alpha: float = 0.10, sides: Sequence[str] = ("l", "w", "h")) -> Reference:
     """Prediction-side reference: priors by object, cells by frame share (empty frames count), thresholds padded with zeros.
 
-    The objects are stored once, with their cells; every statistic reads that table, and the
-    small tables of the reference are stored too, so nothing is worked out twice."""
+    The objects are stored once; every statistic reads that table and adds the cells, which are
+    comparisons with a small table, and the small tables of the reference are stored too."""
     base = written(objects, "objects")
     edges = written(class_edges(base, kind, [distance, points]), "edges")
-    celled = written(with_cells(base, edges, kind, distance, points), "celled")
+    celled = with_cells(base, F.broadcast(edges), kind, distance, points)  # edges: a row a class
     tokens = written(frames.select("sample_token").distinct(), "frames")
-    n_objects, n_frames = celled.count(), tokens.count()
+    n_objects, n_frames = base.count(), tokens.count()
     spread = [a for s in sides for a in (F.median(s).alias(f"{s}_median"), F.greatest(F.stddev_pop(s), F.lit(0.05)).alias(f"{s}_std"))]
     of_class = written(celled.groupBy(kind).agg(F.count(F.lit(1)).alias("__n"), *spread), "classes")  # a row a class
     classes = of_class.select(kind, (F.col("__n") / F.lit(max(1, n_objects))).alias("class_p"))
@@ -174,10 +175,11 @@ def fuse_semantic(objects: DataFrame, semantic: DataFrame, weight: float = 0.3)
     return met.withColumns({"__f": fused, "reasons": reason}).drop("s_obj").withColumnRenamed("__f", "s_obj")
 
 
-def frame_tags(objects: DataFrame, frames: DataFrame, ref: Reference, kind: str = "cls_pred", far: float = 30.0, few: int = 10, v_min: float = 0.5, x_max: float = 20.0, y_abs: float = 4.0) -> DataFrame:
-    """s_frame (rank of the raw score on valid frames), pred_tags R1|R2|R3|H|C|I and evidence.
+def frame_tags(objects: DataFrame, frames: DataFrame, ref: Reference, kind: str = "cls_pred", far: float = 30.0, few: int = 10, v_min: float = 0.5, x_max: float = 20.0, y_abs: float = 4.0, evidence: bool = True) -> DataFrame:
+    """s_frame (rank of the raw score on valid frames), pred_tags R1|R2|R3|H|C|I and, unless it is not wanted, evidence.
 
-    ``frames`` has gate, weather_pred and sun_elev_deg; objects of outlier frames do not count."""
+    ``frames`` has gate, weather_pred and sun_elev_deg; objects of outlier frames do not count.
+    Evidence names objects, which takes a sort of all objects by frame; the rest is hashed."""
     vru = F.col(kind).isin(*VRU_VALUE)
     met = with_cells(objects, ref.edges, kind) if "cell" not in objects.columns else objects
     met = met.drop("class_p", "cell_p").join(ref.classes, kind, "left").join(ref.cells, "cell", "left")
@@ -189,7 +191,7 @@ def frame_tags(objects: DataFrame, frames: DataFrame, ref: Reference, kind: str
         F.bool_or(vru & (u1 > t1)).alias("R1"), F.bool_or(vru & (u2 > t2)).alias("R2"), F.bool_or(mover).alias("moves"),
         F.bool_or((F.col("dist_m") > far) | (F.col("pts") < few)).alias("H"),
         F.bool_or(mover & (F.col("cx") > 0) & (F.col("cx") <= x_max) & (F.abs(F.col("cy")) <= y_abs)).alias("I"),
-        F.max(F.when(vru, F.struct(u1.alias("u"), F.col("object_id")))).alias("e1"), F.max(F.when(vru, F.struct(u2.alias("u"), F.col("object_id")))).alias("e2"),
+        *([F.max(F.when(vru, F.struct(u.alias("u"), F.col("object_id")))).alias(e) for e, u in (("e1", u1), ("e2", u2))] if evidence else []),
     )
     base = frames.join(per, "sample_token", "left")
     on = {c: F.coalesce(F.col(c), F.lit(False)) & (F.col("gate") != "outlier") for c in ("R1", "R2", "moves", "H", "I")}
@@ -198,11 +200,13 @@ def frame_tags(objects: DataFrame, frames: DataFrame, ref: Reference, kind: str
     a, b, c = FRAME_WEIGHTS
     raw = a * F.when(inlier, F.coalesce("s_objects", F.lit(0.0))).otherwise(F.lit(0.0)) + b * F.least(F.when(inlier, F.coalesce("crowd", F.lit(0))).otherwise(F.lit(0)) / 5.0, F.lit(1.0)) + c * F.when(hard_context, F.lit(0.3)).otherwise(F.lit(0.0))
     tags = tags_from([("R1", on["R1"]), ("R2", on["R2"]), ("R3", on["moves"] & hard_context), ("H", on["H"]), ("C", hard_context), ("I", on["I"])])
-    evidence = F.to_json(F.struct(F.when(on["R1"], F.col("e1.object_id")).alias("R1"), F.when(on["R2"], F.col("e2.object_id")).alias("R2")))
-    out = base.withColumns({"raw": raw, "pred_tags": F.array_join(tags, "|"), "evidence": evidence})
-    out = written(out.withColumn("__valid", F.col("gate") == "valid"), "frame-signals")
+    out = base.withColumns({"raw": raw, "pred_tags": F.array_join(tags, "|"), "__valid": F.col("gate") == "valid"})
+    if evidence:
+        out = out.withColumn("evidence", F.to_json(F.struct(F.when(on["R1"], F.col("e1.object_id")).alias("R1"), F.when(on["R2"], F.col("e2.object_id")).alias("R2"))))
+    given = ["evidence"] if evidence else []
+    out = written(out.select("sample_token", "gate", "s_objects", "crowd", "raw", "pred_tags", "__valid", *given), "frame-signals")
     out = with_pct_rank(out, "raw", "s_frame", "__valid", rows=out.count())
-    return out.select("sample_token", "gate", F.coalesce("s_objects", F.lit(0.0)).alias("s_objects"), F.coalesce("crowd", F.lit(0)).alias("crowd"), "s_frame", "pred_tags", "evidence")
+    return out.select("sample_token", "gate", F.coalesce("s_objects", F.lit(0.0)).alias("s_objects"), F.coalesce("crowd", F.lit(0)).alias("crowd"), "s_frame", "pred_tags", *given)
 
 
 def overview(frames: DataFrame, groups: DataFrame | None = None) -> DataFrame:

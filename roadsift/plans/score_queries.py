@@ -110,10 +110,10 @@ FROM u LEFT JOIN rk ON rk.sample_token = u.sample_token AND rk.object_id = u.obj
 
 
 def frame_rhcio_tags(spark, d):
-    b = boxes(spark, d)
+    b = boxes(spark, d).drop("object_id", "track_id", "l_linestatus")
     f = order_frames(spark, d).select("sample_token", F.when(F.col("o_orderstatus") == "P", F.lit("outlier")).otherwise(F.lit("valid")).alias("gate"), F.when(F.col("scene_desc") == "1-URGENT", F.lit("rain")).otherwise(F.lit("")).alias("weather_pred"), F.lit(None).cast("double").alias("sun_elev_deg"))
     ref = sc.fit_reference(b, order_frames(spark, d))
-    out = sc.frame_tags(ref.objects.withColumn("s_obj", F.col("l_extendedprice") / 100000), f, ref)
+    out = sc.frame_tags(ref.objects.withColumn("s_obj", F.col("l_extendedprice") / 100000), f, ref, evidence=False)
     return out.select("sample_token", "gate", F.col("crowd").cast("long").alias("crowd"), bround6(F.col("s_frame")).alias("s_frame"), "pred_tags")
 
 
