@@ -64,7 +64,8 @@ class Stored:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        with _own_shuffles(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
         for tables in _recorders:
             tables.append(self)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -73,6 +74,18 @@ class Stored:
         drop_path(self.spark, self.path)
 
 
+@contextlib.contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, what a query has shuffled goes when the query ends, not only when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextlib.contextmanager
 def recorded() -> Iterator[list[Stored]]:
     """Lists the tables that are stored inside the block, so that they can be dropped when what was made of them is written."""

@@ -36,6 +36,8 @@ carried columns of the same name; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -43,11 +45,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, grows, hash_bytes, ids_field, mix64, others, quoted, run_hashes, slices, store, utf8, window_hashes
+from .common import GOLDEN, Stored, grows, hash_bytes, ids_field, mix64, others, quoted, recorded, run_hashes, slices, store, utf8, window_hashes
 from .components import connected_components
 
 RESULT = ("n_lines", "n_dropped", "text_clean")
@@ -62,8 +65,14 @@ FEW, LONG, RUN = 8, 20, 5
 BLOCK, SMALL, HOT = 512, 8, 8192
 #: Partners a node of a large bucket offers in the first round, and how many times more in each later one.
 PARTNERS, MORE = 1, 8
-#: Pairs whose edit tables are filled together, and characters of a line up to which they are.
-TABLES, WIDE = 1024, 1024
+#: Pairs whose edit tables are filled together, characters of a line up to which they are, and characters in all of the longest sides.
+TABLES, WIDE, ROOM = 1024, 8192, 1 << 20
+#: 64-bit numbers in the places of letters of such a step.
+CELLS = 1 << 22
+#: Pairs a 64-bit number of the band under which each is compared alone, and characters up to which no bound is tried before.
+CROWD, BRIEF = 25, 640
+#: Pairs of bucket and node in a task's share, and nodes that a task packs, or pairs that it hands on, at a time.
+SHARE, HELD = 1 << 20, 1 << 16
 #: Bytes of text whose lines are read at a time (a longer line is read alone).
 PIECE = 1 << 20
 _FOLD = bytes(b if b >= 0x80 or b == 10 else 48 if chr(b).isdigit() else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
@@ -200,7 +209,9 @@ def edit_similarity(a: str, b: str, least: float) -> bool:
 
 
 def similar_lines(left: list[bytes], right: list[bytes], least: float) -> np.ndarray:
-    """``edit_similarity`` of many pairs of lines in UTF-8: the tables of up to ``TABLES`` pairs are filled together, an anti-diagonal at a time."""
+    """``edit_similarity`` of many pairs of lines in UTF-8: the tables of up to ``TABLES`` pairs are filled together, a column at a time.
+
+    Before that, aligned words tell many that are similar, and runs of two and three characters many that are not; both without error."""
     out = np.zeros(len(left), bool)
     for plain in (True, False):
         mine = [k for k, (x, y) in enumerate(zip(left, right, strict=True)) if (x.isascii() and y.isascii()) == plain]
@@ -213,9 +224,6 @@ def similar_lines(left: list[bytes], right: list[bytes], least: float) -> np.nda
         open_ = apart <= most
         for k in np.flatnonzero(open_).tolist():
             x, y = texts[k]
-            if len(x) > WIDE or len(y) > WIDE:
-                out[mine[k]], open_[k] = edit_similarity(x.decode() if plain else x, y.decode() if plain else y, least), False
-                continue
             p, q = x.split(), y.split()
             if len(p) == len(q) and sum([max(len(a), len(b)) for a, b in zip(p, q, strict=True) if a != b]) <= most[k] and len(x) + len(y) == sum(map(len, p)) + sum(map(len, q)) + 2 * max(len(p) - 1, 0):
                 out[mine[k]], open_[k] = True, False
@@ -225,71 +233,185 @@ def similar_lines(left: list[bytes], right: list[bytes], least: float) -> np.nda
             tail = _shared(x[::-1], y[::-1])
             texts[k] = x, y = x[: len(x) - tail], y[: len(y) - tail]
             sizes[k] = len(x), len(y)
-            if max(len(x), len(y)) <= most[k]:
+            if max(len(x), len(y)) <= most[k] or (max(len(x), len(y)) > BRIEF and _aligned(x, y) <= most[k]):
                 out[mine[k]], open_[k] = True, False
         order = np.flatnonzero(open_)
-        order = order[np.argsort(-sizes[order].sum(1), kind="stable")]
-        for lo in range(0, len(order), TABLES):
-            at = order[lo : lo + TABLES]
-            pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in (texts[k] for k in at)]
-            out[np.asarray(mine)[at]] = _tables(*zip(*pairs, strict=True), most[at])
+        order = order[np.lexsort((-sizes[order].sum(1), -(most[order] // 64)))]
+        brief = sizes[order].max(1) <= BRIEF
+        for at in _steps(order[~brief], sizes, most):
+            open_[at] = _few_runs(*zip(*[texts[k] for k in at], strict=True), most[at])
+        for at in _steps(order[open_[order]], sizes, most):
+            if len(at) < CROWD * (most[at[0]] // 64 + 1) or sizes[at].max() > WIDE:
+                for k in at.tolist():
+                    out[mine[k]] = _distance(*texts[k], int(most[k])) <= most[k]
+            else:
+                pairs = [(x, y) if len(x) >= len(y) else (y, x) for x, y in (texts[k] for k in at)]
+                out[np.asarray(mine)[at]] = _tables(*zip(*pairs, strict=True), most[at])
+    return out
+
+
+def _steps(order: np.ndarray, sizes: np.ndarray, most: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs in the given order in groups of up to ``TABLES``, of about ``ROOM`` characters with each side filled up to the longest, and of similar ``most``."""
+    words = most // 64 + 1
+    lo = 0
+    while lo < len(order):
+        at = order[lo : lo + TABLES]
+        full = np.maximum.accumulate(sizes[at].sum(1)) * np.arange(1, len(at) + 1) > 2 * ROOM
+        stop = np.flatnonzero(full | (words[at] < 0.7 * words[at[0]]))
+        at = at[: max(1, stop[0]) if len(stop) else len(at)]
+        yield at
+        lo += len(at)
+
+
+def _aligned(x: str | bytes, y: str | bytes) -> int:
+    """A number of edits that turn x into y, though not the least: words found once in both stay where their order is the same, and what
+    lies between two of them is changed word by word, or as a whole."""
+    space = " " if isinstance(x, str) else b" "
+    p, q = x.split(space), y.split(space)
+    many, place = Counter(p), {}
+    for j, w in enumerate(q):
+        place[w] = -1 if w in place else j
+    ends: list[int] = []  # the longest rising run of places: the smallest last place of each length, and what stands before it
+    last: list[int] = []
+    found, before = [], []
+    for i, w in enumerate(p):
+        if many[w] == 1 and (j := place.get(w, -1)) >= 0:
+            k = bisect.bisect_left(ends, j)
+            before.append(last[k - 1] if k else -1)
+            ends[k : k + 1], last[k : k + 1] = [j], [len(found)]
+            found.append((i, j))
+    stay, k = [(len(p), len(q))], last[-1] if last else -1
+    while k >= 0:
+        stay.append(found[k])
+        k = before[k]
+    cost, i, j = 0, 0, 0
+    for to_i, to_j in reversed(stay):
+        if to_i - i == to_j - j:
+            cost += sum([max(len(a), len(b)) for a, b in zip(p[i:to_i], q[j:to_j], strict=True) if a != b])
+        else:
+            cost += max(sum(map(len, p[i:to_i])) + to_i - i, sum(map(len, q[j:to_j])) + to_j - j)
+        i, j = to_i + 1, to_j + 1
+    return cost
+
+
+def _few_runs(a: tuple, b: tuple, most: np.ndarray) -> np.ndarray:
+    """False where a[k] and b[k] (all bytes or all text) surely are more than ``most[k]`` edits apart: an edit makes and ends at most q runs of q characters."""
+
+    def units(texts: tuple) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(texts[0], bytes):
+            data = np.frombuffer(b"".join(texts), np.uint8)
+        else:
+            data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return data.astype(np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+    sides, out = [units(a), units(b)], np.ones(len(a), bool)
+    bins = 1 << min(12, max(8, int(max(n.max() for _, n in sides)).bit_length()))
+    for q in (2, 3):
+        counts = []
+        for data, n in sides:
+            runs = data
+            for k in range(1, q):
+                runs = runs[:-1] * np.uint32(0x9E3779B1) + data[k:]
+            cells = ((runs * np.uint32(0x85EBCA6B)) >> np.uint32(32 - (bins.bit_length() - 1))).astype(np.int64)
+            own = np.repeat(np.arange(len(n)), n)
+            whole = (np.repeat(np.cumsum(n), n) - np.arange(len(data)))[: len(cells)] >= q
+            counts.append(np.bincount((own[: len(cells)] * bins + cells)[whole], minlength=len(n) * bins).reshape(len(n), bins))
+        more = counts[0] - counts[1]
+        total = more.sum(1)
+        gone = (np.abs(more).sum(1) + total) // 2
+        out &= np.maximum(gone, gone - total) <= q * most
     return out
 
 
 def _tables(a: tuple, b: tuple, most: np.ndarray) -> np.ndarray:
-    """Whether the Levenshtein distances of a[k], b[k] (a[k] not the shorter; all bytes or all text; by falling sum of lengths) are at most ``most[k]``.
+    """Whether the Levenshtein distances of a[k], b[k] (a[k] not the shorter; all bytes or all text) are at most ``most[k]``.
 
-    Of a table only the diagonals i - j are kept that a path of at most that cost can touch; the cells of
-    an anti-diagonal i + j = s depend on the two before it alone, so ``v`` has one number a diagonal."""
+    Of a table only the diagonals are kept that a path of at most that cost can touch, most + 1 of them.  A column of
+    this band is two rows of bits, where the entries rise and fall (Myers, Hyyro), and takes a few operations on 64-bit
+    numbers for all pairs at once.  On the diagonal of the last entry the entries never fall, so they tell when a pair is lost."""
     n_a, n_b = np.array([len(x) for x in a]), np.array([len(y) for y in b])
-    plain = isinstance(a[0], bytes)
-
-    def columns(texts: tuple, width: int, fill: bytes) -> np.ndarray:
-        """The k-th characters of all texts in row k; a fill that no text has and the other side has not."""
-        units = b"".join(t.ljust(width, fill) if plain else t.encode("utf-32-le", "surrogatepass").ljust(4 * width, fill) for t in texts)
-        return np.ascontiguousarray(np.frombuffer(units, np.uint8 if plain else np.uint32).reshape(len(texts), width).T)
-
-    rows_a, rows_b = max(1, int(n_a.max())), max(1, int(n_b.max()))
-    x, y = columns(a, rows_a, b"\xff"), columns(b, rows_b, b"\xfe")[::-1]
-    room = (most - (n_a - n_b)) // 2
-    low, high = -int(room.max()), int((n_a - n_b + room).max())
-    kind, much = (np.uint8, 250) if most.max() < 250 else (np.uint16, 40_000)
-    v = np.full((high - low + 3, len(a)), much, kind)  # a row of nothing on both sides; no number above ``much`` is kept
-    v[1 - low] = 0
-    last, good, live = n_a + n_b, np.zeros(len(a), bool), len(a)
-    good[last == 0] = True
-    names, end_k = np.arange(len(a)), n_a - n_b
-    for s in range(1, int(last.max(initial=0)) + 1):
-        if s % 64 == 0:  # a path goes through one of two anti-diagonals, and from there to its end's diagonal
-            ahead = v[1:-1, :live].astype(np.int32) + np.abs(np.arange(low, high + 1)[:, None] - end_k[None, :live])
-            hope = np.flatnonzero(ahead.min(0) <= most[:live])
-            if len(hope) < 0.7 * live:
-                x, y, v, last, most, names, end_k = x[:, hope], y[:, hope], v[:, hope], last[hope], most[hope], names[hope], end_k[hope]
-                if not len(hope):
-                    break
-        live = int(np.searchsorted(-last, -s, "right"))
-        # cells (i, j) with i = (s + k) / 2 up to rows_a and j = (s - k) / 2 up to rows_b; those of i = 0 or j = 0 are s
-        first, end = max(low, -s, s - 2 * rows_b), min(high, s, 2 * rows_a - s)
-        first, end = first + ((s + first) & 1), end - ((s + end) & 1)
-        if end < first:
-            continue
-        f, e = first + 2 * (first == -s), end - 2 * (end == s)
-        if f <= e:
-            at = slice(f + 1 - low, e + 2 - low, 2)
-            i, j = (s + f) // 2, (s - f) // 2
-            cells = (e - f) // 2 + 1
-            step = (x[i - 1 : i - 1 + cells, :live] != y[rows_b - j : rows_b - j + cells, :live]).view(np.uint8)
-            step = step + v[at, :live]
-            beside = np.minimum(v[f - low : e + 1 - low : 2, :live], v[f + 2 - low : e + 3 - low : 2, :live])
-            beside += 1
-            np.minimum(step, beside, out=step)
-            np.minimum(step, much, out=v[at, :live])
-        for k in {first, end}:
-            if abs(k) == s:
-                v[k + 1 - low, :live] = min(s, much)
-        done = np.arange(int(np.searchsorted(-last, -s, "left")), live)
-        good[names[done]] = v[end_k[done] + 1 - low, done] <= most[done]
-    return good
+    order = np.argsort(-n_b, kind="stable")
+    joined = b"".join if isinstance(a[0], bytes) else lambda texts: "".join(texts).encode("utf-32-le", "surrogatepass")
+    kind = np.uint8 if isinstance(a[0], bytes) else np.uint32
+    left, right = (np.frombuffer(joined([texts[k] for k in order]), kind) for texts in (a, b))
+    n_a, n_b, most = n_a[order], n_b[order], most[order]
+    apart = n_a - n_b
+    room = (most - apart) // 2
+    words = int((apart + 2 * room).max()) // 64 + 1
+    known = np.zeros(int(max(left.max(initial=0), right.max(initial=0))) + 1, bool)
+    known[left] = known[right] = True
+    code = np.cumsum(known) - 1
+    letters, longest = int(known.sum()), int(n_b[0])
+    rows = max(int((n_a + room).max()), longest) // 64 + words + 2
+    if len(a) > 1 and len(a) * letters * rows > CELLS:
+        out, half = np.empty(len(a), bool), len(a) // 2
+        for at in (order[:half], order[half:]):
+            out[at] = _tables(tuple(a[k] for k in at), tuple(b[k] for k in at), most[np.isin(order, at)])
+        return out
+    own = np.repeat(np.arange(len(a)), n_a)
+    place = np.arange(len(left)) - np.repeat(np.cumsum(n_a) - n_a, n_a) + room[own]
+    seen = np.zeros((rows, len(a) * letters), np.uint64)  # where a letter stands in a[k], moved by its room: 64 places a row
+    np.add.at(seen.reshape(-1), (place >> 6) * (len(a) * letters) + own * letters + code[left], np.uint64(1) << (place & 63).astype(np.uint64))
+    asked = np.zeros((longest, len(a)), np.int64)
+    own = np.repeat(np.arange(len(a)), n_b)
+    asked[np.arange(len(right)) - np.repeat(np.cumsum(n_b) - n_b, n_b), own] = own * letters + code[right]
+    one, every = np.uint64(1), ~np.uint64(0)
+    # rows up to 0 of the first column are 0, those below rise by one each
+    first = np.clip(room[None, :] - 64 * np.arange(words)[:, None], 0, 64)
+    up = [np.where(f < 64, every << np.minimum(f, 63).astype(np.uint64), np.uint64(0)) for f in first]
+    down = [np.zeros(len(a), np.uint64) for _ in range(words)]
+    end = apart + room
+    end_word, end_bit = end >> 6, (end & 63).astype(np.uint64)
+    cost, names, good, live = apart.copy(), np.arange(len(a)), np.zeros(len(a), bool), len(a)
+    for j in range(longest + 1):
+        lasting = int(np.searchsorted(-n_b, -j, "left"))  # of those that have more columns
+        if lasting < live:
+            good[names[lasting:live]] = cost[lasting:live] <= most[lasting:live]
+            live = lasting
+            if not live:
+                break
+            cut = slice(0, live)
+        elif j % 32 == 0 and len(hope := np.flatnonzero(cost[:live] <= most[:live])) < 0.8 * live:
+            cut, live = hope, len(hope)
+            if not live:
+                break
+        else:
+            cut = None
+        if cut is not None:
+            n_b, most, cost, names, end_word, end_bit, asked = n_b[cut], most[cut], cost[cut], names[cut], end_word[cut], end_bit[cut], asked[:, cut]
+            up, down = [v[cut] for v in up], [v[cut] for v in down]
+        at, low, shift = asked[j], j >> 6, np.uint64(j & 63)
+        parts = [seen[low + w].take(at) for w in range(words + 1 if j & 63 else words)]
+        carry, same = None, []
+        for w in range(words):
+            equal = (parts[w] >> shift) | (parts[w + 1] << (np.uint64(64) - shift)) if j & 63 else parts[w]
+            x = equal & up[w]
+            total = x + up[w]
+            if words > 1:
+                over = total < x
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+            total ^= up[w]
+            total |= equal
+            total |= down[w]
+            same.append(total)
+        for w in range(words):
+            rise = ~(same[w] | up[w]) | down[w]
+            fall = same[w] & up[w]
+            x = same[w] >> one
+            if w + 1 < words:
+                x |= same[w + 1] << np.uint64(63)
+            down[w] = x & rise
+            x |= rise
+            up[w] = fall | ~x
+        last = same[0] if words == 1 else np.choose(end_word, same) if words <= 30 else np.stack(same)[end_word, np.arange(live)]
+        cost += 1
+        cost -= ((last >> end_bit) & one).view(np.int64)
+    out = np.empty(len(a), bool)
+    out[order] = good
+    return out
 
 
 def _shared(a: str | bytes, b: str | bytes) -> int:
@@ -397,9 +519,9 @@ def _pieces(bodies: list[bytes]) -> Iterator[tuple[list[int], list[int], list[by
 
 def _groups(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """node, component of all nodes that are linked with another."""
-    blocks = F.array(*[F.expr(f"{k} * 4294967296L + (shiftrightunsigned({h}, {s}) & 4294967295L)") for k, (h, s) in enumerate((c, s) for c in KEYS for s in (32, 0))])
-    members = _members(nodes.select("node", *KEYS, "size", F.posexplode(blocks).alias("key", "bucket")), similarity)
-    links = members.sparkSession.createDataFrame([], "a long, b long")
+    with recorded() as made:
+        members = _members(_met(nodes).join(grows(nodes.select("node", *KEYS, "size")), "node"), similarity)
+    links = nodes.sparkSession.createDataFrame([], "a long, b long")
     groups, lines, done, partners, known = None, None, 0, PARTNERS, 0
     while True:
         placed = members if groups is None else members.join(grows(groups.withColumnRenamed("component", "g")), "node", "left").withColumn("g", F.coalesce("g", "node"))
@@ -408,22 +530,80 @@ def _groups(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
         dealt = dealt.select("bucket", "x", "y", "own", "node", *(["g"] if groups is not None else []), "size", *KEYS, "key", "home").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
         near = store(dealt.mapInArrow(partial(_compare, partners, least=similarity, done=done), "a long, b long, more long"), "near")
         fresh = near.filter("a is not null").select("a", "b")
+        again = store(near.filter("more is not null").select(F.col("more").alias("bucket")).distinct(), "full-buckets")
+        ended = again.isEmpty()
+        left = None if ended else Stored(members.join(grows(again), "bucket"), "members")
+        for table in made:
+            table.drop()
         if not fresh.isEmpty():
             # a node that has any partner offers one in the first round, so its line is read then
             lines = _compared_lines(fresh, rows, nodes) if lines is None else lines
             links = store(links.union(_similar(fresh, lines, similarity)), "links")
-        again = store(near.filter("more is not null").select(F.col("more").alias("bucket")).distinct(), "full-buckets")
         found = links.count()
         if groups is None or found > known:
             groups, known = store(connected_components(links), "line-groups"), found
-        if again.isEmpty():
+        if left is None:
             return groups
-        members = store(members.join(grows(again), "bucket"), "members")
-        done, partners = partners, partners * MORE
+        members, made, done, partners = left.df, [left], partners, partners * MORE
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """node, key, bucket and n, the number of its nodes, of all buckets of several nodes.
+
+    Most buckets have one node.  So only bucket and node are exchanged, 16 bytes each and many in a row, and a task sorts those
+    of its share; the number of shares grows with the nodes."""
+    spark = nodes.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * 2 * len(KEYS) // SHARE))
+    pair = np.dtype([("bucket", np.int64), ("node", np.int64)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shares(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            keys = [table.column(c).to_numpy().view(np.uint64) for c in KEYS]
+            pairs = np.empty(2 * len(KEYS) * table.num_rows, pair)
+            pairs["node"] = np.tile(table.column("node").to_numpy(), 2 * len(KEYS))
+            cells = [(k >> np.uint64(s)) & np.uint64(0xFFFFFFFF) for k in keys for s in (32, 0)]
+            pairs["bucket"] = np.concatenate([(k << 32) + c.astype(np.int64) for k, c in enumerate(cells)])
+            share = (mix64(pairs["bucket"].view(np.uint64)) % np.uint64(4 * tasks)).astype(np.uint16 if 4 * tasks < 1 << 16 else np.int32)
+            order = np.argsort(share, kind="stable")
+            names, sizes = np.unique(share[order], return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * np.int32(pair.itemsize)
+            body = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(pairs[order])])
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), body], names=["share", "body"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                yield shares(held)
+                held = []
+        if held:
+            yield shares(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies = [np.frombuffer(x, pair) for batch in batches for x in batch.column("body").to_pylist()]
+        if not bodies:
+            return
+        pairs = np.concatenate(bodies)
+        bodies.clear()
+        order = np.argsort(pairs["bucket"])
+        bucket = pairs["bucket"][order]
+        new = np.ones(len(bucket), bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        sizes = np.diff(np.append(np.flatnonzero(new), len(bucket)))
+        n = np.repeat(sizes, sizes)
+        at = np.flatnonzero(n > 1)
+        for lo in range(0, len(at), HELD):
+            k = at[lo : lo + HELD]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs["node"][order[k]]), pa.array((bucket[k] >> 32).astype(np.int32)), pa.array(bucket[k]), pa.array(n[k])], names=["node", "key", "bucket", "n"])
+
+    packed = nodes.select("node", *KEYS).mapInArrow(pack, "share int, body binary")
+    return packed.repartition(tasks, "share").mapInArrow(meet, "node long, key int, bucket long, n long")
 
 
 def _members(spread: DataFrame, similarity: float) -> DataFrame:
-    """The nodes of buckets of several, with the number of blocks and ``home``.
+    """The nodes of buckets of several, with the number of blocks and ``home``; ``n`` is counted where it is not given.
 
     Hot buckets are split by bands of sizes, as wide as the ratio of sizes that the similarity allows: a node stands in its
     own band's part, at home, and in that of the next longer band, so nodes that may be linked share a part in which one is at home."""
@@ -432,9 +612,9 @@ def _members(spread: DataFrame, similarity: float) -> DataFrame:
         found = of.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
         return store(found.select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
 
-    counts = crowded(spread)
-    members = store(spread.join(grows(counts), "bucket").withColumn("home", F.lit(True)), "members")
-    if counts.filter(F.col("n") > HOT).isEmpty():
+    counted = spread if "n" in spread.columns else spread.join(grows(crowded(spread).drop("blocks")), "bucket")
+    members = store(counted.withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "home": F.lit(True)}), "members")
+    if members.filter(F.col("n") > HOT).isEmpty():
         return members.drop("n")
     width = max(-math.log(min(1.0, max(similarity, 1e-9))), 1e-4) * (1 + 1e-6)
     hot = members.filter(F.col("n") > HOT).drop("blocks", "n", "home").withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1))) / width))
@@ -525,23 +705,29 @@ def _compare(partners: int, batches: Iterator[pa.RecordBatch], bits: tuple[int,
 
 
 def _compared_lines(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and normalised line of all nodes in the pairs, read again where they first stand."""
+    """node and normalised line of all nodes in the pairs, read again where they first stand; a text is read once for all of its lines."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__body", 2000, 8 << 20):
-            text = [normalised(body.split(b"\n")[p]) for body, p in zip(batch.column("__body").to_pylist(), batch.column("pos").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(text, pa.binary())], names=["node", "line"])
+            places = batch.column("places")
+            where = iter(places.flatten().field("pos").to_pylist())
+            text = []
+            for body, n in zip(batch.column("__body").to_pylist(), pc.list_value_length(places).to_pylist(), strict=True):
+                lines = body.split(b"\n")
+                text += [normalised(lines[p]) for p in itertools.islice(where, n)]
+            yield pa.RecordBatch.from_arrays([places.flatten().field("node"), pa.array(text, pa.binary())], names=["node", "line"])
 
-    places = wanted.join(grows(nodes), "node").select("node", F.col("first.row").alias("__row"), F.col("first.pos").alias("pos"))
-    return store(rows.select("__row", "__body").join(grows(places), "__row").select("node", "pos", "__body").mapInArrow(pick, "node long, line binary"), "compared-lines")
+    first = wanted.join(grows(nodes.select("node", "first")), "node").select(F.col("first.row").alias("__row"), F.struct("node", F.col("first.pos").alias("pos")).alias("place"))
+    places = first.groupBy("__row").agg(F.collect_list("place").alias("places"))
+    return store(rows.select("__row", "__body").join(grows(places), "__row").select("places", "__body").mapInArrow(pick, "node long, line binary"), "compared-lines")
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose normalised lines are similar."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "x", 2000, 8 << 20):
+        for batch in slices(batches, "x", 10_000, 8 << 20):
             same = similar_lines(batch.column("x").to_pylist(), batch.column("y").to_pylist(), similarity)
             yield batch.select(["a", "b"]).filter(pa.array(same))
 
