@@ -69,7 +69,7 @@ PARTNERS, MORE = 1, 8
 TABLES, WIDE, ROOM = 1024, 8192, 1 << 20
 #: 64-bit numbers in the places of letters of such a step.
 CELLS = 1 << 22
-#: Pairs a 64-bit number of the band under which each is compared alone, and characters up to which no bound is tried before.
+#: Pairs under which each is compared alone, and characters up to which no bound is tried before.
 CROWD, BRIEF = 25, 640
 #: Pairs of bucket and node in a task's share, and nodes that a task packs, or pairs that it hands on, at a time.
 SHARE, HELD = 1 << 20, 1 << 16
@@ -241,7 +241,7 @@ def similar_lines(left: list[bytes], right: list[bytes], least: float) -> np.nda
         for at in _steps(order[~brief], sizes, most):
             open_[at] = _few_runs(*zip(*[texts[k] for k in at], strict=True), most[at])
         for at in _steps(order[open_[order]], sizes, most):
-            if len(at) < CROWD * (most[at[0]] // 64 + 1) or sizes[at].max() > WIDE:
+            if len(at) < CROWD or sizes[at].max() > WIDE:
                 for k in at.tolist():
                     out[mine[k]] = _distance(*texts[k], int(most[k])) <= most[k]
             else:
@@ -358,11 +358,11 @@ def _tables(a: tuple, b: tuple, most: np.ndarray) -> np.ndarray:
     one, every = np.uint64(1), ~np.uint64(0)
     # rows up to 0 of the first column are 0, those below rise by one each
     first = np.clip(room[None, :] - 64 * np.arange(words)[:, None], 0, 64)
-    up = [np.where(f < 64, every << np.minimum(f, 63).astype(np.uint64), np.uint64(0)) for f in first]
-    down = [np.zeros(len(a), np.uint64) for _ in range(words)]
+    up = np.where(first < 64, every << np.minimum(first, 63).astype(np.uint64), np.uint64(0))
+    down = np.zeros_like(up)
     end = apart + room
     end_word, end_bit = end >> 6, (end & 63).astype(np.uint64)
-    cost, names, good, live = apart.copy(), np.arange(len(a)), np.zeros(len(a), bool), len(a)
+    cost, names, good, live, lanes = apart.copy(), np.arange(len(a)), np.zeros(len(a), bool), len(a), np.arange(len(a))
     for j in range(longest + 1):
         lasting = int(np.searchsorted(-n_b, -j, "left"))  # of those that have more columns
         if lasting < live:
@@ -379,34 +379,36 @@ def _tables(a: tuple, b: tuple, most: np.ndarray) -> np.ndarray:
             cut = None
         if cut is not None:
             n_b, most, cost, names, end_word, end_bit, asked = n_b[cut], most[cut], cost[cut], names[cut], end_word[cut], end_bit[cut], asked[:, cut]
-            up, down = [v[cut] for v in up], [v[cut] for v in down]
-        at, low, shift = asked[j], j >> 6, np.uint64(j & 63)
-        parts = [seen[low + w].take(at) for w in range(words + 1 if j & 63 else words)]
-        carry, same = None, []
-        for w in range(words):
-            equal = (parts[w] >> shift) | (parts[w + 1] << (np.uint64(64) - shift)) if j & 63 else parts[w]
-            x = equal & up[w]
-            total = x + up[w]
-            if words > 1:
-                over = total < x
-                if carry is not None:
-                    total += carry
-                    over |= total < carry
-                carry = over.astype(np.uint64)
-            total ^= up[w]
-            total |= equal
-            total |= down[w]
-            same.append(total)
-        for w in range(words):
-            rise = ~(same[w] | up[w]) | down[w]
-            fall = same[w] & up[w]
-            x = same[w] >> one
-            if w + 1 < words:
-                x |= same[w + 1] << np.uint64(63)
-            down[w] = x & rise
-            x |= rise
-            up[w] = fall | ~x
-        last = same[0] if words == 1 else np.choose(end_word, same) if words <= 30 else np.stack(same)[end_word, np.arange(live)]
+            up, down, lanes = up[:, cut], down[:, cut], np.arange(live)
+        low, shift = j >> 6, np.uint64(j & 63)
+        parts = seen[low : low + words + 1].take(asked[j], axis=1)
+        equal = parts[:-1]
+        if j & 63:
+            equal = (equal >> shift) | (parts[1:] << (np.uint64(64) - shift))
+        same = equal & up
+        if words > 1:
+            total = same + up
+            over = (total < same).astype(np.uint64)
+            for w in range(1, words):
+                total[w] += over[w - 1]
+                over[w] |= total[w] < over[w - 1]
+            same = total
+        else:
+            same += up
+        same ^= up
+        same |= equal
+        same |= down
+        rise = ~(same | up)
+        rise |= down
+        fall = same & up
+        x = same >> one
+        if words > 1:
+            x[:-1] |= same[1:] << np.uint64(63)
+        down = x & rise
+        x |= rise
+        up = ~x
+        up |= fall
+        last = same[end_word, lanes] if words > 1 else same[0]
         cost += 1
         cost -= ((last >> end_bit) & one).view(np.int64)
     out = np.empty(len(a), bool)
