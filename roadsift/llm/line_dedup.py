@@ -70,7 +70,7 @@ TABLES, WIDE, ROOM = 1024, 8192, 1 << 20
 #: 64-bit numbers in the places of letters of such a step.
 CELLS = 1 << 22
 #: Pairs under which each is compared alone, and characters up to which no bound is tried before.
-CROWD, BRIEF = 25, 640
+CROWD, BRIEF = 25, 2000
 #: Pairs of bucket and node in a task's share, and nodes that a task packs, or pairs that it hands on, at a time.
 SHARE, HELD = 1 << 20, 1 << 16
 #: Bytes of text whose lines are read at a time (a longer line is read alone).
@@ -650,11 +650,13 @@ def _compare(partners: int, batches: Iterator[pa.RecordBatch], bits: tuple[int,
         near = (far <= np.where(np.minimum(x, y) < SHORT, *bits)) & (np.abs(x - y) <= (1 - least) * np.maximum(x, y) + 1e-9) & (t["node"][i] != t["node"][j])
         if "key" in t:
             near &= t["home"][i] | t["home"][j]
-            before = t["key"][i]
+            at = np.nonzero(near)  # their earlier keys are looked at of these only
+            own, other = np.broadcast_to(i, near.shape)[at], np.broadcast_to(j, near.shape)[at]
+            before, first = t["key"][own], np.ones(len(own), bool)
             for k in range(int(before.max(initial=0))):
                 name, half = KEYS[k // 2], np.uint64(32 * (1 - k % 2))
-                own, other = (t[name][i] >> half).astype(np.uint32), (t[name][j] >> half).astype(np.uint32)
-                near &= (own != other) | (before <= k)
+                first &= (((t[name][own] ^ t[name][other]) >> half).astype(np.uint32) != 0) | (before <= k)
+            near[at] = first
         return near, far
 
     def block(t: dict[str, np.ndarray], lo: int, hi: int) -> pa.RecordBatch:
